@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import mixing, quality, secrets
+from quarry.llm import mixing, near_dups, pieces, quality, secrets
 from quarry.llm.common import materialize
+from quarry.llm.tokens import tokenizer_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,6 +14,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
+def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: shingles of five words, similarity 0.8 or more."""
+    return near_dups.keep_one(docs)
+
+
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents with reported secrets masked and n_chars made to fit."""
     return secrets.redact(docs)
@@ -23,7 +29,12 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return mixing.apply_mix(docs)
 
 
-STAGES = [("quality", quality_stage), ("secrets", secret_stage), ("mixing", mixing_stage)]
+def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids, n_pieces, n_bytes and lossless of each document of the mix."""
+    return pieces.encode(docs, tokenizer_path("piece_bpe_32k.model"))
+
+
+STAGES = [("quality", quality_stage), ("near_dups", near_dup_stage), ("secrets", secret_stage), ("mixing", mixing_stage), ("pieces", piece_stage)]
 
 #: The model, MinHash and the piece encoder have no SQL form.
 ORACLE_SQL = None

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, secrets, sharding
+from . import mixing, near_dups, packing, pages, pieces, quality, secrets, sharding, simhash, token_counts
+from .tokens import tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,28 +16,50 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = packing.write(_documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
+    return packing.read_back(files)
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_documents(spark, sf_dir))
 
 
+def op3_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.compare_with_next(_documents(spark, sf_dir))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(_documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     return quality.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+def op9_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.cluster(_documents(spark, sf_dir), settings=near_dups.Settings(width=2))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_documents(spark, sf_dir)))
 
 
 QUERIES: dict[str, Query] = {
-    "op2_sharding": op2_sharding,
-    "op4_mixing": op4_mixing,
-    "op8_quality": op8_quality,
-    "op10_secrets": op10_secrets,
+    f.__name__: f for f in (op1_packing, op2_sharding, op3_pages, op4_mixing, op5_simhash, op6_token_counts, op7_pieces, op8_quality, op9_near_dups, op10_secrets)
 }
 
 ORACLE_SQL: dict[str, str] = {}
