@@ -44,7 +44,7 @@ RULES = (
 GOOD = ""
 
 #: A rule votes bad on at most this share of good documents; it keeps the good class apart.
-MOST_WRONG = 0.02
+MOST_WRONG = 0.005
 
 
 @dataclass(frozen=True)
@@ -110,7 +110,7 @@ def fit(counted: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = 60, s
     rows = counted.select(*votes(rules)).groupBy(*[f"_v_{n}" for n in names]).count().collect()
     patterns = sorted((tuple(r[:-1]), r[-1]) for r in rows)
     start = {True: {-1: 0.8, 0: 0.15, 1: 0.05}, False: {-1: 0.1, 0: 0.3, 1: 0.6}}
-    chance = {c: {n: start[n == c] for n in names} for c in names} | {GOOD: {n: {-1: 0.02, 0: 0.28, 1: 0.7} for n in names}}
+    chance = {c: {n: start[n == c] for n in names} for c in names} | {GOOD: {n: {-1: 0.005, 0: 0.295, 1: 0.7} for n in names}}
     model = Model({c: 0.5 if c == GOOD else 0.5 / len(names) for c in chance}, chance)
     for _ in range(rounds if patterns else 0):
         tallies = {c: {n: {v: smoothing for v in (-1, 0, 1)} for n in names} for c in chance}
