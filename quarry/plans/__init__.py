@@ -1 +1,4 @@
+"""All registered queries of the library proper."""
 
+from . import relational  # noqa: F401
+from .base import QUERIES, SQL  # noqa: F401
