@@ -1,4 +1,4 @@
 """All registered queries of the library proper."""
 
-from . import measures, relational, repository, text  # noqa: F401
+from . import algebra, measures, relational, repository, text  # noqa: F401
 from .base import QUERIES, SQL  # noqa: F401
