@@ -62,4 +62,27 @@ QUERIES: dict[str, Query] = {
     f.__name__: f for f in (op1_packing, op2_sharding, op3_pages, op4_mixing, op5_simhash, op6_token_counts, op7_pieces, op8_quality, op9_near_dups, op10_secrets)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The mix in plain windows: sizes, targets by water level, and documents in hash order up to the nearest cut.
+_MIX = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    CAST('0x' || left(md5('29/' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '/' || md5(coalesce(text, ''))), 12) AS BIGINT) AS h
+  FROM documents),
+s AS (SELECT source, size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM (SELECT source, CAST(sum(size) AS BIGINT) AS size FROM d GROUP BY source)),
+o AS (
+  SELECT *, (SELECT sum(size) FROM s) * 3 / 2 AS total,
+    coalesce(sum(2 * size) OVER (ORDER BY 2 * size / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+    sum(w) OVER (ORDER BY 2 * size / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS still
+  FROM s),
+c AS (SELECT *, (total - before) * w / still > 2 * size AS capped FROM o),
+t AS (
+  SELECT source, size, CASE WHEN capped THEN CAST(2 * size AS DOUBLE)
+    ELSE (total - (SELECT coalesce(sum(2 * size), 0) FROM c WHERE capped)) * w / (SELECT sum(w) FROM c WHERE NOT capped) END AS target
+  FROM c),
+q AS (SELECT *, CASE WHEN size > 0 THEN CAST(floor(target) AS BIGINT) // size ELSE 0 END AS uses, CASE WHEN size > 0 THEN CAST(floor(target) AS BIGINT) % size ELSE 0 END AS rest FROM t)
+SELECT d.doc_id, d.size, q.size AS source_size, q.target,
+  CAST(d.size * (q.uses + CASE WHEN 2 * sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size <= 2 * q.rest THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_mixing": _MIX}
