@@ -85,4 +85,30 @@ SELECT d.doc_id, d.size, q.size AS source_size, q.target,
 FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_mixing": _MIX}
+#: The tree's draws by MD5, and CRC-32 by its table, a byte at a time.
+def _draw(path: str, weight: float) -> str:
+    return f"-ln((CAST('0x' || left(md5('17/{path}/' || k), 13) AS BIGINT) + 0.5) / 4503599627370496.0) / {weight}"
+
+
+def _descent(added: bool) -> str:
+    regions = [(f"/region{r}", 4.0) for r in range(2)] + [("/region-of-shard8", 1.0)] * added
+    region = f"list_position([{', '.join(_draw(p, w) for p, w in regions)}], list_min([{', '.join(_draw(p, w) for p, w in regions)}])) - 1"
+    racks = {r: [_draw(f"/region{r}/rack{2 * r + x}", 2.0) for x in range(2)] for r in range(2)}
+    leaves = {x: [_draw(f"/region{x // 2}/rack{x}/shard{2 * x + y}", 1.0) for y in range(2)] for x in range(4)}
+    pick = lambda d, x: f"CASE WHEN {d[0]} <= {d[1]} THEN {x[0]} ELSE {x[1]} END"
+    below = {r: pick(racks[r], [pick(leaves[2 * r + x], (4 * r + 2 * x, 4 * r + 2 * x + 1)) for x in range(2)]) for r in range(2)}
+    return f"CASE {region} WHEN 0 THEN {below[0]} WHEN 1 THEN {below[1]} ELSE 8 END"
+
+
+_SHARDS = f"""
+WITH table_of AS (
+  SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) r(i))),
+d AS (
+  SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS k, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size,
+    CAST(xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT))), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS BIGINT) AS text_crc32
+  FROM documents, table_of),
+p AS (SELECT doc_id, size, text_crc32, CAST({_descent(False)} AS INTEGER) AS shard, CAST({_descent(True)} AS INTEGER) AS grown_shard FROM d)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS BIGINT) AS slot, grown_shard FROM p
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_sharding": _SHARDS, "op4_mixing": _MIX}
