@@ -168,9 +168,9 @@ def keep_good(docs: DataFrame, text: str = "text", threshold: float = 0.5, rules
 
     The counts are made once to fit the model and once to apply it, so no text is written or shuffled.
     """
-    names = [c for c in docs.columns]
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(f"`{text}`").alias("_text"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text}`").alias("_text"))
     counted = features(packed, "_text")
     model = fit(counted.drop("_row"), rules)
-    judged = score(counted, model, rules).where(~base_failed() & (F.col("quality") >= threshold))
-    return judged.select("_row.*")
+    # The row number keeps the filter above the counts; pushed below, it would count anew for each word.
+    judged = score(counted.withColumn("_q_at", F.monotonically_increasing_id()), model, rules)
+    return judged.where((F.col("_q_at") >= 0) & ~base_failed() & (F.col("quality") >= threshold)).select("_row.*")
