@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Segmented units that a Python worker remembers before it starts anew; it bounds memory, not results.
 REMEMBERED = 1_000_000
@@ -154,4 +155,4 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", name: str = "text")
             texts = [None if x is None else pieces.decode(np.array(x, np.int64)) for x in rows]
             yield batch.append_column(name, pa.array(texts, pa.string()))
 
-    return kept.mapInArrow(work, kept.schema.add(name, "string"))
+    return kept.mapInArrow(work, T.StructType([*kept.schema.fields, T.StructField(name, T.StringType())]))

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import mix, shingle_hashes, text_slices, whole, word_hashes
 
@@ -58,7 +59,7 @@ def fingerprint(docs: DataFrame, text: str = "text", name: str = "fingerprint",
             made = [x.tobytes().hex() for x in fingerprints(batch.column(batch.schema.get_field_index(text)), bits, width)]
             yield batch.append_column(name, pa.array(made, pa.string()))
 
-    return kept.mapInArrow(work, kept.schema.add(name, "string"))
+    return kept.mapInArrow(work, T.StructType([*kept.schema.fields, T.StructField(name, T.StringType())]))
 
 
 def near(prints: DataFrame, radius: int = 6, blocks: int = 8, name: str = "fingerprint", bits: int = BITS) -> DataFrame:
