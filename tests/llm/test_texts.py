@@ -195,14 +195,15 @@ def test_page_blocks():
 
 
 def test_pages(spark):
+    own = lambda k: " ".join(f"w{k}x{j}" for j in range(9)) + " end."
     menu = "".join(f"<li>entry number {k} of the menu</li>" for k in range(6))
-    plain = [(10 + k, f"http://h.example/{k}", f"<body><ul>{menu}</ul><p>Page{k} has its own words that no other page of this host holds, number {k * 7}.</p></body>") for k in range(4)]
+    plain = [(10 + k, f"http://h.example/{k}", f"<body><ul>{menu}</ul><p>{own(k)}</p></body>") for k in range(4)]
     rows = [(1, "http://a.example/", PAGE), (2, None, None), (3, "http://a.example/", ""), (None, "u", PAGE), *plain, (20, "http://other.example/", plain[0][2])]
     table = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")
     got = {r.page_id: r for r in pages.extract(table).collect()}
     assert len(got) == len(rows) and got[2].text == "" and got[2].n_chars == 0 and got[3].text == ""
     assert got[1].text == got[None].text == "\n".join(pages.blocks(PAGE)[0]) and got[1].n_chars == len(got[1].text)
     for k in range(4):
-        assert got[10 + k].text == f"Page{k} has its own words that no other page of this host holds, number {k * 7}."
+        assert got[10 + k].text == own(k)
     assert "menu" in got[20].text
     assert pages.extract(table.limit(0)).count() == 0
