@@ -9,10 +9,9 @@ its signature's coordinate-value pairs. Two sets of the wanted similarity agree
 * prefix: with m shared pairs, rarest first, any partner shares one of the first
   m - matches + 1, so only those are merged.
 
-Classes that meet are compared with the list's first, collisions are counted on whole signatures,
-and what passes is confirmed on the full shingle sets. Components of those links grow; only
-classes that meet in a list but still lie in different components are compared further, so a
-group of near copies costs about a comparison per member and list, not one per pair.
+Every class that is left lies under the leaders of its lists. Under a leader, blocks of classes meet
+pairwise in tasks of bounded size, where exact intersections of the full sets decide and only
+links that join something new come out; no pairs are ever rows.
 """
 
 from __future__ import annotations
@@ -22,25 +21,28 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, mix, shingle_hashes, text_slices, word_hashes
 
 
+#: Classes whose texts are picked by broadcast; members of a block; matrix columns at a time.
+BROADCAST_ROWS, BLOCK, COLUMNS = 1 << 18, 512, 1 << 13
+
+
 @dataclass(frozen=True)
 class Settings:
     """Shingles of ``width`` words, links at ``above`` hundredths of similarity or more.
 
-    At similarity 0.8 a pair agrees in 51 of 64 coordinates on average, and in fewer than 36 with
-    a chance of two in a million; more alike pairs are lost more rarely still.
+    At similarity 0.8 a pair agrees in 51 of 64 coordinates on average, and in fewer than 38 with a
+    chance of about 3 in 100,000; at 0.85 the chance is below one in ten million.
     """
 
     width: int = 5
     above: int = 80
     coordinates: int = 64
-    matches: int = 36
+    matches: int = 38
     seed: int = 7
 
 
@@ -58,6 +60,11 @@ def _multipliers(settings: Settings) -> tuple[np.ndarray, np.ndarray]:
     return tuple(rng.integers(0, 1 << 63, settings.coordinates, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
 
 
+def _mark(s: np.ndarray, settings: Settings) -> bytes:
+    """A hash of 128 bits of a set."""
+    return np.array([mix(s).sum(), mix(s ^ np.uint64(settings.seed)).sum()], np.uint64).tobytes()
+
+
 def signed(docs: DataFrame, key: str, text: str, settings: Settings) -> DataFrame:
     """_id, _n (distinct shingles), _set (a hash of the set) and _tokens (coordinate-value pairs)."""
 
@@ -75,7 +82,7 @@ def signed(docs: DataFrame, key: str, text: str, settings: Settings) -> DataFram
                 least = np.full(settings.coordinates, np.iinfo(np.uint64).max, np.uint64)
                 for at in range(0, len(s), 4096):
                     np.minimum(least, (s[at : at + 4096, None] * times + plus).min(axis=0), out=least)
-                marks.append(np.array([mix(s).sum(), mix(s ^ np.uint64(settings.seed)).sum()], np.uint64).tobytes())
+                marks.append(_mark(s, settings))
                 tokens.append(mix(least + salt).view(np.int64))
             ends = pa.array(np.cumsum([0, *map(len, tokens)]).astype(np.int32))
             flat = pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64))
@@ -109,27 +116,89 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         last = now
 
 
-def _confirm(batches: Iterator[pa.RecordBatch], settings: Settings) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        left, right = (shingle_sets(batch.column(c), settings.width) for c in ("_ta", "_tb"))
-        keep = []
-        for x, y in zip(left, right, strict=True):
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * common >= settings.above * (len(x) + len(y) - common) and len(x) > 0)
-        yield pa.RecordBatch.from_arrays([pc.filter(batch.column(c), pa.array(keep, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
+def _shared(each: DataFrame, settings: Settings) -> DataFrame:
+    """_id and shared: a class's (uses, token) pairs that others have too, rarest first; classes with too few are skipped.
+
+    ``each`` has a row (_id, token) for every token of every class.
+    """
+    counted = each.groupBy("token").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1")
+    gathered = each.join(counted, "token").groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("uses", "token"))).alias("shared"))
+    return gathered.where(F.size("shared") >= settings.matches)
+
 
+def block_links(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, above: int) -> list[tuple[int, int]]:
+    """Links that span what is linked between the rows ``left`` and ``right``, by exact intersection sizes.
 
-def _links(pairs: DataFrame, alive: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
-    """Those of the distinct pairs (a, b) that agree in enough coordinates and then on their full sets."""
-    x = alive.select(F.col("_id").alias("a"), F.col("_n").alias("_na"), F.col("_tokens").alias("_ka"))
-    y = alive.select(F.col("_id").alias("b"), F.col("_n").alias("_nb"), F.col("_tokens").alias("_kb"))
-    sized = pairs.join(x, "a").join(y, "b").where(f"100 * least(_na, _nb) >= {settings.above} * greatest(_na, _nb)")
-    met = sized.where(F.size(F.array_intersect("_ka", "_kb")) >= settings.matches).select("a", "b")
-    met = materialize(met)
-    needed = met.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    told = materialize(texts.join(needed, "_id").dropDuplicates(["_id"]))
-    full = met.join(told.select(F.col("_id").alias("a"), F.col("_text").alias("_ta")), "a").join(told.select(F.col("_id").alias("b"), F.col("_text").alias("_tb")), "b")
-    return materialize(full.select("a", "b", "_ta", "_tb").mapInArrow(lambda batches: _confirm(batches, settings), "a long, b long"))
+    The sizes are a product of 0/1 matrices over the shingles that occur twice or more, some
+    columns at a time.
+    """
+    size = np.array([len(s) for s in sets])
+    values, column, uses = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    place = np.cumsum(uses > 1) - 1
+    held = uses[column] > 1
+    row, column = row[held], place[column[held]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(place[-1]) + 1, COLUMNS):
+        a, b = np.searchsorted(column, (at, at + COLUMNS))
+        block = np.zeros((len(sets), min(COLUMNS, int(place[-1]) + 1 - at)), np.float32)
+        block[row[a:b], column[a:b] - at] = 1
+        common += block[left] @ block[right].T
+    both = size[left][:, None] + size[right][None, :] - common
+    x, y = np.nonzero((100 * common >= above * both) & (ids[left][:, None] != ids[right][None, :]))
+    root = {int(i): int(i) for i in ids}
+
+    def find(v: int) -> int:
+        while root[v] != v:
+            root[v] = root[root[v]]
+            v = root[v]
+        return v
+
+    for a, b in zip(ids[left][x].tolist(), ids[right][y].tolist(), strict=True):
+        a, b = find(a), find(b)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+    return [(v, find(v)) for v in root if find(v) != v]
+
+
+def _block_pair(table: pa.Table, settings: Settings) -> pa.Table:
+    table = table.combine_chunks()
+    found = list(shingle_sets(table.column("_text").combine_chunks(), settings.width))
+    # A key that repeats may bring other texts along; only the class's own set counts, once.
+    own = {i: k for k, (i, m) in enumerate(zip(table.column("_id").to_pylist(), table.column("_set").to_pylist(), strict=True)) if len(found[k]) and _mark(found[k], settings) == m}
+    rows = np.array(sorted(own.values()), np.int64)
+    made: list[tuple[int, int]] = []
+    if len(rows) > 1:
+        blocks = table.column("_block").to_numpy()[rows]
+        at = np.arange(len(rows))
+        made = block_links(table.column("_id").to_numpy()[rows], [found[k] for k in rows], at[blocks == blocks.min()], at[blocks == blocks.max()], settings.above)
+    return pa.table({"a": pa.array([a for a, _ in made], pa.int64()), "b": pa.array([b for _, b in made], pa.int64())})
+
+
+def links(docs: DataFrame, classes: DataFrame, key: str, text: str, settings: Settings) -> DataFrame:
+    """a and b: links between classes that span the same components as all links do.
+
+    ``classes`` has _id, _set and _tokens.
+    """
+    shared = materialize(_shared(classes.select("_id", F.explode(F.array_distinct("_tokens")).alias("token")), settings))
+    # Skipped classes no longer count, so what the living share is told better.
+    shared = _shared(shared.select("_id", F.explode("shared.token").alias("token")), settings)
+    prefix = F.slice("shared", F.lit(1), F.size("shared") - settings.matches + 1)
+    lists = materialize(shared.select("_id", F.size("shared").alias("_m"), F.explode(prefix).alias("p")).select("_id", "_m", "p.token"))
+    # The class that shares most leads a list; all that share a list lie under its leader.
+    leaders = lists.groupBy("token").agg(F.min_by("_id", F.struct(-F.col("_m"), "_id")).alias("hub"), F.count(F.lit(1)).alias("_in")).where("_in > 1")
+    under = materialize(lists.join(leaders, "token").select("hub", "_id").distinct())
+    sized = under.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
+    dealt = under.join(sized, "hub").withColumn("_block", F.pmod(F.xxhash64("_id"), "_blocks").cast("int"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    pairs = dealt.select("hub", F.least("_block", "_other").alias("_x"), F.greatest("_block", "_other").alias("_y"), "_block", "_id")
+    pairs = materialize(pairs.join(classes.select("_id", "_set"), "_id"))
+    texts = docs.select(F.col(f"`{key}`").cast("long").alias("_id"), F.col(f"`{text}`").alias("_text"))
+    # The few classes that are left fetch their texts by broadcast while their number is bounded, else by a shuffle.
+    full = texts.join(F.broadcast(pairs) if pairs.count() <= BROADCAST_ROWS else pairs, "_id")
+    return full.select("hub", "_x", "_y", "_block", "_id", "_set", "_text").groupBy("hub", "_x", "_y").applyInArrow(lambda table: _block_pair(table, settings), "a long, b long")
 
 
 def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -137,47 +206,18 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", settings:
 
     component_id is the smallest key reachable over links between shingle sets, its own included;
     kept is true for that document. A text without words has the empty set and links with nothing.
-    Keys are bigints and tell documents apart: rows that repeat a key lie in one component only if
-    their sets are linked, and get the same kept; null keys are passed over as links and stand
-    alone. An empty table gives no rows.
+    Keys are bigints and tell documents apart: rows that repeat a key are judged by their own sets.
+    Null keys stand alone. An empty table gives no rows.
     """
-    wanted = settings.matches
     posted = materialize(signed(docs, key, text, settings))
-    members = posted.where("_n > 0 and _id is not null")
-    classes = members.groupBy("_set").agg(F.min("_id").alias("_id"), F.first("_n").alias("_n"), F.first("_tokens").alias("_tokens"))
-    # One class may be the first of a key that repeats: classes go by their number, the key of their first document.
-    classes = classes.select("_id", "_set", "_n", "_tokens")
-    pairs = classes.select("_id", F.explode(F.array_distinct("_tokens")).alias("token"))
-    counted = pairs.groupBy("token").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1")
-    shared = pairs.join(counted, "token").groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("uses", "token"))).alias("shared")).where(F.size("shared") >= wanted)
-    alive = materialize(shared.join(classes, "_id").select("_id", "_n", "_tokens", "shared"))
-    # Skipped classes no longer count: what the living share is rarer, so the prefixes are more telling.
-    again = alive.select("_id", F.explode("shared.token").alias("token"))
-    counted = again.groupBy("token").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1")
-    shared = again.join(counted, "token").groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("uses", "token"))).alias("shared")).where(F.size("shared") >= wanted)
-    lists = materialize(shared.select("_id", F.explode(F.slice("shared", F.lit(1), F.size("shared") - wanted + 1)).alias("p")).select("_id", "p.token"))
-    texts = docs.select(F.col(f"`{key}`").cast("long").alias("_id"), F.col(f"`{text}`").alias("_text"))
-
-    hubs = lists.groupBy("token").agg(F.min("_id").alias("a"))
-    first = lists.join(hubs, "token").where("_id <> a").select("a", F.col("_id").alias("b")).distinct()
-    links = _links(first, alive, texts, settings)
-    found = components(links)
-    for last in (False, True):
-        placed = lists.join(found.select(F.col("v").alias("_id"), "c"), "_id", "left").select("token", "_id", F.coalesce("c", "_id").alias("c"))
-        mixed = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("_id").alias("a")).where("lo < hi")
-        open_ = placed.join(mixed.select("token", "a"), "token")
-        if last:
-            left, right = (open_.select("token", F.col("_id").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
-            more = left.join(right, "token").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        else:
-            hub = placed.select("token", F.col("_id").alias("a"), F.col("c").alias("ca"))
-            more = open_.join(hub, ["token", "a"]).where("c <> ca").select(F.col("_id").alias("b"), "a").select("a", "b").distinct()
-        links = links.union(_links(more, alive, texts, settings))
-        found = components(links)
-    first_of = classes.select("_set", F.col("_id").alias("_class"))
-    by_class = posted.where("_n > 0 and _id is not null").select("_id", "_n", "_set").join(first_of, "_set").join(found.withColumnRenamed("v", "_class"), "_class", "left").select("_id", "_n", F.coalesce("c", "_class").alias("_c"))
-    alone = posted.where("_n = 0 or _id is null").select("_id", "_n", F.col("_id").alias("_c"))
-    return by_class.union(alone).select(F.col("_id").alias(key), F.col("_n").alias("n_shingles"), F.col("_c").alias("component_id"), F.coalesce(F.col("_id") == F.col("_c"), F.lit(True)).alias("kept"))
+    members = posted.where("_n > 0 AND _id IS NOT NULL")
+    classes = members.groupBy("_set").agg(F.min("_id").alias("_id"), F.first("_tokens").alias("_tokens"))
+    found = components(links(docs, classes, key, text, settings))
+    first_of = members.groupBy("_set").agg(F.min("_id").alias("_class"))
+    joined = members.select("_id", "_n", "_set").join(first_of, "_set").join(found.withColumnRenamed("v", "_class"), "_class", "left")
+    alone = posted.where("_n = 0 OR _id IS NULL").select("_id", "_n", F.col("_id").alias("_c"))
+    both = joined.select("_id", "_n", F.coalesce("c", "_class").alias("_c")).union(alone)
+    return both.select(F.col("_id").alias(key), F.col("_n").alias("n_shingles"), F.col("_c").alias("component_id"), F.coalesce(F.col("_id") == F.col("_c"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
