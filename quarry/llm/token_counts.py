@@ -23,7 +23,7 @@ BLANK = r"\t-\r \x85\xA0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 BYTE_LEVEL = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{BLANK}\p{{L}}\p{{N}}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+"
 
 #: At most so many pre-tokens of at most so many bytes are broadcast.
-BROADCAST_ROWS, BROADCAST_BYTES = 1 << 18, 64
+BROADCAST_ROWS, BROADCAST_BYTES = 1 << 19, 64
 
 
 def special_strings(tokenizer: str) -> list[str]:
@@ -91,17 +91,20 @@ def count_tokens(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
 
     cut = F.size(F.split(F.col("_text"), "|".join(map(_quoted, specials)))) - 1 if specials else F.lit(0)
     slim = docs.select(F.col(f"`{key}`").alias("_key"), whole(text).alias("_text"))
-    about = slim.select("_key", F.octet_length("_text").cast("long").alias("_bytes"), F.xxhash64("_text").alias("_mark"), F.explode_outer(pre_tokens(F.col("_text"), specials)).alias("pre_token"), cut.cast("long").alias("_cut"))
+    # All of a text is read before its pre-tokens become rows, not again for each row.
+    read = slim.select("_key", F.xxhash64("_text").alias("_mark"), pre_tokens(F.col("_text"), specials).alias("_all"))
+    about = read.select("_key", "_mark", F.explode_outer("_all").alias("pre_token"))
     first = about.join(F.broadcast(hot.select("pre_token", "pieces")), "pre_token", "left")
     # What the broadcast settled is summed under a name that no pre-token has: letters and digits never mix in one.
     settled = F.col("pieces").isNotNull() | F.col("pre_token").isNull()
     name = F.when(settled, F.concat(F.lit("a"), F.pmod("_mark", F.lit(4096)).cast("string"))).otherwise(F.col("pre_token"))
-    mine = ["_key", "_bytes", "_mark", "_cut"]
+    mine = ["_key", "_mark"]
     summed = first.groupBy(*mine, name.alias("pre_token")).agg(F.sum(F.coalesce("pieces", F.lit(0))).alias("_sure"), F.count(F.lit(1)).alias("_uses"))
     second = summed.join(cold.select("pre_token", "pieces"), "pre_token", "left")
     total = second.groupBy(*mine).agg(F.sum(F.col("_sure") + F.col("_uses") * F.coalesce("pieces", F.lit(0))).alias("_sum"))
-    copies = slim.groupBy("_key", F.octet_length("_text").cast("long").alias("_bytes"), F.xxhash64("_text").alias("_mark")).agg(F.count(F.lit(1)).alias("_copies"))
-    joined = total.alias("t").join(copies.alias("c"), F.expr("t._key <=> c._key AND t._bytes = c._bytes AND t._mark = c._mark"))
+    told = slim.select("_key", F.octet_length("_text").cast("long").alias("_bytes"), F.xxhash64("_text").alias("_mark"), cut.cast("long").alias("_cut"))
+    copies = told.groupBy("_key", "_mark").agg(F.count(F.lit(1)).alias("_copies"), F.first("_bytes").alias("_bytes"), F.first("_cut").alias("_cut"))
+    joined = total.alias("t").join(copies.alias("c"), F.expr("t._key <=> c._key AND t._mark = c._mark"))
     tokens = (F.col("_sum") / F.col("_copies")).cast("long") + F.col("_cut")
-    out = joined.select(F.col("t._key").alias(key), F.col("t._bytes").alias("n_bytes"), tokens.alias("n_tokens"), F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy"))
+    out = joined.select(F.col("t._key").alias(key), F.col("_bytes").alias("n_bytes"), tokens.alias("n_tokens"), F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy"))
     return out.select(key, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

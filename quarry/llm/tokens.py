@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
 
 #: Distinct words that a Python worker remembers before it starts anew; it bounds memory, not results.
-REMEMBERED = 1_000_000
+REMEMBERED = 1_500_000
+
+#: Letters, then ASCII marks other than the apostrophe, to the end.
+_MARKED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
 
 #: Where vocabulary files are looked for unless a path is given.
 TOKENIZERS = os.environ.get("QUARRY_TOKENIZERS", "/opt/tokenizers")
@@ -20,8 +25,8 @@ class WordEncoder:
     """Encodes each distinct word once while it is remembered, and texts by looking words up.
 
     Right for tokenizers whose normaliser and pre-tokenizer treat ASCII white space as a border
-    that leaves nothing behind, as that of ``word_bpe_49k.json`` does. Special strings hold no
-    white space, so the library finds them within words.
+    that leaves nothing behind, part letters from marks and ignore the case of A to Z, as that of ``word_bpe_49k.json`` does. Special strings hold no
+    white space and begin with a mark, so the library finds them within words.
     """
 
     def __init__(self, path: str):
@@ -31,23 +36,37 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def encode(self, texts: Iterable[bytes | None]) -> list[np.ndarray]:
         """The ids of each text (UTF-8; None is empty)."""
         split = [(t or b"").split() for t in texts]
-        new = {w for words in split for w in words if w not in self.known}
-        if len(self.known) + len(new) > REMEMBERED:
+        words = set().union(*split)
+        if len(self.known) + len(words) > REMEMBERED:
             self.known.clear()
-            new = {w for words in split for w in words}
-        fresh = list(new)
-        for start in range(0, len(fresh), 10_000):
-            part = fresh[start : start + 10_000]
-            done = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(part, done, strict=True))
+            self.parts.clear()
+        self._learn([w for w in words if w not in self.known])
         look = self.known.__getitem__
         return [np.frombuffer(b"".join(map(look, words)), self.dtype) for words in split]
 
+    def _learn(self, words: list[bytes]) -> None:
+        """Remember words; the marks after a word's letters are pre-tokens of their own, so both are looked up apart."""
+        cut = []
+        for w in words:
+            text = w.decode()
+            m = _MARKED(text)
+            head, tail = m.groups() if m else (text, "")
+            cut.append((w, head.lower() if head.isascii() else head, tail))
+        fresh = list({p for _, *both in cut for p in both if p not in self.parts})
+        for start in range(0, len(fresh), 10_000):
+            part = fresh[start : start + 10_000]
+            done = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            self.parts.update((p, array(self.code, e.ids).tobytes()) for p, e in zip(part, done, strict=True))
+        parts = self.parts
+        self.known.update((w, parts[head] + parts[tail]) for w, head, tail in cut)
+
 
 def tokenizer_path(name: str, folder: str = "") -> str:
     """The path of a vocabulary file, which every executor has at the same place."""
