@@ -8,7 +8,9 @@ interval join of parts decides. Offsets count code points, ends are exclusive.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,9 +46,11 @@ def parts(text: str, base: list[tuple[int, int, str, int]]) -> list[dict]:
     """What may belong to one credential: base spans are strong, the other parts are weak."""
     role = {"assign": "secret", "access": "identifier", "hex": "secret"}
     found = [{"part": role[kind], "start": start, "stop": end, "strong": True} for start, _, kind, end in base]
+    # A match meets a base span if, of those that begin before its end, the farthest end lies past its start.
+    starts, ends = [x[0] for x in base], [0, *itertools.accumulate((x[3] for x in base), max)]
     for part, pattern in (("identifier", IDENTIFIER), ("secret", OPAQUE), ("endpoint", ENDPOINT)):
         for m in pattern.finditer(text):
-            if not any(start < m.end() and m.start() < end for start, _, _, end in base):
+            if ends[bisect_left(starts, m.end())] <= m.start():
                 found.append({"part": part, "start": m.start(), "stop": m.end(), "strong": False})
     return found if any(not x["strong"] for x in found) and len({x["part"] for x in found}) > 1 else []
 
