@@ -30,8 +30,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, n_pieces, n_bytes and lossless of each document of the mix."""
-    return pieces.encode(docs, tokenizer_path("piece_bpe_32k.model"))
+    """doc_id, ids, n_pieces, n_bytes and lossless of each document of the mix; copies of one get pieces of their own."""
+    return pieces.encode(docs, tokenizer_path("piece_bpe_32k.model"), copies=True)
 
 
 STAGES = [("quality", quality_stage), ("near_dups", near_dup_stage), ("secrets", secret_stage), ("mixing", mixing_stage), ("pieces", piece_stage)]

@@ -1,26 +1,36 @@
 """SentencePiece BPE with seeded merge-dropout, and its decoding.
 
 A text falls into units (a word with the spaces before it) that no piece crosses. Within a unit
-the agenda holds the possible merges, best score first; one that comes up is skipped by a keyed
-hash in a share of ``dropout`` cases. The hash is of the seed, the document's variant, the unit,
-the place and the piece, so a rerun gives the same pieces and another seed gives others.
+the agenda holds the possible merges, best score first; one that comes up is skipped in a share of
+``dropout`` cases. How many come up before the next skip is a geometric draw by a keyed hash of the
+seed, the document, its copy, the unit's place in the text and the number of skips so far, so each
+occurrence of a word has draws of its own; a rerun gives the same pieces and another seed others.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
+import math
 import re
-import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Segmented units that a Python worker remembers before it starts anew; it bounds memory, not results.
+from .common import mix
+
+#: Segmentations that a Python worker remembers before it starts anew; it bounds memory, not results.
 REMEMBERED = 1_000_000
+#: Units of more merges than this are remembered only without skips: with them they hardly come again.
+LONG = 48
+#: Up to so many characters a scan of the possible merges is faster than an agenda.
+SHORT = 40
+#: More merges than any unit has.
+NEVER = 1 << 40
 
 SPACE = "▁"
 _MASK = (1 << 64) - 1
@@ -50,18 +60,56 @@ class PieceModel:
             self.bytes[i] = bytes([b])
         # A line feed in no piece cuts units too, which makes more of them alike.
         self.units = re.compile(r" *[^ \n]+|\n| +" if not any("\n" in p for p in self.ids) else r" *[^ ]+| +").findall
-        self.bar, self.seed = int(dropout * (1 << 32)), seed
+        self.dropout, self.seed = dropout, seed
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        self.known: dict[tuple[int, str], bytes] = {}
+        self.costs = {p: -score for p, score in self.scores.items()}
+        # By unit: merges that come up, ids, and by the merge that is skipped first the same of the rest. No draw is in
+        # it. A unit that came once, with a skip, has an empty list.
+        self.known: dict[str, list] = {}
+        self.remembered = 0
+
+    def segment(self, unit: str, gaps: Iterable[int] = ()) -> tuple[list[int], int, int]:
+        """Ids of one unit, how many merges came up after the last skip, and the number of skips.
 
-    def segment(self, unit: str, variant: int = 0) -> list[int]:
-        """Ids of one unit. A literal space mark isn't a space: it is written in bytes."""
+        Before each skip as many merges as ``gaps`` says are not skipped; after the last gap none is.
+        A literal space mark isn't a space: it is written in bytes.
+        """
         left = [c if c != SPACE else "\0" + c for c in unit] if SPACE in unit else list(unit)
         left = [SPACE if c == " " else c for c in left]
+        steps, skips = (self._scan if len(left) <= SHORT else self._agenda)(left, iter(gaps))
+        out: list[int] = []
+        for symbol in left:
+            if symbol:
+                known = self.ids.get(symbol)
+                out += [known] if known is not None else [self.byte_ids[b] for b in (SPACE if symbol == "\0" + SPACE else symbol).encode()]
+        return out, steps, skips
+
+    def _scan(self, left: list[str], gaps: Iterator[int]) -> tuple[int, int]:
+        """Merge the symbols in place: the least cost of all pairs comes up, the first of equal ones."""
+        cost, none = self.costs.get, math.inf
+        gap, steps, skips = next(gaps, NEVER), 0, 0
+        costs = [cost(a + b, none) for a, b in itertools.pairwise(left)]
+        while costs and (least := min(costs)) < none:
+            i = costs.index(least)
+            if steps == gap:
+                costs[i] = none
+                gap, steps, skips = next(gaps, NEVER), 0, skips + 1
+                continue
+            steps += 1
+            left[i] += left.pop(i + 1)
+            del costs[i]
+            if i:
+                costs[i - 1] = cost(left[i - 1] + left[i], none)
+            if i < len(costs):
+                costs[i] = cost(left[i] + left[i + 1], none)
+        return steps, skips
+
+    def _agenda(self, left: list[str], gaps: Iterator[int]) -> tuple[int, int]:
+        """The same with a heap of merges; symbols that went into others are left empty."""
+        gap, steps, skips = next(gaps, NEVER), 0, 0
         n = len(left)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
         scores, agenda = self.scores, []
-        key = (zlib.crc32(unit.encode()) * 0x9E3779B97F4A7C15 + self.seed * 0xD6E8FEB86659FD93 + variant * 0xC2B2AE3D27D4EB4F) & _MASK
         for i in range(n - 1):
             merged = left[i] + left[i + 1]
             if merged in scores:
@@ -71,11 +119,10 @@ class PieceModel:
             _, i, k, merged = heapq.heappop(agenda)
             if not left[i] or not left[k] or after[i] != k or left[i] + left[k] != merged:
                 continue
-            if self.bar:
-                h = (key ^ (i * 0xFF51AFD7ED558CCD + self.ids[merged] * 0xC4CEB9FE1A85EC53)) & _MASK
-                h = ((h ^ (h >> 31)) * 0xBF58476D1CE4E5B9) & _MASK
-                if (h ^ (h >> 29)) * 0x94D049BB133111EB >> 32 & 0xFFFFFFFF < self.bar:
-                    continue
+            if steps == gap:
+                gap, steps, skips = next(gaps, NEVER), 0, skips + 1
+                continue
+            steps += 1
             left[i], left[k] = merged, ""
             after[i] = after[k]
             if after[k] >= 0:
@@ -85,25 +132,75 @@ class PieceModel:
                     new = left[a] + left[b]
                     if new in scores:
                         heapq.heappush(agenda, (-scores[new], a, b, new))
-        out: list[int] = []
-        for symbol in left:
-            if symbol:
-                known = self.ids.get(symbol)
-                out += [known] if known is not None else [self.byte_ids[b] for b in (SPACE if symbol == "\0" + SPACE else symbol).encode()]
-        return out
+        return steps, skips
+
+    def gaps(self, stream: int, places: np.ndarray, skips: int | np.ndarray) -> list[int]:
+        """The draws of units at ``places``: how many merges come up before the next skip, after so many skips."""
+        if self.dropout <= 0 or self.dropout >= 1:
+            return [NEVER if self.dropout <= 0 else 0] * np.broadcast(places, skips).size
+        key = np.uint64((self.seed * 0xD6E8FEB86659FD93 + stream * 0xC2B2AE3D27D4EB4F) & _MASK)
+        h = mix(mix(key + places.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + np.asarray(skips).astype(np.uint64) * np.uint64(0xFF51AFD7ED558CCD))
+        share = (h >> np.uint64(11)).astype(np.float64) / (1 << 53)
+        return np.minimum(np.log1p(-share) / math.log1p(-self.dropout), NEVER).astype(np.int64).tolist()
 
-    def encode(self, text: str, variant: int = 0) -> np.ndarray:
-        """Ids of a whole text, with the model's leading space; an empty text has none."""
+    def _count(self) -> None:
+        if self.remembered >= REMEMBERED:
+            self.known.clear()
+            self.remembered = 0
+        self.remembered += 1
+
+    def _remember(self, unit: str, gaps: list[int]) -> list:
+        self._count()
+        ids, steps, _ = self.segment(unit, gaps)
+        return [steps, np.array(ids, self.dtype).tobytes(), None]
+
+    def _draws(self, stream: int, place: int, first: tuple[int, ...] = ()) -> Iterator[int]:
+        """All draws of the unit at ``place``, of which the ``first`` are known."""
+        yield from first
+        for k in itertools.count(len(first), 16):
+            yield from self.gaps(stream, np.array([place]), np.arange(k, k + 16))
+
+    def encode(self, text: str, stream: int = 0) -> np.ndarray:
+        """Ids of a whole text, with the model's leading space; an empty text has none. Each ``stream`` has draws of its own."""
         if not text:
             return np.zeros(0, self.dtype)
-        known, out = self.known, []
-        for unit in self.units(" " + text):
-            ids = known.get((variant, unit))
-            if ids is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                ids = known[variant, unit] = np.array(self.segment(unit, variant), self.dtype).tobytes()
-            out.append(ids)
+        known, out, later = self.known, [], []
+        units = self.units(" " + text)
+        places = np.arange(len(units))
+        for unit, gap, second, third in zip(units, *(self.gaps(stream, places, k) for k in range(3)), strict=True):
+            node = known.get(unit)
+            if node is None:
+                # A unit may never come again: it is segmented by its draws at once.
+                self._count()
+                ids, steps, skips = self.segment(unit, self._draws(stream, len(out), (gap, second, third)))
+                made = np.array(ids, self.dtype).tobytes()
+                known[unit] = [] if skips else [steps, made, None]
+                out.append(made)
+                continue
+            if not node:
+                node = known[unit] = self._remember(unit, [])
+            if gap >= node[0]:
+                out.append(node[1])
+            else:
+                later.append((len(out), node, [gap]))
+                out.append(b"")
+        while later:
+            again = []
+            drawn = self.gaps(stream, np.array([place for place, _, _ in later]), len(later[0][2]))
+            for (place, node, gaps), gap in zip(later, drawn, strict=True):
+                if node[0] > LONG:
+                    out[place] = np.array(self.segment(units[place], self._draws(stream, place))[0], self.dtype).tobytes()
+                    continue
+                if node[2] is None:
+                    node[2] = {}
+                below = node[2].get(gaps[-1])
+                if below is None:
+                    below = node[2][gaps[-1]] = self._remember(units[place], gaps)
+                if gap >= below[0]:
+                    out[place] = below[1]
+                else:
+                    again.append((place, below, [*gaps, gap]))
+            later = again
         return np.frombuffer(b"".join(out), self.dtype)
 
     def decode(self, ids: np.ndarray) -> str:
@@ -117,15 +214,19 @@ def model(path: str, dropout: float, seed: int) -> PieceModel:
     return _models[path, dropout, seed]
 
 
-def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", dropout: float = 0.1, seed: int = 41, variants: int = 2) -> DataFrame:
+def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", dropout: float = 0.1, seed: int = 41, copies: bool = False) -> DataFrame:
     """One row per document: key, ids, n_pieces, n_bytes and lossless (decoding gave the text back).
 
-    A document's variant is a hash of its key; documents of one variant segment a unit alike.
-    Null and empty texts have no ids and are lossless; repeated rows stay and are alike; an empty
-    table gives no rows. Nothing is shuffled.
+    The draws are keyed by the document's key and text, and by the place of each unit. With
+    ``copies`` rows of equal key and text, as a mix makes them, are numbered, which moves the texts
+    once, and each has draws of its own; without, repeated rows are alike and nothing is shuffled.
+    Null and empty texts have no ids and are lossless; an empty table gives no rows.
     """
-    variant = F.pmod(F.xxhash64(F.col(f"`{key}`"), F.lit(seed)), F.lit(variants)).cast("int").alias("_variant")
-    slim = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"), variant)
+    stream = F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`"), F.lit(seed)).alias("_stream")
+    slim = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"), stream)
+    if copies:
+        copy = F.row_number().over(Window.partitionBy("_stream").orderBy("_stream"))
+        slim = slim.withColumn("_stream", F.xxhash64("_stream", copy))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = model(path, dropout, seed)
@@ -133,7 +234,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
             for at in range(0, len(whole), 500):
                 batch = whole.slice(at, 500)
                 texts = [t or "" for t in batch.column("_text").to_pylist()]
-                made = [pieces.encode(t, v) for t, v in zip(texts, batch.column("_variant").to_pylist(), strict=True)]
+                made = [pieces.encode(t, x) for t, x in zip(texts, batch.column("_stream").to_pylist(), strict=True)]
                 ends = np.cumsum([0, *map(len, made)]).astype(np.int32)
                 flat = np.concatenate(made).astype(np.int32)
                 same = [pieces.decode(ids) == t for ids, t in zip(made, texts, strict=True)]

@@ -13,7 +13,7 @@ pytest.importorskip("sentencepiece")
 from quarry.llm import packing, pieces, token_counts
 from quarry.llm.tokens import tokenizer_path
 
-from .conftest import ROWS
+from .conftest import PROSE, ROWS
 
 
 def library(name, texts):
@@ -123,3 +123,40 @@ def test_encode_and_decode(docs, empty):
     texts = sorted(str(r.text) for r in pieces.decode(encoded, path).collect())
     assert texts == sorted(str(r[1] or "") for r in ROWS)
     assert pieces.encode(empty, path).count() == 0
+
+
+def test_each_occurrence_has_draws_of_its_own(spark):
+    path, word = tokenizer_path("piece_bpe_32k.model"), "government"
+    docs = spark.createDataFrame([(k, " ".join([word] * 20)) for k in range(100)], "doc_id long, text string")
+    rows = {r.doc_id: r.ids for r in pieces.encode(docs, path).collect()}
+    assert len({tuple(ids) for ids in rows.values()}) > 90
+    assert rows == {r.doc_id: r.ids for r in pieces.encode(docs.repartition(7), path).collect()}
+    model = pieces.PieceModel(path, 0.1)
+    # Within one text too, and each merge is skipped in a tenth of the cases, also where nothing is remembered.
+    text = " ".join([word] * 20_000)
+    steps = model.segment(" " + word)[1]
+    plain = sum(gap >= steps for gap in model.gaps(5, np.arange(20_000), 0)) / 20_000
+    assert abs(plain - 0.9**steps) < 0.02
+    made = model.encode(text, 5)
+    assert len(model.known[" " + word][2]) == steps
+    assert made.tolist() == [i for k in range(20_000) for i in model.segment(" " + word, model._draws(5, k))[0]]
+
+
+def test_long_units_have_the_same_draws(monkeypatch):
+    path, text = tokenizer_path("piece_bpe_32k.model"), "internationalisation" * 30 + " over " + "hillsanddales" * 3
+    some = pieces.PieceModel(path, 0.3).encode(text, 9).tolist()
+    again = pieces.PieceModel(path, 0.3)
+    again.encode(text, 8)
+    assert some == again.encode(text, 9).tolist()
+    for name, value in (("LONG", 100_000), ("SHORT", 0), ("SHORT", 100_000)):
+        monkeypatch.setattr(pieces, name, value)
+        again = pieces.PieceModel(path, 0.3)
+        again.encode(text, 8)
+        assert some == again.encode(text, 9).tolist()
+
+
+def test_copies_differ(spark):
+    docs = spark.createDataFrame([(1, PROSE)] * 3 + [(None, PROSE)] * 2, "doc_id long, text string").repartition(2)
+    path = tokenizer_path("piece_bpe_32k.model")
+    got = [sorted(map(str, pieces.encode(d, path, copies=True).collect())) for d in (docs, docs.repartition(3))]
+    assert got[0] == got[1] and len(set(got[0])) == 5
