@@ -210,6 +210,14 @@ def type_hint(spark, d):
     return g.select("user_id", A.type_hint(F.col("t"), sure).alias("hint"))
 
 
+@query("type_hint_whole", "SELECT user_id, CASE WHEN len(t) <= 3 THEN array_to_string(t, '|') ELSE 'Union<' || len(t) || '>' END || CASE WHEN user_id % 3 = 0 THEN '' WHEN user_id % 3 = 1 THEN '~' ELSE '?' END AS hint FROM (SELECT user_id, list_sort(list_distinct(list(event_type))) AS t FROM events GROUP BY user_id)")
+def type_hint_whole(spark, d):
+    """Hints of all users from all their events; ``type_hint`` reads a fortieth of them, as its SQL does."""
+    g = Registry(spark, d).table("events").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("t"))
+    sure = F.when(F.col("user_id") % 3 == 1, 0.95).when(F.col("user_id") % 3 == 2, 0.5)
+    return g.select("user_id", A.type_hint(F.col("t"), sure).alias("hint"))
+
+
 @query("code_action", "SELECT event_id, CASE event_type WHEN 'error' THEN 'declare' WHEN 'click' THEN 'fix the call' WHEN 'view' THEN 'add a check' ELSE 'none' END AS action FROM events")
 def code_action(spark, d):
     t = F.col("event_type")

@@ -42,3 +42,8 @@ def test_query(spark, duck, name):
         assert sorted(found.columns) == columns
         at = [found.columns.index(c) for c in columns]
         assert got == sorted([plain(r[k]) for k in at] for r in found.fetchall())
+
+
+def test_hints_of_all_users(spark, duck):
+    got = {r.user_id for r in QUERIES["type_hint_whole"](spark, str(DATA)).collect()}
+    assert got == {u for (u,) in duck.sql("SELECT DISTINCT user_id FROM events").fetchall()}
