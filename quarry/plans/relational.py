@@ -241,6 +241,38 @@ def join_full(spark, d):
     return _customers_orders(spark, d, "full")
 
 
+def _whole_customers_orders(spark, d, how):
+    """Whole tables: customers without open orders and orders that aren't open have no match."""
+    r = Registry(spark, d)
+    c = r.table("customer").select("c_custkey", "c_name")
+    o = r.table("orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    on = (F.col("c_custkey") == F.col("o_custkey")) & (F.col("o_orderstatus") == "O")
+    return c.join(o, on, how).select("c_custkey", "c_name", "o_orderkey")
+
+
+_WHOLE_JOIN = "SELECT c_custkey, c_name, o_orderkey FROM customer {} JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'O'"
+
+
+@query("join_inner_whole", _WHOLE_JOIN.format("INNER"))
+def join_inner_whole(spark, d):
+    return _whole_customers_orders(spark, d, "inner")
+
+
+@query("join_left_whole", _WHOLE_JOIN.format("LEFT"))
+def join_left_whole(spark, d):
+    return _whole_customers_orders(spark, d, "left")
+
+
+@query("join_right_whole", _WHOLE_JOIN.format("RIGHT"))
+def join_right_whole(spark, d):
+    return _whole_customers_orders(spark, d, "right")
+
+
+@query("join_full_whole", _WHOLE_JOIN.format("FULL"))
+def join_full_whole(spark, d):
+    return _whole_customers_orders(spark, d, "full")
+
+
 @query("join_theta", "SELECT s.s_suppkey, n.n_nationkey FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey AND s.s_acctbal > 100 * n.n_regionkey")
 def join_theta(spark, d):
     r = Registry(spark, d)

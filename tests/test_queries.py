@@ -47,3 +47,10 @@ def test_query(spark, duck, name):
 def test_hints_of_all_users(spark, duck):
     got = {r.user_id for r in QUERIES["type_hint_whole"](spark, str(DATA)).collect()}
     assert got == {u for (u,) in duck.sql("SELECT DISTINCT user_id FROM events").fetchall()}
+
+
+def test_joins_of_whole_tables(spark, duck):
+    rows = QUERIES["join_full_whole"](spark, str(DATA)).collect()
+    assert {r.c_custkey for r in rows} - {None} == {k for (k,) in duck.sql("SELECT c_custkey FROM customer").fetchall()}
+    assert {r.o_orderkey for r in rows} - {None} == {k for (k,) in duck.sql("SELECT o_orderkey FROM orders").fetchall()}
+    assert any(r.c_custkey is None for r in rows)
