@@ -34,7 +34,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.compare_with_next(_documents(spark, sf_dir))
+    return simhash.compare_and_search(_documents(spark, sf_dir))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

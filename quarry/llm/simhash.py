@@ -16,9 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, shingle_hashes, text_slices, whole, word_hashes
+from .common import materialize, mix, shingle_hashes, text_slices, whole, word_hashes
 
 BITS, WIDTH = 128, 5
+#: Bits by which texts of similarity 0.8 may differ: 20 on average; unrelated ones differ by 64.
+REACH = 32
 
 #: For each byte, its bits as the eight bytes of a word.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).reshape(-1)
@@ -86,6 +88,69 @@ def near(prints: DataFrame, radius: int = 6, blocks: int = 8, name: str = "finge
     return met.select("a", "b", distance.cast("int").alias("distance")).where(F.col("distance") <= radius).distinct()
 
 
+def _met(own: np.ndarray, asked: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, query and distance of all pairs within the radius; both sides are rows of 64-bit words."""
+    rows, queries, distances = [], [], []
+    for a in range(0, len(own), 128):
+        for b in range(0, len(asked), 2048):
+            apart = sum(np.bitwise_count(own[a : a + 128, None, w] ^ asked[None, b : b + 2048, w]).astype(np.uint16) for w in range(own.shape[1]))
+            row, query = np.nonzero(apart <= radius)
+            rows.append(row + a)
+            queries.append(query + b)
+            distances.append(apart[row, query].astype(np.int64))
+    return np.concatenate(rows), np.concatenate(queries), np.concatenate(distances)
+
+
+def search(prints: DataFrame, queries: DataFrame, radius: int = REACH, key: str = "doc_id", name: str = "fingerprint") -> DataFrame:
+    """What lies within ``radius`` bits of each distinct fingerprint of ``queries``: all of it, with no chance of a miss.
+
+    Gives name, n_same and n_near (rows of ``prints`` of that fingerprint, and of others within the
+    radius), near_distance and near_id (the least distance of another, and the least key there).
+    Tables by exact blocks need more blocks than the radius, so at this reach they leave nothing
+    out; each fingerprint meets each query in numpy instead, and a task sends one row for each query
+    that found something in a batch, however large a group is. The queries' fingerprints go to all
+    workers: 16 bytes each. Work grows with rows times queries.
+    """
+    spark = prints.sparkSession
+    hexes = sorted(r[0] for r in queries.select(F.col(f"`{name}`")).where(F.col(f"`{name}`").isNotNull()).distinct().toLocalIterator())
+    shared = spark.sparkContext.broadcast(hexes)
+
+    def words(made: list[str]) -> np.ndarray:
+        return np.frombuffer(bytes.fromhex("".join(made)), np.uint64).reshape(len(made), -1)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = words(shared.value) if shared.value else None
+        for batch in batches if asked is not None else ():
+            if not len(batch):
+                continue
+            keys = batch.column("_key").fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
+            row, query, distance = _met(words(batch.column("_f").to_pylist()), asked, radius)
+            order = np.lexsort((keys[row], np.where(distance == 0, 1 << 20, distance), query))
+            row, query, distance = row[order], query[order], distance[order]
+            found, first, n = np.unique(query, return_index=True, return_counts=True)
+            same = np.bincount(query[distance == 0], minlength=len(asked))[found]
+            other = distance[first] > 0
+            yield pa.RecordBatch.from_pydict({
+                "_f": pa.array([shared.value[q] for q in found], pa.string()), "n_same": pa.array(same, pa.int64()), "n_near": pa.array(n - same, pa.int64()),
+                "near_distance": pa.array(distance[first].astype(np.int32), mask=~other), "near_id": pa.array(keys[row[first]], pa.int64(), mask=~other | (keys[row[first]] == np.iinfo(np.int64).max)),
+            })
+
+    slim = prints.select(F.col(f"`{key}`").cast("long").alias("_key"), F.col(f"`{name}`").alias("_f")).where("_f is not null")
+    parts = slim.mapInArrow(work, "_f string, n_same long, n_near long, near_distance int, near_id long")
+    least = F.min(F.when(F.col("near_distance").isNotNull(), F.struct("near_distance", F.col("near_id").isNull().alias("_none"), "near_id"))).alias("_least")
+    found = parts.groupBy("_f").agg(F.sum("n_same").alias("n_same"), F.sum("n_near").alias("n_near"), least)
+    return found.select(F.col("_f").alias(name), "n_same", "n_near", "_least.near_distance", "_least.near_id")
+
+
+def compare_and_search(docs: DataFrame, key: str = "doc_id", text: str = "text", every: int = 100, radius: int = REACH) -> DataFrame:
+    """``compare_with_next``, and for keys divisible by ``every`` what ``search`` finds among all documents; nulls for the others."""
+    compared = materialize(compare_with_next(docs, key, text))
+    asks = F.col(f"`{key}`") % every == 0
+    found = search(compared, compared.where(asks), radius, key).withColumnRenamed("fingerprint", "_f")
+    # A row for each query at most.
+    return compared.join(F.broadcast(found), (F.col("fingerprint") == F.col("_f")) & asks, "left").drop("_f")
+
+
 def _edited(batches: Iterator[pa.RecordBatch], bits: int, width: int) -> Iterator[pa.RecordBatch]:
     """Rows come in order; one that is the last of its bucket is followed by a copy of the next bucket's first."""
     before: tuple | None = None

@@ -7,6 +7,7 @@ import itertools
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -131,6 +132,35 @@ def test_simhash_search_finds_all(spark, radius, blocks):
     assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
 
 
+def test_simhash_query_searches_all(spark, tmp_path, empty):
+    """Near copies of similarity 0.8 are found, and exactly those that brute force finds."""
+    from quarry.llm.queries import op5_simhash
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 400)]
+        copy = list(words)
+        for at in rng.choice(80, 9, replace=False) * 5:  # 9 of 400 words: 45 of 396 shingles differ, similarity about 0.8
+            copy[at] = "changed"
+        rows += [(100 * k, " ".join(words)), (100 * k + 1, " ".join(copy))]
+    rows += [(7, rows[0][1]), (None, rows[1][1]), (200, ""), (9, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = op5_simhash(spark, str(tmp_path)).collect()
+    prints = simhash.fingerprints(pa.array([t or "" for _, t in rows]))
+    apart = np.unpackbits(prints[:, None] ^ prints[None], axis=2).sum(axis=2)
+    want = []
+    for k, (key, _) in enumerate(rows):
+        if key is None or key % 100:
+            want.append((key, None, None, None, None))
+            continue
+        near = [(int(apart[k, j]), rows[j][0] is None, rows[j][0]) for j in range(len(rows)) if 0 < apart[k, j] <= simhash.REACH]
+        want.append((key, int((apart[k] == 0).sum()), len(near), *((min(near)[0], min(near)[2]) if near else (None, None))))
+    assert sorted(map(str, ((r.doc_id, r.n_same, r.n_near, r.near_distance, r.near_id) for r in got))) == sorted(map(str, want))
+    assert sum(apart[2 * k, 2 * k + 1] <= simhash.REACH for k in range(60)) == 60
+    assert simhash.compare_and_search(empty).count() == 0
+
+
 def shingles(text, width):
     words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     return frozenset(tuple(words[k : k + width]) for k in range(max(1, len(words) - width + 1))) if words else frozenset()
