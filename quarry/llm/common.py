@@ -17,6 +17,12 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
+#: Keys with more than this part of all rows are joined apart; there are fewer of them than this.
+SHARE = 2000
+
+#: So many rows are no burden on one task, whatever their keys.
+FEW_ROWS = 10_000
+
 #: Bytes of text that one numpy step works on; it bounds a worker's memory.
 SLICE_BYTES = 2 << 20
 
@@ -24,11 +30,14 @@ SLICE_BYTES = 2 << 20
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where that setting is absent (local runs, tests) a temporary folder is set.
+    Only where that setting is absent in a local run (tests) a temporary folder is set; on a cluster
+    its absence is an error, as executors would not see one another's files.
     """
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not base:
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
         base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/quarry/{context.applicationId}/{uuid.uuid4().hex}"
@@ -41,6 +50,24 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def split_join(rows: DataFrame, found: DataFrame, on: list[str], uses: str, total: int, how: str = "inner") -> DataFrame:
+    """Join ``rows`` with ``found``, which has one row for each key and in ``uses`` the number of its rows.
+
+    Keys that over a ``SHARE``-th of the ``total`` rows have, so fewer than ``SHARE`` keys, are
+    joined by broadcast, where no task gets more of them than of others; the rest meets by a
+    shuffle. ``rows`` is read twice, so it should be a scratch table or nearly one; ``found`` is
+    written to one. Few rows are joined plainly. ``how`` is inner or left; the column ``uses``
+    isn't kept.
+    """
+    if total <= FEW_ROWS:
+        return rows.join(found.drop(uses), on, how)
+    found = materialize(found)
+    hot = F.col(uses) * SHARE > total
+    often, seldom = found.where(hot).drop(uses), found.where(~hot).drop(uses)
+    rest = rows.join(F.broadcast(often.select(*on)), on, "left_anti").join(seldom, on, how)
+    return rows.join(F.broadcast(often), on).unionByName(rest)
+
+
 def clean_scratch(spark: SparkSession) -> None:
     """Delete the scratch tables of this application once its results are written."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark).rpartition("/")[0])

@@ -9,9 +9,14 @@ its signature's coordinate-value pairs. Two sets of the wanted similarity agree
 * prefix: with m shared pairs, rarest first, any partner shares one of the first
   m - matches + 1, so only those are merged.
 
-Every class that is left lies under the leaders of its lists. Under a leader, blocks of classes meet
-pairwise in tasks of bounded size, where exact intersections of the full sets decide and only
-links that join something new come out; no pairs are ever rows.
+Every class that is left lies under the leaders of its lists. The merging counts, for two classes
+under one leader, the coordinates that agree; from ``matches`` on, exact intersections of the full
+sets decide. It takes two rounds of tasks of bounded size, and no pairs are ever rows:
+
+* each block of classes under a leader meets itself and the leader, in proportion to the classes.
+  In a family of copies that ends it, since all hang together by their leader;
+* where classes under a leader still lie in different components, those outside the largest one
+  meet all the others, block by block, and only pairs of different components are compared.
 """
 
 from __future__ import annotations
@@ -24,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, shingle_hashes, text_slices, word_hashes
+from .common import materialize, mix, shingle_hashes, split_join, text_slices, word_hashes
 
 
-#: Classes whose texts are picked by broadcast; members of a block; matrix columns at a time.
+#: Classes whose texts are picked by broadcast of 16 bytes each; members of a block; matrix columns at a time.
 BROADCAST_ROWS, BLOCK, COLUMNS = 1 << 18, 512, 1 << 13
 
 
@@ -66,7 +71,7 @@ def _mark(s: np.ndarray, settings: Settings) -> bytes:
 
 
 def signed(docs: DataFrame, key: str, text: str, settings: Settings) -> DataFrame:
-    """_id, _n (distinct shingles), _set (a hash of the set) and _tokens (coordinate-value pairs)."""
+    """_id, _mark (a hash of the text), _n (distinct shingles), _set (a hash of the set) and _tokens (coordinate-value pairs)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         times, plus = _multipliers(settings)
@@ -86,24 +91,30 @@ def signed(docs: DataFrame, key: str, text: str, settings: Settings) -> DataFram
                 tokens.append(mix(least + salt).view(np.int64))
             ends = pa.array(np.cumsum([0, *map(len, tokens)]).astype(np.int32))
             flat = pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.ListArray.from_arrays(ends, flat)], names=["_id", "_n", "_set", "_tokens"])
+            made = [batch.column("_id"), batch.column("_mark"), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.ListArray.from_arrays(ends, flat)]
+            yield pa.RecordBatch.from_arrays(made, names=["_id", "_mark", "_n", "_set", "_tokens"])
 
-    slim = docs.select(F.col(f"`{key}`").cast("long").alias("_id"), F.col(f"`{text}`").alias("_text"))
-    return slim.mapInArrow(work, "_id long, _n long, _set binary, _tokens array<long>")
+    return _texts(docs, key, text).mapInArrow(work, "_id long, _mark long, _n long, _set binary, _tokens array<long>")
+
+
+def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """_id, _mark and _text: key and mark tell a row's text, also where keys repeat."""
+    return docs.select(F.col(f"`{key}`").cast("long").alias("_id"), F.xxhash64(F.col(f"`{text}`")).alias("_mark"), F.col(f"`{text}`").alias("_text"))
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """v and c: each linked vertex and the least vertex of its component.
 
     Large-star and small-star steps by turns: vertices hang on to ever smaller ones until the edges
-    are stars. A vertex's neighbours are never gathered, only their minimum.
+    are stars. A vertex's neighbours are never gathered, only their minimum; vertices of many edges
+    get it by broadcast.
     """
     edges = materialize(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    last = None
+    size, last = edges.count(), None
     while True:
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_uses")).select("u", F.least("u", "m").alias("m"), "_uses")
+        large = split_join(both, least, ["u"], "_uses", 2 * size).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = materialize(large.where("u <> v").distinct())
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         joined = edges.join(least, "u")
@@ -113,27 +124,34 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if now == last:
             stars = edges.select(F.col("u").alias("v"), F.col("v").alias("c"))
             return stars.union(edges.select("v").distinct().select("v", F.col("v").alias("c")))
-        last = now
+        size, last = now[0], now
 
 
 def _shared(each: DataFrame, settings: Settings) -> DataFrame:
-    """_id and shared: a class's (uses, token) pairs that others have too, rarest first; classes with too few are skipped.
+    """_v and shared: a class's (uses, token) pairs that others have too, rarest first; classes with too few are skipped.
 
-    ``each`` has a row (_id, token) for every token of every class.
+    ``each`` has a row (_v, token) for every token of every class.
     """
     counted = each.groupBy("token").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1")
-    gathered = each.join(counted, "token").groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("uses", "token"))).alias("shared"))
+    gathered = each.join(counted, "token").groupBy("_v").agg(F.sort_array(F.collect_list(F.struct("uses", "token"))).alias("shared"))
     return gathered.where(F.size("shared") >= settings.matches)
 
 
-def block_links(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, above: int) -> list[tuple[int, int]]:
-    """Links that span what is linked between the rows ``left`` and ``right``, by exact intersection sizes.
+def agreeing(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many coordinates agree, for each row of ``left`` and of ``right``."""
+    out = np.zeros((len(left), len(right)), np.uint16)
+    for k in range(left.shape[1]):
+        out += left[:, k, None] == right[None, :, k]
+    return out
+
 
-    The sizes are a product of 0/1 matrices over the shingles that occur twice or more, some
-    columns at a time.
+def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the common part of the sets at ``left`` and those at ``right``.
+
+    A product of 0/1 matrices over the shingles that occur twice or more, some columns at a time.
     """
     size = np.array([len(s) for s in sets])
-    values, column, uses = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    _, column, uses = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(sets)), size)
     place = np.cumsum(uses > 1) - 1
     held = uses[column] > 1
@@ -146,8 +164,26 @@ def block_links(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right
         block = np.zeros((len(sets), min(COLUMNS, int(place[-1]) + 1 - at)), np.float32)
         block[row[a:b], column[a:b] - at] = 1
         common += block[left] @ block[right].T
-    both = size[left][:, None] + size[right][None, :] - common
-    x, y = np.nonzero((100 * common >= above * both) & (ids[left][:, None] != ids[right][None, :]))
+    return common
+
+
+def block_links(ids: np.ndarray, group: np.ndarray, texts: pa.Array, tokens: np.ndarray, left: np.ndarray, right: np.ndarray, settings: Settings) -> list[tuple[int, int]]:
+    """Links that span what is linked between the rows ``left`` and ``right`` of different groups.
+
+    Only pairs that agree in ``matches`` coordinates are looked at, and only their texts.
+    """
+    wanted = (agreeing(tokens[left], tokens[right]) >= settings.matches) & (group[left][:, None] != group[right][None, :])
+    rows, columns = np.flatnonzero(wanted.any(axis=1)), np.flatnonzero(wanted.any(axis=0))
+    if not len(rows):
+        return []
+    used, where = np.unique(np.concatenate([left[rows], right[columns]]), return_inverse=True)
+    sets = list(shingle_sets(texts.take(pa.array(used)), settings.width))
+    size = np.array([len(s) for s in sets])
+    x, y = where[: len(rows)], where[len(rows) :]
+    common = intersections(sets, x, y)
+    both = size[x][:, None] + size[y][None, :] - common
+    near = wanted[np.ix_(rows, columns)] & (100 * common >= settings.above * both)
+    a, b = np.nonzero(near)
     root = {int(i): int(i) for i in ids}
 
     def find(v: int) -> int:
@@ -156,49 +192,92 @@ def block_links(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right
             v = root[v]
         return v
 
-    for a, b in zip(ids[left][x].tolist(), ids[right][y].tolist(), strict=True):
-        a, b = find(a), find(b)
-        if a != b:
-            root[max(a, b)] = min(a, b)
+    for i, k in zip(ids[left[rows[a]]].tolist(), ids[right[columns[b]]].tolist(), strict=True):
+        i, k = find(i), find(k)
+        if i != k:
+            root[max(i, k)] = min(i, k)
     return [(v, find(v)) for v in root if find(v) != v]
 
 
-def _block_pair(table: pa.Table, settings: Settings) -> pa.Table:
+def _merge(table: pa.Table, settings: Settings) -> pa.Table:
+    """Links between the rows of side 0 and those of side 1, or between all where there is but one side."""
     table = table.combine_chunks()
-    found = list(shingle_sets(table.column("_text").combine_chunks(), settings.width))
-    # A key that repeats may bring other texts along; only the class's own set counts, once.
-    own = {i: k for k, (i, m) in enumerate(zip(table.column("_id").to_pylist(), table.column("_set").to_pylist(), strict=True)) if len(found[k]) and _mark(found[k], settings) == m}
-    rows = np.array(sorted(own.values()), np.int64)
-    made: list[tuple[int, int]] = []
-    if len(rows) > 1:
-        blocks = table.column("_block").to_numpy()[rows]
-        at = np.arange(len(rows))
-        made = block_links(table.column("_id").to_numpy()[rows], [found[k] for k in rows], at[blocks == blocks.min()], at[blocks == blocks.max()], settings.above)
+    side = table.column("_side").to_numpy()
+    ids, group = table.column("_v").to_numpy(), table.column("_c").to_numpy()
+    flat = table.column("_tokens").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+    left = np.flatnonzero(side == side.min())
+    right = np.flatnonzero(side == side.max())
+    made = block_links(ids, group, table.column("_text").combine_chunks(), flat, left, right, settings)
     return pa.table({"a": pa.array([a for a, _ in made], pa.int64()), "b": pa.array([b for _, b in made], pa.int64())})
 
 
+def _linked(docs: DataFrame, classes: DataFrame, groups: DataFrame, key: str, text: str, settings: Settings) -> DataFrame:
+    """Links found within ``groups`` (hub, _x, _y, _side, _v, _c), each with as many rows as two blocks at most."""
+    groups = materialize(groups.join(classes.select("_v", "_id", "_mark", "_tokens"), "_v"))
+    needed = materialize(groups.select("_id", "_mark").distinct())
+    # The few classes that are left fetch their texts by broadcast while their number is bounded, else by a shuffle.
+    full = _texts(docs, key, text).join(F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed, ["_id", "_mark"])
+    once = full.groupBy("_id", "_mark").agg(F.first("_text").alias("_text"))
+    return groups.join(once, ["_id", "_mark"]).drop("_id", "_mark").groupBy("hub", "_x", "_y").applyInArrow(lambda table: _merge(table, settings), "a long, b long")
+
+
 def links(docs: DataFrame, classes: DataFrame, key: str, text: str, settings: Settings) -> DataFrame:
-    """a and b: links between classes that span the same components as all links do.
+    """v and c: the components of the classes that are linked with others.
 
-    ``classes`` has _id, _set and _tokens.
+    ``classes`` has _v (a number of its own), _id and _mark (of a row whose text it is) and _tokens.
     """
-    shared = materialize(_shared(classes.select("_id", F.explode(F.array_distinct("_tokens")).alias("token")), settings))
+    shared = materialize(_shared(classes.select("_v", F.explode(F.array_distinct("_tokens")).alias("token")), settings))
     # Skipped classes no longer count, so what the living share is told better.
-    shared = _shared(shared.select("_id", F.explode("shared.token").alias("token")), settings)
+    shared = _shared(shared.select("_v", F.explode("shared.token").alias("token")), settings)
     prefix = F.slice("shared", F.lit(1), F.size("shared") - settings.matches + 1)
-    lists = materialize(shared.select("_id", F.size("shared").alias("_m"), F.explode(prefix).alias("p")).select("_id", "_m", "p.token"))
+    lists = materialize(shared.select("_v", F.size("shared").alias("_m"), F.explode(prefix).alias("p")).select("_v", "_m", "p.token"))
     # The class that shares most leads a list; all that share a list lie under its leader.
-    leaders = lists.groupBy("token").agg(F.min_by("_id", F.struct(-F.col("_m"), "_id")).alias("hub"), F.count(F.lit(1)).alias("_in")).where("_in > 1")
-    under = materialize(lists.join(leaders, "token").select("hub", "_id").distinct())
-    sized = under.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
-    dealt = under.join(sized, "hub").withColumn("_block", F.pmod(F.xxhash64("_id"), "_blocks").cast("int"))
-    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    pairs = dealt.select("hub", F.least("_block", "_other").alias("_x"), F.greatest("_block", "_other").alias("_y"), "_block", "_id")
-    pairs = materialize(pairs.join(classes.select("_id", "_set"), "_id"))
-    texts = docs.select(F.col(f"`{key}`").cast("long").alias("_id"), F.col(f"`{text}`").alias("_text"))
-    # The few classes that are left fetch their texts by broadcast while their number is bounded, else by a shuffle.
-    full = texts.join(F.broadcast(pairs) if pairs.count() <= BROADCAST_ROWS else pairs, "_id")
-    return full.select("hub", "_x", "_y", "_block", "_id", "_set", "_text").groupBy("hub", "_x", "_y").applyInArrow(lambda table: _block_pair(table, settings), "a long, b long")
+    leaders = materialize(lists.groupBy("token").agg(F.min_by("_v", F.struct(-F.col("_m"), "_v")).alias("hub"), F.count(F.lit(1)).alias("_in")).where("_in > 1"))
+    under = materialize(split_join(lists.select("_v", "token"), leaders, ["token"], "_in", lists.count()).select("hub", "_v").distinct())
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sized = under.groupBy("hub").agg(F.count(F.lit(1)).alias("_uses"), blocks(F.count(F.lit(1))).alias("_blocks"))
+    dealt = materialize(split_join(under, sized, ["hub"], "_uses", under.count()))
+    own = F.pmod(F.xxhash64("_v"), "_blocks").cast("int")
+    # The leader goes into every block, the others into one.
+    block = F.explode(F.when(F.col("hub") == F.col("_v"), F.sequence(F.lit(0), F.col("_blocks") - 1)).otherwise(F.array(own))).alias("_x")
+    first = dealt.select("hub", block, F.lit(0).alias("_y"), F.lit(0).alias("_side"), "_v", F.col("_v").alias("_c"))
+    found = materialize(_linked(docs, classes, first, key, text, settings))
+    known = materialize(components(found))
+    if dealt.where("_blocks > 1").isEmpty():
+        return known
+    # Under leaders of several blocks: who lies outside the largest component there meets all the others.
+    placed = materialize(dealt.where("_blocks > 1").join(known.withColumnRenamed("v", "_v"), "_v", "left").withColumn("_c", F.coalesce("c", "_v")).drop("c"))
+    parts = placed.groupBy("hub", "_c").agg(F.count(F.lit(1)).alias("_n"))
+    split = parts.groupBy("hub").agg(F.max_by("_c", F.struct("_n", "_c")).alias("_most"), blocks(F.sum("_n") - F.max("_n")).alias("_few"), F.sum("_n").alias("_uses")).where("_few > 0")
+    apart = materialize(split_join(placed, split, ["hub"], "_uses", placed.count()))
+    few = apart.where("_c <> _most").select("hub", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_x"), F.pmod(F.xxhash64("_v"), "_few").cast("int").alias("_y"), F.lit(0).alias("_side"), "_v", "_c")
+    rest = apart.select("hub", own.alias("_x"), F.explode(F.sequence(F.lit(0), F.col("_few") - 1)).alias("_y"), F.lit(1).alias("_side"), "_v", "_c")
+    more = materialize(_linked(docs, classes, few.unionByName(rest), key, text, settings))
+    return known if more.isEmpty() else components(found.union(more))
+
+
+def _placed(docs: DataFrame, key: str, text: str, settings: Settings) -> DataFrame:
+    """_id, _mark and _n of every row; _first, _first_mark: the least row of its component (nulls where it has none).
+
+    Classes are told apart by their sets, so rows that repeat a key each have their own component.
+    """
+    posted = materialize(signed(docs, key, text, settings))
+    members = posted.where("_n > 0 AND _id IS NOT NULL").select("_id", "_mark", "_n", "_set")
+    least = F.min(F.struct("_id", "_mark")).alias("_least")
+    grouped = posted.where("_n > 0 AND _id IS NOT NULL").groupBy("_set").agg(least, F.first("_tokens").alias("_tokens"), F.count(F.lit(1)).alias("_uses"))
+    # Numbers that are written once stay as they are.
+    classes = materialize(grouped.select("_set", "_least._id", "_least._mark", "_tokens", "_uses", F.monotonically_increasing_id().alias("_v")))
+    found = materialize(links(docs, classes, key, text, settings))
+    linked = materialize(found.join(classes.withColumnRenamed("_v", "v").select("v", "_set", "_id", "_mark", "_uses"), "v"))
+    heads = linked.groupBy("c").agg(least, F.count(F.lit(1)).alias("_size")).select("c", "_least", "_size")
+    headed = split_join(linked.select("c", "_set", "_uses"), heads, ["c"], "_size", found.count()).select("_set", "_uses", F.col("_least._id").alias("_first"), F.col("_least._mark").alias("_first_mark"))
+    copies = classes.where("_uses > 1").join(linked.select("_set"), "_set", "left_anti").select("_set", "_uses", F.col("_id").alias("_first"), F.col("_mark").alias("_first_mark"))
+    known = materialize(headed.unionByName(copies))
+    # Classes of one row that are linked with nothing aren't in it.
+    joined = split_join(members, known, ["_set"], "_uses", posted.count(), "left")
+    own = joined.select("_id", "_mark", "_n", F.coalesce("_first", "_id").alias("_first"), F.when(F.col("_first").isNull(), F.col("_mark")).otherwise(F.col("_first_mark")).alias("_first_mark"))
+    none = F.lit(None).cast("long")
+    return own.unionByName(posted.where("_n = 0 OR _id IS NULL").select("_id", "_mark", "_n", none.alias("_first"), none.alias("_first_mark")))
 
 
 def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -206,21 +285,27 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", settings:
 
     component_id is the smallest key reachable over links between shingle sets, its own included;
     kept is true for that document. A text without words has the empty set and links with nothing.
-    Keys are bigints and tell documents apart: rows that repeat a key are judged by their own sets.
-    Null keys stand alone. An empty table gives no rows.
+    Keys are bigints; rows that repeat a key are judged each by its own set. Null keys stand alone.
+    An empty table gives no rows.
     """
-    posted = materialize(signed(docs, key, text, settings))
-    members = posted.where("_n > 0 AND _id IS NOT NULL")
-    classes = members.groupBy("_set").agg(F.min("_id").alias("_id"), F.first("_tokens").alias("_tokens"))
-    found = components(links(docs, classes, key, text, settings))
-    first_of = members.groupBy("_set").agg(F.min("_id").alias("_class"))
-    joined = members.select("_id", "_n", "_set").join(first_of, "_set").join(found.withColumnRenamed("v", "_class"), "_class", "left")
-    alone = posted.where("_n = 0 OR _id IS NULL").select("_id", "_n", F.col("_id").alias("_c"))
-    both = joined.select("_id", "_n", F.coalesce("c", "_class").alias("_c")).union(alone)
-    return both.select(F.col("_id").alias(key), F.col("_n").alias("n_shingles"), F.col("_c").alias("component_id"), F.coalesce(F.col("_id") == F.col("_c"), F.lit(True)).alias("kept"))
+    placed = _placed(docs, key, text, settings)
+    component = F.coalesce("_first", "_id")
+    return placed.select(F.col("_id").alias(key), F.col("_n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("_id") == component, F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """``docs`` without the documents of a group but the one with the smallest key."""
-    gone = cluster(docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")), key, text, settings).where("NOT kept").select(F.col(key).alias("_gone")).distinct()
-    return docs.join(gone, F.col(f"`{key}`").cast("long") == F.col("_gone"), "left_anti")
+    """``docs`` without the rows of a group but the one with the smallest key.
+
+    A row is told by key and text, so of rows that share a key only those of a group go, and of
+    rows with the same key and text one stays. Texts without words and rows of null keys all stay.
+    """
+    placed = materialize(_placed(docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")), key, text, settings).where("_first IS NOT NULL").select("_id", "_mark", "_first", "_first_mark"))
+    stays = (F.col("_id") == F.col("_first")) & (F.col("_mark") == F.col("_first_mark"))
+    gone = placed.where(~stays).select("_id", "_mark").distinct()
+    again = materialize(placed.where(stays).groupBy("_id", "_mark").count().where("count > 1").select("_id", "_mark"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    told = docs.select(F.col(f"`{key}`").cast("long").alias("_id"), F.xxhash64(F.col(f"`{text}`")).alias("_mark"), row)
+    if again.isEmpty():
+        return told.join(gone, ["_id", "_mark"], "left_anti").select("_row.*")
+    single = told.join(gone.union(again), ["_id", "_mark"], "left_anti")
+    return single.union(told.join(again, ["_id", "_mark"], "left_semi").dropDuplicates(["_id", "_mark"])).select("_row.*")

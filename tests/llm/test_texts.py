@@ -182,6 +182,65 @@ def components(rows, width):
     return find
 
 
+def near_dup_rows(rows, width):
+    """Components over rows, whatever keys repeat, by comparing all pairs."""
+    sets = [shingles(t, width) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for (i, x), (k, y) in itertools.combinations(enumerate(sets), 2):
+        if rows[i][0] is not None and rows[k][0] is not None and x and y and 100 * len(x & y) >= 80 * len(x | y):
+            root[max(find(i), find(k))] = min(find(i), find(k))
+    least = {}
+    for i, (k, _) in enumerate(rows):
+        if k is not None:
+            least[find(i)] = min(k, least.get(find(i), k))
+    return [(k, len(sets[i]), None if k is None else least[find(i)], k is None or least[find(i)] == k) for i, (k, _) in enumerate(rows)], [find(i) for i in range(len(rows))]
+
+
+def repeated_keys(seed, n):
+    """Near copies, copies and texts of their own under few keys."""
+    rng = np.random.default_rng(seed)
+    base = [[f"w{x}" for x in rng.integers(0, 900, 120)] for _ in range(6)]
+    rows = []
+    for _ in range(n):
+        words = list(base[rng.integers(0, 6)])
+        for at in rng.integers(0, 120, rng.integers(0, 9)):
+            words[at] = f"x{rng.integers(0, 9)}"
+        rows.append((int(rng.integers(0, 12)), " ".join(words)))
+    return rows + rows[: n // 5]
+
+
+def test_rows_of_one_key_have_their_own_components(spark):
+    a, b = " ".join(f"a{k}" for k in range(100)), " ".join(f"b{k}" for k in range(100))
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y")]
+    got = near_dups.cluster(spark.createDataFrame(rows, "doc_id long, text string"), settings=near_dups.Settings(width=2)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1)]
+
+
+@pytest.mark.parametrize(("seed", "block", "broadcast"), [(2, 8, 0), (3, 4, 1 << 18)])
+def test_repeated_keys_by_brute_force(spark, monkeypatch, seed, block, broadcast):
+    monkeypatch.setattr(near_dups, "BLOCK", block)
+    monkeypatch.setattr(near_dups, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr("quarry.llm.common.FEW_ROWS", broadcast)
+    rows = repeated_keys(seed, 80) + [(k, None if k % 2 else "") for k in range(4)] + [(None, "no key at all"), (None, "no key at all")]
+    want, where = near_dup_rows(rows, 2)
+    table = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, _id int").repartition(3)
+    settings = near_dups.Settings(width=2)
+    got = near_dups.cluster(table, settings=settings).collect()
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want))
+    # One row of each group, with the least key; rows without words or key all stay.
+    kept = near_dups.keep_one(table, settings=settings).collect()
+    grouped = [k for k, (key, t) in enumerate(rows) if key is not None and shingles(t, 2)]
+    assert sorted(where[r._id] for r in kept if r._id in grouped) == sorted({where[k] for k in grouped})
+    assert all(r.doc_id == want[r._id][2] for r in kept if r._id in grouped)
+    assert {r._id for r in kept} >= set(range(len(rows))) - set(grouped)
+
+
 @pytest.mark.parametrize("width", [2, 5])
 def test_near_dups(docs, corpus, empty, width):
     for table in (docs, corpus):
@@ -206,6 +265,7 @@ def test_near_dups_in_a_group_of_many_blocks(spark, monkeypatch):
 
 def test_keep_one(docs, empty):
     kept = near_dups.keep_one(docs)
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 3, 4, 5, 6, 7, None]))
     assert kept.columns == docs.columns and near_dups.keep_one(empty).count() == 0
     assert 9 not in {r.doc_id for r in kept.collect()} and {1, 3, 4, 6, None} <= {r.doc_id for r in kept.collect()}
 
