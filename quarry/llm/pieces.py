@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import mix
+from .tokens import tokenizer_path
 
 #: Segmentations that a Python worker remembers before it starts anew; it bounds memory, not results.
 REMEMBERED = 1_000_000
@@ -43,7 +44,7 @@ class PieceModel:
     def __init__(self, path: str, dropout: float = 0.0, seed: int = 0):
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(path))
         size = sp.get_piece_size()
         plain = [i for i in range(size) if not (sp.is_unknown(i) or sp.is_control(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.ids = {sp.id_to_piece(i): i for i in plain}

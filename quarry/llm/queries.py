@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import mixing, near_dups, packing, pages, pieces, quality, secrets, sharding, simhash, token_counts
-from .tokens import tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,7 +16,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = packing.write(_documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
+    files = packing.write(_documents(spark, sf_dir), "word_bpe_49k.json")
     return packing.read_back(files)
 
 
@@ -38,11 +37,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+    return token_counts.count_tokens(_documents(spark, sf_dir), "byte_bpe_50k.json")
 
 
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode(_documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+    return pieces.encode(_documents(spark, sf_dir), "piece_bpe_32k.model")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

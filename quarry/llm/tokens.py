@@ -15,9 +15,6 @@ REMEMBERED = 1_500_000
 #: Letters, then ASCII marks other than the apostrophe, to the end.
 _MARKED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
 
-#: Where vocabulary files are looked for unless a path is given.
-TOKENIZERS = os.environ.get("QUARRY_TOKENIZERS", "/opt/tokenizers")
-
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -25,20 +22,22 @@ class WordEncoder:
     """Encodes each distinct word once while it is remembered, and texts by looking words up.
 
     Right for tokenizers whose normaliser and pre-tokenizer treat ASCII white space as a border
-    that leaves nothing behind, part letters from marks and ignore the case of A to Z, as that of ``word_bpe_49k.json`` does. Special strings hold no
-    white space and begin with a mark, so the library finds them within words.
+        that leaves nothing behind and ignore the case of A to Z, as that of ``word_bpe_49k.json`` does. Special strings hold no
+    white space and begin with a mark, so the library finds them within words. Where marks follow
+    letters, the library itself is asked whether they are a pre-token of their own.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(tokenizer_path(path))
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.known: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.borders: dict[str, bool] = {}
 
     def encode(self, texts: Iterable[bytes | None]) -> list[np.ndarray]:
         """The ids of each text (UTF-8; None is empty)."""
@@ -51,6 +50,14 @@ class WordEncoder:
         look = self.known.__getitem__
         return [np.frombuffer(b"".join(map(look, words)), self.dtype) for words in split]
 
+    def _ends(self, head: str) -> bool:
+        """Whether marks after ``head`` are a pre-token of their own, which its last normalised character decides."""
+        last = self.tokenizer.normalizer.normalize_str(head)[-1:] if self.tokenizer.normalizer else head[-1:]
+        if last not in self.borders:
+            cut = self.tokenizer.pre_tokenizer.pre_tokenize_str(f"{last}].") if last else []
+            self.borders[last] = bool(cut) and cut[0][1] == (0, len(last))
+        return self.borders[last]
+
     def _learn(self, words: list[bytes]) -> None:
         """Remember words; the marks after a word's letters are pre-tokens of their own, so both are looked up apart."""
         cut = []
@@ -58,6 +65,8 @@ class WordEncoder:
             text = w.decode()
             m = _MARKED(text)
             head, tail = m.groups() if m else (text, "")
+            if tail and not head.isascii() and not self._ends(head):
+                head, tail = text, ""
             cut.append((w, head.lower() if head.isascii() else head, tail))
         fresh = list({p for _, *both in cut for p in both if p not in self.parts})
         for start in range(0, len(fresh), 10_000):
@@ -68,9 +77,13 @@ class WordEncoder:
         self.known.update((w, parts[head] + parts[tail]) for w, head, tail in cut)
 
 
-def tokenizer_path(name: str, folder: str = "") -> str:
-    """The path of a vocabulary file, which every executor has at the same place."""
-    return os.path.join(folder or TOKENIZERS, name)
+def tokenizer_path(name: str) -> str:
+    """The place of a vocabulary file: a bare name is one of the public tokenizers, on whichever machine this runs."""
+    if os.sep in name:
+        return name
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def word_encoder(path: str) -> WordEncoder:

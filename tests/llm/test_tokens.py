@@ -63,6 +63,31 @@ def test_packed_corpus(corpus):
     packed(corpus, [(r[0], r[1]) for r in corpus.select("doc_id", "text").collect()])
 
 
+def fuzzed(seed, n):
+    """Short texts of letters, marks, digits and spaces, of characters with odd cases and of ones newer than the JVM."""
+    rng = np.random.default_rng(seed)
+    odd = [*"İıſßΣςÅéñaAzZ09_.,]'\"!?-–—…½²ⅧⅫ٣日本ǅﬁ", "\u0301", "\u0307", "\u200d", "\u00a0", " ", " ", "\n", "😀", "🫠", "\U0001df25", "\U00010d40", "\u1c89", "\ua7cb", "\U00011f04", "\U0001e030", "'s", "'ll", "'T", "<|endoftext|>", "].", "..."]
+    return ["".join(rng.choice(odd, rng.integers(1, 14))) for _ in range(n)]
+
+
+def test_words_equal_the_library_on_odd_texts():
+    from quarry.llm.tokens import WordEncoder
+
+    texts = ["İ].", *fuzzed(1, 20_000)]
+    got = WordEncoder("word_bpe_49k.json").encode(t.encode() for t in texts)
+    assert [g.tolist() for g in got] == library("word_bpe_49k.json", texts)
+
+
+def test_counts_equal_the_library_on_odd_texts(spark):
+    rows = list(enumerate(fuzzed(2, 20_000)))
+    counted(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), rows)
+
+
+def test_counts_of_long_pre_tokens(spark):
+    rows = [(k, f"{'=' * 500} {'long' * 99} {'=' * (500 + k % 3)}\n") for k in range(50)]
+    counted(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), rows)
+
+
 def test_packed_empty(empty):
     assert packing.read_back(packing.write(empty, tokenizer_path("word_bpe_49k.json"))).count() == 0
 
