@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import mixing, near_dups, pieces, quality, secrets
 from quarry.llm.common import materialize
-from quarry.llm.tokens import tokenizer_path
+
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_pieces, n_bytes and lossless of each document of the mix; copies of one get pieces of their own."""
-    return pieces.encode(docs, tokenizer_path("piece_bpe_32k.model"), copies=True)
+    return pieces.encode(docs, "piece_bpe_32k.model", copies=True)
 
 
 STAGES = [("quality", quality_stage), ("near_dups", near_dup_stage), ("secrets", secret_stage), ("mixing", mixing_stage), ("pieces", piece_stage)]
