@@ -71,30 +71,32 @@ def _mark(s: np.ndarray, settings: Settings) -> bytes:
 
 
 def signed(docs: DataFrame, key: str, text: str, settings: Settings) -> DataFrame:
-    """_id, _mark (a hash of the text), _n (distinct shingles), _set (a hash of the set) and _tokens (coordinate-value pairs)."""
+    """_id, _mark (a hash of the text), _n (distinct shingles), _set (a hash of the set), _tokens (coordinate-value pairs) and _codes (a byte of each)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         times, plus = _multipliers(settings)
         salt = mix(np.arange(1, settings.coordinates + 1, dtype=np.uint64))
         for batch in batches:
-            sizes, marks, tokens = [], [], []
+            sizes, marks, tokens, codes = [], [], [], []
             for s in shingle_sets(batch.column("_text"), settings.width):
                 sizes.append(len(s))
                 if not len(s):
                     marks.append(b"")
                     tokens.append(np.zeros(0, np.int64))
+                    codes.append(b"")
                     continue
                 least = np.full(settings.coordinates, np.iinfo(np.uint64).max, np.uint64)
                 for at in range(0, len(s), 4096):
                     np.minimum(least, (s[at : at + 4096, None] * times + plus).min(axis=0), out=least)
                 marks.append(_mark(s, settings))
                 tokens.append(mix(least + salt).view(np.int64))
+                codes.append(tokens[-1].astype(np.uint8).tobytes())
             ends = pa.array(np.cumsum([0, *map(len, tokens)]).astype(np.int32))
             flat = pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64))
-            made = [batch.column("_id"), batch.column("_mark"), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.ListArray.from_arrays(ends, flat)]
-            yield pa.RecordBatch.from_arrays(made, names=["_id", "_mark", "_n", "_set", "_tokens"])
+            made = [batch.column("_id"), batch.column("_mark"), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.ListArray.from_arrays(ends, flat), pa.array(codes, pa.binary())]
+            yield pa.RecordBatch.from_arrays(made, names=["_id", "_mark", "_n", "_set", "_tokens", "_codes"])
 
-    return _texts(docs, key, text).mapInArrow(work, "_id long, _mark long, _n long, _set binary, _tokens array<long>")
+    return _texts(docs, key, text).mapInArrow(work, "_id long, _mark long, _n long, _set binary, _tokens array<long>, _codes binary")
 
 
 def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -138,7 +140,10 @@ def _shared(each: DataFrame, settings: Settings) -> DataFrame:
 
 
 def agreeing(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """How many coordinates agree, for each row of ``left`` and of ``right``."""
+    """How many coordinates agree, for each row of ``left`` and of ``right``.
+
+    Coordinates are told by a byte, so a few more may seem to agree, and never fewer.
+    """
     out = np.zeros((len(left), len(right)), np.uint16)
     for k in range(left.shape[1]):
         out += left[:, k, None] == right[None, :, k]
@@ -167,12 +172,12 @@ def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
     return common
 
 
-def block_links(ids: np.ndarray, group: np.ndarray, texts: pa.Array, tokens: np.ndarray, left: np.ndarray, right: np.ndarray, settings: Settings) -> list[tuple[int, int]]:
+def block_links(ids: np.ndarray, group: np.ndarray, texts: pa.Array, codes: np.ndarray, left: np.ndarray, right: np.ndarray, settings: Settings) -> list[tuple[int, int]]:
     """Links that span what is linked between the rows ``left`` and ``right`` of different groups.
 
     Only pairs that agree in ``matches`` coordinates are looked at, and only their texts.
     """
-    wanted = (agreeing(tokens[left], tokens[right]) >= settings.matches) & (group[left][:, None] != group[right][None, :])
+    wanted = (agreeing(codes[left], codes[right]) >= settings.matches) & (group[left][:, None] != group[right][None, :])
     rows, columns = np.flatnonzero(wanted.any(axis=1)), np.flatnonzero(wanted.any(axis=0))
     if not len(rows):
         return []
@@ -204,16 +209,16 @@ def _merge(table: pa.Table, settings: Settings) -> pa.Table:
     table = table.combine_chunks()
     side = table.column("_side").to_numpy()
     ids, group = table.column("_v").to_numpy(), table.column("_c").to_numpy()
-    flat = table.column("_tokens").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+    codes = np.frombuffer(b"".join(table.column("_codes").to_pylist()), np.uint8).reshape(len(ids), -1)
     left = np.flatnonzero(side == side.min())
     right = np.flatnonzero(side == side.max())
-    made = block_links(ids, group, table.column("_text").combine_chunks(), flat, left, right, settings)
+    made = block_links(ids, group, table.column("_text").combine_chunks(), codes, left, right, settings)
     return pa.table({"a": pa.array([a for a, _ in made], pa.int64()), "b": pa.array([b for _, b in made], pa.int64())})
 
 
 def _linked(docs: DataFrame, classes: DataFrame, groups: DataFrame, key: str, text: str, settings: Settings) -> DataFrame:
     """Links found within ``groups`` (hub, _x, _y, _side, _v, _c), each with as many rows as two blocks at most."""
-    groups = materialize(groups.join(classes.select("_v", "_id", "_mark", "_tokens"), "_v"))
+    groups = materialize(groups.join(classes.select("_v", "_id", "_mark", "_codes"), "_v"))
     needed = materialize(groups.select("_id", "_mark").distinct())
     # The few classes that are left fetch their texts by broadcast while their number is bounded, else by a shuffle.
     full = _texts(docs, key, text).join(F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed, ["_id", "_mark"])
@@ -224,7 +229,7 @@ def _linked(docs: DataFrame, classes: DataFrame, groups: DataFrame, key: str, te
 def links(docs: DataFrame, classes: DataFrame, key: str, text: str, settings: Settings) -> DataFrame:
     """v and c: the components of the classes that are linked with others.
 
-    ``classes`` has _v (a number of its own), _id and _mark (of a row whose text it is) and _tokens.
+    ``classes`` has _v (a number of its own), _id and _mark (of a row whose text it is), _tokens and _codes.
     """
     shared = materialize(_shared(classes.select("_v", F.explode(F.array_distinct("_tokens")).alias("token")), settings))
     # Skipped classes no longer count, so what the living share is told better.
@@ -264,9 +269,9 @@ def _placed(docs: DataFrame, key: str, text: str, settings: Settings) -> DataFra
     posted = materialize(signed(docs, key, text, settings))
     members = posted.where("_n > 0 AND _id IS NOT NULL").select("_id", "_mark", "_n", "_set")
     least = F.min(F.struct("_id", "_mark")).alias("_least")
-    grouped = posted.where("_n > 0 AND _id IS NOT NULL").groupBy("_set").agg(least, F.first("_tokens").alias("_tokens"), F.count(F.lit(1)).alias("_uses"))
+    grouped = posted.where("_n > 0 AND _id IS NOT NULL").groupBy("_set").agg(least, F.first("_tokens").alias("_tokens"), F.first("_codes").alias("_codes"), F.count(F.lit(1)).alias("_uses"))
     # Numbers that are written once stay as they are.
-    classes = materialize(grouped.select("_set", "_least._id", "_least._mark", "_tokens", "_uses", F.monotonically_increasing_id().alias("_v")))
+    classes = materialize(grouped.select("_set", "_least._id", "_least._mark", "_tokens", "_codes", "_uses", F.monotonically_increasing_id().alias("_v")))
     found = materialize(links(docs, classes, key, text, settings))
     linked = materialize(found.join(classes.withColumnRenamed("_v", "v").select("v", "_set", "_id", "_mark", "_uses"), "v"))
     heads = linked.groupBy("c").agg(least, F.count(F.lit(1)).alias("_size")).select("c", "_least", "_size")
