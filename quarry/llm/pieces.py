@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix
+from .common import mix, text_slices
 from .tokens import tokenizer_path
 
 #: Segmentations that a Python worker remembers before it starts anew; it bounds memory, not results.
 REMEMBERED = 1_000_000
-#: Units of more merges than this are remembered only without skips: with them they hardly come again.
+#: Units of more merges than this (below 64) are remembered only without skips: with them they hardly come again.
 LONG = 48
 #: Up to so many characters a scan of the possible merges is faster than an agenda.
 SHORT = 40
@@ -64,10 +64,20 @@ class PieceModel:
         self.dropout, self.seed = dropout, seed
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.costs = {p: -score for p, score in self.scores.items()}
-        # By unit: merges that come up, ids, and by the merge that is skipped first the same of the rest. No draw is in
-        # it. A unit that came once, with a skip, has an empty list.
-        self.known: dict[str, list] = {}
-        self.remembered = 0
+        self.library = sp
+        self._forget()
+
+    def _forget(self) -> None:
+        """Start anew with what is remembered: segmentations by number, in which no draw is.
+
+        Each has the merges that come up after its last skip, its ids, its unit, and the number and
+        the place of that skip that led to it; ``below`` goes from these to the number.
+        """
+        self.known: dict[str, int] = {}
+        self.steps = np.zeros(1 << 12, np.int64)
+        self.made: list[bytes] = []
+        self.came: list[tuple[str, int, int]] = []
+        self.below: dict[int, int] = {}
 
     def segment(self, unit: str, gaps: Iterable[int] = ()) -> tuple[list[int], int, int]:
         """Ids of one unit, how many merges came up after the last skip, and the number of skips.
@@ -135,74 +145,87 @@ class PieceModel:
                         heapq.heappush(agenda, (-scores[new], a, b, new))
         return steps, skips
 
-    def gaps(self, stream: int, places: np.ndarray, skips: int | np.ndarray) -> list[int]:
+    def gaps(self, stream: int | np.ndarray, places: np.ndarray, skips: int | np.ndarray) -> np.ndarray:
         """The draws of units at ``places``: how many merges come up before the next skip, after so many skips."""
         if self.dropout <= 0 or self.dropout >= 1:
-            return [NEVER if self.dropout <= 0 else 0] * np.broadcast(places, skips).size
-        key = np.uint64((self.seed * 0xD6E8FEB86659FD93 + stream * 0xC2B2AE3D27D4EB4F) & _MASK)
+            return np.full(np.broadcast(places, skips).size, NEVER if self.dropout <= 0 else 0)
+        key = np.uint64(self.seed * 0xD6E8FEB86659FD93 & _MASK) + np.asarray(stream).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
         h = mix(mix(key + places.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + np.asarray(skips).astype(np.uint64) * np.uint64(0xFF51AFD7ED558CCD))
         share = (h >> np.uint64(11)).astype(np.float64) / (1 << 53)
-        return np.minimum(np.log1p(-share) / math.log1p(-self.dropout), NEVER).astype(np.int64).tolist()
-
-    def _count(self) -> None:
-        if self.remembered >= REMEMBERED:
-            self.known.clear()
-            self.remembered = 0
-        self.remembered += 1
-
-    def _remember(self, unit: str, gaps: list[int]) -> list:
-        self._count()
-        ids, steps, _ = self.segment(unit, gaps)
-        return [steps, np.array(ids, self.dtype).tobytes(), None]
-
-    def _draws(self, stream: int, place: int, first: tuple[int, ...] = ()) -> Iterator[int]:
-        """All draws of the unit at ``place``, of which the ``first`` are known."""
-        yield from first
-        for k in itertools.count(len(first), 16):
-            yield from self.gaps(stream, np.array([place]), np.arange(k, k + 16))
+        return np.minimum(np.log1p(-share) / math.log1p(-self.dropout), NEVER).astype(np.int64)
+
+    def _remember(self, unit: str, parent: int, gap: int, ids: list[int], steps: int) -> int:
+        at = len(self.made)
+        if at == len(self.steps):
+            self.steps = np.concatenate([self.steps, np.zeros_like(self.steps)])
+        self.steps[at] = steps
+        self.made.append(np.array(ids, self.dtype).tobytes())
+        self.came.append((unit, parent, gap))
+        return at
+
+    def _learn(self, units: Iterable[str]) -> None:
+        """Remember units without skips: words by the library, whose merges are as many as it joins letters, others here."""
+        units = list(units)
+        words = [u for u in units if u[0] == " " and u[1:2] not in ("", " ") and SPACE not in u]
+        least, most = min(self.byte_ids.values()), max(self.byte_ids.values())
+        for unit, ids in zip(words, self.library.encode([u[1:] for u in words], num_threads=1), strict=True):
+            if not any(least <= i <= most for i in ids):
+                self.known[unit] = self._remember(unit, -1, 0, ids, len(unit) - len(ids))
+        for unit in units:
+            if unit not in self.known:
+                ids, steps, _ = self.segment(unit)
+                self.known[unit] = self._remember(unit, -1, 0, ids, steps)
+
+    def _after(self, number: int, gap: int) -> int:
+        """The segmentation of the same unit and skips, and one more skip after ``gap`` merges."""
+        key = number << 6 | gap
+        if key not in self.below:
+            gaps, at = [gap], number
+            while self.came[at][1] >= 0:
+                gaps.append(self.came[at][2])
+                at = self.came[at][1]
+            ids, steps, _ = self.segment(self.came[number][0], reversed(gaps))
+            self.below[key] = self._remember(self.came[number][0], number, gap, ids, steps)
+        return self.below[key]
+
+    def _draws(self, stream: int, place: int) -> Iterator[int]:
+        """All draws of the unit at ``place``."""
+        for k in itertools.count(0, 16):
+            yield from self.gaps(np.array([stream]), np.array([place]), np.arange(k, k + 16)).tolist()
 
     def encode(self, text: str, stream: int = 0) -> np.ndarray:
         """Ids of a whole text, with the model's leading space; an empty text has none. Each ``stream`` has draws of its own."""
-        if not text:
-            return np.zeros(0, self.dtype)
-        known, out, later = self.known, [], []
-        units = self.units(" " + text)
-        places = np.arange(len(units))
-        for unit, gap, second, third in zip(units, *(self.gaps(stream, places, k) for k in range(3)), strict=True):
-            node = known.get(unit)
-            if node is None:
-                # A unit may never come again: it is segmented by its draws at once.
-                self._count()
-                ids, steps, skips = self.segment(unit, self._draws(stream, len(out), (gap, second, third)))
-                made = np.array(ids, self.dtype).tobytes()
-                known[unit] = [] if skips else [steps, made, None]
-                out.append(made)
-                continue
-            if not node:
-                node = known[unit] = self._remember(unit, [])
-            if gap >= node[0]:
-                out.append(node[1])
-            else:
-                later.append((len(out), node, [gap]))
-                out.append(b"")
-        while later:
-            again = []
-            drawn = self.gaps(stream, np.array([place for place, _, _ in later]), len(later[0][2]))
-            for (place, node, gaps), gap in zip(later, drawn, strict=True):
-                if node[0] > LONG:
-                    out[place] = np.array(self.segment(units[place], self._draws(stream, place))[0], self.dtype).tobytes()
-                    continue
-                if node[2] is None:
-                    node[2] = {}
-                below = node[2].get(gaps[-1])
-                if below is None:
-                    below = node[2][gaps[-1]] = self._remember(units[place], gaps)
-                if gap >= below[0]:
-                    out[place] = below[1]
-                else:
-                    again.append((place, below, [*gaps, gap]))
-            later = again
-        return np.frombuffer(b"".join(out), self.dtype)
+        return self.encode_all([text], [stream])[0]
+
+    def encode_all(self, texts: list[str], streams: list[int]) -> list[np.ndarray]:
+        """``encode`` of each text with its stream; each step takes the units of all texts at once."""
+        if len(self.made) >= REMEMBERED:
+            self._forget()
+        split = [self.units(" " + t) if t else [] for t in texts]
+        flat = list(itertools.chain.from_iterable(split))
+        counts = np.array([len(units) for units in split], np.int64)
+        ends = np.cumsum(counts)
+        self._learn(set(flat).difference(self.known))
+        at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        stream = np.repeat(np.array(streams, np.int64).view(np.uint64), counts)
+        place = np.arange(len(flat)) - np.repeat(ends - counts, counts)
+        open_, own = np.arange(len(flat)), {}
+        for skips in itertools.count():
+            gap = self.gaps(stream[open_], place[open_], skips)
+            merges = self.steps[at[open_]]
+            long = (merges > LONG) & (gap < merges)
+            for k in open_[long].tolist():
+                own[k] = np.array(self.segment(flat[k], self._draws(stream[k], place[k]))[0], self.dtype).tobytes()
+            more = (gap < merges) & ~long
+            open_, gap = open_[more], gap[more]
+            if not len(open_):
+                break
+            keys, which = np.unique(at[open_] << 6 | gap, return_inverse=True)
+            at[open_] = np.array([self._after(k >> 6, k & 63) for k in keys.tolist()], np.int64)[which]
+        out = list(map(self.made.__getitem__, at.tolist()))
+        for k, ids in own.items():
+            out[k] = ids
+        return [np.frombuffer(b"".join(out[a:b]), self.dtype) for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text that ``encode`` got, whatever merges were skipped."""
@@ -232,10 +255,12 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = model(path, dropout, seed)
         for whole in batches:
-            for at in range(0, len(whole), 500):
-                batch = whole.slice(at, 500)
+            at = 0
+            for _, _, bounds in text_slices(whole.column("_text")):
+                batch = whole.slice(at, len(bounds) - 1)
+                at += len(batch)
                 texts = [t or "" for t in batch.column("_text").to_pylist()]
-                made = [pieces.encode(t, x) for t, x in zip(texts, batch.column("_stream").to_pylist(), strict=True)]
+                made = pieces.encode_all(texts, batch.column("_stream").to_pylist())
                 ends = np.cumsum([0, *map(len, made)]).astype(np.int32)
                 flat = np.concatenate(made).astype(np.int32)
                 same = [pieces.decode(ids) == t for ids, t in zip(made, texts, strict=True)]
