@@ -64,8 +64,41 @@ def brute(sizes, weights=(5, 2, 1)):
 
 
 @pytest.mark.parametrize("sizes", [{"a": 10, "b": 20, "c": 30}, {"a": 1, "b": 1000, None: 5}, {"x": 7}, {"a": 0, "b": 4}, {f"s{k}": (k * 37) % 101 for k in range(20)}])
-def test_targets(sizes):
-    assert mixing.targets(sizes) == pytest.approx(brute(sizes), rel=1e-6, abs=1e-6)
+def test_targets(spark, sizes):
+    table = spark.createDataFrame(list(sizes.items()), "_source string, source_size long").repartition(3)
+    assert {r["_source"]: r["target"] for r in mixing.targets(table).collect()} == pytest.approx(brute(sizes), rel=1e-6, abs=1e-6)
+
+
+def test_ranks(spark):
+    values = [None, *(f"{k * 7919 % 500:03d}é" for k in range(500))]
+    got = {r.v: r.place for r in mixing.ranked(spark.createDataFrame([(v,) for v in values], "v string").repartition(5), "v", "place").collect()}
+    assert got == {v: k for k, v in enumerate(sorted(values[1:]) + [None])}
+
+
+def test_many_sources(spark):
+    """200,000 sources of one document each, and targets by plain arithmetic."""
+    import time
+
+    start = time.perf_counter()
+    docs = spark.range(200_000).selectExpr("id AS doc_id", "trim(repeat('w ', int(id % 7) + 1)) AS text", "lpad(id, 7, '0') AS source")
+    rows = {r.doc_id: r for r in mixing.mix(docs).collect()}
+    assert time.perf_counter() - start < 90
+    sizes = {f"{k:07d}": k % 7 + 1 for k in range(200_000)}
+    want = brute(sizes)
+    assert all(abs(r.target - want[f"{k:07d}"]) < 1e-6 and r.taken in (0, r["size"], 2 * r["size"]) and abs(r.taken - r.target) <= r["size"] / 2 + 1 for k, r in rows.items())
+    assert len(rows) == 200_000
+
+
+def test_flow_of_many_patterns():
+    import random
+    import time
+
+    rng = random.Random(4)
+    capacity = {f"p{k}": rng.randrange(1, 50) for k in range(20_000)}
+    members = {p: rng.sample([f"s{k}" for k in range(300)], 3) for p in capacity}
+    start = time.perf_counter()
+    flow = mixing.min_cost_flow(capacity, members, {f"s{k}": 2_000 for k in range(300)})
+    assert time.perf_counter() - start < 60 and sum(flow.values()) == min(600_000, 2 * sum(capacity.values()))
 
 
 def test_flow_prefers_first_uses():
@@ -118,6 +151,21 @@ def test_mix_of_overlapping_sources(spark):
     assert out.count() == 20 and all(r.taken % 10 == 0 and r.taken <= 20 for r in out.collect())
 
 
+def test_apply_mix_tells_rows_of_one_key(spark):
+    """Key 1 has texts of its own, no text and equal rows; each is taken by its own decision."""
+    rows = [(1, "one two three", "a", 1), (1, "", "a", 2), (1, None, "a", 3), (1, "one two three", "b", 4)] + [(2, "same words here", "a", 5 + k) for k in range(9)] + [(k, f"text number {k}", "ab"[k % 2], 20 + k) for k in range(3, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _row int").repartition(3)
+    want = Counter()
+    for r in mixing._mixed(docs, "doc_id", "text", "source", None, (5, 2, 1), (3, 2), 2, 29, 4096).collect():
+        want[r._key, r._source, r["size"]] += r._times
+    out = mixing.apply_mix(docs).collect()
+    assert all(r.text for r in out)
+    got = Counter((r.doc_id, r.source, len(r.text.split())) for r in out)
+    assert got == +Counter({k: v for k, v in want.items() if k[2]})
+    each = Counter(r._row for r in out if r.doc_id == 2)
+    assert max(each.values()) <= 2 and max(each.values()) - min(each.get(5 + k, 0) for k in range(9)) <= 1
+
+
 def test_apply_mix(docs, empty):
     want = Counter()
     for r in mixing.mix(docs).collect():
