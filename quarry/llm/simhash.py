@@ -11,17 +11,21 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, mix, shingle_hashes, text_slices, whole, word_hashes
+from .common import materialize, mix, shingle_hashes, split_join, text_slices, whole, word_hashes
 
 BITS, WIDTH = 128, 5
 #: Bits by which texts of similarity 0.8 may differ: 20 on average; unrelated ones differ by 64.
 REACH = 32
 
+#: Table keys of queries, or queries, that are broadcast.
+BROADCAST_KEYS = 1 << 20
+
 #: For each byte, its bits as the eight bytes of a word.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).reshape(-1)
 
@@ -64,41 +68,83 @@ def fingerprint(docs: DataFrame, text: str = "text", name: str = "fingerprint",
     return kept.mapInArrow(work, T.StructType([*kept.schema.fields, T.StructField(name, T.StringType())]))
 
 
-def near(prints: DataFrame, radius: int = 6, blocks: int = 8, name: str = "fingerprint", bits: int = BITS) -> DataFrame:
-    """All pairs of distinct fingerprints within ``radius`` bits: a, b (a < b) and distance.
+def _first_tables(apart: np.ndarray, blocks: int, need: int) -> np.ndarray:
+    """For pairs, by their differing bits (rows of bytes), the first of the tables in which they meet; -1 if in none."""
+    agree = ~apart.reshape(len(apart), blocks, -1).any(axis=2)
+    chosen = agree & (np.cumsum(agree, axis=1) <= need)
+    codes = chosen @ (1 << np.arange(blocks))
+    table = np.full(1 << blocks, -1, np.int64)
+    for t, c in enumerate(itertools.combinations(range(blocks), need)):
+        table[sum(1 << k for k in c)] = t
+    return table[codes]
+
+
+def near(prints: DataFrame, queries: DataFrame, radius: int = 6, blocks: int = 8, key: str = "doc_id", name: str = "fingerprint", bits: int = BITS, members: int = 4096, asked: int = 1024) -> DataFrame:
+    """What lies within ``radius`` bits of each distinct fingerprint of ``queries``, by permuted block tables: all of it.
 
     The bits are cut into ``blocks``; at least blocks - radius of them agree in such a pair, so a
-    table for each choice of that many blocks, keyed by their bits, brings every pair together.
-    Copies are no pairs: one row stands for each distinct fingerprint, and members join by it. The
-    empty fingerprint of texts without words takes part like any other; nulls do not.
+    table for each choice of that many blocks, keyed by their bits, brings every pair together. A
+    pair counts in the first table in which it meets. Gives name, n_other (other fingerprints
+    within the radius), n_rows (rows of ``prints`` that have these), other_distance and other_id
+    (the least distance, and the least key there); fingerprints that find none are left out. A key
+    of a table with more than ``members`` fingerprints or ``asked`` queries is dealt over several
+    tasks, and each sends one row for each query. Nulls take no part; copies are one fingerprint.
     """
     if blocks <= radius:
         raise ValueError("there must be more blocks than the radius")
     size = bits // 4 // blocks
-    if size * blocks * 4 != bits:
-        raise ValueError("blocks must cut the hex digits evenly")
-    distinct = prints.select(F.col(f"`{name}`").alias("_f")).where("_f is not null").distinct()
+    if size * blocks * 4 != bits or size % 2:
+        raise ValueError("blocks must cut the bytes evenly")
+    need = blocks - radius
     part = lambda k: F.substring("_f", k * size + 1, size)
-    tables = [F.concat(F.lit(f"{t}:"), *[part(k) for k in chosen]) for t, chosen in enumerate(itertools.combinations(range(blocks), blocks - radius))]
-    rows = distinct.select("_f", F.explode(F.array(*tables)).alias("_key"))
-    lanes = [(k, min(16, bits // 4 - k)) for k in range(0, bits // 4, 16)]
-    word = lambda c, k, n: F.conv(F.substring(c, k + 1, n // 2), 16, 10).cast("long") * F.lit(1 << 4 * (n - n // 2)) + F.conv(F.substring(c, k + 1 + n // 2, n - n // 2), 16, 10).cast("long") if n < 16 else F.shiftleft(F.conv(F.substring(c, k + 1, 8), 16, 10).cast("long"), 32).bitwiseOR(F.conv(F.substring(c, k + 9, 8), 16, 10).cast("long"))
-    distance = sum((F.bit_count(word("a", k, n).bitwiseXOR(word("b", k, n))) for k, n in lanes[1:]), F.bit_count(word("a", *lanes[0]).bitwiseXOR(word("b", *lanes[0]))))
-    met = rows.select("_key", F.col("_f").alias("a")).join(rows.select("_key", F.col("_f").alias("b")), "_key").where("a < b")
-    return met.select("a", "b", distance.cast("int").alias("distance")).where(F.col("distance") <= radius).distinct()
-
-
-def _met(own: np.ndarray, asked: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, query and distance of all pairs within the radius; both sides are rows of 64-bit words."""
-    rows, queries, distances = [], [], []
+    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), *[part(k) for k in chosen]).alias("key")) for t, chosen in enumerate(itertools.combinations(range(blocks), need))])
+    told = prints.select(F.col(f"`{name}`").alias("_f"), F.col(f"`{key}`").cast("long").alias("_id")).where("_f is not null")
+    distinct = materialize(told.groupBy("_f").agg(F.count(F.lit(1)).alias("_rows"), F.min("_id").alias("_id")))
+    asks = materialize(queries.select(F.col(f"`{name}`").alias("_f")).where("_f is not null").distinct())
+    posted = materialize(asks.select("_f", F.explode(tables).alias("_t")).select("_f", "_t.t", "_t.key"))
+    keys = posted.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / asked).cast("int").alias("_asked"))
+    few = posted.count() <= BROADCAST_KEYS
+    held = materialize(distinct.select("*", F.explode(tables).alias("_t")).select("_f", "_rows", "_id", "_t.t", "_t.key").join(F.broadcast(keys) if few else keys, "key"))
+    parts = held.groupBy("key", "_asked").agg(F.ceil(F.count(F.lit(1)) / members).cast("int").alias("_parts"), F.count(F.lit(1)).alias("_uses"))
+    place = lambda n: F.pmod(F.xxhash64("_f"), n).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    sized = split_join(held, parts.drop("_asked"), ["key"], "_uses", held.count())
+    own = sized.select("key", "t", place("_parts").alias("_x"), all_of("_asked").alias("_y"), "_f", "_rows", "_id")
+    ask = posted.join(parts, "key").select("key", "t", all_of("_parts").alias("_x"), place("_asked").alias("_y"), "_f", F.lit(None).cast("long").alias("_rows"), F.lit(None).cast("long").alias("_id"))
+
+    def meet(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        f, rows, ids = group.column("_f").to_pylist(), group.column("_rows").to_pylist(), group.column("_id").to_pylist()
+        t = group.column("t").to_numpy()
+        asking, having = [k for k, r in enumerate(rows) if r is None], [k for k, r in enumerate(rows) if r is not None]
+        bytes_of = lambda at: np.frombuffer(bytes.fromhex("".join(f[k] for k in at)), np.uint8).reshape(len(at), bits // 8)
+        left, right = bytes_of(having), bytes_of(asking)
+        found = [(0, 0, bits, None)] * len(asking)
+        for row, query, distance in _met(left.view(np.uint64), right.view(np.uint64), radius):
+            first = _first_tables(left[row] ^ right[query], blocks, need)
+            good = (distance > 0) & (first == t[np.array(asking)[query]]) & (first == t[np.array(having)[row]])
+            for r, q, d in zip(row[good].tolist(), query[good].tolist(), distance[good].tolist(), strict=True):
+                n, m, least, at = found[q]
+                i = ids[having[r]]
+                if d < least or d == least and i is not None and (at is None or i < at):
+                    least, at = d, i
+                found[q] = (n + 1, m + rows[having[r]], least, at)
+        some = [q for q, x in enumerate(found) if x[0]]
+        return pa.table({"_f": pa.array([f[asking[q]] for q in some], pa.string()), "n": pa.array([found[q][0] for q in some], pa.int64()), "m": pa.array([found[q][1] for q in some], pa.int64()), "d": pa.array([found[q][2] for q in some], pa.int32()), "i": pa.array([found[q][3] for q in some], pa.int64())})
+
+    met = own.unionByName(ask).groupBy("key", "_x", "_y").applyInArrow(meet, "_f string, n long, m long, d int, i long")
+    least = F.min(F.struct("d", F.col("i").isNull().alias("_none"), "i")).alias("_least")
+    return met.groupBy("_f").agg(F.sum("n").alias("n_other"), F.sum("m").alias("n_rows"), least).select(F.col("_f").alias(name), "n_other", "n_rows", F.col("_least.d").alias("other_distance"), F.col("_least.i").alias("other_id"))
+
+
+def _met(own: np.ndarray, asked: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row, query and distance of all pairs within the radius, some at a time; both sides are rows of 64-bit words."""
     for a in range(0, len(own), 128):
         for b in range(0, len(asked), 2048):
             apart = sum(np.bitwise_count(own[a : a + 128, None, w] ^ asked[None, b : b + 2048, w]).astype(np.uint16) for w in range(own.shape[1]))
             row, query = np.nonzero(apart <= radius)
-            rows.append(row + a)
-            queries.append(query + b)
-            distances.append(apart[row, query].astype(np.int64))
-    return np.concatenate(rows), np.concatenate(queries), np.concatenate(distances)
+            if len(row):
+                yield row + a, query + b, apart[row, query].astype(np.int64)
 
 
 def search(prints: DataFrame, queries: DataFrame, radius: int = REACH, key: str = "doc_id", name: str = "fingerprint") -> DataFrame:
@@ -124,7 +170,10 @@ def search(prints: DataFrame, queries: DataFrame, radius: int = REACH, key: str
             if not len(batch):
                 continue
             keys = batch.column("_key").fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
-            row, query, distance = _met(words(batch.column("_f").to_pylist()), asked, radius)
+            found = list(_met(words(batch.column("_f").to_pylist()), asked, radius))
+            if not found:
+                continue
+            row, query, distance = map(np.concatenate, zip(*found, strict=True))
             order = np.lexsort((keys[row], np.where(distance == 0, 1 << 20, distance), query))
             row, query, distance = row[order], query[order], distance[order]
             found, first, n = np.unique(query, return_index=True, return_counts=True)
@@ -143,12 +192,18 @@ def search(prints: DataFrame, queries: DataFrame, radius: int = REACH, key: str
 
 
 def compare_and_search(docs: DataFrame, key: str = "doc_id", text: str = "text", every: int = 100, radius: int = REACH) -> DataFrame:
-    """``compare_with_next``, and for keys divisible by ``every`` what ``search`` finds among all documents; nulls for the others."""
+    """``compare_with_next``, and for keys divisible by ``every`` what is near them among all documents; nulls for the others.
+
+    ``near`` finds by tables what lies within its radius, ``search`` by comparison what lies
+    within ``radius``, which tables can't reach.
+    """
     compared = materialize(compare_with_next(docs, key, text))
     asks = F.col(f"`{key}`") % every == 0
-    found = search(compared, compared.where(asks), radius, key).withColumnRenamed("fingerprint", "_f")
     # A row for each query at most.
-    return compared.join(F.broadcast(found), (F.col("fingerprint") == F.col("_f")) & asks, "left").drop("_f")
+    far = search(compared, compared.where(asks), radius, key)
+    close = near(compared, compared.where(asks), key=key).select("fingerprint", "n_other")
+    found = far.join(close, "fingerprint", "left").select(F.col("fingerprint").alias("_f"), "n_same", "n_near", "near_distance", "near_id", F.coalesce("n_other", F.lit(0)).alias("n_close"))
+    return compared.join(F.broadcast(found) if found.count() <= BROADCAST_KEYS else found, (F.col("fingerprint") == F.col("_f")) & asks, "left").drop("_f")
 
 
 def _edited(batches: Iterator[pa.RecordBatch], bits: int, width: int) -> Iterator[pa.RecordBatch]:
@@ -190,10 +245,15 @@ def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     slim = docs.select(F.col(f"`{key}`").cast("long").alias("_key"), whole(text).alias("_text"))
-    wanted = 8 * parts
-    cuts = sorted(set(slim.where("_key is not null").approxQuantile("_key", [k / wanted for k in range(1, wanted)], 0.2 / wanted)))
-    bucket = F.coalesce(F.size(F.filter(F.array(*[F.lit(int(c)) for c in cuts]).cast("array<bigint>"), lambda c: c <= F.col("_key"))) + 1, F.lit(0)) if cuts else F.when(F.col("_key").isNull(), 0).otherwise(1)
-    bucket = F.when(F.col("_key").isNull(), 0).otherwise(bucket)
+    cuts = sorted(set(slim.where("_key is not null").approxQuantile("_key", [k / (8 * parts) for k in range(1, 8 * parts)], 0.2 / (8 * parts))))
+    # The bucket is found by bisection in one constant, whatever the number of cuts.
+    bounds = np.array(cuts, np.int64)
+
+    @F.pandas_udf("int")
+    def place(keys: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, keys.to_numpy(), "right").astype(np.int32) + 1)
+
+    bucket = F.when(F.col("_key").isNull(), 0).otherwise(place(F.coalesce("_key", F.lit(0))))
     cut = slim.withColumn("_bucket", bucket.cast("int"))
     # As many rows as there are buckets: the first key of each, then its text, then who needs it.
     firsts = cut.groupBy("_bucket").agg(F.min("_key").alias("_first")).withColumnRenamed("_bucket", "_b")

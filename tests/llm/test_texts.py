@@ -119,17 +119,47 @@ def test_simhash_of_one_document(spark):
     assert row.edited_sha256 == hashlib.sha256(b"a b c a").hexdigest()
 
 
-@pytest.mark.parametrize(("radius", "blocks"), [(3, 4), (6, 8)])
-def test_simhash_search_finds_all(spark, radius, blocks):
+def plain_fingerprint(text):
+    """Votes of the shingles' own hashes, bit by bit, in plain Python."""
+    from quarry.llm.common import mix, shingle_hashes, word_hashes
+
+    data = np.frombuffer((text or "").encode(), np.uint8)
+    hashes, _ = shingle_hashes(*word_hashes(data, np.array([0, len(data)])), 5)
+    words = WORD.findall(text or "")
+    assert len(hashes) == (max(1, len(words) - 4) if words else 0)
+    out = b""
+    for lane in (1, 2):
+        lanes = [int(x).to_bytes(8, "little") for x in mix(hashes + np.uint64(0x9E3779B97F4A7C15 * lane & (1 << 64) - 1))]
+        votes = [sum(x[k // 8] >> (7 - k % 8) & 1 for x in lanes) for k in range(64)]
+        out += sum((2 * v > len(lanes)) << (63 - k) for k, v in enumerate(votes)).to_bytes(8, "big")
+    return out.hex()
+
+
+def test_fingerprints_by_votes(corpus):
+    texts = ["", None, "one", "a b c d e f", *[r[1] for r in ROWS if len(r[1] or "") < 10_000], *[r[0] for r in corpus.select("text").limit(40).collect() if len(r[0]) < 5_000]]
+    assert [x.tobytes().hex() for x in simhash.fingerprints(pa.array(texts))] == [plain_fingerprint(t) for t in texts]
+    # Equal shingle counts vote alike whatever surrounds the text; other words give other bits.
+    assert plain_fingerprint("a b c d e f") == plain_fingerprint(" a\tb c\nd e f ") != plain_fingerprint("a b c d e g")
+
+
+@pytest.mark.parametrize(("radius", "blocks", "members", "asked"), [(3, 4, 4096, 1024), (6, 8, 3, 2)])
+def test_simhash_tables_find_all(spark, radius, blocks, members, asked):
     import random
 
     rng = random.Random(1)
-    base = [rng.getrandbits(128) for _ in range(30)]
-    prints = base + [b ^ sum(1 << k for k in rng.sample(range(128), rng.randrange(1, 9))) for b in base for _ in range(4)]
-    hexes = [f"{p:032x}" for p in prints] + [f"{prints[0]:032x}", None]
-    want = {(a, b, (int(a, 16) ^ int(b, 16)).bit_count()) for a, b in itertools.combinations(sorted(set(hexes[:-1])), 2) if (int(a, 16) ^ int(b, 16)).bit_count() <= radius}
-    got = simhash.near(spark.createDataFrame([(h,) for h in hexes], "fingerprint string"), radius, blocks)
-    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    base = [rng.getrandbits(128) for _ in range(12)]
+    near = base + [b ^ sum(1 << k for k in rng.sample(range(128), rng.randrange(1, 9))) for b in base for _ in range(9)]
+    rows = [(k, f"{p:032x}") for k, p in enumerate(near)] + [(500, f"{near[0]:032x}"), (None, f"{near[20]:032x}"), (501, None)]
+    table = spark.createDataFrame(rows, "doc_id long, fingerprint string").repartition(3)
+    want = {}
+    for f in {f for k, f in rows if k is not None and k % 3 == 0 and f}:
+        apart = [((int(f, 16) ^ int(g, 16)).bit_count(), k is None, k, g) for k, g in rows if g]
+        others = [x for x in apart if 0 < x[0] <= radius]
+        if others:
+            least = min(x[0] for x in others)
+            want[f] = (len({x[3] for x in others}), len(others), least, min((x[2] for x in others if x[0] == least and x[2] is not None), default=None))
+    got = simhash.near(table, table.where("doc_id % 3 = 0"), radius, blocks, members=members, asked=asked)
+    assert {r.fingerprint: tuple(r)[1:] for r in got.collect()} == want and got.count() == len(want)
 
 
 def test_simhash_query_searches_all(spark, tmp_path, empty):
@@ -152,11 +182,12 @@ def test_simhash_query_searches_all(spark, tmp_path, empty):
     want = []
     for k, (key, _) in enumerate(rows):
         if key is None or key % 100:
-            want.append((key, None, None, None, None))
+            want.append((key, None, None, None, None, None))
             continue
         near = [(int(apart[k, j]), rows[j][0] is None, rows[j][0]) for j in range(len(rows)) if 0 < apart[k, j] <= simhash.REACH]
-        want.append((key, int((apart[k] == 0).sum()), len(near), *((min(near)[0], min(near)[2]) if near else (None, None))))
-    assert sorted(map(str, ((r.doc_id, r.n_same, r.n_near, r.near_distance, r.near_id) for r in got))) == sorted(map(str, want))
+        close = {prints[j].tobytes() for j in range(len(rows)) if 0 < apart[k, j] <= 6}
+        want.append((key, int((apart[k] == 0).sum()), len(near), *((min(near)[0], min(near)[2]) if near else (None, None)), len(close)))
+    assert sorted(map(str, ((r.doc_id, r.n_same, r.n_near, r.near_distance, r.near_id, r.n_close) for r in got))) == sorted(map(str, want))
     assert sum(apart[2 * k, 2 * k + 1] <= simhash.REACH for k in range(60)) == 60
     assert simhash.compare_and_search(empty).count() == 0
 
