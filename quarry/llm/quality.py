@@ -104,10 +104,15 @@ def fit(counted: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = 60, s
 
     ``counted`` has the columns of ``features``. Votes are taken as independent given the class.
     At the start the good class is trusted to get few bad votes, and each failure mode to get its
-    own rule's bad vote. An empty table gives that start.
+    own rule's bad vote. That good documents get bad votes in at most ``MOST_WRONG`` of the cases is
+    a prior that every round keeps. An empty table gives the start.
     """
-    names = [r.name for r in rules]
-    rows = counted.select(*votes(rules)).groupBy(*[f"_v_{n}" for n in names]).count().collect()
+    return _fit(counted.select(*votes(rules)), [r.name for r in rules], rounds, smoothing)
+
+
+def _fit(cast: DataFrame, names: list[str], rounds: int = 60, smoothing: float = 0.5) -> Model:
+    """``fit`` for votes already cast, in the columns ``_v_`` and the rule's name."""
+    rows = cast.groupBy(*[f"_v_{n}" for n in names]).count().collect()
     patterns = sorted((tuple(r[:-1]), r[-1]) for r in rows)
     start = {True: {-1: 0.8, 0: 0.15, 1: 0.05}, False: {-1: 0.1, 0: 0.3, 1: 0.6}}
     chance = {c: {n: start[n == c] for n in names} for c in names} | {GOOD: {n: {-1: 0.005, 0: 0.295, 1: 0.7} for n in names}}
@@ -138,7 +143,10 @@ def posteriors(model: Model, cast: dict[str, int]) -> dict[str, float]:
 
 def score(counted: DataFrame, model: Model, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``counted`` with quality (the posterior chance of the good class), as plain column arithmetic."""
-    cast = dict(zip([r.name for r in rules], votes(rules), strict=True))
+    return counted.withColumn("quality", _posterior(dict(zip([r.name for r in rules], votes(rules), strict=True)), model))
+
+
+def _posterior(cast: dict[str, Column], model: Model) -> Column:
     total = F.lit(1.0)
     for c in model.share:
         if c != GOOD:
@@ -147,7 +155,7 @@ def score(counted: DataFrame, model: Model, rules: tuple[Rule, ...] = RULES) ->
                 odds = {v: F.lit(math.log(model.chance[c][n][v] / model.chance[GOOD][n][v])) for v in (-1, 0, 1)}
                 against = against + F.when(vote == -1, odds[-1]).when(vote == 1, odds[1]).otherwise(odds[0])
             total = total + F.exp(F.least(against, F.lit(500.0)))
-    return counted.withColumn("quality", 1 / total)
+    return 1 / total
 
 
 def judge(docs: DataFrame, text: str = "text", threshold: float = 0.5, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -166,11 +174,12 @@ def judge(docs: DataFrame, text: str = "text", threshold: float = 0.5, rules: tu
 def keep_good(docs: DataFrame, text: str = "text", threshold: float = 0.5, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that the base rule and the model keep, with their own columns.
 
-    The counts are made once to fit the model and once to apply it, so no text is written or shuffled.
+    The counts are made once: the rows are written to scratch with their votes, on which the model
+    is fitted and by which they are then kept. Nothing is shuffled.
     """
+    names = [f"_v_{r.name}" for r in rules]
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text}`").alias("_text"))
-    counted = features(packed, "_text")
-    model = fit(counted.drop("_row"), rules)
-    # The row number keeps the filter above the counts; pushed below, it would count anew for each word.
-    judged = score(counted.withColumn("_q_at", F.monotonically_increasing_id()), model, rules)
-    return judged.where((F.col("_q_at") >= 0) & ~base_failed() & (F.col("quality") >= threshold)).select("_row.*")
+    cast = materialize(features(packed, "_text").select("_row", *votes(rules), base_failed().alias("_base")))
+    model = _fit(cast.select(*names), [r.name for r in rules])
+    posterior = _posterior({r.name: F.col(f"_v_{r.name}") for r in rules}, model)
+    return cast.where(~F.col("_base") & (posterior >= threshold)).select("_row.*")

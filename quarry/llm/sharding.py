@@ -43,23 +43,28 @@ def tree(base: int, added: int = 0, weights: tuple[float, ...] = ()) -> Node:
     return Node("root", tuple(regions))
 
 
-def uniform(key: Column, path: str, seed: int) -> Column:
+def uniform(key: Column, path: Column, seed: int) -> Column:
     """A number in (0, 1) from the first 52 bits of the MD5 of seed, path and key."""
-    return (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/{path}/"), key)), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-
-
-def descend(key: Column, node: Node, seed: int, path: str = "") -> Column:
-    """The shard that the key reaches below ``node``, as one column expression."""
-    if not node.children:
-        return F.lit(node.shard)
-    if len(node.children) == 1:
-        return descend(key, node.children[0], seed, f"{path}/{node.children[0].name}")
-    draws = [F.struct((-F.ln(uniform(key, f"{path}/{c.name}", seed)) / F.lit(c.weight)).alias("draw"), F.lit(k).alias("child")) for k, c in enumerate(node.children)]
-    chosen = F.least(*draws)["child"]
-    out = descend(key, node.children[-1], seed, f"{path}/{node.children[-1].name}")
-    for k, c in reversed(list(enumerate(node.children[:-1]))):
-        out = F.when(chosen == k, descend(key, c, seed, f"{path}/{c.name}")).otherwise(out)
-    return out
+    return (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), path, F.lit("/"), key)), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+
+def descend(key: Column, root: Node, seed: int) -> Column:
+    """The shard that the key reaches from ``root``.
+
+    Each level is one constant array of its subtrees' children, from which the row's own are drawn
+    by path and weight, so the expression grows with the levels and not with the shards.
+    """
+    level, at = [(root, "")], F.lit(0)
+    while any(node.children for node, _ in level):
+        below, tables = [], []
+        for node, path in level:
+            # A shard above the last level goes down as it is.
+            family = [(c, f"{path}/{c.name}") for c in node.children] or [(node, path)]
+            tables.append(F.array(*[F.struct(F.lit(p).alias("path"), F.lit(float(c.weight)).alias("weight"), F.lit(len(below) + k).alias("child")) for k, (c, p) in enumerate(family)]))
+            below += family
+        draws = F.transform(F.get(F.array(*tables), at), lambda c: F.struct((-F.ln(uniform(key, c["path"], seed)) / c["weight"]).alias("draw"), c["child"].alias("child")))
+        level, at = below, F.array_min(draws)["child"]
+    return F.get(F.array(*[F.lit(node.shard) for node, _ in level]), at)
 
 
 def assign(docs: DataFrame, shards: Node, key: str = "doc_id", seed: int = 17, name: str = "shard") -> DataFrame:

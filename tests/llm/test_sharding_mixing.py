@@ -45,6 +45,13 @@ def test_weights_and_confined_moves(spark):
     assert Counter(b.values())[6] > 1.6 * Counter(a.values())[6]
 
 
+def test_thousands_of_shards(spark):
+    keys = spark.range(300).withColumnRenamed("id", "doc_id")
+    before = {r.doc_id: r.shard for r in sharding.assign(keys, sharding.tree(1000)).collect()}
+    after = {r.doc_id: r.shard for r in sharding.assign(keys, sharding.tree(1000, 1)).collect()}
+    assert len(set(before.values())) > 200 and {after[k] for k in before if after[k] != before[k]} <= {1000}
+
+
 def test_numbers_over_many_blocks(spark):
     rows = spark.range(5000).selectExpr("id AS k", "id % 3 AS g")
     got = defaultdict(list)

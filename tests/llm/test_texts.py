@@ -54,8 +54,37 @@ def test_em_by_plain_python(spark):
     assert got[True] < 0.5 < got[False]
 
 
+def test_em_by_arrays(spark):
+    """The loop over vote patterns against expectation-maximisation over all rows, in numpy."""
+    rng = np.random.default_rng(8)
+    names = [r.name for r in quality.RULES]
+    bad = rng.random(600) < 0.3
+    mode = rng.integers(0, len(names), 600)
+    chance = np.where(bad[:, None] & (mode[:, None] == np.arange(len(names))), 0.8, 0.004)
+    cast = np.where(rng.random((600, len(names))) < chance, -1, np.where(rng.random((600, len(names))) < 0.7, 1, 0))
+    model = quality._fit(spark.createDataFrame(cast.tolist(), ", ".join(f"_v_{n} int" for n in names)), names, rounds=25)
+    hot = np.stack([cast == v for v in (-1, 0, 1)], axis=2).astype(float)
+    share = np.array([0.5] + [0.5 / len(names)] * len(names))
+    table = np.array([[[0.005, 0.295, 0.7]] * len(names)] + [[[0.8, 0.15, 0.05] if n == c else [0.1, 0.3, 0.6] for n in names] for c in names])
+    for _ in range(25):
+        logs = np.log(share) + np.einsum("drv,crv->dc", hot, np.log(table))
+        post = np.exp(logs - logs.max(axis=1, keepdims=True))
+        post /= post.sum(axis=1, keepdims=True)
+        weight = post.sum(axis=0) + 0.5
+        table = np.einsum("dc,drv->crv", post, hot) + 0.5
+        table /= table.sum(axis=2, keepdims=True)
+        for r in range(len(names)):
+            if table[0, r, 0] > quality.MOST_WRONG:
+                table[0, r, 1:] *= (1 - quality.MOST_WRONG) / (1 - table[0, r, 0])
+                table[0, r, 0] = quality.MOST_WRONG
+        share = weight / weight.sum()
+    assert [model.share[c] for c in ("", *names)] == pytest.approx(share.tolist())
+    assert [[[model.chance[c][n][v] for v in (-1, 0, 1)] for n in names] for c in ("", *names)] == [[pytest.approx(x) for x in row] for row in table.tolist()]
+
+
 def test_keep_good(docs, empty):
     kept = quality.keep_good(docs)
+    assert sorted(map(str, kept.collect())) == sorted(str(r) for r in docs.collect() if r.doc_id in {q.doc_id for q in quality.judge(docs).where("kept").collect()})
     assert kept.columns == docs.columns and quality.keep_good(empty).count() == 0
     assert {r.doc_id for r in kept.collect()} <= {r[0] for r in ROWS}
 
@@ -71,7 +100,9 @@ SECRETS = [
     (8, "😀 username: operator1 key aB3dE6gH9kL2nP5qR8tU1w at https://db.example.org/x", "linked_identifier linked_secret linked_endpoint"),
     (9, "only https://db.example.org/x and username: operator1", ""),
     (10, "lone aB3dE6gH9kL2nP5qR8tU1w string", ""),
-    (11, "username: operator1" + " far" * 200 + " aB3dE6gH9kL2nP5qR8tU1w", ""),
+    (11, "username: operator1" + " far" * 200 + " aB3dE6gH9kL2nP5qR8tU1w", "linked_identifier linked_secret"),
+    (12, "username: operator1\n \n" + " far" * 200 + " aB3dE6gH9kL2nP5qR8tU1w", ""),
+    (13, "username: operator1\n\n" + " far" * 9 + " aB3dE6gH9kL2nP5qR8tU1w", "linked_identifier linked_secret"),
 ]
 
 
@@ -90,6 +121,38 @@ def test_secrets(spark):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[0] == k for s in base) for k in secrets.KINDS)
 
 
+def test_secrets_by_brute_force(spark):
+    """Base spans by the letter of the contract, and links by comparing all parts of a text."""
+    rng = np.random.default_rng(11)
+    bits = ["password: ", "TOKEN=", "api-key='", "apikey = \"", "secret", "x" * 5, "abcdef12" * 3, "deadbeef" * 4, "AKIA" + "Z9" * 8, "AKIAAA", " ", "\n", "\n\n", "é", "user: bob77", "https://h.example/x", "aB3dE6gH9kL2nP5qR8tU1w", " word" * 30, "=", ".", "0"]
+    texts = ["".join(rng.choice(bits, rng.integers(1, 16))) for _ in range(400)]
+    want = {}
+    for k, text in enumerate(texts):
+        assign = [(m.start(), 0, "assign", m.end()) for m in re.finditer(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 6]
+        access = [(m.start(), 1, "access", m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+        base = sorted(assign + access + [(m.start(), 2, "hex", m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24])
+        spots = [("identifier" if kind == "access" else "secret", a, b, True) for a, _, kind, b in base]
+        for part, pattern in (("identifier", secrets.IDENTIFIER), ("secret", secrets.OPAQUE), ("endpoint", secrets.ENDPOINT)):
+            spots += [(part, m.start(), m.end(), False) for m in pattern.finditer(text) if not any(a < m.end() and m.start() < b for a, _, _, b in base)]
+        block = lambda at: len([m for m in re.finditer(r"\n[ \t\r]*\n", text) if m.end() <= at])
+        linked = {(x[1], 3, f"linked_{x[0]}", x[2]) for x in spots for y in spots if not x[3] and x[0] != y[0] and "secret" in (x[0], y[0]) and (block(x[1]) == block(y[1]) or y[1] <= x[2] + 200 and y[2] >= x[1] - 200)}
+        say = lambda spans: ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in spans)
+        want[k] = (len(assign), len(access), len(base) - len(assign) - len(access), hashlib.sha256(say(base).encode()).hexdigest(), say(sorted([*base, *linked])))
+    got = secrets.digest(secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4))).collect()
+    assert {r.doc_id: tuple(r)[1:] for r in got} == want
+    assert any("linked" in w[4] for w in want.values())
+
+
+@pytest.mark.parametrize("rows", [1 << 16, 0])
+def test_redact_of_copies_and_nulls(spark, monkeypatch, rows):
+    monkeypatch.setattr(secrets, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr("quarry.llm.common.FEW_ROWS", 0)
+    table = spark.createDataFrame([(k % 3, (SECRETS[7][1], None, SECRETS[0][1], "plain")[k % 4], k, None) for k in range(60)], "doc_id long, text string, _row int, _scope string").repartition(3)
+    out = {r._row: r.text for r in secrets.redact(table).collect()}
+    assert len(out) == 60 and all(t is None for k, t in out.items() if k % 4 == 1) and all(t == "plain" for k, t in out.items() if k % 4 == 3)
+    assert all(t.count("[SECRET]") == (3, 0, 2)[k % 4] for k, t in out.items() if k % 4 in (0, 2))
+
+
 def test_redact(spark, docs, empty):
     table = spark.createDataFrame([(*x[:2], "en", "s", None, 3) for x in SECRETS], "doc_id long, text string, lang string, source string, n_chars long, _extra int")
     out = {r.doc_id: r for r in secrets.redact(table).collect()}
