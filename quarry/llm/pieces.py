@@ -13,6 +13,7 @@ import heapq
 import itertools
 import math
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,6 +31,8 @@ REMEMBERED = 1_000_000
 LONG = 48
 #: Up to so many characters a scan of the possible merges is faster than an agenda.
 SHORT = 40
+#: The rank of a merge that there isn't.
+NONE = (1 << 31) - 1
 #: More merges than any unit has.
 NEVER = 1 << 40
 
@@ -65,6 +68,19 @@ class PieceModel:
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.costs = {p: -score for p, score in self.scores.items()}
         self.library = sp
+        # The same merges by ids: each piece cut in two pieces, sorted by both ids, and ids of single characters.
+        letters = np.full(0x110000, -1, np.int32)
+        for piece, i in self.ids.items():
+            if len(piece) == 1 and piece != SPACE:
+                letters[ord(piece)] = i
+        letters[ord(" ")] = self.ids.get(SPACE, -1)
+        self.letters = letters
+        cuts = sorted((self.ids[p[:k]] * size + self.ids[p[k:]], self.costs[p], i) for p, i in self.ids.items() for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids)
+        wide = np.int32 if size < 46_000 else np.int64
+        self.pairs = np.array([c[0] for c in cuts] + [np.iinfo(wide).max], wide)
+        # Costs by their rank: only their order counts, and equal ones stay equal.
+        self.pair_costs = np.concatenate([np.unique([c[1] for c in cuts], return_inverse=True)[1], [NONE]]).astype(np.int32)
+        self.pair_ids = np.array([c[2] for c in cuts] + [-1], np.int32)
         self._forget()
 
     def _forget(self) -> None:
@@ -76,7 +92,8 @@ class PieceModel:
         self.known: dict[str, int] = {}
         self.steps = np.zeros(1 << 12, np.int64)
         self.made: list[bytes] = []
-        self.came: list[tuple[str, int, int]] = []
+        self.units_of: list[str] = []
+        self.parents, self.after = array("q"), array("b")
         self.below: dict[int, int] = {}
 
     def segment(self, unit: str, gaps: Iterable[int] = ()) -> tuple[list[int], int, int]:
@@ -154,39 +171,137 @@ class PieceModel:
         share = (h >> np.uint64(11)).astype(np.float64) / (1 << 53)
         return np.minimum(np.log1p(-share) / math.log1p(-self.dropout), NEVER).astype(np.int64)
 
-    def _remember(self, unit: str, parent: int, gap: int, ids: list[int], steps: int) -> int:
-        at = len(self.made)
-        if at == len(self.steps):
+    def _remember(self, units: list[str], parents: Iterable[int], gaps: Iterable[int], made: list[tuple[bytes, int]]) -> range:
+        """Number segmentations, each with the number and the gap of the one with a skip less."""
+        numbers = range(len(self.made), len(self.made) + len(made))
+        while numbers.stop > len(self.steps):
             self.steps = np.concatenate([self.steps, np.zeros_like(self.steps)])
-        self.steps[at] = steps
-        self.made.append(np.array(ids, self.dtype).tobytes())
-        self.came.append((unit, parent, gap))
-        return at
+        self.steps[numbers.start : numbers.stop] = [steps for _, steps in made]
+        self.made.extend([ids for ids, _ in made])
+        self.units_of.extend(units)
+        self.parents.extend(parents)
+        self.after.extend(gaps)
+        return numbers
 
     def _learn(self, units: Iterable[str]) -> None:
         """Remember units without skips: words by the library, whose merges are as many as it joins letters, others here."""
         units = list(units)
         words = [u for u in units if u[0] == " " and u[1:2] not in ("", " ") and SPACE not in u]
-        least, most = min(self.byte_ids.values()), max(self.byte_ids.values())
-        for unit, ids in zip(words, self.library.encode([u[1:] for u in words], num_threads=1), strict=True):
-            if not any(least <= i <= most for i in ids):
-                self.known[unit] = self._remember(unit, -1, 0, ids, len(unit) - len(ids))
-        for unit in units:
-            if unit not in self.known:
-                ids, steps, _ = self.segment(unit)
-                self.known[unit] = self._remember(unit, -1, 0, ids, steps)
-
-    def _after(self, number: int, gap: int) -> int:
-        """The segmentation of the same unit and skips, and one more skip after ``gap`` merges."""
-        key = number << 6 | gap
-        if key not in self.below:
-            gaps, at = [gap], number
-            while self.came[at][1] >= 0:
-                gaps.append(self.came[at][2])
-                at = self.came[at][1]
-            ids, steps, _ = self.segment(self.came[number][0], reversed(gaps))
-            self.below[key] = self._remember(self.came[number][0], number, gap, ids, steps)
-        return self.below[key]
+        made = self.library.encode([u[1:] for u in words], num_threads=1)
+        counts = list(map(len, made))
+        flat = np.fromiter(itertools.chain.from_iterable(made), self.dtype, sum(counts))
+        odd = np.concatenate([[0], np.cumsum((flat >= min(self.byte_ids.values())) & (flat <= max(self.byte_ids.values())))])
+        data, size, end = flat.tobytes(), self.dtype.itemsize, 0
+        plain, found = [], []
+        for unit, n in zip(words, counts, strict=True):
+            end += n
+            if odd[end] == odd[end - n]:
+                plain.append(unit)
+                found.append((data[(end - n) * size : end * size], len(unit) - n))
+        self._put(plain, found)
+        others = [u for u in units if u not in self.known]
+        self._put(others, self.segment_all(others, [[]] * len(others)))
+
+    def _put(self, units: list[str], made: list[tuple[bytes, int]]) -> None:
+        self.known.update(zip(units, self._remember(units, itertools.repeat(-1, len(units)), itertools.repeat(0, len(units)), made), strict=True))
+
+    def _joined(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of cost and id of the merges of ids; ``NONE`` where there is none."""
+        keys = left.astype(self.pairs.dtype) * len(self.bytes) + right
+        at = np.searchsorted(self.pairs, keys)
+        return np.where(self.pairs[at] == keys, self.pair_costs[at], NONE), self.pair_ids[at]
+
+    def segment_all(self, units: list[str], gaps: list[list[int]]) -> list[tuple[bytes, int]]:
+        """Ids and merges after the last skip of many units, each with gaps of its own; the same as ``segment``.
+
+        Units of one length are the rows of a matrix of ids; in each step every row makes its
+        cheapest merge or skips it.
+        """
+        if not units:
+            return []
+        out: list[tuple[bytes, int]] = [(b"", 0)] * len(units)
+        lengths = np.fromiter(map(len, units), np.int64, len(units))
+        lengths[lengths > SHORT] = 0
+        order = np.argsort(lengths, kind="stable")
+        firsts = np.flatnonzero(np.diff(lengths[order], prepend=-1))
+        for first, rows in zip(firsts.tolist(), np.split(order, firsts[1:]), strict=True):
+            length, rows = int(lengths[order[first]]), rows.tolist()
+            for at in range(0, len(rows) if length > 1 else 0, 1 << 14):
+                part = rows[at : at + (1 << 14)]
+                ids = self.letters[np.frombuffer("".join([units[k] for k in part]).encode("utf-32-le"), np.uint32)].reshape(len(part), length)
+                plain = (ids >= 0).all(axis=1)
+                left = [k for k, p in zip(part, plain.tolist(), strict=True) if p]
+                if left:
+                    for k, x in zip(left, self._scan_rows(ids[plain], [gaps[k] for k in left]), strict=True):
+                        out[k] = x
+                rows[at : at + len(part)] = [-1 if p else k for k, p in zip(part, plain.tolist(), strict=True)]
+            for k in rows:
+                if k >= 0:
+                    ids, steps, _ = self.segment(units[k], gaps[k])
+                    out[k] = np.array(ids, self.dtype).tobytes(), steps
+        return out
+
+    def _scan_rows(self, ids: np.ndarray, gaps: list[list[int]]) -> list[tuple[bytes, int]]:
+        out: list[tuple[bytes, int]] = [(b"", 0)] * len(ids)
+        width = max(map(len, gaps)) + 1
+        waits = np.array([g + [NEVER] * (width - len(g)) for g in gaps], np.int64)
+        row, length = np.arange(len(ids)), np.full(len(ids), ids.shape[1])
+        skips, steps = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        costs = np.full(ids.shape, NONE, np.int32)
+        costs[:, :-1], merged = self._joined(ids[:, :-1], ids[:, 1:])
+        into = np.zeros_like(ids)
+        into[:, :-1] = merged
+        last = ids.shape[1] - 1
+        place = np.arange(last + 1)
+        while len(row):
+            best = costs.argmin(axis=1)
+            least = costs[np.arange(len(row)), best]
+            ended = least == NONE
+            if ended.any():
+                size = self.dtype.itemsize
+                data = ids[ended].astype(self.dtype).tobytes()
+                step = ids.shape[1] * size
+                for k, (r, n, s) in enumerate(zip(row[ended].tolist(), length[ended].tolist(), steps[ended].tolist(), strict=True)):
+                    out[r] = data[k * step : k * step + n * size], s
+                going = ~ended
+                row, length, skips, steps, ids, costs, into, best, waits = (x[going] for x in (row, length, skips, steps, ids, costs, into, best, waits))
+                if not len(row):
+                    break
+            each = np.arange(len(row))
+            skip = waits[each, skips] == steps
+            skips += skip
+            steps = np.where(skip, 0, steps + 1)
+            costs[each[skip], best[skip]] = NONE
+            some = np.flatnonzero(~skip)
+            i = best[some]
+            # The right symbol goes out and the left one becomes what both make.
+            kept = place != i[:, None] + 1
+            parts = ids[some], costs[some], into[some]
+            parts[0][np.arange(len(some)), i] = parts[2][np.arange(len(some)), i]
+            ids[some, :last] = parts[0][kept].reshape(len(some), last)
+            kept = place != i[:, None]
+            costs[some, :last] = parts[1][kept].reshape(len(some), last)
+            into[some, :last] = parts[2][kept].reshape(len(some), last)
+            length[some] -= 1
+            inner, outer = i > 0, i + 1 < length[some]
+            k, at = np.concatenate([some[inner], some[outer]]), np.concatenate([i[inner] - 1, i[outer]])
+            costs[k, at], into[k, at] = self._joined(ids[k, at], ids[k, at + 1])
+        return out
+
+    def _after(self, keys: list[int]) -> list[int]:
+        """By the number of a segmentation and a gap: the one of the same unit and skips, and one more skip after so many merges."""
+        fresh = [key for key in keys if key not in self.below]
+        numbers, last = [key >> 6 for key in fresh], [key & 63 for key in fresh]
+        gaps = []
+        for at, gap in zip(numbers, last, strict=True):
+            path = [gap]
+            while self.parents[at] >= 0:
+                path.append(self.after[at])
+                at = self.parents[at]
+            gaps.append(path[::-1])
+        units = list(map(self.units_of.__getitem__, numbers))
+        self.below.update(zip(fresh, self._remember(units, numbers, last, self.segment_all(units, gaps)), strict=True))
+        return list(map(self.below.__getitem__, keys))
 
     def _draws(self, stream: int, place: int) -> Iterator[int]:
         """All draws of the unit at ``place``."""
@@ -221,7 +336,7 @@ class PieceModel:
             if not len(open_):
                 break
             keys, which = np.unique(at[open_] << 6 | gap, return_inverse=True)
-            at[open_] = np.array([self._after(k >> 6, k & 63) for k in keys.tolist()], np.int64)[which]
+            at[open_] = np.array(self._after(keys.tolist()), np.int64)[which]
         out = list(map(self.made.__getitem__, at.tolist()))
         for k, ids in own.items():
             out[k] = ids

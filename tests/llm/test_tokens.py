@@ -180,6 +180,18 @@ def test_long_units_have_the_same_draws(monkeypatch):
         assert some == again.encode(text, 9).tolist()
 
 
+def test_many_units_at_once_are_as_one_by_one(corpus):
+    model = pieces.PieceModel("piece_bpe_32k.model", 0.2)
+    rng = np.random.default_rng(6)
+    units = sorted({u for r in corpus.select("text").limit(60).collect() for u in model.units(" " + r[0])} | {"\n", "a", " ", "   ", "▁x", " 日本", "aaaaaaaaaaaa", " \x00y", "x" * 50})
+    gaps = [rng.integers(0, 4, rng.integers(0, 4)).tolist() for _ in units]
+    want = []
+    for unit, g in zip(units, gaps, strict=True):
+        ids, steps, _ = model.segment(unit, g)
+        want.append((np.array(ids, model.dtype).tobytes(), steps))
+    assert model.segment_all(units, gaps) == want
+
+
 def test_copies_differ(spark):
     docs = spark.createDataFrame([(1, PROSE)] * 3 + [(None, PROSE)] * 2, "doc_id long, text string").repartition(2)
     path = tokenizer_path("piece_bpe_32k.model")
