@@ -12,6 +12,9 @@ import numpy as np
 #: Distinct words that a Python worker remembers before it starts anew; it bounds memory, not results.
 REMEMBERED = 1_500_000
 
+#: Words of letters that the library encodes in one text.
+RUN = 256
+
 #: Letters, then ASCII marks other than the apostrophe, to the end.
 _MARKED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
 
@@ -35,6 +38,11 @@ class WordEncoder:
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        # Whether an id closes a word; without such a sign nothing does, and each word is encoded by itself.
+        self.closing = np.zeros(self.vocabulary, bool)
+        if suffix:
+            self.closing[[i for p, i in self.tokenizer.get_vocab(with_added_tokens=True).items() if p.endswith(suffix)]] = True
         self.known: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.borders: dict[str, bool] = {}
@@ -62,18 +70,39 @@ class WordEncoder:
         """Remember words; the marks after a word's letters are pre-tokens of their own, so both are looked up apart."""
         cut = []
         for w in words:
+            if w.isalpha():
+                cut.append((w, w.decode().lower(), ""))
+                continue
             text = w.decode()
             m = _MARKED(text)
             head, tail = m.groups() if m else (text, "")
-            if tail and not head.isascii() and not self._ends(head):
+            if head.isascii():
+                head = head.lower()
+            elif tail and not self._ends(head):
                 head, tail = text, ""
-            cut.append((w, head.lower() if head.isascii() else head, tail))
-        fresh = list({p for _, *both in cut for p in both if p not in self.parts})
-        for start in range(0, len(fresh), 10_000):
-            part = fresh[start : start + 10_000]
-            done = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.parts.update((p, array(self.code, e.ids).tobytes()) for p, e in zip(part, done, strict=True))
+            cut.append((w, head, tail))
         parts = self.parts
+        fresh = list({p for _, *both in cut for p in both if p not in parts})
+        letters = [p for p in fresh if p.isalpha()]
+        others = [p for p in fresh if not p.isalpha()]
+        runs = [letters[at : at + RUN] for at in range(0, len(letters), RUN)]
+        for start in range(0, len(runs), 100):
+            some = runs[start : start + 100]
+            for run, e in zip(some, self.tokenizer.encode_batch_fast([" ".join(run) for run in some], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, self.dtype)
+                ends = np.flatnonzero(self.closing[ids]) + 1
+                # Letters are one pre-token each; where the library sees it otherwise, each is encoded by itself.
+                if len(ends) != len(run):
+                    others += run
+                    continue
+                data, size, begin = ids.tobytes(), self.dtype.itemsize, 0
+                for p, end in zip(run, ends.tolist(), strict=True):
+                    parts[p] = data[begin * size : end * size]
+                    begin = end
+        for start in range(0, len(others), 10_000):
+            part = others[start : start + 10_000]
+            done = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            parts.update((p, array(self.code, e.ids).tobytes()) for p, e in zip(part, done, strict=True))
         self.known.update((w, parts[head] + parts[tail]) for w, head, tail in cut)
 
 
