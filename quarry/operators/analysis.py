@@ -134,6 +134,66 @@ def narrowing(condition: Column) -> tuple[Column, Column, Column]:
     return variable, within, other
 
 
+#: Type names that a type check may give, and the types that they stand for.
+CHECKED_TYPES = {
+    "Строка": "String", "String": "String", "Число": "Number", "Number": "Number", "Булево": "Boolean", "Boolean": "Boolean", "Дата": "Date", "Date": "Date",
+    "Массив": "Array", "Array": "Array", "Соответствие": "Map", "Map": "Map", "Структура": "Structure", "Structure": "Structure", "ТаблицаЗначений": "ValueTable", "ValueTable": "ValueTable",
+}
+
+
+def refinement(condition: Column) -> Column:
+    """variable, type and kind that a condition gives its branch; null where it gives none.
+
+    Type checks by name (equal or not), comparison with Undefined and Null (the type of what is
+    not one of them stays open), a bare name (truthy) and NOT before one (falsy, Boolean).
+    """
+    name = r"([\p{L}_][\p{L}\p{N}_]*)"
+    checked = rf"""(?u)^\s*(?:ТипЗнч|TypeOf)\(\s*{name}\s*\)\s*(=|<>)\s*(?:Тип|Type)\(\s*"([^"]+)"\s*\)\s*$"""
+    absent = rf"(?u)^\s*{name}\s*(=|<>)\s*(Неопределено|Undefined|Null)\s*$"
+    bare, negated = rf"(?u)^\s*{name}\s*$", rf"(?iu)^\s*(?:НЕ|NOT)\s+{name}\s*$"
+    types = F.create_map(*[F.lit(x) for pair in CHECKED_TYPES.items() for x in pair])
+    made = lambda variable, type_, kind: F.struct(variable.alias("variable"), type_.alias("type"), kind.alias("kind"))
+    equal = lambda pattern: F.regexp_extract(condition, pattern, 2) == "="
+    known = F.try_element_at(types, F.regexp_extract(condition, checked, 3))
+    none = F.when(F.regexp_extract(condition, absent, 3) == "Null", "Null").otherwise("Undefined")
+    return (
+        F.when(condition.rlike(checked) & known.isNotNull(), made(F.regexp_extract(condition, checked, 1), known, F.when(equal(checked), "type is").otherwise("type is not")))
+        .when(condition.rlike(absent), made(F.regexp_extract(condition, absent, 1), F.when(equal(absent), none), F.concat(F.when(equal(absent), "equals ").otherwise("not equals "), none)))
+        .when(condition.rlike(negated), made(F.regexp_extract(condition, negated, 1), F.lit("Boolean"), F.lit("falsy")))
+        .when(condition.rlike(bare), made(F.regexp_extract(condition, bare, 1), F.lit(None).cast("string"), F.lit("truthy")))
+    )
+
+
+#: Words in a parent, and methods, that tell a facet.
+FACET_PARENTS = (("Справочники", "Manager"), ("Catalogs", "Manager"), ("Метаданные", "Metadata"), ("Metadata", "Metadata"))
+FACET_METHODS = {"СоздатьЭлемент": "Object", "CreateItem": "Object", "НайтиПоКоду": "Reference", "FindByCode": "Reference"}
+
+
+def facet_of(parent: Column, method: Column) -> Column:
+    """The facet that holds in a context: by its parent, else by its method, else a reference."""
+    out = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in FACET_METHODS.items() for x in pair]), method), F.lit("Reference"))
+    for word, facet in reversed(FACET_PARENTS):
+        out = F.when(parent.contains(word), facet).otherwise(out)
+    return out
+
+
+def switch_facet(active: Column, wanted: Column, available: Column) -> Column:
+    """The wanted facet if the type has it, else the one that was active."""
+    return F.when(F.array_contains(available, wanted), wanted).otherwise(active)
+
+
+def check_text(variable: Column, type_: Column, confidence: Column, mode: str, certain: float = 0.8) -> Column:
+    """A check for a type that is not certain, by mode: a note, an assertion or a log entry; a null type is known not at all."""
+    unsure = F.when(type_.isNull() | (confidence < certain), True)
+    named = F.coalesce(type_, F.lit("any type"))
+    texts = {
+        "warning": F.format_string("// %s: %s is not certain", variable, named),
+        "assert": F.when(type_.isNull(), F.format_string('If NOT ValueIsFilled(%s) Then Raise "%s is empty"; EndIf;', variable, variable)).otherwise(F.format_string('If TypeOf(%s) <> Type("%s") Then Raise "%s: %s expected"; EndIf;', variable, named, variable, named)),
+        "report": F.format_string('WriteLogEvent("Types", , , "%s: " + String(TypeOf(%s)));', named, variable),
+    }
+    return F.when(unsure, texts[mode])
+
+
 def line_assignments(text_rows: DataFrame, key: str, text: str) -> DataFrame:
     """key, line, left and right of each line's first ``=``; lines with ==, <= or >= and comment lines are passed over."""
     each = text_rows.select(key, F.posexplode(F.split(text, "\n")).alias("line", "code"))

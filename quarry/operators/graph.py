@@ -1,23 +1,35 @@
 """Dependency and call graphs as edge DataFrames (src, dst), walked by frontier joins.
 
-Each step joins only the newest frontier with the edges and cuts its lineage with ``checkpoint()``,
+Each step joins only the newest frontier with the edges and cuts its lineage by a scratch table,
 so a walk takes as many jobs as it has levels and no vertex set comes to the driver.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """``df`` without its lineage, in ``spark.checkpoint.dir``; only where that is unset, in a temporary folder."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quarry-"))
-    return df.checkpoint()
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` without its lineage: written as Parquet below ``spark.checkpoint.dir`` and read back, computed once.
+
+    Only in a local run without that setting a temporary folder is taken; on a cluster its absence
+    is an error, as executors would not see one another's files.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not base:
+        if context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
+        base = context.getCheckpointDir()
+    path = f"{base.rstrip('/')}/quarry/{context.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def reach(edges: DataFrame, starts: DataFrame, limit: int = 1000) -> DataFrame:
@@ -26,14 +38,14 @@ def reach(edges: DataFrame, starts: DataFrame, limit: int = 1000) -> DataFrame:
     ``starts`` has a column ``start``. Walks of over ``limit`` steps are refused.
     """
     edges = edges.select("src", "dst").distinct()
-    seen = _cut(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct())
+    seen = cut(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct())
     front = seen
     for depth in range(1, limit + 1):
         step = front.join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
-        front = _cut(step.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        front = cut(step.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             return seen
-        seen = _cut(seen.union(front))
+        seen = cut(seen.union(front))
     raise RuntimeError(f"no end after {limit} steps")
 
 
@@ -51,29 +63,60 @@ def shortest_path(edges: DataFrame, start: str, goal: str, limit: int = 1000) ->
         head = path.where(F.col("depth") == depth + 1).select(F.col("node").alias("dst"))
         before = edges.join(head, "dst").select(F.col("src").alias("node")).join(depths.where(F.col("depth") == depth), "node")
         path = path.unionByName(before.groupBy("depth").agg(F.min("node").alias("node")).select("node", "depth"))
-        path = _cut(path)
+        path = cut(path)
     return path.select(F.col("depth").alias("place"), "node")
 
 
+def _spread(edges: DataFrame, colours: DataFrame, limit: int) -> DataFrame:
+    """node and colour: the least colour of the nodes from which a node can be reached, its own included."""
+    for _ in range(limit):
+        sent = edges.join(colours, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), "colour")
+        new = cut(colours.unionByName(sent).groupBy("node").agg(F.min("colour").alias("colour")))
+        same = new.join(colours, ["node", "colour"], "left_anti").isEmpty()
+        colours = new
+        if same:
+            return colours
+    raise RuntimeError(f"no end after {limit} steps")
+
+
 def cycles(edges: DataFrame, limit: int = 1000) -> DataFrame:
-    """node and cycle: nodes that reach themselves, and the least node of their cycle's strong component.
+    """node and cycle: nodes that lie on a cycle, and the least node of their strong component.
 
-    Nodes that cannot lie on a cycle (nothing comes in, or nothing goes out) are peeled off first.
+    Forward and backward colouring: nodes take the least node from which they can be reached; those
+    of a colour that reach its own node too are its strong component and go out, then the rest is
+    coloured anew. Nodes that cannot lie on a cycle are peeled off first, and a row is kept for each
+    node and edge only.
     """
-    core = _cut(edges.select("src", "dst").distinct())
-    size = core.count()
-    while True:
-        core = _cut(core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-        now = core.count()
-        if now == size:
-            break
-        size = now
-    seconds = core.select(F.col("src").alias("start"), F.col("dst").alias("node")).distinct()
-    walked = reach(core, seconds.select(F.col("node").alias("start")).distinct(), limit)
-    back = seconds.join(walked.select(F.col("start").alias("node"), F.col("node").alias("far")), "node").select("start", "far").distinct()
-    on = back.where("start = far").select(F.col("start").alias("node"))
-    pairs = back.alias("x").join(back.alias("y"), F.expr("x.start = y.far AND x.far = y.start")).select(F.col("x.start").alias("node"), F.col("x.far").alias("other"))
-    return on.join(pairs, "node").groupBy("node").agg(F.min("other").alias("cycle"))
+    core = cut(edges.select("src", "dst").distinct())
+    found = core.limit(0).select(F.col("src").alias("node"), F.col("src").alias("cycle"))
+    for _ in range(limit):
+        size = core.count()
+        while size:
+            core = cut(core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+            now = core.count()
+            if now == size:
+                break
+            size = now
+        if not size:
+            return found
+        nodes = core.select(F.col("src").alias("node")).distinct()
+        coloured = _spread(core, nodes.withColumn("colour", F.col("node")), limit)
+        tinted = core.join(coloured.select(F.col("node").alias("src"), F.col("colour").alias("_a")), "src").join(coloured.select(F.col("node").alias("dst"), F.col("colour").alias("_b")), "dst")
+        back = cut(tinted.where("_a = _b").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        # Backwards from the colour's own node, within the colour.
+        front = cut(coloured.where("node = colour"))
+        seen = front
+        while True:
+            front = cut(back.join(front, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), "colour").distinct().join(seen, ["node", "colour"], "left_anti"))
+            if front.isEmpty():
+                break
+            seen = cut(seen.unionByName(front))
+        sized = seen.groupBy("colour").agg(F.count(F.lit(1)).alias("_n"))
+        loops = core.where("src = dst").select(F.col("src").alias("node")).distinct().withColumn("_loop", F.lit(True))
+        on = seen.join(sized, "colour").join(loops, "node", "left").where("_n > 1 OR _loop").select("node", F.col("colour").alias("cycle"))
+        found = cut(found.unionByName(on))
+        core = cut(core.join(seen.select(F.col("node").alias("src")), "src", "left_anti").join(seen.select(F.col("node").alias("dst")), "dst", "left_anti"))
+    raise RuntimeError(f"no end after {limit} rounds")
 
 
 def levels(edges: DataFrame, nodes: DataFrame | None = None, limit: int = 1000) -> DataFrame:
@@ -82,17 +125,17 @@ def levels(edges: DataFrame, nodes: DataFrame | None = None, limit: int = 1000)
     Kahn's order by rounds: each takes all nodes whose incoming edges are used up. Equal levels
     are independent; order them by name.
     """
-    edges = _cut(edges.select("src", "dst"))
+    edges = cut(edges.select("src", "dst"))
     all_ = edges.select(F.col("src").alias("node")).union(edges.select("dst"))
-    left = _cut((all_ if nodes is None else all_.union(nodes.select("node"))).distinct())
+    left = cut((all_ if nodes is None else all_.union(nodes.select("node"))).distinct())
     done = left.limit(0).withColumn("level", F.lit(0))
     for level in range(limit + 1):
-        free = _cut(left.join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti"))
+        free = cut(left.join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti"))
         if free.isEmpty():
             return done.unionByName(left.withColumn("level", F.lit(None).cast("int")))
-        done = done.unionByName(free.withColumn("level", F.lit(level)))
-        left = _cut(left.join(free, "node", "left_anti"))
-        edges = _cut(edges.join(free, F.col("src") == F.col("node"), "left_anti"))
+        done = cut(done.unionByName(free.withColumn("level", F.lit(level))))
+        left = cut(left.join(free, "node", "left_anti"))
+        edges = cut(edges.join(free, F.col("src") == F.col("node"), "left_anti"))
     raise RuntimeError(f"no end after {limit} levels")
 
 
