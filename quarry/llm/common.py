@@ -5,6 +5,8 @@ Words everywhere are maximal runs of characters other than space and U+0009 to U
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -97,6 +99,18 @@ def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int
         row = end
 
 
+@contextlib.contextmanager
+def no_cycles() -> Iterator[None]:
+    """Keeps Python from searching for cycles of objects while many that have none are made."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A finaliser of 64-bit hashes: each input bit sways each output bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_dir, text_slices
+from .common import materialize, no_cycles, scratch_dir, text_slices
 from .tokens import word_encoder
 
 MAGIC = b"QBITS001"
@@ -134,7 +134,9 @@ def _write_part(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str,
         keys = batch.column("_key").to_pylist()
         for row, data, bounds in text_slices(texts):
             held = data.tobytes()
-            for k, ids in enumerate(encoder.encode(held[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True))):
+            with no_cycles():
+                made = encoder.encode(held[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True))
+            for k, ids in enumerate(made):
                 writer = writer or PackedWriter(uri, width_for(encoder.vocabulary))
                 writer.add(keys[row + k], np.concatenate([ids, end]))
     if writer:

@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, text_slices
+from .common import mix, no_cycles, text_slices
 from .tokens import tokenizer_path
 
 #: Segmentations that a Python worker remembers before it starts anew; it bounds memory, not results.
-REMEMBERED = 1_000_000
+REMEMBERED = 2_000_000
 #: Units of more merges than this (below 64) are remembered only without skips: with them they hardly come again.
 LONG = 48
 #: Up to so many characters a scan of the possible merges is faster than an agenda.
@@ -242,51 +242,49 @@ class PieceModel:
         return out
 
     def _scan_rows(self, ids: np.ndarray, gaps: list[list[int]]) -> list[tuple[bytes, int]]:
-        out: list[tuple[bytes, int]] = [(b"", 0)] * len(ids)
+        rows, length = ids.shape
         width = max(map(len, gaps)) + 1
         waits = np.array([g + [NEVER] * (width - len(g)) for g in gaps], np.int64)
-        row, length = np.arange(len(ids)), np.full(len(ids), ids.shape[1])
-        skips, steps = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-        costs = np.full(ids.shape, NONE, np.int32)
-        costs[:, :-1], merged = self._joined(ids[:, :-1], ids[:, 1:])
-        into = np.zeros_like(ids)
-        into[:, :-1] = merged
-        last = ids.shape[1] - 1
-        place = np.arange(last + 1)
-        while len(row):
-            best = costs.argmin(axis=1)
-            least = costs[np.arange(len(row)), best]
-            ended = least == NONE
-            if ended.any():
-                size = self.dtype.itemsize
-                data = ids[ended].astype(self.dtype).tobytes()
-                step = ids.shape[1] * size
-                for k, (r, n, s) in enumerate(zip(row[ended].tolist(), length[ended].tolist(), steps[ended].tolist(), strict=True)):
-                    out[r] = data[k * step : k * step + n * size], s
-                going = ~ended
-                row, length, skips, steps, ids, costs, into, best, waits = (x[going] for x in (row, length, skips, steps, ids, costs, into, best, waits))
-                if not len(row):
-                    break
-            each = np.arange(len(row))
-            skip = waits[each, skips] == steps
-            skips += skip
-            steps = np.where(skip, 0, steps + 1)
-            costs[each[skip], best[skip]] = NONE
-            some = np.flatnonzero(~skip)
-            i = best[some]
-            # The right symbol goes out and the left one becomes what both make.
-            kept = place != i[:, None] + 1
-            parts = ids[some], costs[some], into[some]
-            parts[0][np.arange(len(some)), i] = parts[2][np.arange(len(some)), i]
-            ids[some, :last] = parts[0][kept].reshape(len(some), last)
-            kept = place != i[:, None]
-            costs[some, :last] = parts[1][kept].reshape(len(some), last)
-            into[some, :last] = parts[2][kept].reshape(len(some), last)
-            length[some] -= 1
-            inner, outer = i > 0, i + 1 < length[some]
-            k, at = np.concatenate([some[inner], some[outer]]), np.concatenate([i[inner] - 1, i[outer]])
-            costs[k, at], into[k, at] = self._joined(ids[k, at], ids[k, at + 1])
-        return out
+        skips, steps = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+        costs = np.full((rows, length), NONE, np.int32)
+        into = np.zeros((rows, length), np.int32)
+        costs[:, :-1], into[:, :-1] = self._joined(ids[:, :-1], ids[:, 1:])
+        # Each place's neighbours; everything but ``costs`` by flat indices from here on.
+        place = np.arange(length, dtype=np.int32)
+        after, before = np.tile(place + 1, rows), np.tile(place - 1, rows)
+        ids, into, cost = ids.astype(np.int32).reshape(-1), into.reshape(-1), costs.reshape(-1)
+        open_ = np.arange(rows)
+        while len(open_):
+            best = costs[open_].argmin(axis=1)
+            at = open_ * length + best
+            going = cost[at] != NONE
+            open_, at = open_[going], at[going]
+            skip = waits[open_, skips[open_]] == steps[open_]
+            if skip.any():
+                gone = open_[skip]
+                cost[at[skip]] = NONE
+                skips[gone] += 1
+                steps[gone] = 0
+                row, at = open_[~skip], at[~skip]
+            else:
+                row = open_
+            steps[row] += 1
+            base = row * length
+            # The left symbol becomes what both make, the right one goes out.
+            right = base + after[at]
+            ids[at], ids[right], cost[right] = into[at], -1, NONE
+            far, left = after[right], before[at]
+            after[at] = far
+            inner, outer = far < length, left >= 0
+            before[base[inner] + far[inner]] = at[inner] - base[inner]
+            cost[at[~inner]] = NONE
+            a = np.concatenate([at[inner], base[outer] + left[outer]])
+            b = np.concatenate([base[inner] + far[inner], at[outer]])
+            cost[a], into[a] = self._joined(ids[a], ids[b])
+        left = (ids >= 0).reshape(rows, length).sum(axis=1)
+        data, size = ids[ids >= 0].astype(self.dtype).tobytes(), self.dtype.itemsize
+        ends = (np.cumsum(left) * size).tolist()
+        return [(data[end - n * size : end], s) for end, n, s in zip(ends, left.tolist(), steps.tolist(), strict=True)]
 
     def _after(self, keys: list[int]) -> list[int]:
         """By the number of a segmentation and a gap: the one of the same unit and skips, and one more skip after so many merges."""
@@ -375,7 +373,8 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
                 batch = whole.slice(at, len(bounds) - 1)
                 at += len(batch)
                 texts = [t or "" for t in batch.column("_text").to_pylist()]
-                made = pieces.encode_all(texts, batch.column("_stream").to_pylist())
+                with no_cycles():
+                    made = pieces.encode_all(texts, batch.column("_stream").to_pylist())
                 ends = np.cumsum([0, *map(len, made)]).astype(np.int32)
                 flat = np.concatenate(made).astype(np.int32)
                 same = [pieces.decode(ids) == t for ids, t in zip(made, texts, strict=True)]
