@@ -215,6 +215,30 @@ def resolve_path(paths: DataFrame, members: DataFrame, path: str = "path") -> Da
     return one.union(two.select(path, "type", sure.alias("confidence"))).union(far)
 
 
+def resolve_paths(paths: DataFrame, members: DataFrame, path: str = "path", limit: int = 100) -> DataFrame:
+    """path, type and confidence of dotted expressions of any length: each step takes the member's type as the next owner.
+
+    The confidence is that of the last step; an unknown member gives no type. A step is one join.
+    """
+    parts = paths.select(path, F.split(path, r"\.").alias("_p"))
+    steps = min(limit, parts.agg(F.coalesce(F.max(F.size("_p")), F.lit(1))).first()[0])
+    now = parts.select(path, "_p", F.get("_p", F.lit(0)).alias("_t"), F.lit(BASE_SURE).alias("_sure"))
+    table = members.select(F.col("owner").alias("_o"), F.col("name").alias("_m"), F.col("kind").alias("_k"), F.col("type").alias("_n"))
+    for k in range(1, steps):
+        met = now.join(table, (F.col("_t") == F.col("_o")) & (F.get("_p", F.lit(k)) == F.col("_m")), "left")
+        far = F.size("_p") > k
+        sure = F.when(F.col("_k") == "method", METHOD_SURE).when(F.col("_k") == "property", PROPERTY_SURE).otherwise(0.0)
+        now = met.select(path, "_p", F.when(far, F.col("_n")).otherwise(F.col("_t")).alias("_t"), F.when(far, sure).otherwise(F.col("_sure")).alias("_sure"))
+    return now.select(path, F.col("_t").alias("type"), F.col("_sure").alias("confidence"))
+
+
+def assignment_diagnostics(text_rows: DataFrame, key: str, text: str, typed: DataFrame) -> DataFrame:
+    """key, line, severity and message: assignments whose value's type isn't that of the variable; what has no type says nothing."""
+    made = line_assignments(text_rows, key, text).withColumn("_value", expression_type(F.regexp_replace("right_side", r";\s*$", "")))
+    met = made.join(typed.select(F.col("variable").alias("left_side"), F.col("type").alias("_has")), "left_side")
+    return met.where("_value IS NOT NULL AND _value <> _has").select(key, "line", F.lit("warning").alias("severity"), F.format_string("%s is a %s and gets a %s", "left_side", "_has", "_value").alias("message"))
+
+
 def contract(variable: Column, type_: Column, confidence: Column, certain: float = 0.8) -> Column:
     """A check to write before a use whose type is not certain; null where it is."""
     text = F.format_string('If TypeOf(%s) <> Type("%s") Then Raise "%s: %s expected"; EndIf;', variable, type_, variable, type_)
@@ -238,9 +262,15 @@ def invert(condition: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for p in pairs.items() for x in p]), condition)
 
 
+#: Global collections and the managers that their members are.
+MANAGERS = {
+    "Справочники": "CatalogManager", "Catalogs": "CatalogManager", "Документы": "DocumentManager", "Documents": "DocumentManager",
+    "РегистрыСведений": "InformationRegisterManager", "InformationRegisters": "InformationRegisterManager", "Перечисления": "EnumManager", "Enums": "EnumManager",
+}
+
+
 def manager(path: Column) -> tuple[Column, Column]:
     """kind and confidence of a global manager path ``Catalogs.X``; more parts are unknown."""
-    kinds = {"Справочники": "CatalogManager", "Catalogs": "CatalogManager", "Документы": "DocumentManager", "Documents": "DocumentManager", "РегистрыСведений": "InformationRegisterManager", "InformationRegisters": "InformationRegisterManager", "Перечисления": "EnumManager", "Enums": "EnumManager"}
     parts = F.split(path, r"\.")
-    known = F.try_element_at(F.create_map(*[F.lit(x) for p in kinds.items() for x in p]), F.get(parts, F.lit(0)))
+    known = F.try_element_at(F.create_map(*[F.lit(x) for p in MANAGERS.items() for x in p]), F.get(parts, F.lit(0)))
     return F.when(F.size(parts) <= 2, known), F.when((F.size(parts) <= 2) & known.isNotNull(), F.when(F.size(parts) == 2, 0.8).otherwise(1.0)).otherwise(0.0)

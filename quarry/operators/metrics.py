@@ -21,10 +21,15 @@ def last_values(calls: DataFrame, component: str, value: str, order: list[str],
 
 
 def percentile_floor(values: DataFrame, component: str, value: str, percent: int) -> DataFrame:
-    """The value at index (n - 1) * percent / 100, rounded down, of the sorted values of each component (a few)."""
-    grouped = values.groupBy(component).agg(F.array_sort(F.collect_list(value)).alias("_v"))
-    at = F.floor((F.size("_v") - 1) * percent / 100).cast("int") + 1
-    return grouped.select(component, F.element_at("_v", at).alias(f"p{percent}"))
+    """The value at index (n - 1) * percent / 100, rounded down, of the sorted values of each component.
+
+    Equal values are counted before they meet, and a running sum over them finds the index.
+    """
+    counted = values.groupBy(component, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    mine = Window.partitionBy(component)
+    upto = F.sum("_n").over(mine.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    told = counted.withColumn("_upto", upto).withColumn("_at", F.floor((F.sum("_n").over(mine) - 1) * percent / 100))
+    return told.where("_upto > _at").groupBy(component).agg(F.min("_v").alias(f"p{percent}"))
 
 
 def snapshot_stats(snapshots: DataFrame, order: str, value: str, n: int = 100) -> DataFrame:

@@ -6,6 +6,8 @@ methods, properties and facets (arrays of strings), and documentation.
 
 from __future__ import annotations
 
+import re
+
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -84,7 +86,7 @@ def completions(types: DataFrame, prefix: str) -> DataFrame:
 
 def display(types: DataFrame) -> DataFrame:
     """name, category and a line of description."""
-    category = F.when(F.col("source") == "Platform", "Platform").when(F.col("source") == "Configuration", F.element_at("category_path", 1)).otherwise("Unknown")
+    category = F.when(F.col("source") == "Platform", "Platform").when(F.col("source") == "Configuration", F.get("category_path", F.lit(0))).otherwise("Unknown")
     text = F.format_string("%s: %d methods, %d properties", F.col("name"), F.size("methods"), F.size("properties"))
     return types.select("id", "name", category.alias("category"), text.alias("description"))
 
@@ -120,3 +122,34 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[str]) ->
     rest = [c for c in old.columns if c not in keys]
     last = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order, "_new")).alias("_row"))
     return last.select(*keys, "_row.*").select(*old.columns)
+
+
+def cache_key(content: Column, version: str) -> Column:
+    """The key of a cached result: the first 16 hex digits of the content's SHA-256, and the version that made it."""
+    return F.concat(F.left(F.sha2(content, 256), F.lit(16)), F.lit(f":{version}"))
+
+
+def cache_put(cache: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
+    """The cache with new entries in place of those of their keys; ``fresh`` holds a key once."""
+    return cache.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh)
+
+
+def cache_drop(cache: DataFrame, gone: DataFrame) -> DataFrame:
+    """The cache without the given keys."""
+    return cache.join(gone.distinct(), gone.columns, "left_anti")
+
+
+def output_names(texts: list[str]) -> list[str]:
+    """Names of projected columns by their written form: an alias, a field's last part, a function's name, else Expression.
+
+    A name that came before gets the number of its repeat.
+    """
+    seen: dict[str, int] = {}
+    names = []
+    for text in texts:
+        found = re.fullmatch(r".*\s(?:AS|КАК)\s+(\w+)", text.strip(), re.I | re.S) or re.fullmatch(r"(?:\w+\.)*(\w+)", text.strip()) or re.fullmatch(r"(\w+)\(.*\)", text.strip(), re.S)
+        name = found[1] if found else "Expression"
+        again = seen.get(name, 0)
+        seen[name] = again + 1
+        names.append(f"{name}{again}" if again else name)
+    return names

@@ -46,6 +46,20 @@ def search_exact(index: DataFrame, words: list[str]) -> DataFrame:
     return hits.groupBy("doc_id").agg(F.round(F.sum(F.col("weight") * F.try_element_at(times, F.col("term"))), 6).alias("score"))
 
 
+def search_rows(rows: DataFrame, key: str, weights: dict[str, float], words: list[str]) -> DataFrame:
+    """``search_exact`` without an index: terms are filtered and counted within their array, so no other word becomes a row."""
+    asked = {w.lower(): 0 for w in words}
+    for w in words:
+        asked[w.lower()] += 1
+    times = F.create_map(*[x for w, n in asked.items() for x in (F.lit(w), F.lit(float(n)))])
+    total, held = F.lit(0.0), F.lit(0)
+    for c, w in weights.items():
+        hits = F.filter(index_terms(F.coalesce(F.col(c), F.lit(""))), lambda t: t.isin(list(asked)))
+        total = total + F.lit(float(w)) * F.aggregate(hits, F.lit(0.0), lambda a, t: a + F.try_element_at(times, t))
+        held = held + F.size(hits)
+    return rows.select(F.col(key).alias("doc_id"), total.alias("_s"), held.alias("_h")).where("_h > 0").groupBy("doc_id").agg(F.round(F.sum("_s"), 6).alias("score"))
+
+
 def similarity(term: Column, word: Column, bytes_length: bool = True) -> Column:
     """1 for equal (whatever the case), 0.95 for a prefix, 0.8 for a part, else 1 - distance / length; null if too far.
 
@@ -106,15 +120,16 @@ def highlight_term(term: Column, word: Column, mark: str = "mark") -> Column:
     return F.when(at > 0, inner).otherwise(F.concat(F.lit(f"<{mark}>"), term, F.lit(f"</{mark}>")))
 
 
-def page(rows: DataFrame, number: int, size: int, order: list[Column], first: int = 0) -> DataFrame:
+def page(rows: DataFrame, number: int, size: int, order: list[Column], first: int = 0, total: int | None = None) -> DataFrame:
     """One page of a total order with _total, _pages, _has_next and _has_previous.
 
-    Pages count from ``first`` (0 or 1). Numbering beyond the end gives no rows.
+    Pages count from ``first`` (0 or 1). Numbering beyond the end gives no rows. ``total`` spares
+    the count where it is known from an earlier page.
     """
     if number < first or size < 1:
         raise ValueError("no such page")
     k = number - first
-    total = rows.count()
+    total = rows.count() if total is None else total
     pages = -(-total // size)
     part = rows.orderBy(*order).offset(k * size).limit(size)
     about = {"_total": total, "_pages": pages}

@@ -31,9 +31,12 @@ def create(inputs: DataFrame, keys: list[str], confidence: str) -> DataFrame:
 
 def simplify(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Light types dropped, the rest scaled, the heaviest kept; the cut is not scaled again."""
-    scaled = share(normalize(rows, keys).where(F.col("weight") >= LIGHTEST), keys)
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("weight"), "type"))
-    return scaled.withColumn("_r", rank).where(F.col("_r") <= MOST_TYPES).drop("_r")
+    heavy = normalize(rows, keys).where(F.col("weight") >= LIGHTEST)
+    # One exchange: total and rank are windows over the same keys.
+    mine = Window.partitionBy(*keys)
+    told = heavy.withColumn("_total", F.sum("weight").over(mine)).withColumn("weight", F.round(F.col("weight") / F.col("_total"), 9))
+    rank = F.row_number().over(mine.orderBy(F.desc("weight"), "type"))
+    return told.where("_total > 0").withColumn("_r", rank).where(F.col("_r") <= MOST_TYPES).drop("_r", "_total")
 
 
 def look_up(rows: DataFrame, keys: list[str], type_: str) -> DataFrame:

@@ -114,13 +114,13 @@ def deps_direct(spark, d):
     return G.dependencies(e, "n3").select(F.lit("out").alias("way"), "node").union(G.dependents(e, "n3").select(F.lit("in"), "node"))
 
 
-_WALK = "WITH RECURSIVE w AS (SELECT src AS start, src AS node, 0 AS depth FROM {e} WHERE starts_with(src, 'c1') UNION SELECT w.start, e.dst, w.depth + 1 FROM w JOIN {e} e ON e.src = w.node WHERE w.depth < 8) SELECT start, node, min(depth) AS depth FROM w GROUP BY start, node"
+_WALK = "WITH RECURSIVE w AS (SELECT src AS start, src AS node, 0 AS depth FROM {e} UNION SELECT w.start, e.dst, w.depth + 1 FROM w JOIN {e} e ON e.src = w.node WHERE w.depth < 8) SELECT start, node, min(depth) AS depth FROM w GROUP BY start, node"
 
 
 @query("graph_reach", _WALK.format(e=_EDGES))
 def graph_reach(spark, d):
     e = _edges(spark, d)
-    return G.reach(e, e.where(F.col("src").startswith("c1")).select(F.col("src").alias("start")).distinct())
+    return G.reach(e, e.select(F.col("src").alias("start")).distinct())
 
 
 @query("graph_path", "SELECT * FROM (SELECT 0 AS place, 'c7' AS node UNION ALL SELECT 1, 'n' || c_nationkey FROM customer WHERE c_custkey = 7 UNION ALL SELECT 2, 'r' || n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey = 7)")
@@ -203,16 +203,16 @@ def contracts(spark, d):
     return Registry(spark, d).table("events").select("event_id", A.contract(F.col("event_type"), F.lit("Number"), sure).alias("contract"))
 
 
-@query("type_hint", "SELECT user_id, CASE WHEN len(t) <= 3 THEN array_to_string(t, '|') ELSE 'Union<' || len(t) || '>' END || CASE WHEN user_id % 3 = 0 THEN '' WHEN user_id % 3 = 1 THEN '~' ELSE '?' END AS hint FROM (SELECT user_id, list_sort(list_distinct(list(event_type))) AS t FROM events WHERE event_id % 40 = 0 GROUP BY user_id)")
+@query("type_hint", "SELECT user_id, CASE WHEN len(t) <= 3 THEN array_to_string(t, '|') ELSE 'Union<' || len(t) || '>' END || CASE WHEN user_id % 3 = 0 THEN '' WHEN user_id % 3 = 1 THEN '~' ELSE '?' END AS hint FROM (SELECT user_id, list_sort(list_distinct(list(event_type))) AS t FROM events GROUP BY user_id)")
 def type_hint(spark, d):
-    g = Registry(spark, d).table("events").where("event_id % 40 = 0").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("t"))
+    g = Registry(spark, d).table("events").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("t"))
     sure = F.when(F.col("user_id") % 3 == 1, 0.95).when(F.col("user_id") % 3 == 2, 0.5)
     return g.select("user_id", A.type_hint(F.col("t"), sure).alias("hint"))
 
 
 @query("type_hint_whole", "SELECT user_id, CASE WHEN len(t) <= 3 THEN array_to_string(t, '|') ELSE 'Union<' || len(t) || '>' END || CASE WHEN user_id % 3 = 0 THEN '' WHEN user_id % 3 = 1 THEN '~' ELSE '?' END AS hint FROM (SELECT user_id, list_sort(list_distinct(list(event_type))) AS t FROM events GROUP BY user_id)")
 def type_hint_whole(spark, d):
-    """Hints of all users from all their events; ``type_hint`` reads a fortieth of them, as its SQL does."""
+    """Hints of all users from all their events."""
     g = Registry(spark, d).table("events").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("t"))
     sure = F.when(F.col("user_id") % 3 == 1, 0.95).when(F.col("user_id") % 3 == 2, 0.5)
     return g.select("user_id", A.type_hint(F.col("t"), sure).alias("hint"))

@@ -99,9 +99,9 @@ def scope_completions(spark, d):
     return functions.union(variables).where(F.col("label").startswith("s"))
 
 
-@query("display_projection", f"SELECT id, name, CASE source WHEN 'Platform' THEN 'Platform' WHEN 'Configuration' THEN category_path[1] ELSE 'Unknown' END AS category, name || ': ' || len(methods) || ' methods, ' || len(properties) || ' properties' AS description FROM {TYPES} WHERE len(category_path) > 0")
+@query("display_projection", f"SELECT id, name, CASE source WHEN 'Platform' THEN 'Platform' WHEN 'Configuration' THEN category_path[1] ELSE 'Unknown' END AS category, name || ': ' || len(methods) || ' methods, ' || len(properties) || ' properties' AS description FROM {TYPES}")
 def display_projection(spark, d):
-    return R.display(types(spark, d).where(F.size("category_path") > 0))
+    return R.display(types(spark, d))
 
 
 @query("detail_projection", f"SELECT id, array_to_string(methods, ',') AS methods, array_to_string(properties, ',') AS properties, array_to_string(facets, ',') AS facets FROM {TYPES}")
@@ -155,9 +155,9 @@ def facet_report(spark, d):
     return R.facet_report(types(spark, d))
 
 
-@query("type_index", f"SELECT facet, category, count(*) AS n, min(name) AS first_name FROM (SELECT unnest(facets) AS facet, category_path[1] AS category, name FROM {TYPES} WHERE len(category_path) > 0) GROUP BY facet, category")
+@query("type_index", f"SELECT facet, category, count(*) AS n, min(name) AS first_name FROM (SELECT unnest(facets) AS facet, category_path[1] AS category, name FROM {TYPES}) GROUP BY facet, category")
 def type_index(spark, d):
-    t = types(spark, d).where(F.size("category_path") > 0).select(F.explode("facets").alias("facet"), F.element_at("category_path", 1).alias("category"), "name")
+    t = types(spark, d).select(F.explode("facets").alias("facet"), F.get("category_path", F.lit(0)).alias("category"), "name")
     return t.groupBy("facet", "category").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("first_name"))
 
 

@@ -29,8 +29,11 @@ def _parts(spark, d):
     return S.postings(Registry(spark, d).table("part"), "p_partkey", {"p_name": 3.0, "p_type": 2.0, "p_brand": 1.0})
 
 
+_WEIGHTS = {"text": 1.0, "source": 2.0}
+
+
 def _documents(spark, d):
-    return S.postings(Registry(spark, d).table("documents"), "doc_id", {"text": 1.0, "source": 2.0})
+    return S.postings(Registry(spark, d).table("documents"), "doc_id", _WEIGHTS)
 
 
 @query("tokenize", r"SELECT w, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '[\s.,;:!?()\[\]{}]+')) AS w FROM documents) WHERE w <> '' GROUP BY w")
@@ -55,7 +58,7 @@ def _exact(index: str, words: list[str]) -> str:
 
 @query("search_exact", _exact(_DOCS, ["with", "ened", "ened", "src3"]))
 def search_exact(spark, d):
-    return S.search_exact(_documents(spark, d), ["with", "ened", "Ened", "src3"])
+    return S.search_rows(Registry(spark, d).table("documents"), "doc_id", _WEIGHTS, ["with", "ened", "Ened", "src3"])
 
 
 _SIM = "CASE WHEN lower(t) = '{w}' THEN 1.0 WHEN starts_with(lower(t), '{w}') THEN 0.95 WHEN contains(lower(t), '{w}') THEN 0.8 WHEN levenshtein(lower(t), '{w}') <= 3 AND 1 - levenshtein(lower(t), '{w}') / greatest(strlen(lower(t)), strlen('{w}')) >= 0.6 THEN 1 - levenshtein(lower(t), '{w}') / greatest(strlen(lower(t)), strlen('{w}')) END"
@@ -75,7 +78,7 @@ def search_fuzzy(spark, d):
 
 @query("search_rank", f"SELECT doc_id, score FROM ({_exact(_DOCS, ['erth', 'the'])}) ORDER BY score DESC, doc_id LIMIT 20")
 def search_rank(spark, d):
-    return S.search_exact(_documents(spark, d), ["erth", "the"]).orderBy(F.desc("score"), "doc_id").limit(20)
+    return S.search_rows(Registry(spark, d).table("documents"), "doc_id", _WEIGHTS, ["erth", "the"]).orderBy(F.desc("score"), "doc_id").limit(20)
 
 
 @query("levenshtein", "SELECT DISTINCT p_name, CAST(levenshtein(lower(p_name), 'red widget') AS INTEGER) AS distance FROM part")
@@ -150,4 +153,4 @@ def search_pipeline(spark, d):
 @query("search_options", f"SELECT doc_id, score FROM ({_exact(_DOCS, ['ened'])}) WHERE score >= 2 ORDER BY score DESC, doc_id LIMIT 15")
 def search_options(spark, d):
     """A least score, a most of results and a second term of order."""
-    return S.search_exact(_documents(spark, d), ["ened"]).where("score >= 2").orderBy(F.desc("score"), "doc_id").limit(15)
+    return S.search_rows(Registry(spark, d).table("documents"), "doc_id", _WEIGHTS, ["ened"]).where("score >= 2").orderBy(F.desc("score"), "doc_id").limit(15)

@@ -26,10 +26,13 @@ _SCRIPT = r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->"
 
 def _plain(text: Column) -> Column:
     """Markup left out, common references decoded, white space as single spaces."""
-    out = F.regexp_replace(text, r"(?s)<[^>]*>", " ")
+    return F.trim(F.regexp_replace(_decoded(F.regexp_replace(text, r"(?s)<[^>]*>", " ")), r"\s+", " "))
+
+
+def _decoded(text: Column) -> Column:
     for ref, c in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(ref), F.lit(c))
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+        text = F.replace(text, F.lit(ref), F.lit(c))
+    return text
 
 
 def body(html: Column) -> Column:
@@ -68,16 +71,45 @@ def parameters(html: Column) -> Column:
     return F.transform(wide, lambda c: F.struct(F.get(c, F.lit(0)).alias("name"), F.get(c, F.lit(1)).alias("type_name"), F.get(c, F.lit(2)).alias("description"), F.coalesce(F.get(c, F.lit(2)).rlike("(?i)необязательный|optional"), F.lit(False)).alias("is_optional")))
 
 
+def examples(html: Column) -> Column:
+    """Texts of code examples as they stand: markup left out, references decoded, white space kept; empty ones are left out."""
+    found = F.regexp_extract_all(body(html), F.lit(r"(?is)<(?:pre|code)(?:\s[^>]*)?>(.*?)</(?:pre|code)>"), F.lit(1))
+    return F.filter(F.transform(found, lambda t: F.trim(_decoded(F.regexp_replace(t, r"(?s)<[^>]*>", "")))), lambda t: t != "")
+
+
+def categories(pages: DataFrame, path: str = "path", title_: str = "title", about: str = "about", longest: int = 200) -> DataFrame:
+    """node, parent, depth, title, about and pages of a tree of paths of any depth.
+
+    Each page counts in every folder on its way; a folder takes title and description (its first
+    ``longest`` characters) from the least page that is its own index, if there is one.
+    """
+    parts = F.filter(F.split(F.col(path), "/"), lambda p: p != "")
+    told = pages.select(parts.alias("_p"), F.col(title_).alias("_t"), F.left(F.col(about), F.lit(longest)).alias("_a")).where(F.size("_p") > 0)
+    on_way = told.select("_p", "_t", "_a", F.explode(F.sequence(F.lit(1), F.size("_p"))).alias("_d"))
+    name = lambda d: F.concat(F.lit("/"), F.array_join(F.slice("_p", F.lit(1), d), "/"))
+    own = F.when(F.col("_d") == F.size("_p"), F.struct("_t", "_a"))
+    grouped = on_way.groupBy(name(F.col("_d")).alias("node"), F.when(F.col("_d") > 1, name(F.col("_d") - 1)).alias("parent"), F.col("_d").alias("depth")).agg(F.min(own).alias("_own"), F.count(F.lit(1)).alias("pages"))
+    return grouped.select("node", "parent", "depth", F.col("_own._t").alias("title"), F.col("_own._a").alias("about"), "pages")
+
+
 def return_type(text: Column) -> tuple[Column, Column]:
     """``type: description`` at the first colon."""
     return F.trim(F.regexp_extract(text, r"(?s)^([^:]*)", 1)), F.trim(F.regexp_extract(text, r"(?s)^[^:]*:(.*)$", 1))
 
 
+#: Words that say where a thing can be used, and where it can if none does.
+PLACES = {"Server": ("Сервер", "Server"), "Client": ("Клиент", "Client"), "Mobile": ("Мобильный", "Mobile")}
+DEFAULT_PLACES = ("Server", "Client")
+
+
+def _any(text: Column, words: tuple[str, ...]) -> Column:
+    return F.exists(F.array(*map(F.lit, words)), lambda w: text.contains(w))
+
+
 def availability(text: Column) -> Column:
     """Where a thing can be used; server and client where the text says nothing."""
-    has = lambda *words: F.greatest(*[text.contains(w) for w in words]) if len(words) > 1 else text.contains(words[0])
-    flags = F.array_compact(F.array(F.when(has("Сервер", "Server"), "Server"), F.when(has("Клиент", "Client"), "Client"), F.when(has("Мобильный", "Mobile"), "Mobile")))
-    return F.when(F.size(flags) > 0, flags).otherwise(F.array(F.lit("Server"), F.lit("Client")))
+    found = F.array_compact(F.array(*[F.when(_any(text, words), place) for place, words in PLACES.items()]))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(*map(F.lit, DEFAULT_PLACES)))
 
 
 #: Words whose presence sets a flag.
@@ -94,16 +126,21 @@ def flags(text: Column) -> dict[str, Column]:
     return {name: F.greatest(*[text.contains(w) for w in words]) for name, words in FLAGS.items()}
 
 
+#: By facet, ends of a name, words in a name and words in a description that suggest it.
+SUGGESTED = {
+    "Manager": (("Manager",), ("Менеджер",), ()),
+    "Object": (("Object",), ("Объект",), ()),
+    "Reference": (("Ref",), ("Ссылка",), ()),
+    "Collection": ((), ("Таблица", "Table", "Массив", "Array"), ("коллекция", "collection", "Для каждого")),
+    "Constructor": ((), (), ("создать", "create", "конструктор")),
+}
+
+
 def facets(name: Column, about: Column) -> Column:
     """Facets that a type's name and description suggest."""
-    any_ = lambda c, *words: F.greatest(*[c.contains(w) for w in words]) if len(words) > 1 else c.contains(words[0])
-    return F.array_compact(F.array(
-        F.when(name.endswith("Manager") | any_(name, "Менеджер"), "Manager"),
-        F.when(name.endswith("Object") | any_(name, "Объект"), "Object"),
-        F.when(name.endswith("Ref") | any_(name, "Ссылка"), "Reference"),
-        F.when(any_(about, "коллекция", "collection", "Для каждого") | any_(name, "Таблица", "Table", "Массив", "Array"), "Collection"),
-        F.when(any_(about, "создать", "create", "конструктор"), "Constructor"),
-    ))
+    ends = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: name.endswith(w)) if words else F.lit(False)
+    holds = lambda c, words: _any(c, words) if words else F.lit(False)
+    return F.array_compact(F.array(*[F.when(ends(e) | holds(name, n) | holds(about, d), facet) for facet, (e, n, d) in SUGGESTED.items()]))
 
 
 def page_kind(path: Column, name: Column) -> Column:
@@ -136,6 +173,28 @@ def type_name(written: Column) -> Column:
     return out
 
 
+def write_files(files: DataFrame, folder: str) -> None:
+    """Write each row (path below the folder, content) as a file of its own; tasks write their rows, and again the same if they run again."""
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+    from pyarrow import fs
+
+    uri = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                at = f"{base}/{path}"
+                store.create_dir(at.rpartition("/")[0], recursive=True)
+                with store.open_output_stream(at) as out:
+                    out.write(content.encode())
+            yield batch.select(["path"])
+
+    files.select("path", "content").mapInArrow(put, "path string").count()
+
+
 def xml_files(spark: SparkSession, folder: str) -> DataFrame:
     """path and content of all XML files below a folder, one row a file."""
     return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xml").text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))

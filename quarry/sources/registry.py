@@ -37,6 +37,11 @@ SOURCES = {
 }
 
 
+#: Registers of entries with two accounts, and of calculations, over the same tables.
+ACCOUNTING = {"orders": {"period": "o_orderdate", "recorder": "o_orderkey", "debit": "o_custkey", "credit": "o_orderpriority", "amount": "o_totalprice"}}
+CALCULATION = {"lineitem": {"period": "l_shipdate", "recorder": "l_orderkey", "l_suppkey": "l_suppkey", "result": "l_quantity"}}
+
+
 class Registry:
     """Scans of the sources below one folder of Parquet tables, with optional row policies."""
 
@@ -47,6 +52,18 @@ class Registry:
         """The table as it is; Catalyst prunes its columns and pushes filters into the scan."""
         return self.spark.read.parquet(f"{self.root}/{name}.parquet")
 
+    def entries(self, name: str) -> DataFrame:
+        """An accounting register: period, recorder, the debit and credit accounts and the amount of each entry."""
+        book = ACCOUNTING[name]
+        return self.table(name).select(*[F.col(c).alias(n) for n, c in book.items()])
+
+    def calculations(self, name: str) -> DataFrame:
+        """A calculation register: records with the month that they are registered in, their recorder, object and result."""
+        book = CALCULATION[name]
+        month = F.date_trunc("month", F.col(book["period"])).cast(dict(self.table(name).dtypes)[book["period"]])
+        rest = [F.col(c).alias(n) for n, c in book.items()]
+        return self.table(name).select(month.alias("registration_period"), *rest)
+
     def scan(self, name: str, allowed: bool = False) -> DataFrame:
         """The source under its standard field names, other columns as they are.
 
