@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import scalars
-from quarry.operators import analysis, graph, metrics, registers, repository, search, unions
+from quarry.operators import analysis, flow, graph, metrics, registers, repository, search, unions
 from quarry.sources import markup
 
 
@@ -28,15 +30,32 @@ def test_weighted_unions(spark):
     assert len(kept) == 5 and sum(r.weight for r in kept) < 1
 
 
-@pytest.mark.parametrize(("a", "b", "d"), [("cat", "cat", 0), ("", "", 0), ("cat", "bat", 1), ("cat", "cats", 1), ("cat", "", 3), ("кот", "код", 1), ("Кот", "котт", 1)])
-def test_levenshtein(spark, a, b, d):
-    assert spark.range(1).select(F.levenshtein(F.lower(F.lit(a)), F.lower(F.lit(b)))).first()[0] == d
+def distance(a, b):
+    """Edits by the plain table, row by row."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        above, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(above[j] + 1, row[j - 1] + 1, above[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_distances_of_random_words(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcжщé") for _ in range(rng.randrange(8))) for _ in range(300)]
+    pairs = list(zip(words[::2], words[1::2], strict=True))
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", F.levenshtein("a", "b")).collect()
+    assert sorted(map(tuple, got)) == sorted((a, b, distance(a, b)) for a, b in pairs)
 
 
-def test_fuzzy_classes(spark):
-    terms = spark.createDataFrame([("Массив",), ("МассивСтрок",), ("НовыйМассив",), ("Масив",), ("Дерево",)], "term string")
-    got = {r.term: r["class"] for r in search.fuzzy_matches(terms, "массив").collect()}
-    assert got == {"Массив": "exact", "МассивСтрок": "prefix", "НовыйМассив": "contains", "Масив": "fuzzy"}
+def test_similarity_of_random_words(spark):
+    rng = random.Random(13)
+    words = ["".join(rng.choice("abж") for _ in range(rng.randrange(1, 7))) for _ in range(120)]
+    got = spark.createDataFrame([(w,) for w in words], "term string").select("term", search.similarity(F.col("term"), F.lit("aBж")).alias("s"), search.match_class(F.col("term"), F.lit("aBж")).alias("c")).collect()
+    for term, s, c in got:
+        d, near = distance(term, "abж"), 1 - distance(term, "abж") / max(len(term.encode()), 4)
+        want = (1.0, "exact") if term == "abж" else (0.95, "prefix") if term.startswith("abж") else (0.8, "contains") if "abж" in term else (near, "fuzzy") if d <= 3 and near >= 0.6 else (None, None)
+        assert (s, c) == (pytest.approx(want[0]) if want[0] else None, want[1]), term
 
 
 def test_search_options(spark):
@@ -49,16 +68,31 @@ def test_search_options(spark):
         search.page(docs, 0, 10, [F.col("id")], first=1)
 
 
-def test_paths_and_cycles(spark):
-    chain = spark.createDataFrame([("А", "Б"), ("Б", "В"), ("А", "Г")], "src string, dst string")
-    assert [r.node for r in graph.shortest_path(chain, "А", "В").orderBy("place").collect()] == ["А", "Б", "В"]
-    assert graph.shortest_path(chain, "В", "А").count() == 0
-    assert graph.cycles(chain).count() == 0
-    assert rows(graph.levels(chain), "node", "level") == [("А", 0), ("Б", 1), ("В", 2), ("Г", 1)]
-    loop = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("x", "x")], "src string, dst string")
-    assert rows(graph.cycles(loop), "node", "cycle") == [("a", "a"), ("b", "a"), ("c", "a"), ("x", "x")]
-    assert {r.level for r in graph.levels(loop).collect()} == {None}
-    assert graph.reach(loop.limit(0), loop.select(F.col("src").alias("start")).limit(0)).count() == 0
+def test_graphs_by_brute_force(spark):
+    rng = random.Random(5)
+    for n, m in ((12, 14), (15, 30), (9, 6)):
+        pairs = sorted({(f"v{rng.randrange(n)}", f"v{rng.randrange(n)}") for _ in range(m)})
+        edges = spark.createDataFrame(pairs, "src string, dst string")
+        nodes = sorted({v for p in pairs for v in p})
+        far = {a: {a: 0} for a in nodes}
+        for a in nodes:
+            waiting = [a]
+            for v in waiting:
+                for x, y in pairs:
+                    if x == v and y not in far[a]:
+                        far[a][y] = far[a][v] + 1
+                        waiting.append(y)
+        assert rows(graph.reach(edges, spark.createDataFrame([(a,) for a in nodes], "start string")), "start", "node", "depth") == sorted((a, b, d) for a in nodes for b, d in far[a].items())
+        on = {v for v in nodes if any(y in far and v in far[y] for x, y in pairs if x == v)}
+        assert rows(graph.cycles(edges), "node", "cycle") == sorted((v, min(w for w in on if w in far[v] and v in far[w])) for v in on)
+        goal = max(far[nodes[0]], key=lambda v: (far[nodes[0]][v], v))
+        path = [r.node for r in graph.shortest_path(edges, nodes[0], goal).orderBy("place").collect()]
+        assert len(path) == far[nodes[0]][goal] + 1 and all(p in pairs for p in zip(path, path[1:]))
+        after = {v for v in nodes if any(v in far[w] for w in on)}
+        level = {}
+        for _ in nodes:
+            level |= {v: max([level[x] + 1 for x, y in pairs if y == v], default=0) for v in nodes if v not in after and all(x in level for x, y in pairs if y == v)}
+        assert rows(graph.levels(edges).fillna(-1), "node", "level") == sorted((v, level.get(v, -1)) for v in nodes)
 
 
 def test_totals_and_slices(spark):
@@ -70,12 +104,21 @@ def test_totals_and_slices(spark):
 
 
 def test_repository(spark):
-    t = spark.createDataFrame([("1", "Массив", "Array", "Platform", ["Коллекции"], ["m"], [], ["Collection"]), ("2", "Контрагенты", "Contractors", "Configuration", ["Справочники"], [], ["p"], ["Manager", "Reference"])], "id string, name string, alt_name string, source string, category_path array<string>, methods array<string>, properties array<string>, facets array<string>")
-    assert repository.stats(t).first().asDict() == {"total": 2, "platform": 1, "configuration": 1, "user_defined": 0}
-    assert rows(t.where(repository.Filter(source="Platform").predicate()), "id") == [("1",)]
-    assert rows(repository.find(t, "масс"), "id") == [("1",)]
-    assert rows(repository.look_up(t, "Массив строк"), "id", "priority") == [("1", 2)]
-    assert rows(repository.completions(t, "Массив."), "label", "kind") == [("m", "method")]
+    """Stats and look-ups over made-up rows, against the same rules in Python."""
+    made = [(str(k), f"Ящик{k}", f"Box{k}", ("Platform", "Configuration", "UserDefined")[k % 3], [f"c{k % 2}"] if k % 4 else [], [f"open{k}"], ["size"], ["Object"]) for k in range(20)]
+    t = spark.createDataFrame(made, "id string, name string, alt_name string, source string, category_path array<string>, methods array<string>, properties array<string>, facets array<string>")
+    assert repository.stats(t).first().asDict() == {"total": 20, "platform": 7, "configuration": 7, "user_defined": 6}
+    assert {r.id for r in t.where(repository.Filter(source="Configuration").predicate()).collect()} == {m[0] for m in made if m[3] == "Configuration"}
+    assert {r.id for r in repository.find(t, "ящик1").collect()} == {m[0] for m in made if "ящик1" in m[1].lower()}
+    assert ("7", "Ящик7") in rows(repository.look_up(t, "Ящик7"), "id", "name")
+    assert rows(repository.completions(t, "Ящик3."), "label", "kind") == [("open3", "method"), ("size", "property")]
+
+
+def test_cache(spark):
+    old = spark.createDataFrame([("a", 1), ("b", 2)], "key string, v int")
+    put = repository.cache_put(old, spark.createDataFrame([("b", 3), ("c", 4)], "key string, v int"), ["key"])
+    assert rows(put, "key", "v") == [("a", 1), ("b", 3), ("c", 4)]
+    assert rows(repository.cache_drop(put, old.select("key")), "key") == [("c",)]
 
 
 def test_file_rules(spark):
@@ -127,6 +170,51 @@ def test_modules(spark, tmp_path):
     assert ("Main", "Сумма", "call") in rows(analysis.dependency_edges(files), "src", "dst", "kind")
 
 
+FLOW = """Перем общее;
+Функция Выбор(а, б)
+    з = 1;
+    Если а = Неопределено Тогда
+        з = "т";
+        Если б Тогда
+            з = Истина;
+        Иначе
+            з = '20240101';
+        КонецЕсли;
+    Иначе
+        н = з;
+    КонецЕсли;
+    Возврат з;
+КонецФункции
+Процедура Старт()
+    в = Выбор(1, 2);
+    г = в;
+    общее = нет + 1;
+КонецПроцедуры"""
+
+
+def test_flow(spark):
+    """Nested branches: an inner block whose branches all assign hides what came before it, an outer one without does not."""
+    files = spark.createDataFrame([("a.bsl", FLOW)], "path string, content string")
+    found = flow.blocks(files)
+    placed = flow.typed_assignments(found)
+    at = {(r.line, r.variable, r.type): round(r.weight, 3) for r in flow.states(found, placed).collect()}
+    assert {k: v for k, v in at.items() if k[:2] == (10, "з")} == {(10, "з", "Boolean"): 0.5, (10, "з", "Date"): 0.5}
+    assert {k: v for k, v in at.items() if k[:2] == (13, "з")} == {(13, "з", t): 0.333 for t in ("Boolean", "Date", "Number")}
+    assert at[13, "н", "Number"] == 1.0
+    returns = flow.return_types(flow.direct_returns(found, placed))
+    assert {(r.routine, r.type, round(r.weight, 3)) for r in returns.collect()} == {("Выбор", "Boolean", 0.333), ("Выбор", "Date", 0.333), ("Выбор", "Number", 0.333), ("Старт", "Void", 1.0)}
+    again = flow.typed_assignments(found, returns)
+    assert {r.type for r in again.where("variable = 'г'").collect()} == {"Boolean", "Date", "Number"}
+    assert rows(flow.undeclared(found), "line", "message") == [(19, "нет is not declared")]
+
+
+def test_recursion_ends(spark):
+    text = "Function A()\n    If q Then\n        Return B();\n    EndIf;\n    Return 1;\nEndFunction\nFunction B()\n    Return A();\nEndFunction\nFunction C()\n    Return None();\nEndFunction"
+    found = flow.blocks(spark.createDataFrame([("a", text)], "path string, content string"))
+    got = flow.return_types(flow.direct_returns(found, flow.typed_assignments(found)))
+    assert {(r.routine, r.type): round(r.weight, 3) for r in got.collect()} == {("A", "Number"): 0.5, ("A", "Unknown"): 0.5, ("B", "Number"): 0.5, ("B", "Unknown"): 0.5, ("C", "Unknown"): 1.0}
+
+
 def test_narrowing(spark):
     t = spark.createDataFrame([('TypeOf(x) = Type("Number")',), ("y = Undefined",), ("z <> NULL",), ("q > 1",)], "c string")
     got = [tuple(r) for r in t.select(*analysis.narrowing(F.col("c"))).collect()]
