@@ -9,7 +9,7 @@ import contextlib
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -99,6 +99,21 @@ def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int
         row = end
 
 
+_held: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str = "", forget: Callable[[], None] | None = None) -> None:
+    """A worker's task starts for ``owner``: what other operators remember in this worker is let go.
+
+    Workers live on from job to job, so a vocabulary that one stage remembers would else lie
+    beside the next stage's memory.
+    """
+    for name in [name for name in _held if name != owner]:
+        _held.pop(name)()
+    if forget:
+        _held[owner] = forget
+
+
 @contextlib.contextmanager
 def no_cycles() -> Iterator[None]:
     """Keeps Python from searching for cycles of objects while many that have none are made."""

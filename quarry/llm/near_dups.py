@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, shingle_hashes, split_join, text_slices, word_hashes
+from .common import claim, materialize, mix, shingle_hashes, split_join, text_slices, word_hashes
 
 
 #: Classes whose texts are picked by broadcast of 16 bytes each; members of a block; matrix columns at a time.
-BROADCAST_ROWS, BLOCK, COLUMNS = 1 << 18, 512, 1 << 13
+BROADCAST_ROWS, BLOCK, COLUMNS = 1 << 18, 256, 1 << 13
 
 
 @dataclass(frozen=True)
@@ -74,6 +74,7 @@ def signed(docs: DataFrame, key: str, text: str, settings: Settings) -> DataFram
     """_id, _mark (a hash of the text), _n (distinct shingles), _set (a hash of the set), _tokens (coordinate-value pairs) and _codes (a byte of each)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
         times, plus = _multipliers(settings)
         salt = mix(np.arange(1, settings.coordinates + 1, dtype=np.uint64))
         for batch in batches:
@@ -206,6 +207,7 @@ def block_links(ids: np.ndarray, group: np.ndarray, texts: pa.Array, codes: np.n
 
 def _merge(table: pa.Table, settings: Settings) -> pa.Table:
     """Links between the rows of side 0 and those of side 1, or between all where there is but one side."""
+    claim()
     table = table.combine_chunks()
     side = table.column("_side").to_numpy()
     ids, group = table.column("_v").to_numpy(), table.column("_c").to_numpy()

@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, no_cycles, text_slices
+from .common import claim, mix, no_cycles, text_slices
 from .tokens import tokenizer_path
 
 #: Segmentations that a Python worker remembers before it starts anew; it bounds memory, not results.
-REMEMBERED = 2_000_000
+REMEMBERED = 600_000
 #: Units of more merges than this (below 64) are remembered only without skips: with them they hardly come again.
 LONG = 48
 #: Up to so many characters a scan of the possible merges is faster than an agenda.
@@ -366,6 +366,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
         slim = slim.withColumn("_stream", F.xxhash64("_stream", copy))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("pieces", _models.clear)
         pieces = model(path, dropout, seed)
         for whole in batches:
             at = 0

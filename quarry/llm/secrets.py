@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, split_join
+from .common import claim, materialize, split_join
 
 #: Base kinds in the order that breaks ties between spans with one start.
 KINDS = ("assign", "access", "hex")
@@ -66,6 +66,7 @@ def parts(text: str, base: list[tuple[int, int, str, int]]) -> list[dict]:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim()
     for batch in batches:
         out: dict[str, list] = {k: [] for k in ("base", "parts", "scope")}
         for i, text in enumerate(batch.column("_text")):
@@ -132,6 +133,7 @@ def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def _redact(batches: Iterator[pa.RecordBatch], text: str, length: str, mask: str) -> Iterator[pa.RecordBatch]:
+    claim()
     for batch in batches:
         texts, sizes = [], []
         at = batch.schema.get_field_index(text)

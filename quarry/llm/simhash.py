@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, mix, shingle_hashes, split_join, text_slices, whole, word_hashes
+from .common import claim, materialize, mix, shingle_hashes, split_join, text_slices, whole, word_hashes
 
 BITS, WIDTH = 128, 5
 #: Bits by which texts of similarity 0.8 may differ: 20 on average; unrelated ones differ by 64.
@@ -208,6 +208,7 @@ def compare_and_search(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 def _edited(batches: Iterator[pa.RecordBatch], bits: int, width: int) -> Iterator[pa.RecordBatch]:
     """Rows come in order; one that is the last of its bucket is followed by a copy of the next bucket's first."""
+    claim()
     before: tuple | None = None
     for batch in batches:
         keys, texts = batch.column("_key").to_pylist(), [t or "" for t in batch.column("_text").to_pylist()]

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, whole
+from .common import claim, materialize, whole
 from .tokens import tokenizer_path
 
 #: Unicode white space, spelled out for Java's patterns.
@@ -53,6 +53,7 @@ def _count(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[pa.Rec
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
+    claim()
     model = Tokenizer.from_file(tokenizer_path(tokenizer)).model
     level = _byte_letters()
     for batch in batches:
@@ -87,6 +88,7 @@ def _count_texts(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
+    claim()
     library = Tokenizer.from_file(tokenizer_path(tokenizer))
     known: dict[str, int] = {}
     specials = special_strings(tokenizer)

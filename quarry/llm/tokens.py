@@ -9,6 +9,8 @@ from collections.abc import Iterable
 
 import numpy as np
 
+from .common import claim
+
 #: Distinct words that a Python worker remembers before it starts anew; it bounds memory, not results.
 REMEMBERED = 1_500_000
 
@@ -117,6 +119,7 @@ def tokenizer_path(name: str) -> str:
 
 def word_encoder(path: str) -> WordEncoder:
     """The worker's encoder for this file; workers are reused, and so is what they remember."""
+    claim("words", _encoders.clear)
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
     return _encoders[path]
