@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -247,15 +247,15 @@ def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text",
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     slim = docs.select(F.col(f"`{key}`").cast("long").alias("_key"), whole(text).alias("_text"))
     cuts = sorted(set(slim.where("_key is not null").approxQuantile("_key", [k / (8 * parts) for k in range(1, 8 * parts)], 0.2 / (8 * parts))))
-    # The bucket is found by bisection in one constant, whatever the number of cuts.
-    bounds = np.array(cuts, np.int64)
-
-    @F.pandas_udf("int")
-    def place(keys: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, keys.to_numpy(), "right").astype(np.int32) + 1)
-
-    bucket = F.when(F.col("_key").isNull(), 0).otherwise(place(F.coalesce("_key", F.lit(0))))
-    cut = slim.withColumn("_bucket", bucket.cast("int"))
+    # All cuts are one constant; a row looks through every step-th of them and then through one step.
+    step = max(1, math.isqrt(len(cuts)))
+    constant = lambda some: F.split(F.lit(",".join(str(int(c)) for c in some)), ",").cast("array<bigint>")
+    upto = lambda some: F.size(F.filter(some, lambda c: c <= F.col("_key")))
+    run = upto(constant(cuts[::step])) - 1 if cuts else F.lit(-1)
+    within = upto(F.slice(constant(cuts), F.col("_run") * step + 1, F.lit(step))) if cuts else F.lit(0)
+    slim = slim.withColumn("_run", run)
+    bucket = F.when(F.col("_key").isNull(), 0).when(F.col("_run") < 0, 1).otherwise(F.col("_run") * step + within + 1)
+    cut = slim.withColumn("_bucket", bucket.cast("int")).drop("_run")
     # As many rows as there are buckets: the first key of each, then its text, then who needs it.
     firsts = cut.groupBy("_bucket").agg(F.min("_key").alias("_first")).withColumnRenamed("_bucket", "_b")
     heads = cut.join(F.broadcast(firsts), F.col("_key").eqNullSafe(F.col("_first")) & (F.col("_bucket") == F.col("_b"))).groupBy("_bucket").agg(F.first("_key").alias("_key"), F.min("_text").alias("_text"))
