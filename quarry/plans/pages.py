@@ -75,8 +75,9 @@ def html_links(spark, d):
 
 @query("html_parse", f"SELECT page_id, {_TITLE} AS title, CAST(len({_texts('p')}) AS INTEGER) AS paragraphs, CAST(len({_texts('li')}) AS INTEGER) AS items FROM pages")
 def html_parse(spark, d):
-    h = F.col("html")
-    return _pages(spark, d).select("page_id", M.title(h).alias("title"), F.size(M.texts(h, "p")).alias("paragraphs"), F.size(M.texts(h, "li")).alias("items"))
+    # Scripts and comments are taken out once.
+    pages, h = _pages(spark, d).select("page_id", M.body(F.col("html")).alias("body")), F.col("body")
+    return pages.select("page_id", M.title(h, True).alias("title"), F.size(M.texts(h, "p", True)).alias("paragraphs"), F.size(M.texts(h, "li", True)).alias("items"))
 
 
 @query("html_table", "SELECT n_nationkey, n_name AS name, CAST(n_regionkey AS VARCHAR) AS type_name, n_nationkey % 2 = 0 AS is_optional FROM nation")

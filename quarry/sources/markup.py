@@ -40,8 +40,9 @@ def body(html: Column) -> Column:
     return F.regexp_replace(html, _SCRIPT, "")
 
 
-def title(html: Column) -> Column:
-    return _plain(F.regexp_extract(body(html), r"(?is)<h1[^>]*>(.*?)</h1>", 1))
+def title(html: Column, stripped: bool = False) -> Column:
+    """The first heading; ``stripped`` says that ``html`` is a ``body`` already."""
+    return _plain(F.regexp_extract(html if stripped else body(html), r"(?is)<h1[^>]*>(.*?)</h1>", 1))
 
 
 def bilingual_title(name: Column) -> tuple[Column, Column]:
@@ -49,9 +50,9 @@ def bilingual_title(name: Column) -> tuple[Column, Column]:
     return F.trim(F.regexp_extract(name, r"^([^(]*)", 1)), F.trim(F.regexp_extract(name, r"\(([^)]*)\)", 1))
 
 
-def texts(html: Column, tag: str) -> Column:
+def texts(html: Column, tag: str, stripped: bool = False) -> Column:
     """Texts of all elements of one tag, empty ones left out."""
-    found = F.regexp_extract_all(body(html), F.lit(rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>"), F.lit(1))
+    found = F.regexp_extract_all(html if stripped else body(html), F.lit(rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>"), F.lit(1))
     return F.filter(F.transform(found, _plain), lambda t: t != "")
 
 
