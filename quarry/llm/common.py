@@ -45,10 +45,15 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/quarry/{context.applicationId}/{uuid.uuid4().hex}"
 
 
+#: Scratch tables written by this driver, in order.
+written: list[str] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared scratch folder and read it back: lineage ends there."""
     path = scratch_dir(df.sparkSession)
     df.write.parquet(path)
+    written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -76,6 +81,15 @@ def clean_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def drop_scratch(spark: SparkSession, paths: list[str]) -> None:
+    """Delete these scratch tables, which nothing reads any more."""
+    for path in paths:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        if path in written:
+            written.remove(path)
+
+
 def whole(text: str):
     """The text with null read as empty."""
     return F.coalesce(F.col(text), F.lit(""))

@@ -8,7 +8,7 @@ import duckdb
 import numpy as np
 
 import corpus_pipeline
-from quarry.llm import pieces, quality, secrets
+from quarry.llm import common, pieces, quality, secrets
 from quarry.llm.queries import ORACLE_SQL
 
 from .test_texts import counts, near_dup_rows, shingles
@@ -69,5 +69,8 @@ def test_stages_by_brute_force(spark, corpus, tmp_path):
 
 
 def test_run(spark, corpus):
+    before = len(common.written)
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    # Of all scratch tables the last stage's input is left.
+    assert len(common.written) == before + 1
     assert out.count() > 0 and set(out.columns) == {"doc_id", "ids", "n_pieces", "n_bytes", "lossless"}
