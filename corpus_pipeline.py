@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import mixing, near_dups, pieces, quality, secrets
-from quarry.llm.common import materialize
-
+from quarry.llm.common import drop_scratch, materialize, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +40,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and reread."""
+    """All stages over ``documents``, each written and reread; scratch tables go as soon as nothing reads them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        docs = materialize(docs) if k < len(STAGES) - 1 else docs
-    return docs
+    begin = len(written)
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+        drop_scratch(spark, written[begin:-1])
+    return STAGES[-1][1](spark, docs, sf_dir)
