@@ -210,7 +210,7 @@ def _edited(batches: Iterator[pa.RecordBatch], bits: int, width: int) -> Iterato
     """Rows come in order; one that is the last of its bucket is followed by a copy of the next bucket's first."""
     claim()
     before: tuple | None = None
-    for batch in batches:
+    for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, len(whole), 1000)):
         keys, texts = batch.column("_key").to_pylist(), [t or "" for t in batch.column("_text").to_pylist()]
         extra, buckets = batch.column("_extra").to_pylist(), batch.column("_bucket").to_pylist()
         prints = fingerprints(pa.array(texts, pa.large_string()), bits, width)
