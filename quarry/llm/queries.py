@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, near_dups, packing, pages, pieces, quality, secrets, sharding, simhash, token_counts
+from . import decontamination, fim, mixing, near_dups, packing, pages, pieces, quality, secrets, sharding, simhash, token_counts, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,9 +58,26 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_documents(spark, sf_dir)))
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(fim.transform(_documents(spark, sf_dir)))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return made.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.check(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_packing, op2_sharding, op3_pages, op4_mixing, op5_simhash, op6_token_counts, op7_pieces, op8_quality, op9_near_dups, op10_secrets)
-}
+    f.__name__: f
+    for f in (
+        op1_packing, op2_sharding, op3_pages, op4_mixing, op5_simhash, op6_token_counts, op7_pieces, op8_quality, op9_near_dups, op10_secrets,
+        op11_fim, op12_whitening, op13_decontamination,
+    )
+}
 
 #: The mix in plain windows: sizes, targets by water level, and documents in hash order up to the nearest cut.
 _MIX = r"""
@@ -110,4 +128,40 @@ p AS (SELECT doc_id, size, text_crc32, CAST({_descent(False)} AS INTEGER) AS sha
 SELECT doc_id, size, text_crc32, 'key' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS BIGINT) AS slot, grown_shard FROM p
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_sharding": _SHARDS, "op4_mixing": _MIX}
+_FIM = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS s, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS x,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS k FROM documents),
+h AS (SELECT *, len(k) AS n, [CAST('0x' || x[8 * i + 1 : 8 * i + 8] AS BIGINT) FOR i IN range(4)] AS h FROM t),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+    CASE WHEN s = '' OR contains(s, '<P>') OR contains(s, '<S>') OR contains(s, '<M>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, coalesce(array_to_string(k[1 : a], ''), '') AS p, coalesce(array_to_string(k[a + 1 : b], ''), '') AS m, coalesce(array_to_string(k[b + 1 : n], ''), '') AS f FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN s WHEN 'psm' THEN '<P>' || p || '<S>' || f || '<M>' || m ELSE '<S>' || f || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(s) AS restored_sha256 FROM p
+"""
+
+#: Windows and the documents' own windows of the same lengths as lists; proximity by the rarest two words.
+_LEAKS = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
+v AS (SELECT DISTINCT item, w[i + 1 : i + 10] AS win FROM (SELECT item, w, unnest(range(greatest(len(w) - 10, 0) + 1)) AS i FROM b WHERE len(w) > 0)),
+g AS (SELECT r, i, l, w[i + 1 : i + l] AS win FROM (SELECT r, w, l, unnest(range(len(w) - l + 1)) AS i FROM d, (SELECT DISTINCT len(win) AS l FROM v) WHERE len(w) >= l)),
+e AS (SELECT r, i, l, win FROM g WHERE win IN (SELECT win FROM v)),
+hit AS (SELECT r, count(DISTINCT spot) AS n_hit FROM (SELECT r, unnest(range(i, i + l)) AS spot FROM e) GROUP BY r),
+it AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM e JOIN v USING (win) GROUP BY r),
+p AS (SELECT r, generate_subscripts(w, 1) - 1 AS spot, unnest(w) AS word FROM d),
+q AS (SELECT win, generate_subscripts(win, 1) - 1 AS place, unnest(win) AS word FROM (SELECT DISTINCT win FROM v)),
+n AS (SELECT word, count(*) AS n FROM p WHERE word IN (SELECT word FROM q) GROUP BY word),
+k AS (SELECT win, list(struct_pack(word := word, place := place) ORDER BY n, place) AS parts FROM q JOIN n USING (word) GROUP BY win HAVING count(*) = len(win)),
+c AS (SELECT r, win, parts, spot - parts[1].place AS start FROM k JOIN p ON p.word = k.parts[1].word),
+m AS (SELECT DISTINCT c.r, win, start FROM c JOIN p ON p.r = c.r AND p.word = c.parts[2].word AND abs(p.spot - c.start - c.parts[2].place) <= 2 WHERE len(win) > 1
+  UNION ALL SELECT DISTINCT r, win, start FROM c WHERE len(win) = 1),
+z AS (SELECT m.r, win, start FROM m JOIN q USING (win) JOIN p ON p.r = m.r AND p.word = q.word AND abs(p.spot - m.start - q.place) <= 2
+  GROUP BY m.r, win, start HAVING count(DISTINCT q.place) * 100 >= len(win) * 80),
+ni AS (SELECT r, count(DISTINCT item) AS n_near_items FROM (SELECT DISTINCT r, win FROM z) JOIN v USING (win) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near_items, 0) AS BIGINT) AS n_near_items
+FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r) LEFT JOIN ni USING (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_sharding": _SHARDS, "op4_mixing": _MIX, "op11_fim": _FIM, "op13_decontamination": _LEAKS}
