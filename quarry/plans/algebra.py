@@ -31,11 +31,37 @@ def wu_normalize(spark, d):
     return U.normalize(_rows(spark, d), ["user_id"]).withColumn("weight", F.round("weight", 6))
 
 
-@query("wu_create", f"SELECT user_id, type, round(n / sum(n) OVER w, 6) AS weight, round(CASE WHEN count(*) OVER w > 1 THEN least(sum(c) OVER w / sum(n) OVER w, 0.9) ELSE sum(c) OVER w / sum(n) OVER w END, 3) AS certainty FROM (SELECT user_id, type, count(*) AS n, sum(weight) AS c FROM {_ROWS} GROUP BY user_id, type) WINDOW w AS (PARTITION BY user_id)")
+#: Confidences are whole hundredths, so their mean in thousandths is told by whole numbers.
+_CERTAIN = "CAST(CASE WHEN types > 1 THEN least((20 * k + n) // (2 * n), 900) ELSE (20 * k + n) // (2 * n) END AS DOUBLE) / 1000"
+_KS = "SELECT user_id, event_type || '_' || CAST(hour(ts) // 6 AS VARCHAR) AS type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events"
+
+
+@query("wu_create", f"SELECT user_id, type, round(m / n, 6) AS weight, {_CERTAIN} AS certainty FROM (SELECT user_id, type, count(*) AS m, sum(count(*)) OVER w AS n, sum(sum(k)) OVER w AS k, count(*) OVER w AS types FROM ({_KS}) GROUP BY user_id, type WINDOW w AS (PARTITION BY user_id))")
 def wu_create(spark, d):
     return U.create(_rows(spark, d), ["user_id"], "weight").select("user_id", "type", F.round("weight", 6).alias("weight"), F.round("certainty", 3).alias("certainty"))
 
 
+#: Each day of a user is an input: the kinds of its events by their share, errors bringing none; it is as certain as its greatest k.
+_DAYS = """WITH e AS (SELECT user_id, CAST(ts AS DATE) AS day, CASE event_type WHEN 'error' THEN NULL WHEN 'view' THEN 'Number(10)' WHEN 'click' THEN 'Number(15,2)' ELSE event_type END AS type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events),
+ c AS (SELECT user_id, day, type, count(*) AS n FROM e GROUP BY ALL), s AS (SELECT user_id, day, type, n / sum(n) OVER (PARTITION BY user_id, day) AS weight FROM c),
+ o AS (SELECT user_id, count(*) AS n, sum(k) AS k FROM (SELECT user_id, day, max(k) AS k FROM e GROUP BY user_id, day) GROUP BY user_id),
+ w AS (SELECT user_id, type, round(sum(weight) / any_value(o.n), 9) AS weight FROM s JOIN o USING (user_id) WHERE type IS NOT NULL GROUP BY user_id, type),
+ f AS (SELECT *, count(*) FILTER (type NOT LIKE 'Number(%') OVER (PARTITION BY user_id) = 0 AS one FROM w),
+ h AS (SELECT user_id, type, round(weight / sum(weight) OVER (PARTITION BY user_id), 9) AS weight FROM f JOIN o USING (user_id) WHERE NOT one AND o.n > 1 AND weight >= 0.05),
+ r AS (SELECT user_id, type, weight FROM f JOIN o USING (user_id) WHERE o.n = 1 UNION ALL SELECT user_id, 'Number', sum(weight) FROM f JOIN o USING (user_id) WHERE one AND o.n > 1 GROUP BY user_id
+  UNION ALL SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY weight DESC, type) <= 5)"""
+
+
+@query("wu_nested", f"{_DAYS} SELECT user_id, type, round(weight, 6) AS weight, CAST(CASE WHEN types > 1 AND n > 1 THEN least((20 * k + n) // (2 * n), 900) ELSE (20 * k + n) // (2 * n) END AS DOUBLE) / 1000 AS certainty FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS types FROM r) JOIN o USING (user_id)")
+def wu_nested(spark, d):
+    """Unions of unions: a user's days, each a union of what happened on it."""
+    kind = F.when(F.col("event_type") == "view", "Number(10)").when(F.col("event_type") == "click", "Number(15,2)").when(F.col("event_type") != "error", F.col("event_type"))
+    e = Registry(spark, d).table("events").select("user_id", F.to_date("ts").alias("day"), kind.alias("type"), F.get_json_object("props", "$.k").cast("double").alias("k"))
+    days = e.groupBy("user_id", "day").agg(F.count(F.lit(1)).alias("_n"), (F.max("k") / 100).alias("sure"))
+    rows = e.groupBy("user_id", "day", "type").agg(F.count(F.lit(1)).alias("_m")).join(days, ["user_id", "day"]).withColumn("weight", F.col("_m") / F.col("_n"))
+    return U.combine(rows, ["user_id"], "day", "sure").select("user_id", "type", F.round("weight", 6).alias("weight"), F.round("certainty", 3).alias("certainty"))
+
+
 _SIMPLE = f"SELECT user_id, type, weight FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY weight DESC, type) AS rn FROM ({_share(f'SELECT * FROM {_NORM} WHERE weight >= 0.05')})) WHERE rn <= 5"
 
 
@@ -55,7 +81,7 @@ def wu_filter(spark, d):
     return kept.withColumn("weight", F.round("weight", 6))
 
 
-@query("wu_add", f"WITH a AS (SELECT user_id, type, weight FROM {_NORM} UNION ALL SELECT DISTINCT user_id, 'refund', 0.5 FROM {_NORM}), g AS (SELECT user_id, type, count(*) AS n, sum(weight) AS c FROM a GROUP BY user_id, type) SELECT user_id, type, round(n / sum(n) OVER w, 6) AS weight, round(CASE WHEN count(*) OVER w > 1 THEN least(sum(c) OVER w / sum(n) OVER w, 0.9) ELSE sum(c) OVER w / sum(n) OVER w END, 3) AS certainty FROM g WINDOW w AS (PARTITION BY user_id)")
+@query("wu_add", f"WITH a AS (SELECT user_id, type, sum(k) AS k FROM ({_KS}) GROUP BY user_id, type UNION ALL SELECT DISTINCT user_id, 'refund', 50 FROM ({_KS})), g AS (SELECT user_id, type, count(*) AS m, sum(k) AS k FROM a GROUP BY user_id, type) SELECT user_id, type, round(m / n, 6) AS weight, {_CERTAIN} AS certainty FROM (SELECT user_id, type, m, sum(m) OVER w AS n, sum(k) OVER w AS k, count(*) OVER w AS types FROM g WINDOW w AS (PARTITION BY user_id))")
 def wu_add(spark, d):
     added = U.add(U.normalize(_rows(spark, d), ["user_id"]), ["user_id"], "refund", 0.5)
     return added.select("user_id", "type", F.round("weight", 6).alias("weight"), F.round("certainty", 3).alias("certainty"))
