@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import analysis as A
-from .graph import cut
+from .graph import cut, substitute, unringed
 
 #: The bilingual words that open, part and close blocks.
 OPEN_IF, OPEN_LOOP, OPEN_TRY = r"(?iu)^\s*(?:Если|If)\b.*\b(?:Тогда|Then)\s*$", r"(?iu)^\s*(?:Пока|While|Для|For)\b.*\b(?:Цикл|Do)\s*$", r"(?iu)^\s*(?:Попытка|Try)\s*$"
@@ -32,23 +32,27 @@ def blocks(files: DataFrame) -> DataFrame:
 
     ``place`` lists the blocks around the line, outermost first: the line that opens a block and
     the line that begins the branch. A line that opens, parts or closes a block has the place of
-    the whole block. Windows run over one file each.
+    the whole block. The stack of open blocks runs along the file's marked lines in one
+    aggregation, however deep they nest; windows run over one file each.
     """
     code = F.col("code")
     opens = code.rlike(OPEN_IF) | code.rlike(OPEN_LOOP) | code.rlike(OPEN_TRY)
     kind = F.when(opens, "open").when(code.rlike(BRANCH), "branch").when(code.rlike(CLOSE), "close")
-    order = Window.partitionBy("path").orderBy("line")
-    rows = A.in_routines(A.lines(files)).withColumn("kind", kind)
-    level = F.sum(F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)).over(order)
-    rows = cut(rows.withColumn("_level", level))
-    deepest = rows.agg(F.coalesce(F.max("_level"), F.lit(0))).first()[0]
-    starts = F.col("kind") == "open"
-    both = starts | (F.col("kind") == "branch")
-    last = lambda what, d: F.last(F.when(what & (F.col("_level") == d), F.col("line")), ignorenulls=True).over(order)
-    stack = [F.struct(last(starts, d).alias("block"), last(both, d).alias("branch")) for d in range(1, deepest + 1)]
-    held = F.col("_level") - F.when(both, 1).otherwise(0)
-    place = F.slice(F.array(*stack), F.lit(1), F.greatest(held, F.lit(0))) if stack else F.array().cast("array<struct<block:int,branch:int>>")
-    return rows.select("path", "line", "code", "routine", "kind", place.alias("place"))
+    rows = cut(A.in_routines(A.lines(files)).withColumn("kind", kind))
+    stack = "array<struct<block:int,branch:int>>"
+    entry = lambda block, branch: F.array(F.struct(block.cast("int").alias("block"), branch.cast("int").alias("branch")))
+
+    def step(held: Column, mark: Column) -> Column:
+        now, line = held["now"], mark["line"]
+        around = F.when(mark["kind"] == "open", now).otherwise(F.slice(now, F.lit(1), F.greatest(F.size(now) - 1, F.lit(0))))
+        inside = F.when(mark["kind"] == "open", F.concat(now, entry(line, line))).when((mark["kind"] == "branch") & (F.size(now) > 0), F.concat(around, entry(F.element_at(now, -1)["block"], line))).otherwise(around)
+        return F.struct(inside.alias("now"), F.concat(held["out"], F.array(F.struct(line.alias("line"), around.alias("around"), inside.alias("inside")))).alias("out"))
+
+    start = F.struct(F.array().cast(stack).alias("now"), F.array().cast(f"array<struct<line:int,around:{stack},inside:{stack}>>").alias("out"))
+    marks = rows.where("kind IS NOT NULL").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("line", "kind"))).alias("_marks"))
+    placed = marks.select("path", F.explode(F.aggregate("_marks", start, step)["out"]).alias("_m")).select("path", "_m.line", "_m.around", "_m.inside")
+    before = F.last("inside", ignorenulls=True).over(Window.partitionBy("path").orderBy("line"))
+    return rows.join(placed, ["path", "line"], "left").withColumn("place", F.coalesce("around", before, F.array().cast(stack))).select("path", "line", "code", "routine", "kind", "place")
 
 
 def _within(outer: Column, inner: Column) -> Column:
@@ -108,29 +112,51 @@ def reaching(rows: DataFrame, placed: DataFrame, points: DataFrame) -> DataFrame
     return joined.select("path", "routine", "line", "variable", "at", "type")
 
 
-def typed_assignments(rows: DataFrame, returns: DataFrame | None = None, rounds: int = 20) -> DataFrame:
+def declared(rows: DataFrame) -> DataFrame:
+    """path, routine, exported and n_parameters of all routines of ``rows`` (lines)."""
+    begins = rows.where(F.col("code").rlike(A.BEGIN))
+    given = F.size(F.filter(F.split(F.regexp_extract("code", A.BEGIN, 3), ","), lambda p: F.trim(p) != ""))
+    return begins.select("path", F.regexp_extract("code", A.BEGIN, 2).alias("routine"), (F.regexp_extract("code", A.BEGIN, 4) != "").alias("exported"), given.alias("n_parameters"))
+
+
+def find_callees(calls: DataFrame, routines: DataFrame) -> DataFrame:
+    """``calls`` (path, callee, ...) with callee_path: the file whose routine is meant.
+
+    That is the caller's own file if it has one of that name, else the only file that exports one;
+    null if none does, or several do. ``routines`` are rows of ``declared``.
+    """
+    own = routines.select("path", F.col("routine").alias("callee"), F.col("path").alias("_own")).distinct()
+    away = routines.where("exported").groupBy(F.col("routine").alias("callee")).agg(F.min("path").alias("_a"), F.max("path").alias("_b"))
+    met = calls.join(own, ["path", "callee"], "left").join(away, "callee", "left")
+    return met.withColumn("callee_path", F.coalesce("_own", F.when(F.col("_a") == F.col("_b"), F.col("_a")))).drop("_own", "_a", "_b")
+
+
+def typed_assignments(rows: DataFrame, returns: DataFrame | None = None) -> DataFrame:
     """Assignments in routines: path, routine, line, variable, place and type; a row for each type that a name brings.
 
-    Names take the types that reach them, calls those of ``returns`` (routine, type); what isn't
-    settled after ``rounds`` is Unknown.
+    Names take the types that reach them where they stand, calls those of ``returns`` (path,
+    routine, type). Which assignments reach a name doesn't hang on types, so it is found once and
+    the chains of names are followed by doubling.
     """
     got = rows.where(F.col("routine").isNotNull() & F.col("kind").isNull() & F.col("code").rlike(A.ASSIGN))
     placed = got.select("path", "routine", "line", F.regexp_extract("code", A.ASSIGN, 1).alias("variable"), "place", value_type(F.regexp_extract("code", A.ASSIGN, 2)).alias("type"))
     if returns is not None:
-        called = placed.withColumn("_f", F.when(F.col("type").startswith("call:"), F.substring("type", 6, 1 << 20)))
-        placed = called.join(returns.select(F.col("routine").alias("_f"), F.col("type").alias("_t")).distinct(), "_f", "left").withColumn("type", F.when(F.col("_f").isNotNull(), F.coalesce("_t", F.lit("Unknown"))).otherwise(F.col("type"))).drop("_f", "_t")
+        called = find_callees(placed.withColumn("callee", F.when(F.col("type").startswith("call:"), F.substring("type", 6, 1 << 20))), declared(rows))
+        told = returns.select(F.col("path").alias("callee_path"), F.col("routine").alias("callee"), F.col("type").alias("_t")).distinct()
+        placed = called.join(told, ["callee_path", "callee"], "left").withColumn("type", F.when(F.col("callee").isNotNull(), F.coalesce("_t", F.lit("Unknown"))).otherwise(F.col("type"))).drop("callee", "callee_path", "_t")
     placed = cut(placed.distinct())
-    for _ in range(rounds):
-        named = placed.where(F.col("type").startswith("name:"))
-        if named.isEmpty():
-            break
+    named = placed.where(F.col("type").startswith("name:"))
+    if not named.isEmpty():
+        here = lambda at: F.concat_ws("\u0000", "path", at)
         points = named.select("path", "routine", "line", F.substring("type", 6, 1 << 20).alias("variable"), "place").distinct()
-        # What a name brings that is itself open waits for the next round.
-        brought = reaching(rows, placed, points).select("path", "routine", "line", F.concat(F.lit("name:"), "variable").alias("type"), F.col("type").alias("_new")).distinct()
-        open_ = placed.join(brought, ["path", "routine", "line", "type"], "left")
-        moved = open_.withColumn("type", F.when(F.col("type").startswith("name:"), F.coalesce("_new", F.lit("Unknown"))).otherwise(F.col("type"))).drop("_new")
-        placed = cut(moved.select(*placed.columns).distinct())
-    return placed.withColumn("type", F.when(F.col("type").rlike("^(name|call):"), "Unknown").otherwise(F.col("type")))
+        reached = reaching(rows, placed, points).select(here("line").alias("node"), here("at").alias("to")).distinct()
+        open_ = named.select(here("line").alias("node")).distinct().join(reached, "node", "left")
+        chains = open_.select("node", F.when(F.col("to").isNull(), "Unknown").alias("type"), "to", F.lit(1.0).alias("weight"))
+        plain = placed.where(~F.col("type").startswith("name:")).select(here("line").alias("node"), "type", F.lit(None).cast("string").alias("to"), F.lit(1.0).alias("weight")).distinct()
+        found = substitute(chains.unionByName(plain)).select(F.col("node").alias("_node"), F.col("type").alias("_type")).distinct()
+        settled = named.drop("type").withColumn("_node", here("line")).join(found, "_node").select("path", "routine", "line", "variable", "place", F.col("_type").alias("type"))
+        placed = cut(placed.where(~F.col("type").startswith("name:")).unionByName(settled).distinct())
+    return placed.withColumn("type", F.when(F.col("type").startswith("call:"), "Unknown").otherwise(F.col("type")))
 
 
 def states(rows: DataFrame, placed: DataFrame) -> DataFrame:
@@ -149,7 +175,7 @@ def states(rows: DataFrame, placed: DataFrame) -> DataFrame:
 
 
 def direct_returns(rows: DataFrame, placed: DataFrame) -> DataFrame:
-    """routine, type (or call:name) and weight of each routine's own returns; Void for one without. Loops aren't looked into."""
+    """path, routine, type (or call:name) and weight of each routine's own returns; Void for one without. Loops aren't looked into."""
     loop = rows.where(F.col("code").rlike(OPEN_LOOP)).select("path", F.col("line").alias("_loop")).groupBy("path").agg(F.collect_set("_loop").alias("_loops"))
     body = rows.where("routine IS NOT NULL").join(loop, "path", "left")
     found = body.where(F.col("code").rlike(A.RETURN) & ~F.coalesce(F.exists("place", lambda p: F.array_contains("_loops", p["block"])), F.lit(False)))
@@ -158,40 +184,41 @@ def direct_returns(rows: DataFrame, placed: DataFrame) -> DataFrame:
     met = reaching(rows, placed, points).select("path", "routine", "line", F.col("type").alias("_new")).distinct()
     each = typed.join(met, ["path", "routine", "line"], "left").withColumn("type", F.when(F.col("type").startswith("name:"), F.coalesce("_new", F.lit("Unknown"))).otherwise(F.col("type")))
     share = 1 / (F.count(F.lit(1)).over(Window.partitionBy("path", "routine", "line")) * F.size(F.collect_set("line").over(Window.partitionBy("path", "routine"))))
-    summed = each.withColumn("_w", share).groupBy("routine", "type").agg(F.sum("_w").alias("weight"))
-    void = rows.where("routine IS NOT NULL").select("routine").distinct().join(summed.select("routine"), "routine", "left_anti")
-    return summed.unionByName(void.select("routine", F.lit("Void").alias("type"), F.lit(1.0).alias("weight")))
+    summed = each.withColumn("_w", share).groupBy("path", "routine", "type").agg(F.sum("_w").alias("weight"))
+    void = rows.where("routine IS NOT NULL").select("path", "routine").distinct().join(summed.select("path", "routine"), ["path", "routine"], "left_anti")
+    return summed.unionByName(void.select("path", "routine", F.lit("Void").alias("type"), F.lit(1.0).alias("weight")))
 
 
-def return_types(direct: DataFrame, rounds: int = 1000) -> DataFrame:
-    """routine, type and weight with calls followed into the routines they name, whatever file holds them.
+def return_types(direct: DataFrame, routines: DataFrame) -> DataFrame:
+    """path, routine, type and weight with calls followed into the routines they mean (``find_callees``).
 
-    A round follows all open calls one step. A call that comes back to a routine on its way, or to
-    one that isn't there, is Unknown.
+    Routines are told by file and name. Weights are merged at each routine, so that any number of
+    ways through the calls is one row a type; a chain of n calls takes log2(n) joins. Recursion: a
+    call of another routine of the same ring brings that routine's types, in which calls into the
+    ring are Unknown; a call of itself is Unknown, and so is one that no file or several files answer.
     """
-    direct = cut(direct)
-    callee = F.substring("type", 6, 1 << 20)
     called = F.col("type").startswith("call:")
-    done = direct.where(~called)
-    open_ = cut(direct.where(called).select("routine", callee.alias("_f"), "weight", F.array("routine").alias("_way")))
-    for _ in range(rounds):
-        if open_.isEmpty():
-            return done.groupBy("routine", "type").agg(F.sum("weight").alias("weight"))
-        back = F.array_contains("_way", F.col("_f"))
-        step = open_.join(direct.select(F.col("routine").alias("_f"), "type", F.col("weight").alias("_w")), "_f", "left")
-        step = cut(step.withColumn("type", F.when(back | F.col("type").isNull(), "Unknown").otherwise(F.col("type"))).withColumn("weight", F.col("weight") * F.coalesce("_w", F.lit(1.0))))
-        done = cut(done.unionByName(step.where(~called).select("routine", "type", "weight")).groupBy("routine", "type").agg(F.sum("weight").alias("weight")))
-        open_ = cut(step.where(called).select("routine", callee.alias("_n"), "weight", F.concat("_way", F.array("_f")).alias("_way")).withColumnRenamed("_n", "_f"))
-    raise RuntimeError(f"calls go on after {rounds} steps")
+    told = find_callees(direct.withColumn("callee", F.when(called, F.substring("type", 6, 1 << 20))), routines)
+    node = lambda path, name: F.concat_ws("\u0000", path, name)
+    lost = called & F.col("callee_path").isNull()
+    rows = told.select(node("path", "routine").alias("node"), F.when(lost, "Unknown").when(~called, F.col("type")).alias("type"), F.when(called & ~lost, node("callee_path", "callee")).alias("to"), "weight")
+    found = substitute(unringed(cut(rows.groupBy("node", "type", "to").agg(F.sum("weight").alias("weight")))))
+    parts = F.split("node", "\u0000")
+    return found.where(~F.col("node").endswith("\u0001")).select(parts[0].alias("path"), parts[1].alias("routine"), "type", "weight")
 
 
 def call_graph(rows: DataFrame) -> DataFrame:
-    """caller, callee, calls and way: calls summed over all files, as they are (out) and reversed (in)."""
+    """caller_path, caller, callee_path, callee, calls and way: calls from each routine, as they are (out) and reversed (in).
+
+    callee_path is the file that ``find_callees`` tells, null for a name that no file or several files answer.
+    """
     body = rows.where(F.col("routine").isNotNull() & ~F.col("code").rlike(A.BEGIN))
     plain = F.regexp_replace("code", r'"(?:[^"]|"")*"', '""')
-    each = body.select(F.col("routine").alias("caller"), F.explode(F.regexp_extract_all(plain, F.lit(A.CALL), F.lit(1))).alias("callee")).where(~F.lower("callee").isin(*A.KEYWORDS, "type", "тип", "typeof", "типзнч"))
-    out = each.groupBy("caller", "callee").agg(F.count(F.lit(1)).alias("calls"))
-    return out.withColumn("way", F.lit("out")).unionByName(out.select(F.col("callee").alias("caller"), F.col("caller").alias("callee"), "calls", F.lit("in").alias("way")))
+    each = body.select("path", F.col("routine").alias("caller"), F.explode(F.regexp_extract_all(plain, F.lit(A.CALL), F.lit(1))).alias("callee")).where(~F.lower("callee").isin(*A.KEYWORDS, "type", "тип", "typeof", "типзнч"))
+    counted = each.groupBy("path", "caller", "callee").agg(F.count(F.lit(1)).alias("calls"))
+    out = find_callees(counted, declared(rows)).select(F.col("path").alias("caller_path"), "caller", "callee_path", "callee", "calls")
+    back = out.select(F.col("callee_path").alias("caller_path"), F.col("callee").alias("caller"), F.col("caller_path").alias("callee_path"), F.col("caller").alias("callee"), "calls", F.lit("in").alias("way"))
+    return out.withColumn("way", F.lit("out")).unionByName(back)
 
 
 def dependencies(rows: DataFrame) -> DataFrame:
@@ -252,14 +279,14 @@ def wrong_operators(rows: DataFrame) -> DataFrame:
 
 
 def arity(files: DataFrame) -> DataFrame:
-    """path, line, severity and message: calls with more arguments than the routine takes, wherever it is exported."""
-    declared = A.routines(files)
-    here = declared.select("path", F.col("name").alias("callee"), F.col("n_parameters").alias("_here"))
-    there = declared.where("exported").groupBy(F.col("name").alias("callee")).agg(F.max("n_parameters").alias("_there"))
-    body = A.in_routines(A.lines(files)).where(F.col("routine").isNotNull() & ~F.col("code").rlike(A.BEGIN))
+    """path, line, severity and message: calls with more arguments than the routine takes that is meant (``find_callees``)."""
+    lines = A.lines(files)
+    routines = declared(lines)
+    body = A.in_routines(lines).where(F.col("routine").isNotNull() & ~F.col("code").rlike(A.BEGIN))
     plain = F.regexp_replace("code", r'"(?:[^"]|"")*"', '""')
     inner = F.regexp_extract_all(plain, F.lit(rf"(?u)(?<![\p{{L}}\p{{N}}_.])({NAME}\s*\([^()]*\))"), F.lit(1))
     calls = body.select("path", "line", F.explode(inner).alias("c")).select("path", "line", F.trim(F.regexp_extract("c", r"^([^(]*)\(", 1)).alias("callee"), F.trim(F.regexp_extract("c", r"\((.*)\)$", 1)).alias("args"))
     given = F.when(F.col("args") == "", 0).otherwise(F.size(F.split("args", ",")))
-    met = calls.withColumn("given", given).join(here, ["path", "callee"], "left").join(there, "callee", "left").withColumn("n", F.coalesce("_here", "_there"))
+    takes = routines.select(F.col("path").alias("callee_path"), F.col("routine").alias("callee"), F.col("n_parameters").alias("n"))
+    met = find_callees(calls.withColumn("given", given), routines).join(takes, ["callee_path", "callee"])
     return met.where("given > n").select("path", "line", F.lit("error").alias("severity"), F.format_string("%s takes %d arguments, not %d", "callee", "n", "given").alias("message"))

@@ -32,6 +32,14 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete the scratch table behind a result of ``cut`` that nothing reads any more."""
+    spark = df.sparkSession
+    for file in {f.rpartition("/")[0] for f in df.inputFiles() if "/quarry/" in f}:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def reach(edges: DataFrame, starts: DataFrame, limit: int = 1000) -> DataFrame:
     """start, node and depth: all nodes reachable from each start (itself at 0) with the least number of steps.
 
@@ -139,6 +147,63 @@ def levels(edges: DataFrame, nodes: DataFrame | None = None, limit: int = 1000)
     raise RuntimeError(f"no end after {limit} levels")
 
 
+def substitute(rows: DataFrame, rounds: int = 64) -> DataFrame:
+    """node, type and weight of ``rows`` (node, type, to, weight) whose every ``to`` is replaced by that node's own rows.
+
+    A row has a type, or names the node ``to`` whose rows stand for it, times its weight. A round
+    replaces all of them at once, so that open rows point twice as far as before and a chain of n
+    nodes takes log2(n) rounds; rows of one node that point to the same node, or have one type, are
+    added up, so many ways between two nodes are one row. Nodes may be in no ring (see ``unringed``);
+    one without rows of its own is Unknown.
+    """
+    now = cut(rows.select("node", "type", "to", F.col("weight").cast("double").alias("weight")))
+    for _ in range(rounds):
+        open_ = now.where("to IS NOT NULL")
+        if open_.isEmpty():
+            return now.select("node", "type", "weight")
+        brought = now.select(F.col("node").alias("to"), F.col("type").alias("_type"), F.col("to").alias("_to"), F.col("weight").alias("_w"), F.lit(True).alias("_there"))
+        step = open_.select("node", "to", "weight").join(brought, "to", "left")
+        moved = step.select("node", F.when(F.col("_there"), F.col("_type")).otherwise("Unknown").alias("type"), F.col("_to").alias("to"), (F.col("weight") * F.coalesce("_w", F.lit(1.0))).alias("weight"))
+        before, now = now, cut(now.where("to IS NULL").unionByName(moved).groupBy("node", "type", "to").agg(F.sum("weight").alias("weight")))
+        drop(before)
+    raise RuntimeError(f"rows still open after {rounds} rounds: their nodes are in a ring")
+
+
+def rings(rows: DataFrame) -> DataFrame:
+    """node and cycle (as ``cycles``) of the nodes of ``rows`` (node, to) that are in a ring; a walk of doubling steps tells first whether there is any.
+
+    Without rings that takes as many joins as the longest way has binary digits.
+    """
+    edges = rows.where("to IS NOT NULL").select(F.col("node").alias("src"), F.col("to").alias("dst")).distinct()
+    edges = cut(edges)
+    most, walk, steps = edges.count(), edges, 1
+    while steps <= most:
+        longer = cut(walk.join(walk.select(F.col("src").alias("dst"), F.col("dst").alias("_far")), "dst").select("src", F.col("_far").alias("dst")).distinct())
+        if walk is not edges:
+            drop(walk)
+        walk, steps = longer, steps * 2
+        if walk.isEmpty():
+            return edges.limit(0).select(F.col("src").alias("node"), F.col("src").alias("cycle"))
+    # Only what still walks can be in a ring or lead to one.
+    alive = walk.select("src").distinct()
+    return cycles(edges.join(alive, "src", "left_semi").join(alive.withColumnRenamed("src", "dst"), "dst", "left_semi"))
+
+
+def unringed(rows: DataFrame) -> DataFrame:
+    """``rows`` (node, type, to, weight) without rings: a row that points to another node of its ring takes that node's rows,
+    in which what points into the ring is Unknown; so is what points to its own node."""
+    found = rings(rows)
+    if found.isEmpty():
+        return rows
+    mine, other = found.select("node", F.col("cycle").alias("_a")), found.select(F.col("node").alias("to"), F.col("cycle").alias("_b"))
+    told = rows.join(mine, "node", "left").join(other, "to", "left").withColumn("_in", F.coalesce(F.col("_a") == F.col("_b"), F.lit(False)))
+    closed = F.when(F.col("_in"), "Unknown").otherwise(F.col("type"))
+    inner = told.where("_a IS NOT NULL").select(F.concat("node", F.lit("\u0001")).alias("node"), closed.alias("type"), F.when(~F.col("_in"), F.col("to")).alias("to"), "weight")
+    self_ = F.col("_in") & (F.col("node") == F.col("to"))
+    outer = told.select("node", F.when(self_, "Unknown").otherwise(F.col("type")).alias("type"), F.when(F.col("_in") & ~self_, F.concat("to", F.lit("\u0001"))).when(~self_, F.col("to")).alias("to"), "weight")
+    return outer.unionByName(inner)
+
+
 def dependencies(edges: DataFrame, node: str) -> DataFrame:
     return edges.where(F.col("src") == node).select(F.col("dst").alias("node")).distinct()
 

@@ -15,7 +15,7 @@ _COMMON = "Function Common(a, b) Export\n    Return '20240101';\nEndFunction\n"
 
 
 def _files(spark, d):
-    """Branches, returns, calls and mistakes by the remainders of the part's size; the number of lines is always the same."""
+    """Branches, returns, calls and mistakes by the remainders of the part's size; the number of lines is always the same. Each file has its own Kind."""
     k, s = F.col("p_partkey").cast("string"), F.col("p_size")
     by = lambda n, *texts: F.element_at(F.array(*[F.lit(t) if isinstance(t, str) else t for t in texts]), (s % n + 1).cast("int"))
     size = s.cast("string")
@@ -36,7 +36,7 @@ def _files(spark, d):
         F.concat(F.lit("        b = b + Step"), (s % 7).cast("string"), F.lit("(x);")),
         F.lit("        x = '20240101';"),
         F.lit("    EndDo;"),
-        F.concat(F.lit("    Return "), by(3, F.concat(F.lit("Price"), (F.col("p_partkey") + 1).cast("string"), F.lit("(b)")), size, '"text"'), F.lit(";")),
+        F.concat(F.lit("    Return "), by(3, F.concat(F.lit("Price"), (F.col("p_partkey") + 1).cast("string"), F.lit("(b)")), size, "Kind()"), F.lit(";")),
         F.lit("EndFunction"),
         F.concat(F.lit("Procedure Run"), k, F.lit("()")),
         by(5, "    Common(1, 2);", "    Common(1, 2, 3);", *["    Common(1, 2);"] * 3),
@@ -45,6 +45,9 @@ def _files(spark, d):
         F.lit("    t = total.Name;"),
         by(6, '    v = "a" * 2;', *["    v = w;"] * 5),
         F.lit("EndProcedure"),
+        F.lit("Function Kind() Export"),
+        by(2, '    Return "text";', "    Return 1;"),
+        F.lit("EndFunction"),
     ]
     part = Registry(spark, d).table("part").select(F.concat(F.lit("/parts/"), k, F.lit(".bsl")).alias("path"), F.array_join(F.array(*lines), "\n").alias("content"))
     return part.unionByName(spark.createDataFrame([("/common.bsl", _COMMON)], "path string, content string"))
@@ -62,24 +65,23 @@ def code_blocks(spark, d):
 
 
 _DIRECT = f"""SELECT p_partkey AS k, {_F} AS routine, 'String' AS type, 0.5 AS w, CAST(NULL AS BIGINT) AS next FROM part WHERE p_size % 2 = 0
- UNION ALL SELECT p_partkey, {_F}, CASE p_size % 3 WHEN 1 THEN 'Number' WHEN 2 THEN 'String' END, CASE WHEN p_size % 2 = 0 THEN 0.5 ELSE 1.0 END, CASE WHEN p_size % 3 = 0 THEN p_partkey + 1 END FROM part"""
+ UNION ALL SELECT p_partkey, {_F}, CASE p_size % 3 WHEN 1 THEN 'Number' WHEN 2 THEN CASE p_size % 2 WHEN 0 THEN 'String' ELSE 'Number' END END, CASE WHEN p_size % 2 = 0 THEN 0.5 ELSE 1.0 END, CASE WHEN p_size % 3 = 0 THEN p_partkey + 1 END FROM part"""
 
-_RETURNS = f"""WITH RECURSIVE d AS ({_DIRECT}),
- w AS (SELECT routine, type, CAST(w AS DOUBLE) AS w, next FROM d
-  UNION ALL SELECT w.routine, CASE WHEN d.k IS NULL THEN 'Unknown' ELSE d.type END, w.w * coalesce(d.w, 1), d.next FROM w LEFT JOIN d ON d.k = w.next WHERE w.next IS NOT NULL)
- SELECT routine, type, round(sum(w), 6) AS weight FROM w WHERE type IS NOT NULL GROUP BY routine, type
- UNION ALL SELECT {_RUN}, 'Void', 1.0 FROM part UNION ALL SELECT 'Common', 'Date', 1.0"""
+_RETURNS = f"""WITH RECURSIVE d AS ({_DIRECT}), x AS (SELECT p_partkey AS k FROM part WHERE p_size % 3 = 0),
+ w AS (SELECT k, routine, type, CAST(w AS DOUBLE) AS w, next FROM d
+  UNION ALL SELECT w.k, w.routine, CASE WHEN x.k IS NULL THEN 'Unknown' ELSE d.type END, w.w * coalesce(d.w, 1), d.next FROM w LEFT JOIN x ON x.k = w.next LEFT JOIN d ON d.k = x.k WHERE w.next IS NOT NULL)
+ SELECT '/parts/' || k || '.bsl' AS path, routine, type, round(sum(w), 6) AS weight FROM w WHERE type IS NOT NULL GROUP BY k, routine, type
+ UNION ALL SELECT {_P}, {_RUN}, 'Void', 1.0 FROM part UNION ALL SELECT {_P}, 'Kind', CASE p_size % 2 WHEN 0 THEN 'String' ELSE 'Number' END, 1.0 FROM part UNION ALL SELECT '/common.bsl', 'Common', 'Date', 1.0"""
 
 
-def _direct(rows):
-    return W.direct_returns(rows, W.typed_assignments(rows))
+def _returns(rows):
+    return W.return_types(W.direct_returns(rows, W.typed_assignments(rows)), W.declared(rows))
 
 
 @query("ret_types_across", _RETURNS)
 def ret_types_across(spark, d):
-    """Weighted return types, through calls into other files."""
-    found = W.return_types(_direct(W.blocks(_files(spark, d))))
-    return found.select("routine", "type", F.round("weight", 6).alias("weight"))
+    """Weighted return types, through calls into other files; files that have routines of one name keep their own."""
+    return _returns(W.blocks(_files(spark, d))).select("path", "routine", "type", F.round("weight", 6).alias("weight"))
 
 
 _STATES = f"""WITH x AS (SELECT {_P}, {_F} AS routine, p_size AS s FROM part),
@@ -97,16 +99,19 @@ _STATES = f"""WITH x AS (SELECT {_P}, {_F} AS routine, p_size AS s FROM part),
 def flow_states(spark, d):
     """What variables hold where blocks and routines end: branches merged, covered assignments gone, names and calls followed."""
     rows = W.blocks(_files(spark, d))
-    placed = W.typed_assignments(rows, W.return_types(_direct(rows)))
+    placed = W.typed_assignments(rows, _returns(rows))
     return W.states(rows, placed).select("path", "routine", "line", "variable", "type", F.round("weight", 6).alias("weight"))
 
 
-_CALLS = f"""SELECT caller, callee, count(*) AS calls FROM (
- SELECT {_F} AS caller, 'Common' AS callee FROM part WHERE p_size % 5 <> 0 UNION ALL SELECT {_F}, 'Step' || p_size % 7 FROM part
- UNION ALL SELECT {_F}, 'Price' || (p_partkey + 1) FROM part WHERE p_size % 3 = 0 UNION ALL SELECT {_RUN}, 'Common' FROM part) GROUP BY caller, callee"""
+#: Only parts whose size is divisible by three export their price.
+_CALLS = f"""SELECT caller_path, caller, callee_path, callee, count(*) AS calls FROM (SELECT '/parts/' || p_partkey || '.bsl' AS caller_path, * FROM (
+ SELECT p_partkey, {_F} AS caller, '/common.bsl' AS callee_path, 'Common' AS callee FROM part WHERE p_size % 5 <> 0 UNION ALL SELECT p_partkey, {_F}, NULL, 'Step' || p_size % 7 FROM part
+ UNION ALL SELECT a.p_partkey, 'Price' || a.p_partkey, '/parts/' || b.p_partkey || '.bsl', 'Price' || (a.p_partkey + 1) FROM part a LEFT JOIN part b ON b.p_partkey = a.p_partkey + 1 AND b.p_size % 3 = 0 WHERE a.p_size % 3 = 0
+ UNION ALL SELECT p_partkey, {_F}, '/parts/' || p_partkey || '.bsl', 'Kind' FROM part WHERE p_size % 3 = 2
+ UNION ALL SELECT p_partkey, {_RUN}, '/common.bsl', 'Common' FROM part)) GROUP BY ALL"""
 
 
-@query("call_graph", f"SELECT caller, callee, calls, 'out' AS way FROM ({_CALLS}) UNION ALL SELECT callee, caller, calls, 'in' FROM ({_CALLS})")
+@query("call_graph", f"SELECT caller_path, caller, callee_path, callee, calls, 'out' AS way FROM ({_CALLS}) UNION ALL SELECT callee_path, callee, caller_path, caller, calls, 'in' FROM ({_CALLS})")
 def call_graph(spark, d):
     """Calls of all files, as they are and reversed; one routine is called by all."""
     return W.call_graph(W.blocks(_files(spark, d)))
@@ -120,6 +125,7 @@ def call_graph(spark, d):
  UNION ALL SELECT {_P}, 'b', 'Step' || p_size % 7 || '()', 'expression' FROM part UNION ALL SELECT {_P}, 'Step' || p_size % 7 || '.0', 'x', 'parameter' FROM part
  UNION ALL SELECT {_P}, {_F} || '()', 'b', 'return' FROM part WHERE p_size % 3 = 0 UNION ALL SELECT {_P}, {_F} || '()', 'Price' || (p_partkey + 1) || '()', 'return' FROM part WHERE p_size % 3 = 0
  UNION ALL SELECT {_P}, 'Price' || (p_partkey + 1) || '.0', 'b', 'parameter' FROM part WHERE p_size % 3 = 0
+ UNION ALL SELECT {_P}, {_F} || '()', 'Kind()', 'return' FROM part WHERE p_size % 3 = 2
  UNION ALL SELECT {_P}, 'v', 'w', 'assignment' FROM part WHERE p_size % 6 <> 0 UNION ALL SELECT {_P}, 'z', 'a', 'conditional' FROM part WHERE p_size % 2 = 1)""")
 def dep_edges_kinds(spark, d):
     return W.dependencies(W.blocks(_files(spark, d)))
@@ -133,11 +139,12 @@ def module_diagnostics(spark, d):
     return W.undeclared(rows).unionByName(W.wrong_operators(rows)).unionByName(W.arity(files))
 
 
-@query("call_levels", f"WITH RECURSIVE e AS (SELECT DISTINCT caller, callee FROM ({_CALLS})), n AS (SELECT caller AS node FROM e UNION SELECT callee FROM e), w AS (SELECT node, 0 AS level FROM n UNION SELECT e.caller, w.level + 1 FROM w JOIN e ON e.callee = w.node) SELECT node, CAST(max(level) AS INTEGER) AS level FROM w GROUP BY node")
+@query("call_levels", f"WITH RECURSIVE e AS (SELECT coalesce(caller_path, '') || '#' || caller AS caller, coalesce(callee_path, '') || '#' || callee AS callee FROM ({_CALLS})), n AS (SELECT caller AS node FROM e UNION SELECT callee FROM e), w AS (SELECT node, 0 AS level FROM n UNION SELECT e.caller, w.level + 1 FROM w JOIN e ON e.callee = w.node) SELECT node, CAST(max(level) AS INTEGER) AS level FROM w GROUP BY node")
 def call_levels(spark, d):
     """Callees before callers, over all files."""
     out = W.call_graph(W.blocks(_files(spark, d))).where("way = 'out'")
-    return G.levels(out.select(F.col("callee").alias("src"), F.col("caller").alias("dst")))
+    named = lambda side: F.concat(F.coalesce(f"{side}_path", F.lit("")), F.lit("#"), side)
+    return G.levels(out.select(named("callee").alias("src"), named("caller").alias("dst")))
 
 
 _TYPES = [(r, e) for r, e in zip(list(A.CHECKED_TYPES)[::2], list(A.CHECKED_TYPES)[1::2], strict=True)]

@@ -16,18 +16,66 @@ def rows(df, *columns):
     return sorted(tuple(r) for r in df.select(*columns).collect())
 
 
-def test_weighted_unions(spark):
-    u = spark.createDataFrame([(1, "S", 0.3), (1, "S", 0.2), (1, "N", 0.5)], "k int, type string, weight double")
-    assert rows(unions.normalize(u, ["k"]), "type", "weight") == [("N", 0.5), ("S", 0.5)]
-    three = spark.createDataFrame([(1, t, 1.0) for t in ("S", "N", "B")], "k int, type string, c double")
-    made = unions.create(three, ["k"], "c").collect()
-    assert all(abs(r.weight - 1 / 3) < 1e-6 and r.certainty == unions.MOST_CERTAIN for r in made)
-    likely = spark.createDataFrame([(1, "S", 0.3), (1, "N", 0.7)], "k int, type string, weight double")
-    assert unions.look_up(likely, ["k"], "S").first().likely == "N"
-    assert unions.create(three.limit(0), ["k"], "c").count() == 0
-    many = spark.createDataFrame([(1, f"t{k}", 0.3 - k * 0.03) for k in range(9)] + [(1, "x", 0.01)], "k int, type string, weight double")
-    kept = unions.simplify(many, ["k"]).collect()
-    assert len(kept) == 5 and sum(r.weight for r in kept) < 1
+def merged(inputs):
+    """A union of inputs (types by weight, or None, and a confidence) by the rules, plainly."""
+    if len(inputs) == 1:
+        return inputs[0][0] or {}, inputs[0][1]
+    sums = {}
+    for types, _ in inputs:
+        for t, w in (types or {}).items():
+            sums[t] = sums.get(t, 0) + w / len(inputs)
+    for kind in ("Number", "String"):
+        if sums and all(t.split("(")[0] == kind for t in sums):
+            sums = {kind: sum(sums.values())}
+            break
+    else:
+        sums = {t: w for t, w in sums.items() if round(w, 9) >= 0.05}
+        total = sum(sums.values())
+        sums = dict(sorted(((t, w / total) for t, w in sums.items()), key=lambda x: (-round(x[1], 9), x[0]))[:5])
+    mean = sum(c for _, c in inputs) / len(inputs)
+    return sums, min(mean, 0.9) if len(sums) > 1 else mean
+
+
+def test_unions_of_generated_inputs(spark):
+    """Plain types, unions and open results, one and many; numbers alone and strings alone."""
+    rng = random.Random(21)
+    cases = {}
+    for k in range(120):
+        pool = [["Number", "Number(10,2)", "Number(5)"], ["String", "String(9)"], [f"type{n}" for n in range(9)] + ["Number(5)", "String"]][k % 3]
+        inputs = []
+        for _ in range(rng.choice([1, 2, 3, 8, 20])):
+            chosen = rng.sample(pool, rng.choice([0, 1, 1, 2]))
+            parts = [rng.randrange(1, 99) for _ in chosen]
+            inputs.append(({t: p / sum(parts) for t, p in zip(chosen, parts, strict=True)} or None, rng.randrange(0, 101) / 100))
+        cases[k] = inputs
+    table = [(k, n, t, w, c) for k, inputs in cases.items() for n, (types, c) in enumerate(inputs) for t, w in (types or {None: 0.0}).items()]
+    got = {}
+    for r in unions.combine(spark.createDataFrame(table, "k int, one int, type string, weight double, sure double").repartition(7), ["k"], "one", "sure").collect():
+        got.setdefault(r.k, ({}, r.certainty))[0][r.type] = r.weight
+    for k, inputs in cases.items():
+        types, sure = merged(inputs)
+        assert got.get(k, ({}, None))[0] == pytest.approx(types, abs=1e-8), inputs
+        assert not types or got[k][1] == pytest.approx(sure, abs=1e-9)
+
+
+def test_certainty_is_exact(spark):
+    """A mean that ends in a five is the same in any order of rows."""
+    table = spark.createDataFrame([(1, "t", k / 100) for k in [50] * 79 + [30]], "k int, type string, c double")
+    for n in (1, 4, 13):
+        assert unions.create(table.repartition(n), ["k"], "c").first().certainty == 0.4975
+
+
+def test_unions_by_rows(spark):
+    rng = random.Random(22)
+    table = [(rng.randrange(9), rng.choice("pqrstuv"), rng.randrange(1, 100) / 100) for _ in range(200)]
+    frame = spark.createDataFrame(table, "k int, type string, weight double")
+    sums = {}
+    for k, t, w in table:
+        sums[k, t] = sums.get((k, t), 0) + w
+    assert {(r.k, r.type): r.weight for r in unions.normalize(frame, ["k"]).collect()} == pytest.approx(sums)
+    likely = {k: min((-round(w, 9), t) for (j, t), w in sums.items() if j == k)[1] for k, _ in sums}
+    assert {r.k: r.likely for r in unions.look_up(unions.normalize(frame, ["k"]), ["k"], "p").collect()} == likely
+    assert unions.create(frame.limit(0), ["k"], "weight").count() == 0
 
 
 def distance(a, b):
@@ -201,17 +249,76 @@ def test_flow(spark):
     assert {k: v for k, v in at.items() if k[:2] == (10, "з")} == {(10, "з", "Boolean"): 0.5, (10, "з", "Date"): 0.5}
     assert {k: v for k, v in at.items() if k[:2] == (13, "з")} == {(13, "з", t): 0.333 for t in ("Boolean", "Date", "Number")}
     assert at[13, "н", "Number"] == 1.0
-    returns = flow.return_types(flow.direct_returns(found, placed))
+    returns = flow.return_types(flow.direct_returns(found, placed), flow.declared(found))
     assert {(r.routine, r.type, round(r.weight, 3)) for r in returns.collect()} == {("Выбор", "Boolean", 0.333), ("Выбор", "Date", 0.333), ("Выбор", "Number", 0.333), ("Старт", "Void", 1.0)}
     again = flow.typed_assignments(found, returns)
     assert {r.type for r in again.where("variable = 'г'").collect()} == {"Boolean", "Date", "Number"}
     assert rows(flow.undeclared(found), "line", "message") == [(19, "нет is not declared")]
 
 
+def returned(found):
+    return flow.return_types(flow.direct_returns(found, flow.typed_assignments(found)), flow.declared(found))
+
+
+def test_names_take_what_stood_there(spark):
+    """A name's value is what its source had then, through chains longer than any round count, though the source changes later."""
+    chain = ["Function F()", "v0 = 1;", *[f"v{k} = v{k - 1};" for k in range(1, 40)], 'v0 = "later";', "last = v39;", "Return last;", "EndFunction"]
+    found = flow.blocks(spark.createDataFrame([("a", "\n".join(chain))], "path string, content string"))
+    placed = flow.typed_assignments(found)
+    assert {r.type for r in placed.where("variable IN ('v39', 'last')").collect()} == {"Number"}
+    assert [(r.type, r.weight) for r in returned(found).collect()] == [("Number", 1.0)]
+
+
+def test_many_ways_through_calls(spark):
+    """Forty diamonds have 2^40 ways; weights are merged where they meet."""
+    text = "".join(f"Function A{k}()\nIf q Then\nReturn B{k}();\nEndIf;\nReturn C{k}();\nEndFunction\nFunction B{k}()\nReturn A{k + 1}();\nEndFunction\nFunction C{k}()\nReturn A{k + 1}();\nEndFunction\n" for k in range(40))
+    text += 'Function A40()\nIf q Then\nReturn 1;\nEndIf;\nReturn "s";\nEndFunction'
+    got = {(r.routine, r.type): r.weight for r in returned(flow.blocks(spark.createDataFrame([("a", text)], "path string, content string"))).collect()}
+    assert got["A0", "Number"] == pytest.approx(0.5) and got["B39", "String"] == pytest.approx(0.5) and len(got) == 2 * 121
+
+
+def test_routines_of_one_name(spark):
+    """Each file keeps its own; a name that one file exports is found from elsewhere, one that two export is not."""
+    files = [
+        ("/a", "Function F()\nReturn 1;\nEndFunction\nFunction G()\nReturn F();\nEndFunction\nFunction Two() Export\nReturn 1;\nEndFunction"),
+        ("/b", 'Function F()\nReturn "a";\nEndFunction\nFunction G()\nReturn F();\nEndFunction\nFunction Two() Export\nReturn 1;\nEndFunction\nFunction One(x) Export\nReturn True;\nEndFunction'),
+        ("/c", "Function H()\nReturn F();\nEndFunction\nFunction I()\nReturn One(1);\nEndFunction\nFunction J()\nReturn Two();\nEndFunction\nProcedure K()\nOne(1, 2);\nTwo(1);\nF(1);\nEndProcedure"),
+    ]
+    table = spark.createDataFrame(files, "path string, content string")
+    found = flow.blocks(table)
+    got = {(r.path, r.routine): (r.type, r.weight) for r in returned(found).collect()}
+    assert {k: v for k, v in got.items() if k[1] in "FGHIJ"} == {
+        ("/a", "F"): ("Number", 1.0), ("/a", "G"): ("Number", 1.0), ("/b", "F"): ("String", 1.0), ("/b", "G"): ("String", 1.0),
+        ("/c", "H"): ("Unknown", 1.0), ("/c", "I"): ("Boolean", 1.0), ("/c", "J"): ("Unknown", 1.0),
+    }
+    assert rows(flow.arity(table), "path", "message") == [("/c", "One takes 1 arguments, not 2")]
+    calls = {(r.caller_path, r.caller, r.callee_path, r.callee) for r in flow.call_graph(found).where("way = 'out'").collect()}
+    assert {("/a", "G", "/a", "F"), ("/b", "G", "/b", "F"), ("/c", "H", None, "F"), ("/c", "I", "/b", "One"), ("/c", "K", None, "Two")} <= calls
+
+
+def test_rings_of_calls(spark):
+    """Rings of three behind and before a chain: a call within a ring is followed one step."""
+    text = "".join(f"Function R{k}()\nIf q Then\nReturn R{(k + 1) % 3}();\nEndIf;\nReturn S{k}();\nEndFunction\nFunction S{k}()\nReturn {['1', chr(34) + chr(34), 'True'][k]};\nEndFunction\n" for k in range(3))
+    text += "Function Self()\nReturn Self();\nEndFunction\nFunction Use()\nReturn R0();\nEndFunction"
+    got = {(r.routine, r.type): r.weight for r in returned(flow.blocks(spark.createDataFrame([("a", text)], "path string, content string"))).collect()}
+    own = ["Number", "String", "Boolean"]
+    for k in range(3):
+        assert {t: w for (r, t), w in got.items() if r == f"R{k}"} == {own[k]: 0.5, own[(k + 1) % 3]: 0.25, "Unknown": 0.25}
+    assert {t: w for (r, t), w in got.items() if r == "Use"} == {"Number": 0.5, "String": 0.25, "Unknown": 0.25} and got["Self", "Unknown"] == 1.0
+
+
+def test_nesting_of_any_depth(spark):
+    deep = 60
+    text = "\n".join(["Procedure P()", *["If a Then"] * deep, "x = 1;", *["Else\ny = 2;\nEndIf;"] * deep, "EndProcedure", "EndIf;", "Else"])
+    got = {r.line: [tuple(p) for p in r.place] for r in flow.blocks(spark.createDataFrame([("a", text)], "path string, content string")).collect()}
+    assert got[deep + 2] == [(k, k) for k in range(2, deep + 2)]
+    assert got[deep + 4] == [(k, k) for k in range(2, deep + 1)] + [(deep + 1, deep + 3)] and got[1] == []
+
+
 def test_recursion_ends(spark):
     text = "Function A()\n    If q Then\n        Return B();\n    EndIf;\n    Return 1;\nEndFunction\nFunction B()\n    Return A();\nEndFunction\nFunction C()\n    Return None();\nEndFunction"
     found = flow.blocks(spark.createDataFrame([("a", text)], "path string, content string"))
-    got = flow.return_types(flow.direct_returns(found, flow.typed_assignments(found)))
+    got = returned(found)
     assert {(r.routine, r.type): round(r.weight, 3) for r in got.collect()} == {("A", "Number"): 0.5, ("A", "Unknown"): 0.5, ("B", "Number"): 0.5, ("B", "Unknown"): 0.5, ("C", "Unknown"): 1.0}
 
 
