@@ -127,6 +127,36 @@ def cycles(edges: DataFrame, limit: int = 1000) -> DataFrame:
     raise RuntimeError(f"no end after {limit} rounds")
 
 
+def witnesses(edges: DataFrame, limit: int = 1000) -> DataFrame:
+    """cycle, place and node: for each strong component one shortest cycle through its least node, which has place 0.
+
+    Distances from the least nodes spread within all components at once; then each cycle is
+    followed back, a place a round, by the least node that is one nearer.
+    """
+    on = cycles(edges, limit)
+    inner = edges.select("src", "dst").distinct().join(on.select(F.col("node").alias("src"), "cycle"), "src").join(on.select(F.col("node").alias("dst"), F.col("cycle").alias("_c")), "dst").where("cycle = _c").select("cycle", "src", "dst")
+    inner = cut(inner)
+    seen = front = cut(on.where("node = cycle").select("cycle", "node", F.lit(0).alias("place")))
+    for place in range(1, limit + 1):
+        step = front.join(inner, (front["cycle"] == inner["cycle"]) & (F.col("node") == F.col("src"))).select(front["cycle"], F.col("dst").alias("node")).distinct()
+        front = cut(step.join(seen, ["cycle", "node"], "left_anti").withColumn("place", F.lit(place)))
+        if front.isEmpty():
+            break
+        seen = cut(seen.unionByName(front))
+    else:
+        raise RuntimeError(f"no end after {limit} steps")
+    back = inner.where("dst = cycle").select("cycle", F.col("src").alias("node")).join(seen, ["cycle", "node"])
+    found = cut(back.groupBy("cycle").agg(F.min(F.struct("place", "node")).alias("_l")).select("cycle", "_l.place", "_l.node"))
+    last = found
+    for _ in range(limit):
+        last = last.where("place > 0").select("cycle", (F.col("place") - 1).alias("place"), F.col("node").alias("dst")).join(inner, ["cycle", "dst"]).select("cycle", "place", F.col("src").alias("node"))
+        last = cut(last.join(seen, ["cycle", "place", "node"]).groupBy("cycle", "place").agg(F.min("node").alias("node")))
+        if last.isEmpty():
+            return found
+        found = cut(found.unionByName(last))
+    raise RuntimeError(f"no end after {limit} steps")
+
+
 def levels(edges: DataFrame, nodes: DataFrame | None = None, limit: int = 1000) -> DataFrame:
     """node and level by longest path from the nodes that nothing points to; null on or behind a cycle.
 

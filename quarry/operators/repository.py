@@ -153,3 +153,24 @@ def output_names(texts: list[str]) -> list[str]:
         seen[name] = again + 1
         names.append(f"{name}{again}" if again else name)
     return names
+
+
+def link_by_path(members: DataFrame, folders: DataFrame, path: str = "path", folder: str = "folder", name: str = "name", few: int = 1 << 16) -> DataFrame:
+    """path, folder and name for each distinct path: the folder with the longest path that leads to it; null for none.
+
+    A folder deeper on the way takes what lies below it from those above. Paths that no folder
+    leads to take, in a second pass, the folder whose own last name stands deepest among their
+    steps (of several folders of that name the least path). Every folder on a path's way is one
+    key, joined by equality; the longest is a maximum with partial aggregation, so no folder
+    gathers what lies below it.
+    """
+    told = members.select(F.col(path).alias("path")).where("path IS NOT NULL").distinct()
+    known = folders.select(F.regexp_replace(folder, "/+$", "").alias("folder"), F.col(name).alias("name")).where("folder <> ''").groupBy("folder").agg(F.min("name").alias("name"))
+    sized = F.broadcast(known) if known.limit(few + 1).count() <= few else known
+    steps = F.split("path", "/")
+    way = told.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(steps) - 1, F.lit(1))), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(steps, F.lit(1), n), "/").alias("folder"), F.element_at(steps, n).alias("step")))).alias("w")).select("path", "w.*")
+    first = way.join(sized, "folder").groupBy("path").agg(F.max_by(F.struct("folder", "name"), "depth").alias("_f"))
+    last_names = known.groupBy(F.substring_index("folder", "/", -1).alias("step")).agg(F.min(F.struct("folder", "name")).alias("_g"))
+    left = way.join(first.select("path"), "path", "left_anti")
+    second = left.join(F.broadcast(last_names) if known.limit(few + 1).count() <= few else last_names, "step").groupBy("path").agg(F.max_by("_g", "depth").alias("_f"))
+    return told.join(first.unionByName(second), "path", "left").select("path", "_f.folder", "_f.name")
