@@ -1,8 +1,8 @@
 """Configuration files by Spark's XML reader: comments, character data, attributes and namespaces are read as XML means them.
 
 One scan reads all kinds of objects. A file has one root, which is a ``MetaDataObject`` or holds any
-number of them. A task reads a file as a stream, an object at a time; with the setting
-``spark.sql.legacy.useLegacyXMLParser`` Spark cuts large files between objects over several tasks.
+number of them; one task reads it as a stream, an object at a time, so a file may be larger than
+memory. Spark's reader doesn't cut one file between tasks.
 """
 
 from __future__ import annotations
