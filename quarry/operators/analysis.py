@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 #: The bilingual words that begin and end routines, and words that look like calls but are none.
 BEGIN = r"(?iu)^\s*(Процедура|Функция|Procedure|Function)\s+([\p{L}_][\p{L}\p{N}_]*)\s*\(([^)]*)\)\s*(Экспорт|Export)?"
 END = r"(?iu)^\s*(КонецПроцедуры|КонецФункции|EndProcedure|EndFunction)\b"
@@ -33,6 +35,38 @@ def lines(files: DataFrame) -> DataFrame:
     return each.select("path", (F.col("at") + 1).alias("line"), code.alias("code"))
 
 
+#: What a statement line ends with if it is whole, and words that begin a statement whatever came before.
+WHOLE = r"(?iu)(?:;|\b(?:Тогда|Then|Цикл|Do|Иначе|Else|Попытка|Try|Исключение|Except)|\b(?:КонецПроцедуры|EndProcedure|КонецФункции|EndFunction|КонецЕсли|EndIf|КонецЦикла|EndDo|КонецПопытки|EndTry))\s*$|^\s*[&#]"
+HEAD = r"(?iu)^\s*(?:Процедура|Функция|Procedure|Function)\s"
+FRESH = r"(?iu)^\s*(?:Процедура|Функция|Procedure|Function|КонецПроцедуры|КонецФункции|EndProcedure|EndFunction|Если|If|ИначеЕсли|ElsIf|Иначе|Else|КонецЕсли|EndIf|Пока|While|Для|For|КонецЦикла|EndDo|Попытка|Try|Исключение|Except|КонецПопытки|EndTry|Возврат|Return|Перем|Var)\b"
+
+
+def statements(rows: DataFrame) -> DataFrame:
+    """``rows`` of lines with statements that run over several lines put together on the first; blank lines stay as they are.
+
+    A line goes on in the next one unless it ends with a semicolon, a block's word or a routine's
+    head, or the next one begins with such a word. Windows run over one file each.
+    """
+    order = Window.partitionBy("path").orderBy("line")
+    blank = F.trim("code") == ""
+    head = F.col("code").rlike(BEGIN)
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    # A head over several lines ends with the first bracket that closes.
+    open_head = F.last(F.when(F.col("code").rlike(HEAD) & ~head, F.col("line")), ignorenulls=True).over(earlier)
+    closed = F.last(F.when(F.col("code").contains(")"), F.col("line")), ignorenulls=True).over(earlier)
+    head_ends = F.coalesce(F.col("code").contains(")") & (open_head > F.coalesce(closed, F.lit(0))), F.lit(False))
+    told = rows.withColumn("_blank", blank).withColumn("_whole", F.col("code").rlike(WHOLE) | head | head_ends)
+    before = F.last(F.when(~F.col("_blank"), F.col("_whole")), ignorenulls=True).over(earlier)
+    starts = ~F.col("_blank") & (F.coalesce(before, F.lit(True)) | F.col("code").rlike(FRESH))
+    numbered = told.withColumn("_s", F.last(F.when(starts, F.col("line")), ignorenulls=True).over(order))
+    # Few statements have more than one line; only these are gathered.
+    own = numbered.where(~F.col("_blank"))
+    more = own.groupBy("path", "_s").agg(F.count(F.lit(1)).alias("_n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "code"))), lambda x: F.trim(x["code"])), " ").alias("_text")).where("_n > 1")
+    joined = numbered.join(more, ["path", "_s"], "left")
+    kept = joined.where(F.col("_n").isNull() | F.col("_blank") | (F.col("line") == F.col("_s")))
+    return kept.select("path", "line", F.when(F.col("_n").isNotNull() & ~F.col("_blank"), F.col("_text")).otherwise(F.col("code")).alias("code"))
+
+
 def in_routines(rows: DataFrame) -> DataFrame:
     """``rows`` of lines with ``routine``: the routine that holds the line, null outside."""
     begins = F.when(F.col("code").rlike(BEGIN), F.regexp_extract("code", BEGIN, 2))
@@ -215,13 +249,14 @@ def resolve_path(paths: DataFrame, members: DataFrame, path: str = "path") -> Da
     return one.union(two.select(path, "type", sure.alias("confidence"))).union(far)
 
 
-def resolve_paths(paths: DataFrame, members: DataFrame, path: str = "path", limit: int = 100) -> DataFrame:
+def resolve_paths(paths: DataFrame, members: DataFrame, path: str = "path") -> DataFrame:
     """path, type and confidence of dotted expressions of any length: each step takes the member's type as the next owner.
 
-    The confidence is that of the last step; an unknown member gives no type. A step is one join.
+    The confidence is that of the last step; an unknown member gives no type. A step is one join,
+    and a scratch table ends every tenth, so the plan doesn't grow with the length.
     """
     parts = paths.select(path, F.split(path, r"\.").alias("_p"))
-    steps = min(limit, parts.agg(F.coalesce(F.max(F.size("_p")), F.lit(1))).first()[0])
+    steps = parts.agg(F.coalesce(F.max(F.size("_p")), F.lit(1))).first()[0]
     now = parts.select(path, "_p", F.get("_p", F.lit(0)).alias("_t"), F.lit(BASE_SURE).alias("_sure"))
     table = members.select(F.col("owner").alias("_o"), F.col("name").alias("_m"), F.col("kind").alias("_k"), F.col("type").alias("_n"))
     for k in range(1, steps):
@@ -229,6 +264,7 @@ def resolve_paths(paths: DataFrame, members: DataFrame, path: str = "path", limi
         far = F.size("_p") > k
         sure = F.when(F.col("_k") == "method", METHOD_SURE).when(F.col("_k") == "property", PROPERTY_SURE).otherwise(0.0)
         now = met.select(path, "_p", F.when(far, F.col("_n")).otherwise(F.col("_t")).alias("_t"), F.when(far, sure).otherwise(F.col("_sure")).alias("_sure"))
+        now = cut(now) if k % 10 == 0 else now
     return now.select(path, F.col("_t").alias("type"), F.col("_sure").alias("confidence"))
 
 
@@ -253,7 +289,7 @@ def type_hint(types: Column, confidence: Column, most: int = 3) -> Column:
 
 def code_action(message: Column) -> Column:
     """What to offer for a diagnostic."""
-    return F.when(message.contains("not declared"), "declare").when(message.contains("arguments"), "fix the call").when(message.contains("becomes"), "add a check").otherwise("none")
+    return F.when(message.contains("not declared"), "declare").when(message.contains("arguments"), "fix the call").when(message.contains("becomes"), "add a check").when(message.contains("takes numbers") | message.rlike(r"is an? \w+ and gets"), "convert the value").otherwise("none")
 
 
 def invert(condition: Column) -> Column:

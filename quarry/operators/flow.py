@@ -1,7 +1,8 @@
 """Flow of types through module source: blocks, states of variables, return types, dependencies, diagnostics.
 
-Statements stand one to a line. Block structure comes from windows over a file's lines: a line's
-place is the list of blocks around it, each with the branch it lies in. Which assignments reach a
+A statement may run over several lines; a line has one statement. Block structure comes from one
+aggregation over a file's lines: a line's place is the list of blocks around it, each with the
+branch it lies in. Which assignments reach a
 point is then a join of assignments and points of one routine, settled by comparing places.
 """
 
@@ -38,7 +39,7 @@ def blocks(files: DataFrame) -> DataFrame:
     code = F.col("code")
     opens = code.rlike(OPEN_IF) | code.rlike(OPEN_LOOP) | code.rlike(OPEN_TRY)
     kind = F.when(opens, "open").when(code.rlike(BRANCH), "branch").when(code.rlike(CLOSE), "close")
-    rows = cut(A.in_routines(A.lines(files)).withColumn("kind", kind))
+    rows = cut(A.in_routines(A.statements(A.lines(files))).withColumn("kind", kind))
     stack = "array<struct<block:int,branch:int>>"
     entry = lambda block, branch: F.array(F.struct(block.cast("int").alias("block"), branch.cast("int").alias("branch")))
 
@@ -280,7 +281,7 @@ def wrong_operators(rows: DataFrame) -> DataFrame:
 
 def arity(files: DataFrame) -> DataFrame:
     """path, line, severity and message: calls with more arguments than the routine takes that is meant (``find_callees``)."""
-    lines = A.lines(files)
+    lines = A.statements(A.lines(files))
     routines = declared(lines)
     body = A.in_routines(lines).where(F.col("routine").isNotNull() & ~F.col("code").rlike(A.BEGIN))
     plain = F.regexp_replace("code", r'"(?:[^"]|"")*"', '""')

@@ -10,7 +10,7 @@ import re
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -139,20 +139,33 @@ def cache_drop(cache: DataFrame, gone: DataFrame) -> DataFrame:
     return cache.join(gone.distinct(), gone.columns, "left_anti")
 
 
-def output_names(texts: list[str]) -> list[str]:
-    """Names of projected columns by their written form: an alias, a field's last part, a function's name, else Expression.
+#: Written forms that give an output its name: an alias, a field's path, a function.
+ALIASED, FIELD, FUNCTION = r"(?is)^.*\s(?:AS|КАК)\s+(\w+)\s*$", r"(?s)^(?:\w+\.)*(\w+)$", r"(?s)^(\w+)\(.*\)$"
 
-    A name that came before gets the number of its repeat.
-    """
+
+def output_name(text: Column) -> Column:
+    """What an output is called by its written form: its alias, a field's last part, a function's name, else Expression."""
+    t = F.trim(text)
+    return F.when(t.rlike(f"(?u){ALIASED}"), F.regexp_extract(t, f"(?u){ALIASED}", 1)).when(t.rlike(f"(?u){FIELD}"), F.regexp_extract(t, f"(?u){FIELD}", 1)).when(t.rlike(f"(?u){FUNCTION}"), F.regexp_extract(t, f"(?u){FUNCTION}", 1)).otherwise("Expression")
+
+
+def output_names(outputs: DataFrame, keys: list[str], place: str = "place", text: str = "text") -> DataFrame:
+    """``outputs``, the written outputs of queries (told by ``keys``, in order of ``place``), with name: a repeat within a query gets its number."""
+    told = outputs.withColumn("_n", output_name(F.col(text)))
+    again = F.row_number().over(Window.partitionBy(*keys, "_n").orderBy(place)) - 1
+    return told.withColumn("_a", again).withColumn("name", F.when(F.col("_a") > 0, F.concat("_n", F.col("_a").cast("string"))).otherwise(F.col("_n"))).drop("_n", "_a")
+
+
+def project(df: DataFrame, texts: list[str]) -> DataFrame:
+    """Columns of ``df`` by their written forms, named as ``output_names`` does."""
     seen: dict[str, int] = {}
-    names = []
+    out = []
     for text in texts:
-        found = re.fullmatch(r".*\s(?:AS|КАК)\s+(\w+)", text.strip(), re.I | re.S) or re.fullmatch(r"(?:\w+\.)*(\w+)", text.strip()) or re.fullmatch(r"(\w+)\(.*\)", text.strip(), re.S)
+        found = next((m for p in (ALIASED, FIELD, FUNCTION) if (m := re.match(p, text.strip()))), None)
         name = found[1] if found else "Expression"
-        again = seen.get(name, 0)
-        seen[name] = again + 1
-        names.append(f"{name}{again}" if again else name)
-    return names
+        seen[name] = seen.get(name, -1) + 1
+        out.append(F.expr(re.sub(r"(?is)\s(?:AS|КАК)\s+\w+\s*$", "", text)).alias(f"{name}{seen[name]}" if seen[name] else name))
+    return df.select(*out)
 
 
 def link_by_path(members: DataFrame, folders: DataFrame, path: str = "path", folder: str = "folder", name: str = "name", few: int = 1 << 16) -> DataFrame:

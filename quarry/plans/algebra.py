@@ -242,10 +242,3 @@ def type_hint_whole(spark, d):
     g = Registry(spark, d).table("events").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("t"))
     sure = F.when(F.col("user_id") % 3 == 1, 0.95).when(F.col("user_id") % 3 == 2, 0.5)
     return g.select("user_id", A.type_hint(F.col("t"), sure).alias("hint"))
-
-
-@query("code_action", "SELECT event_id, CASE event_type WHEN 'error' THEN 'declare' WHEN 'click' THEN 'fix the call' WHEN 'view' THEN 'add a check' ELSE 'none' END AS action FROM events")
-def code_action(spark, d):
-    t = F.col("event_type")
-    message = F.when(t == "error", "x is not declared here").when(t == "click", "f takes 1 arguments, not 2").when(t == "view", "x was Number and becomes String").otherwise("fine")
-    return Registry(spark, d).table("events").select("event_id", A.code_action(message).alias("action"))

@@ -202,8 +202,13 @@ def line_diagnostics(spark, d):
     return A.assignment_diagnostics(Registry(spark, d).table("part").select("p_partkey", text.alias("text")), "p_partkey", "text", typed)
 
 
-@query("output_names", "SELECT * FROM (VALUES ('c.c_name', 'c_name'), ('upper(c_name)', 'upper'), ('c_acctbal + 1', 'Expression'), ('a * 2', 'Expression1'), ('x AS total', 'total'), ('count(*)', 'count'), ('o.c_name', 'c_name1')) v(source, name)")
+_OUTPUTS = ("p.p_name", "upper(p_brand)", "p_size + {}", "p_retailprice * 2", "p_type КАК kind", "count(*)", "p_name", "{} AS p_name")
+
+
+@query("output_names", f"""WITH o AS (SELECT p_partkey, x.place, replace(x.text, '{{}}', CAST(p_size AS VARCHAR)) AS text, x.base FROM part, (VALUES {', '.join(f"({k}, '{t}', '{n}')" for k, (t, n) in enumerate(zip(_OUTPUTS, ('p_name', 'upper', 'Expression', 'Expression', 'kind', 'count', 'p_name', 'p_name'), strict=True)))}) x(place, text, base) WHERE (p_partkey + x.place) % 3 > 0)
+ SELECT p_partkey, place, text, base || CASE WHEN k > 1 THEN CAST(k - 1 AS VARCHAR) ELSE '' END AS name FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey, base ORDER BY place) AS k FROM o)""")
 def output_names(spark, d):
-    """Names of unnamed columns by their text: the alias, a field's last part, a function's name, else Expression; repeats are numbered."""
-    texts = ["c.c_name", "upper(c_name)", "c_acctbal + 1", "a * 2", "x AS total", "count(*)", "o.c_name"]
-    return spark.createDataFrame(list(zip(texts, R.output_names(texts), strict=True)), "source string, name string")
+    """A query of some written outputs for each part: aliases, fields, functions, other expressions, and repeats."""
+    texts = F.array(*[F.replace(F.lit(t), F.lit("{}"), F.col("p_size").cast("string")) for t in _OUTPUTS])
+    each = Registry(spark, d).table("part").select("p_partkey", F.posexplode(texts).alias("place", "text"), "p_size").where((F.col("p_partkey") + F.col("place")) % 3 > 0)
+    return R.output_names(each, ["p_partkey"]).select("p_partkey", "place", "text", "name")

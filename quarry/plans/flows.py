@@ -139,6 +139,20 @@ def module_diagnostics(spark, d):
     return W.undeclared(rows).unionByName(W.wrong_operators(rows)).unionByName(W.arity(files))
 
 
+@query("code_action", f"SELECT {_P}, 21 AS line, 'declare' AS action FROM part UNION ALL SELECT {_P}, 24, 'convert the value' FROM part WHERE p_size % 6 = 0 UNION ALL SELECT {_P}, 20, 'fix the call' FROM part WHERE p_size % 5 = 1")
+def code_action(spark, d):
+    """What to offer for each diagnostic of all files."""
+    return module_diagnostics(spark, d).select("path", "line", A.code_action(F.col("message")).alias("action"))
+
+
+@query("assigned_types", f"""SELECT {_P}, {_F} AS routine, l.line, l.variable, l.type FROM part, (VALUES (3, 'x', 'Number', 0), (4, 'y', 'Number', 0), (6, 'x', 'String', 0), (7, 'z', 'String', 2), (9, 'x', 'Boolean', 0), (11, 'x', 'Date', 5), (14, 'b', 'Unknown', 0), (15, 'x', 'Date', 0)) l(line, variable, type, rule) WHERE l.rule = 0 OR p_size % l.rule <> 0
+ UNION ALL SELECT {_P}, {_RUN}, l.line, l.variable, 'Unknown' FROM part, (VALUES (21, 'w'), (22, 'u'), (23, 't'), (24, 'v')) l(line, variable)""")
+def assigned_types(spark, d):
+    """The type of each assignment of all files: by form, by the name that it copies, by the routine that it calls."""
+    rows = W.blocks(_files(spark, d))
+    return W.typed_assignments(rows, _returns(rows)).select("path", "routine", "line", "variable", "type")
+
+
 @query("call_levels", f"WITH RECURSIVE e AS (SELECT coalesce(caller_path, '') || '#' || caller AS caller, coalesce(callee_path, '') || '#' || callee AS callee FROM ({_CALLS})), n AS (SELECT caller AS node FROM e UNION SELECT callee FROM e), w AS (SELECT node, 0 AS level FROM n UNION SELECT e.caller, w.level + 1 FROM w JOIN e ON e.callee = w.node) SELECT node, CAST(max(level) AS INTEGER) AS level FROM w GROUP BY node")
 def call_levels(spark, d):
     """Callees before callers, over all files."""

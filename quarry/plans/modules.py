@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.operators import analysis as A
+from quarry.sources import markup as M
 from quarry.sources.registry import Registry
 
 from .base import query
+from .pages import _shared_folder
 
 _CODE = """Function Get%1$d(a, b = 1) Export
     x = %1$d; // comes first
@@ -33,9 +35,20 @@ def _files(spark, d):
 _PATH = "'/m/' || n_nationkey || '.bsl' AS path"
 
 
-@query("file_discovery", f"SELECT {_PATH} FROM nation")
+_EXTENSION = "['.bsl', '.os', '.txt', '.BSL'][s_suppkey % 4 + 1]"
+
+
+@query("file_discovery", f"SELECT 'n' || s_nationkey || '/m' || s_suppkey || {_EXTENSION} AS path, 'M' || s_suppkey AS routine FROM supplier WHERE s_suppkey % 4 < 2")
 def file_discovery(spark, d):
-    return _files(spark, d).where(F.col("path").rlike(r"\.(bsl|os)$")).select("path")
+    """Module files found in nested folders among others, and the routine that each declares."""
+    k = F.col("s_suppkey")
+    ending = F.element_at(F.array(*map(F.lit, (".bsl", ".os", ".txt", ".BSL"))), (k % 4 + 1).cast("int"))
+    path = F.concat(F.lit("n"), F.col("s_nationkey").cast("string"), F.lit("/m"), k.cast("string"), ending)
+    text = F.format_string("Function M%d() Export\nEndFunction\n", k)
+    folder = _shared_folder(spark)
+    M.write_files(Registry(spark, d).table("supplier").select(path.alias("path"), text.alias("content")), folder)
+    found = A.routines(A.source_files(spark, folder))
+    return found.select(F.regexp_extract("path", "([^/]+/[^/]+)$", 1).alias("path"), F.col("name").alias("routine"))
 
 
 @query("routines", f"SELECT {_PATH}, r.name || CASE WHEN r.name = 'Get' THEN CAST(n_nationkey AS VARCHAR) ELSE '' END AS name, r.n_parameters, r.exported FROM nation, (VALUES ('Get', 2, TRUE), ('Run', 0, FALSE)) r(name, n_parameters, exported)")

@@ -162,16 +162,14 @@ def std_attrs(spark, d):
     return M.standard_attributes(_objects(spark, d)).select("owner", F.col("name").alias("attribute"))
 
 
-@query("category_tree", "SELECT DISTINCT '/' || seg AS node, CAST(0 AS INTEGER) AS depth FROM (SELECT regexp_extract(url, '^[^:]+://[^/]+/([^/?#]*)', 1) AS seg FROM pages) WHERE seg <> '' UNION SELECT DISTINCT '/' || regexp_extract(url, '^[^:]+://[^/]+/([^/?#]+/[^/?#]+)', 1), 1 FROM pages WHERE regexp_matches(url, '^[^:]+://[^/]+/[^/?#]+/[^/?#]+')")
+@query("category_tree", "WITH p AS (SELECT DISTINCT list_filter(string_split(regexp_extract(url, '^[^:]+://[^/]+/([^?#]*)', 1), '/'), lambda x: x <> '') AS p FROM pages) SELECT DISTINCT '/' || array_to_string(p[1:k], '/') AS node, CAST(k - 1 AS INTEGER) AS depth FROM (SELECT p, unnest(range(1, len(p) + 1)) AS k FROM p)")
 def category_tree(spark, d):
-    """Nodes of the path tree with their depths, walked from the roots."""
+    """Nodes of the path tree with their depths, as deep as the paths are: every beginning of a path is a node, and there is no walk."""
     path = F.regexp_extract("url", r"^[^:]+://[^/]+/([^?#]*)", 1)
     parts = F.filter(F.split(path, "/"), lambda p: p != "")
-    p = _pages(spark, d).select(parts.alias("p")).where(F.size("p") > 0)
-    root = F.concat(F.lit("/"), F.get("p", F.lit(0)))
-    edges = p.where(F.size("p") > 1).select(root.alias("src"), F.concat(root, F.lit("/"), F.get("p", F.lit(1))).alias("dst")).distinct()
-    walked = G.reach(edges, p.select(root.alias("start")).distinct())
-    return walked.groupBy("node").agg(F.min("depth").alias("depth"))
+    p = _pages(spark, d).select(parts.alias("p")).where(F.size("p") > 0).distinct()
+    each = p.select("p", F.explode(F.sequence(F.lit(1), F.size("p"))).alias("k"))
+    return each.select(F.concat(F.lit("/"), F.array_join(F.slice("p", F.lit(1), F.col("k")), "/")).alias("node"), (F.col("k") - 1).alias("depth")).distinct()
 
 
 # Sources and sinks: what is written is read back

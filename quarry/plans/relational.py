@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions import scalars
-from quarry.operators import registers
+from quarry.operators import registers, repository
 from quarry.sources.registry import Registry
 
 from .base import query
@@ -93,10 +93,11 @@ def project(spark, d):
     return Registry(spark, d).table("orders").select(F.col("o_orderkey").alias("number"), (F.col("o_totalprice") * 2).alias("doubled"))
 
 
-@query("project_names", "SELECT c_name, upper(c_mktsegment) AS expression1, c_acctbal + 1 AS expression2 FROM customer")
+@query("project_names", "SELECT c_name, upper(c_mktsegment) AS upper, c_acctbal + 1 AS Expression, c_acctbal * 2 AS Expression1, c_custkey AS code, c_name AS c_name1 FROM customer")
 def project_names(spark, d):
-    """A field keeps its name; each unnamed expression gets the next number."""
-    return Registry(spark, d).table("customer").select("c_name", F.upper("c_mktsegment").alias("expression1"), (F.col("c_acctbal") + 1).alias("expression2"))
+    """Columns projected by their text, named by what it says: a field, a function, an alias, or nothing."""
+    customer = Registry(spark, d).table("customer").alias("c")
+    return repository.project(customer, ["c_name", "upper(c_mktsegment)", "c_acctbal + 1", "c_acctbal * 2", "c_custkey AS code", "c.c_name"])
 
 
 @query("select_star", "SELECT * FROM supplier")
@@ -212,13 +213,13 @@ def literals(spark, d):
 
 
 def _customers_orders(spark, d, how):
+    """Customers without orders are unmatched on the left; orders of no customer, if any, on the right."""
     r = Registry(spark, d)
-    c = r.table("customer").where("c_custkey <= 400").select("c_custkey", "c_name")
-    o = r.table("orders").where("o_custkey >= 300").select("o_orderkey", "o_custkey")
+    c, o = r.table("customer").select("c_custkey", "c_name"), r.table("orders").select("o_orderkey", "o_custkey")
     return c.join(o, F.col("c_custkey") == F.col("o_custkey"), how).select("c_custkey", "c_name", "o_orderkey")
 
 
-_JOIN = "SELECT c_custkey, c_name, o_orderkey FROM (SELECT * FROM customer WHERE c_custkey <= 400) {} JOIN (SELECT * FROM orders WHERE o_custkey >= 300) ON c_custkey = o_custkey"
+_JOIN = "SELECT c_custkey, c_name, o_orderkey FROM customer {} JOIN orders ON c_custkey = o_custkey"
 
 
 @query("join_inner", _JOIN.format("INNER"))

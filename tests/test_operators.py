@@ -315,6 +315,23 @@ def test_nesting_of_any_depth(spark):
     assert got[deep + 4] == [(k, k) for k in range(2, deep + 1)] + [(deep + 1, deep + 3)] and got[1] == []
 
 
+def test_statements_over_lines(spark):
+    """Arguments, conditions and heads that go on are one statement on the first line; lines without their semicolon end where a block's word begins."""
+    text = "Function F(a,\n    b) Export // head\nx = Sum(1,\n\n  2); // two\nIf a\n  And b\nThen\n  y = 1\nEndIf;\nReturn\n  x;\nEndFunction\nProcedure G(\nc,\nd)\ny = 2;\nEndProcedure"
+    table = spark.createDataFrame([("a", text)], "path string, content string")
+    got = {r.line: r.code.strip() for r in analysis.statements(analysis.lines(table)).collect() if r.code.strip()}
+    assert got == {1: "Function F(a, b) Export", 3: "x = Sum(1, 2);", 6: "If a And b Then", 9: "y = 1", 10: "EndIf;", 11: "Return x;", 13: "EndFunction", 14: "Procedure G( c, d)", 17: "y = 2;", 18: "EndProcedure"}
+    assert [(r.routine, r.exported, r.n_parameters) for r in flow.declared(flow.blocks(table)).collect()] == [("F", True, 2), ("G", False, 2)]
+
+
+def test_long_paths(spark):
+    """A path of many steps takes its own type, not that of a beginning."""
+    members = spark.createDataFrame([(f"T{k}", "next", "property", f"T{k + 1}") for k in range(200)], "owner string, name string, kind string, type string")
+    paths = spark.createDataFrame([("T0" + ".next" * n,) for n in (0, 1, 25, 130)] + [("T0.none.next",)], "path string")
+    assert {r.path.count("."): r.type for r in analysis.resolve_paths(paths.where("path <> 'T0.none.next'"), members).collect()} == {0: "T0", 1: "T1", 25: "T25", 130: "T130"}
+    assert analysis.resolve_paths(paths.where("path = 'T0.none.next'"), members).first().type is None
+
+
 def test_recursion_ends(spark):
     text = "Function A()\n    If q Then\n        Return B();\n    EndIf;\n    Return 1;\nEndFunction\nFunction B()\n    Return A();\nEndFunction\nFunction C()\n    Return None();\nEndFunction"
     found = flow.blocks(spark.createDataFrame([("a", text)], "path string, content string"))
