@@ -10,6 +10,7 @@ import hashlib
 import itertools
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,9 @@ REACH = 32
 #: Table keys of queries, or queries, that are broadcast.
 BROADCAST_KEYS = 1 << 20
 
+#: Distinct query fingerprints that a pass over all fingerprints looks up.
+QUERY_BLOCK = 1 << 18
+
 #: For each byte, its bits as the eight bytes of a word.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).reshape(-1)
 
@@ -119,18 +123,26 @@ def near(prints: DataFrame, queries: DataFrame, radius: int = 6, blocks: int = 8
         asking, having = [k for k, r in enumerate(rows) if r is None], [k for k, r in enumerate(rows) if r is not None]
         bytes_of = lambda at: np.frombuffer(bytes.fromhex("".join(f[k] for k in at)), np.uint8).reshape(len(at), bits // 8)
         left, right = bytes_of(having), bytes_of(asking)
-        found = [(0, 0, bits, None)] * len(asking)
+        none = np.iinfo(np.int64).max
+        weight = np.array([rows[k] for k in having], np.int64)
+        ids_of = np.array([none if ids[k] is None else ids[k] for k in having], np.int64)
+        asked_t, held_t = t[np.array(asking, np.int64)], t[np.array(having, np.int64)]
+        # Per query: fingerprints, rows, the least distance and the least key there; some pairs at a time.
+        n, m = np.zeros(len(asking), np.int64), np.zeros(len(asking), np.int64)
+        least, at = np.full(len(asking), bits, np.int64), np.full(len(asking), none, np.int64)
         for row, query, distance in _met(left.view(np.uint64), right.view(np.uint64), radius):
             first = _first_tables(left[row] ^ right[query], blocks, need)
-            good = (distance > 0) & (first == t[np.array(asking)[query]]) & (first == t[np.array(having)[row]])
-            for r, q, d in zip(row[good].tolist(), query[good].tolist(), distance[good].tolist(), strict=True):
-                n, m, least, at = found[q]
-                i = ids[having[r]]
-                if d < least or d == least and i is not None and (at is None or i < at):
-                    least, at = d, i
-                found[q] = (n + 1, m + rows[having[r]], least, at)
-        some = [q for q, x in enumerate(found) if x[0]]
-        return pa.table({"_f": pa.array([f[asking[q]] for q in some], pa.string()), "n": pa.array([found[q][0] for q in some], pa.int64()), "m": pa.array([found[q][1] for q in some], pa.int64()), "d": pa.array([found[q][2] for q in some], pa.int32()), "i": pa.array([found[q][3] for q in some], pa.int64())})
+            good = (distance > 0) & (first == asked_t[query]) & (first == held_t[row])
+            row, query, distance = row[good], query[good], distance[good]
+            np.add.at(n, query, 1)
+            np.add.at(m, query, weight[row])
+            order = np.lexsort((ids_of[row], distance, query))
+            q, begin = np.unique(query[order], return_index=True)
+            d, i = distance[order][begin], ids_of[row[order]][begin]
+            nearer = (d < least[q]) | (d == least[q]) & (i < at[q])
+            least[q[nearer]], at[q[nearer]] = d[nearer], i[nearer]
+        some = np.flatnonzero(n)
+        return pa.table({"_f": pa.array([f[asking[q]] for q in some], pa.string()), "n": pa.array(n[some]), "m": pa.array(m[some]), "d": pa.array(least[some].astype(np.int32)), "i": pa.array(at[some], mask=at[some] == none)})
 
     met = own.unionByName(ask).groupBy("key", "_x", "_y").applyInArrow(meet, "_f string, n long, m long, d int, i long")
     least = F.min(F.struct("d", F.col("i").isNull().alias("_none"), "i")).alias("_least")
@@ -147,55 +159,69 @@ def _met(own: np.ndarray, asked: np.ndarray, radius: int) -> Iterator[tuple[np.n
                 yield row + a, query + b, apart[row, query].astype(np.int64)
 
 
-def search(prints: DataFrame, queries: DataFrame, radius: int = REACH, key: str = "doc_id", name: str = "fingerprint") -> DataFrame:
+def search(prints: DataFrame, queries: DataFrame, radius: int = REACH, key: str = "doc_id", name: str = "fingerprint", block: int = QUERY_BLOCK) -> DataFrame:
     """What lies within ``radius`` bits of each distinct fingerprint of ``queries``: all of it, with no chance of a miss.
 
     Gives name, n_same and n_near (rows of ``prints`` of that fingerprint, and of others within the
     radius), near_distance and near_id (the least distance of another, and the least key there).
     Tables by exact blocks need more blocks than the radius, so at this reach they leave nothing
     out; each fingerprint meets each query in numpy instead, and a task sends one row for each query
-    that found something in a batch, however large a group is. The queries' fingerprints go to all
-    workers: 16 bytes each. Work grows with rows times queries.
+    that found something in a batch, however large a group is. Queries go to the workers in blocks
+    of about ``block`` fingerprints, dealt by their hash, one pass over ``prints`` each; that bounds
+    what the driver and a worker hold at 16 bytes a query. Work grows with rows times queries.
     """
     spark = prints.sparkSession
-    hexes = sorted(r[0] for r in queries.select(F.col(f"`{name}`")).where(F.col(f"`{name}`").isNotNull()).distinct().toLocalIterator())
-    shared = spark.sparkContext.broadcast(hexes)
+    asks = materialize(queries.select(F.col(f"`{name}`").alias("_f")).where("_f IS NOT NULL").distinct())
+    n = max(1, -(-asks.count() // block))
+    slim = prints.select(F.col(f"`{key}`").cast("long").alias("_key"), F.col(f"`{name}`").alias("_f")).where("_f is not null")
+    slim = materialize(slim) if n > 1 else slim
 
     def words(made: list[str]) -> np.ndarray:
         return np.frombuffer(bytes.fromhex("".join(made)), np.uint64).reshape(len(made), -1)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = words(shared.value) if shared.value else None
-        for batch in batches if asked is not None else ():
-            if not len(batch):
-                continue
-            keys = batch.column("_key").fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
-            found = list(_met(words(batch.column("_f").to_pylist()), asked, radius))
-            if not found:
-                continue
-            row, query, distance = map(np.concatenate, zip(*found, strict=True))
-            order = np.lexsort((keys[row], np.where(distance == 0, 1 << 20, distance), query))
-            row, query, distance = row[order], query[order], distance[order]
-            found, first, n = np.unique(query, return_index=True, return_counts=True)
-            same = np.bincount(query[distance == 0], minlength=len(asked))[found]
-            other = distance[first] > 0
-            yield pa.RecordBatch.from_pydict({
-                "_f": pa.array([shared.value[q] for q in found], pa.string()), "n_same": pa.array(same, pa.int64()), "n_near": pa.array(n - same, pa.int64()),
-                "near_distance": pa.array(distance[first].astype(np.int32), mask=~other), "near_id": pa.array(keys[row[first]], pa.int64(), mask=~other | (keys[row[first]] == np.iinfo(np.int64).max)),
-            })
-
-    slim = prints.select(F.col(f"`{key}`").cast("long").alias("_key"), F.col(f"`{name}`").alias("_f")).where("_f is not null")
-    parts = slim.mapInArrow(work, "_f string, n_same long, n_near long, near_distance int, near_id long")
-    least = F.min(F.when(F.col("near_distance").isNotNull(), F.struct("near_distance", F.col("near_id").isNull().alias("_none"), "near_id"))).alias("_least")
-    found = parts.groupBy("_f").agg(F.sum("n_same").alias("n_same"), F.sum("n_near").alias("n_near"), least)
-    return found.select(F.col("_f").alias(name), "n_same", "n_near", "_least.near_distance", "_least.near_id")
+    def look_up(k: int) -> DataFrame:
+        hexes = sorted(r[0] for r in asks.where(F.pmod(F.xxhash64("_f"), F.lit(n)) == k).collect())
+        shared = spark.sparkContext.broadcast(hexes)
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked = words(shared.value) if shared.value else None
+            for batch in batches if asked is not None else ():
+                if not len(batch):
+                    continue
+                keys = batch.column("_key").fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
+                found = list(_met(words(batch.column("_f").to_pylist()), asked, radius))
+                if not found:
+                    continue
+                row, query, distance = map(np.concatenate, zip(*found, strict=True))
+                order = np.lexsort((keys[row], np.where(distance == 0, 1 << 20, distance), query))
+                row, query, distance = row[order], query[order], distance[order]
+                found, first, times = np.unique(query, return_index=True, return_counts=True)
+                same = np.bincount(query[distance == 0], minlength=len(asked))[found]
+                other = distance[first] > 0
+                yield pa.RecordBatch.from_pydict({
+                    "_f": pa.array([shared.value[q] for q in found], pa.string()), "n_same": pa.array(same, pa.int64()), "n_near": pa.array(times - same, pa.int64()),
+                    "near_distance": pa.array(distance[first].astype(np.int32), mask=~other), "near_id": pa.array(keys[row[first]], pa.int64(), mask=~other | (keys[row[first]] == np.iinfo(np.int64).max)),
+                })
+
+        return slim.mapInArrow(work, "_f string, n_same long, n_near long, near_distance int, near_id long")
+
+    def summed(parts: DataFrame) -> DataFrame:
+        least = F.min(F.when(F.col("near_distance").isNotNull(), F.struct("near_distance", F.col("near_id").isNull().alias("_none"), "near_id"))).alias("_least")
+        return parts.groupBy("_f").agg(F.sum("n_same").alias("n_same"), F.sum("n_near").alias("n_near"), least).select("_f", "n_same", "n_near", "_least.near_distance", "_least.near_id")
+
+    # With several blocks each is written before the next is collected, so that one at a time is held.
+    found = summed(look_up(0)) if n == 1 else reduce(DataFrame.unionByName, [materialize(summed(look_up(k))) for k in range(n)])
+    return found.withColumnRenamed("_f", name)
 
 
 def compare_and_search(docs: DataFrame, key: str = "doc_id", text: str = "text", every: int = 100, radius: int = REACH) -> DataFrame:
     """``compare_with_next``, and for keys divisible by ``every`` what is near them among all documents; nulls for the others.
 
-    ``near`` finds by tables what lies within its radius, ``search`` by comparison what lies
-    within ``radius``, which tables can't reach.
+    ``near`` finds by tables what lies within its radius (n_close), ``search`` by comparison what
+    lies within ``radius``, which tables can't reach (n_same, n_near, near_distance, near_id). Null
+    keys ask for nothing; null and empty texts have the fingerprint without bits and are near one
+    another; repeated rows, and rows of one text, count each; of the nearest the least key is told.
+    An empty table gives no rows.
     """
     compared = materialize(compare_with_next(docs, key, text))
     asks = F.col(f"`{key}`") % every == 0
@@ -259,7 +285,9 @@ def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text",
     # As many rows as there are buckets: the first key of each, then its text, then who needs it.
     firsts = cut.groupBy("_bucket").agg(F.min("_key").alias("_first")).withColumnRenamed("_bucket", "_b")
     heads = cut.join(F.broadcast(firsts), F.col("_key").eqNullSafe(F.col("_first")) & (F.col("_bucket") == F.col("_b"))).groupBy("_bucket").agg(F.first("_key").alias("_key"), F.min("_text").alias("_text"))
-    sent = heads.select("_key", "_text", F.expr("coalesce(lag(_bucket) OVER (ORDER BY _bucket), max(_bucket) OVER ())").alias("_bucket"))
+    # Numbers of buckets alone are put in order; the texts only join what needs them.
+    needs = firsts.select("_b", F.expr("coalesce(lag(_b) OVER (ORDER BY _b), max(_b) OVER ())").alias("_to"))
+    sent = heads.join(F.broadcast(needs), F.col("_bucket") == F.col("_b")).select("_key", "_text", F.col("_to").alias("_bucket"))
     both = cut.withColumn("_extra", F.lit(0)).unionByName(sent.withColumn("_extra", F.lit(1)))
     dealt = both.repartition(parts, "_bucket").sortWithinPartitions("_bucket", "_extra", "_key", "_text")
     out = "_key long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
