@@ -8,7 +8,9 @@ from __future__ import annotations
 import contextlib
 import gc
 import tempfile
+import threading
 import uuid
+from collections import UserList
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -45,8 +47,12 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/quarry/{context.applicationId}/{uuid.uuid4().hex}"
 
 
-#: Scratch tables written by this driver, in order.
-written: list[str] = []
+class _Paths(threading.local, UserList):
+    """A list of each thread's own, so that runs at one time don't see each other's tables."""
+
+
+#: Scratch tables written by this thread of the driver, in order.
+written: UserList[str] = _Paths()
 
 
 def materialize(df: DataFrame) -> DataFrame:

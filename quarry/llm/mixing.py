@@ -198,6 +198,8 @@ def apply_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
 
     Documents without words, which have nothing to take, are left out. A row is told by key, source
     and text; rows that are equal in these are numbered, and the first of them take what is over.
+    A null key, source or text is one like others, a null text without words; which of equal rows
+    is taken is left open; an empty table gives no rows.
     """
     slim = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([key, text, source] + [members] * (members is not None))])
     same = ["_key", "_source", "_mark"]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import claim, mix, no_cycles, text_slices
+from .common import FEW_ROWS, SHARE, claim, materialize, mix, no_cycles, text_slices
 from .tokens import tokenizer_path
 
 #: Segmentations that a Python worker remembers before it starts anew; it bounds memory, not results.
@@ -357,13 +357,21 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     The draws are keyed by the document's key and text, and by the place of each unit. With
     ``copies`` rows of equal key and text, as a mix makes them, are numbered, which moves the texts
     once, and each has draws of its own; without, repeated rows are alike and nothing is shuffled.
+    Rows that over a ``SHARE``-th of all rows equal stay where they are and are told by partition
+    and place there, so no task gathers them; their draws then hang on the partitions.
     Null and empty texts have no ids and are lossless; an empty table gives no rows.
     """
     stream = F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`"), F.lit(seed)).alias("_stream")
     slim = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"), stream)
     if copies:
+        counts = materialize(slim.groupBy("_stream").agg(F.count(F.lit(1)).alias("_n")))
+        total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+        # There are fewer of these than SHARE.
+        hot = materialize(counts.where((F.col("_n") > FEW_ROWS) & (F.col("_n") * SHARE > total)).select("_stream"))
         copy = F.row_number().over(Window.partitionBy("_stream").orderBy("_stream"))
-        slim = slim.withColumn("_stream", F.xxhash64("_stream", copy))
+        several = slim.join(F.broadcast(hot), "_stream", "left_anti").withColumn("_stream", F.xxhash64("_stream", copy))
+        alike = slim.join(F.broadcast(hot), "_stream", "left_semi").withColumn("_stream", F.xxhash64("_stream", F.monotonically_increasing_id()))
+        slim = several if hot.isEmpty() else several.unionByName(alike.select(*several.columns))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("pieces", _models.clear)

@@ -411,6 +411,16 @@ def test_page_blocks():
         ('<div class="layout has-sidebar"><nav>n</nav><article>t</article></div>', ["t"]),
         ('<div class="sidebar"><article>t</article></div>', ["t"]),
         ('<div class="sidebar"><article>t</article></div><article>u</article>', ["u"]),
+        ('<article>a<div class="article-comments">x</div><section class="user-comments"><p>x</section><div class="newsletter-signup">x</div><div id="advert-slot-1">x</div><div class="site-banner">x</div><div class="userComments">x</div><p>b</article>', ["a", "b"]),
+        ('<article><h1 class="banner-title">Head</h1><p>b<div class="dailyworld-comments">x</div></article>', ["Head", "b"]),
+        ('<article><h1>Inn</h1><div class="menu"><p>Soup of the day with bread<p>Fish from the lake</div></article>', ["Inn", "Soup of the day with bread", "Fish from the lake"]),
+        ('<article><h1>Inn</h1><div class="menu"><a href=a>Soup of the day</a> <a href=b>Fish from the lake</a></div></article>', ["Inn"]),
+        ('<article><h1>Inn</h1><p>One<div class="comments"><p>Many words of a reader who says a lot of things</div></article>', ["Inn", "One"]),
+        ("<main><div>promo</div><article><p>all the words there are</article><div>more</div></main>", ["all the words there are"]),
+        ("<main><h1>Head</h1><div>promo</div><article><p>all the words there are</article></main>", ["Head", "all the words there are"]),
+        ("<main><h1>Head</h1><p>all the words there are and a few more<article>teaser one</article></main><article>teaser two</article>", ["Head", "all the words there are and a few more", "teaser one"]),
+        ('<div>x</div><div role="article"><p>text</div><div role="main">y</div>', ["text"]),
+        ('<body class="has-comments no-sidebar"><article class="with-ads">t</article>', ["t"]),
         ("<!DOCTYPE html><?php x ?><!-- <article> --><p>q</p><![CDATA[ z ]]>r", ["q", "r"]),
         ("<script>var a = '<article>x</article>';</script>one<title>t</title>two &lt;b> &copy; x < y <3", ["one", "two <b> © x < y <3"]),
         ("<p>whole<b", ["whole"]),

@@ -197,3 +197,31 @@ def test_copies_differ(spark):
     path = tokenizer_path("piece_bpe_32k.model")
     got = [sorted(map(str, pieces.encode(d, path, copies=True).collect())) for d in (docs, docs.repartition(3))]
     assert got[0] == got[1] and len(set(got[0])) == 5
+
+
+def test_copies_of_a_large_part_of_all_rows(spark, monkeypatch):
+    """A text that many rows have isn't gathered; its rows have draws of their own all the same."""
+    monkeypatch.setattr(pieces, "FEW_ROWS", 10)
+    rows = [(1, PROSE)] * 60 + [(None, None)] * 20 + [(k, f"{PROSE} {k}") for k in range(5)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = pieces.encode(table, "piece_bpe_32k.model", copies=True).collect()
+    assert len(got) == len(rows) and all(r.lossless for r in got)
+    assert len({tuple(r["ids"]) for r in got if r.doc_id == 1 and r.n_bytes == len(PROSE)}) > 30
+
+
+def test_scratch_lists_of_threads():
+    import threading
+
+    from quarry.llm.common import written
+
+    def other():
+        written.append("theirs")
+        seen.append(list(written))
+
+    seen: list = []
+    written.append("mine")
+    thread = threading.Thread(target=other)
+    thread.start()
+    thread.join()
+    assert seen == [["theirs"]] and "theirs" not in written
+    written.remove("mine")
