@@ -89,7 +89,7 @@ def clean_scratch(spark: SparkSession) -> None:
 
 def drop_scratch(spark: SparkSession, paths: list[str]) -> None:
     """Delete these scratch tables, which nothing reads any more."""
-    for path in paths:
+    for path in list(paths):
         place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
         if path in written:

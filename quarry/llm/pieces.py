@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import FEW_ROWS, SHARE, claim, materialize, mix, no_cycles, text_slices
+from .common import FEW_ROWS, SHARE, claim, drop_scratch, materialize, mix, no_cycles, text_slices, written
 from .tokens import tokenizer_path
 
 #: Segmentations that a Python worker remembers before it starts anew; it bounds memory, not results.
@@ -364,6 +364,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     stream = F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`"), F.lit(seed)).alias("_stream")
     slim = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"), stream)
     if copies:
+        begin = len(written)
         counts = materialize(slim.groupBy("_stream").agg(F.count(F.lit(1)).alias("_n")))
         total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
         # There are fewer of these than SHARE.
@@ -371,7 +372,13 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
         copy = F.row_number().over(Window.partitionBy("_stream").orderBy("_stream"))
         several = slim.join(F.broadcast(hot), "_stream", "left_anti").withColumn("_stream", F.xxhash64("_stream", copy))
         alike = slim.join(F.broadcast(hot), "_stream", "left_semi").withColumn("_stream", F.xxhash64("_stream", F.monotonically_increasing_id()))
-        slim = several if hot.isEmpty() else several.unionByName(alike.select(*several.columns))
+        if hot.isEmpty():
+            several = slim.withColumn("_stream", F.xxhash64("_stream", copy))
+            drop_scratch(docs.sparkSession, written[begin:])
+        else:
+            several = several.unionByName(alike.select(*several.columns))
+            drop_scratch(docs.sparkSession, written[begin:-1])
+        slim = several
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("pieces", _models.clear)
