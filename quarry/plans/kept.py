@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators import fuzzy_index as Z
 from quarry.operators import graph as G
 from quarry.operators import repository as R
 from quarry.operators import search as S
+from quarry.operators.completion import Completions
 from quarry.operators.kept_cache import Cache
 from quarry.operators.kept_index import Index
 from quarry.operators.period_totals import Totals
+from quarry.operators.positions import Ordered
 from quarry.sources import markup as M
 from quarry.sources import metadata as X
 from quarry.sources.registry import Registry
@@ -121,6 +125,35 @@ def graph_witness(spark, d):
     return G.witnesses(edges.join(known, "dst", "left_semi").select("src", "dst"))
 
 
+@query("completion_table", "SELECT w AS beginning, suggestion FROM (SELECT q.w, v.t AS suggestion, row_number() OVER (PARTITION BY q.w ORDER BY v.t) AS k FROM (SELECT DISTINCT unnest(" + _terms("text") + ") AS t FROM documents) v JOIN (VALUES ('th'), ('die'), ('ent'), ('zz')) q(w) ON starts_with(v.t, q.w)) WHERE k <= 10")
+def completion_table(spark, d):
+    """Four beginnings answered by a kept table of all words of all documents."""
+    kept = Completions(spark, _shared_folder(spark))
+    kept.build(Registry(spark, d).table("documents").select(F.explode(S.index_terms(F.col("text"))).alias("name")))
+    return reduce(DataFrame.unionByName, [kept.first(w).select(F.lit(w).alias("beginning"), "suggestion") for w in ("th", "die", "ent", "zz")])
+
+
+@query("page_by_position", "SELECT c_custkey, c_acctbal, CAST(t AS BIGINT) AS _total, CAST(ceil(t / 40) AS BIGINT) AS _pages, 4 < ceil(t / 40) AS _has_next, TRUE AS _has_previous FROM (SELECT *, count(*) OVER () AS t FROM customer) ORDER BY c_acctbal, c_custkey LIMIT 40 OFFSET 120")
+def page_by_position(spark, d):
+    """The fourth page of customers by balance, of which the ranges that hold it are read."""
+    kept = Ordered(spark, _shared_folder(spark), "c_custkey BIGINT, c_acctbal DOUBLE", ["c_acctbal", "c_custkey"], ranges=32)
+    kept.build(Registry(spark, d).table("customer"))
+    return kept.page(3, 40)
+
+
+_PARTY = "CASE o_orderstatus WHEN 'F' THEN 'customer' WHEN 'O' THEN 'supplier' WHEN 'P' THEN 'firm' END"
+
+
+@query("ref_tagged", f"SELECT o.o_orderkey, {_PARTY} AS party, coalesce(c.c_name, s.s_name) AS party_name, coalesce(c.c_acctbal, s.s_acctbal) AS party_balance, c.c_mktsegment AS party_segment FROM orders o LEFT JOIN customer c ON {_PARTY} = 'customer' AND c.c_custkey = o.o_custkey LEFT JOIN supplier s ON {_PARTY} = 'supplier' AND s.s_suppkey = o.o_custkey")
+def ref_tagged(spark, d):
+    """Orders whose other party is a customer, a supplier or a kind that isn't known; some suppliers aren't there."""
+    r = Registry(spark, d)
+    party = F.when(F.col("o_orderstatus") == "F", "customer").when(F.col("o_orderstatus") == "O", "supplier").when(F.col("o_orderstatus") == "P", "firm")
+    orders = r.table("orders").select("o_orderkey", "o_custkey", party.alias("party"))
+    found = r.navigate_tagged(orders, "party", "o_custkey", {"customer": {"party_name": "c_name", "party_balance": "c_acctbal", "party_segment": "c_mktsegment"}, "supplier": {"party_name": "s_name", "party_balance": "s_acctbal"}})
+    return found.drop("o_custkey")
+
+
 _TAGS = ("Catalog", "Document", "AccumulationRegister", "Enum")
 _KIND = "['Catalog', 'Document', 'Register', 'Enum'][s_suppkey % 4 + 1]"
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,3 +99,21 @@ class Registry:
                 out = out.join(right, F.col(made[prefix[:-1]][prefix[-1]]) == F.col(names[SOURCES[target].key]), "left")
                 joined[prefix], made[prefix] = target, names
         return out.select(*df.columns, *[F.col(made[tuple(p.split("."))[:-1]][p.split(".")[-1]]).alias(p.replace(".", "_")) for p in paths])
+
+    def navigate_tagged(self, df: DataFrame, tag: str, key: str, fields: dict[str, dict[str, str]]) -> DataFrame:
+        """``df`` with fields of what its references of several types point to.
+
+        A reference is a value of ``key`` in the source that ``tag`` names; ``fields`` has, by
+        source, the column that each output is there. Rows are split by their tags, so each kind
+        meets its own table only; an output that a source lacks is null, and so are all of
+        references to other sources, to none, or to keys that aren't there.
+        """
+        outputs = list(dict.fromkeys(name for given in fields.values() for name in given))
+        types = {name: self.table(t).schema[given[name]].dataType for t, given in fields.items() for name in given}
+        empty = {name: F.lit(None).cast(types[name]) for name in outputs}
+        parts = [df.where(F.col(tag).isNull() | ~F.col(tag).isin(list(fields))).select("*", *[empty[n].alias(n) for n in outputs])]
+        for target, given in fields.items():
+            right = self.table(target).select(F.col(SOURCES[target].key).alias("_key"), *[F.col(given[n]).alias(n) if n in given else empty[n].alias(n) for n in outputs])
+            own = df.where(F.col(tag) == target)
+            parts.append(own.join(right, own[key] == right["_key"], "left").select(*df.columns, *outputs))
+        return reduce(DataFrame.unionByName, parts)

@@ -9,9 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import fuzzy_index, graph, registers, repository, search
+from quarry.operators.completion import Completions
 from quarry.operators.kept_cache import Cache
 from quarry.operators.kept_index import Index
 from quarry.operators.period_totals import Totals
+from quarry.operators.positions import Ordered
 from quarry.sources import metadata
 from quarry.sources.versioned import Versioned
 
@@ -232,3 +234,29 @@ def test_metadata_files(spark, tmp_path):
     assert fields == {(f"D<{k}>", "attribute", f"A & {k}", "Составной(ДокументСсылка.D, Дата)", True) for k in range(500)} | {("R", "dimension", "Dim", "Произвольный", False)}
     standard = {(r.owner, r.name, r.type) for r in metadata.standard_attributes(objects).collect()}
     assert {("D<7>", "Номер", "Число(7, 0)"), ("D<7>", "Дата", "Дата"), ("R", "Период", "ДатаВремя")} <= standard and not any(n == "Проведен" for _, n, _ in standard)
+
+
+def test_completions(spark, tmp_path):
+    rng = random.Random(11)
+    names = ["".join(rng.choice("abж") for _ in range(rng.randrange(1, 9))) for _ in range(400)] + ["AbAb", None, "", "a" * 30]
+    kept = Completions(spark, str(tmp_path / "c"), buckets=5, most=4, longest=5)
+    kept.build(spark.createDataFrame([(n,) for n in names], "name string").repartition(4))
+    known = sorted({n.lower() for n in names if n}, key=lambda n: n.encode())
+    for asked in ("a", "ж", "ab", "AB", "abжab", "abжabж", "aaaaaaaa", "zz", ""):
+        want = [n for n in known if n.startswith(asked.lower())][:4] if len(asked.encode()) >= 2 else []
+        assert [r.suggestion for r in kept.first(asked).collect()] == want, asked
+    assert len({f.rsplit("/", 1)[0] for f in kept.first("ab").inputFiles()}) <= 1
+
+
+def test_pages_by_position(spark, tmp_path):
+    rng = random.Random(12)
+    rows = [(rng.choice([None, 1, 2, 3, 9]), k) for k in range(500)]
+    kept = Ordered(spark, str(tmp_path / "p"), "a int, k int", ["a", "k"], ranges=9)
+    frame = spark.createDataFrame(rows, "a int, k int").repartition(3)
+    kept.build(frame)
+    for number, size in ((0, 7), (3, 60), (41, 12), (9, 60), (0, 1000), (2, 1000)):
+        want = search.page(frame, number, size, [F.col("a"), F.col("k")])
+        assert [tuple(r) for r in kept.page(number, size).collect()] == [tuple(r) for r in want.collect()], (number, size)
+    assert len({f.rsplit("/", 1)[0] for f in kept.page(30, 12).inputFiles()}) <= 2
+    kept.build(frame.limit(0))
+    assert kept.page(0, 5).count() == 0
