@@ -57,6 +57,68 @@ def reach(edges: DataFrame, starts: DataFrame, limit: int = 1000) -> DataFrame:
     raise RuntimeError(f"no end after {limit} steps")
 
 
+#: 64-bit words of a reachability label.
+LABEL_WORDS = 4
+
+
+def _bits(node: str, k: int):
+    """The ``k``-th word of the label of a node alone: one bit of all words, told by its hash."""
+    at = F.pmod(F.xxhash64(F.col(node)), F.lit(64 * LABEL_WORDS)).cast("int")
+    return F.when(F.floor(at / 64) == k, F.call_function("shiftleft", F.lit(1).cast("bigint"), at % 64)).otherwise(F.lit(0).cast("bigint"))
+
+
+def reach_labels(edges: DataFrame, limit: int = 1000) -> DataFrame:
+    """node and o0, o1, ...: the bits of all nodes that can be reached from a node, itself included.
+
+    A node whose bit isn't among them can't be reached; others may be. Labels spread against the
+    edges, a step a round, until none changes: rows are nodes, whatever they reach, rings too.
+    """
+    words = [f"o{k}" for k in range(LABEL_WORDS)]
+    edges = cut(edges.select("src", "dst").distinct())
+    now = cut(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().select("node", *[_bits("node", k).alias(w) for k, w in enumerate(words)]))
+    for _ in range(limit):
+        sent = edges.join(now, F.col("dst") == F.col("node")).select(F.col("src").alias("node"), *words)
+        new = cut(now.unionByName(sent).groupBy("node").agg(*[F.bit_or(w).alias(w) for w in words]))
+        same = new.join(now, ["node", *words], "left_anti").isEmpty()
+        drop(now)
+        now = new
+        if same:
+            return now
+    raise RuntimeError(f"no end after {limit} steps")
+
+
+def reachable(edges: DataFrame, labels: DataFrame, pairs: DataFrame, limit: int = 1000) -> DataFrame:
+    """start, goal and reaches for the distinct rows of ``pairs``: whether the edges lead from one to the other; a node reaches itself.
+
+    ``labels`` (of ``reach_labels``) settle most pairs that are apart. The rest are walked from
+    their starts, all at once, only by nodes whose labels allow the goal, and no further once it
+    is met; so there is a row for a pair and a node between them, never one for all a node reaches.
+    """
+    words = [f"o{k}" for k in range(LABEL_WORDS)]
+    edges = edges.select("src", "dst").distinct()
+    asked = cut(pairs.select("start", "goal").where("start IS NOT NULL AND goal IS NOT NULL").distinct())
+
+    def allowed(rows: DataFrame) -> DataFrame:
+        met = rows.join(labels, "node")
+        fits = F.lit(True)
+        for k, w in enumerate(words):
+            fits = fits & (F.col(w).bitwiseAND(_bits("goal", k)) == _bits("goal", k))
+        return met.where(fits).select("start", "goal", "node")
+
+    found = cut(asked.where("start = goal"))
+    front = cut(allowed(asked.where("start <> goal").withColumn("node", F.col("start"))))
+    seen = front
+    for _ in range(limit):
+        step = front.join(edges, F.col("node") == F.col("src")).select("start", "goal", F.col("dst").alias("node")).distinct()
+        step = cut(allowed(step))
+        found = cut(found.unionByName(step.where("node = goal").select("start", "goal")))
+        front = cut(step.join(found, ["start", "goal"], "left_anti").join(seen, ["start", "goal", "node"], "left_anti"))
+        if front.isEmpty():
+            return asked.join(found.withColumn("reaches", F.lit(True)), ["start", "goal"], "left").withColumn("reaches", F.coalesce("reaches", F.lit(False)))
+        seen = cut(seen.unionByName(front))
+    raise RuntimeError(f"no end after {limit} steps")
+
+
 def shortest_path(edges: DataFrame, start: str, goal: str, limit: int = 1000) -> DataFrame:
     """place and node along one shortest path (of the least names); no rows if there is none.
 

@@ -107,6 +107,18 @@ def path_links(spark, d):
     return R.link_by_path(pages, folders)
 
 
+@query("graph_pairs", "SELECT 'c' || c_custkey AS start, 'r' || c_custkey % 5 AS goal, n_regionkey = c_custkey % 5 AS reaches FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 'n' || n_nationkey, 'c' || n_nationkey, FALSE FROM nation")
+def graph_pairs(spark, d):
+    """Whether customers lead to a region, and nations to a customer, told by labels and walks of what these leave open."""
+    r = Registry(spark, d)
+    name = lambda head, c: F.concat(F.lit(head), c.cast("string"))
+    customer, nation = r.table("customer"), r.table("nation")
+    edges = customer.select(name("c", F.col("c_custkey")).alias("src"), name("n", F.col("c_nationkey")).alias("dst")).unionByName(nation.select(name("n", F.col("n_nationkey")).alias("src"), name("r", F.col("n_regionkey")).alias("dst")))
+    pairs = customer.select(name("c", F.col("c_custkey")).alias("start"), name("r", F.col("c_custkey") % 5).alias("goal"))
+    pairs = pairs.unionByName(nation.select(name("n", F.col("n_nationkey")).alias("start"), name("c", F.col("n_nationkey")).alias("goal")))
+    return G.reachable(edges, G.reach_labels(edges), pairs)
+
+
 _NODE = "'c' || lpad(CAST({} AS VARCHAR), 12, '0')"
 
 

@@ -260,3 +260,26 @@ def test_pages_by_position(spark, tmp_path):
     assert len({f.rsplit("/", 1)[0] for f in kept.page(30, 12).inputFiles()}) <= 2
     kept.build(frame.limit(0))
     assert kept.page(0, 5).count() == 0
+
+
+@pytest.mark.parametrize("nodes", [25, 400])
+def test_reachable_pairs(spark, nodes):
+    """Pairs over graphs with rings, of more nodes than a label has bits too; unknown nodes reach themselves only."""
+    rng = random.Random(nodes)
+    edges = {(f"n{rng.randrange(nodes)}", f"n{rng.randrange(nodes)}") for _ in range(int(nodes * 1.1))}
+    after: dict = {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+    def reach(start):
+        seen, front = {start}, [start]
+        while front:
+            for d in after.get(front.pop(), ()):
+                if d not in seen:
+                    seen.add(d)
+                    front.append(d)
+        return seen
+    pairs = {(f"n{rng.randrange(nodes)}", f"n{rng.randrange(nodes)}") for _ in range(150)} | {("x", "x"), ("x", "n1"), ("n1", "x"), ("n1", "n1")}
+    frame = spark.createDataFrame(sorted(edges), "src string, dst string")
+    labels = graph.reach_labels(frame)
+    got = {(r.start, r.goal): r.reaches for r in graph.reachable(frame, labels, spark.createDataFrame([*pairs, (None, "n1")], "start string, goal string")).collect()}
+    assert got == {(a, b): b in reach(a) for a, b in pairs} and len(set(got.values())) == 2
