@@ -40,7 +40,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and reread; scratch tables go as soon as nothing reads them."""
+    """All stages over ``documents``, each written and reread; scratch tables go as soon as nothing reads them.
+
+    Null and empty texts have no words and fail the base rule of quality; a null key or source is
+    one like others; repeated rows are near copies of one another, of which one stays; an empty
+    table gives no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     begin = len(written)
     for _, stage in STAGES[:-1]:

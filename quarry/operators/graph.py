@@ -50,10 +50,14 @@ def reach(edges: DataFrame, starts: DataFrame, limit: int = 1000) -> DataFrame:
     front = seen
     for depth in range(1, limit + 1):
         step = front.join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
-        front = cut(step.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
-        if front.isEmpty():
+        new = cut(step.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        if new.isEmpty():
             return seen
-        seen = cut(seen.union(front))
+        both = cut(seen.union(new))
+        drop(seen)
+        if depth > 1:
+            drop(front)
+        seen, front = both, new
     raise RuntimeError(f"no end after {limit} steps")
 
 
@@ -233,9 +237,10 @@ def levels(edges: DataFrame, nodes: DataFrame | None = None, limit: int = 1000)
         free = cut(left.join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti"))
         if free.isEmpty():
             return done.unionByName(left.withColumn("level", F.lit(None).cast("int")))
-        done = cut(done.unionByName(free.withColumn("level", F.lit(level))))
-        left = cut(left.join(free, "node", "left_anti"))
-        edges = cut(edges.join(free, F.col("src") == F.col("node"), "left_anti"))
+        now = cut(done.unionByName(free.withColumn("level", F.lit(level)))), cut(left.join(free, "node", "left_anti")), cut(edges.join(free, F.col("src") == F.col("node"), "left_anti"))
+        for old in (free, left, edges, *[done] * (level > 0)):
+            drop(old)
+        done, left, edges = now
     raise RuntimeError(f"no end after {limit} levels")
 
 

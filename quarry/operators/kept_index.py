@@ -39,7 +39,9 @@ class Index:
         return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
 
     def _write(self, made: DataFrame) -> dict:
-        path = self.table.write(made.withColumn("_b", self._bucket("term")).repartition("_b").sortWithinPartitions("_b", "term", F.desc("level")), "_b")
+        # A frequent term has many parts, which several tasks write; others lie in one file a bucket.
+        spread = F.pmod("part", F.lit(int(self.spark.conf.get("spark.sql.shuffle.partitions"))))
+        path = self.table.write(made.withColumn("_b", self._bucket("term")).repartition(F.col("_b"), spread).sortWithinPartitions("_b", "term", F.desc("level")), "_b")
         held = [n.removeprefix("_b=") for n in self.table.names(path) if n.startswith("_b=")]
         return {"path": path, "postings": self.table.read(SCHEMA, [f"{path}/_b={b}" for b in held]).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], "buckets": held}
 
