@@ -75,7 +75,7 @@ def build_index(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: st
 
 def _ranked(windows: DataFrame, terms: DataFrame, index: DataFrame) -> DataFrame:
     """Windows whose words all occur in the documents: _window, _size and _parts (n, offset, term of each word, rarest first)."""
-    counts = index.where("_term IS NOT NULL").groupBy("_term").agg(F.count(F.lit(1)).alias("_n"))
+    counts = _sized(materialize(index.where("_term IS NOT NULL").groupBy("_term").agg(F.count(F.lit(1)).alias("_n"))))
     parts = windows.select("_window", F.size("_words").alias("_size"), F.posexplode("_words").alias("_offset", "_word")).join(terms, "_word").join(counts, "_term")
     ranked = parts.groupBy("_window", "_size").agg(F.sort_array(F.collect_list(F.struct("_n", "_offset", "_term"))).alias("_parts"))
     return materialize(ranked.where("size(_parts) = _size"))
@@ -101,12 +101,15 @@ def matches(index: DataFrame, ranked: DataFrame, settings: Settings) -> DataFram
     """
     postings = index.where("_term IS NOT NULL").select("_key", "_hash", "_pos", "_term")
     part = lambda k, name: F.col("_parts")[k][name]
-    ask = _sized(ranked.select("_window", "_size", part(0, "_term").alias("_term"), part(0, "_offset").alias("_offset"), F.when(F.col("_size") > 1, part(1, "_term")).alias("_second"), F.when(F.col("_size") > 1, part(1, "_offset")).alias("_other")))
-    begun = postings.join(ask, "_term").withColumn("_start", F.col("_pos") - F.col("_offset")).drop("_term", "_pos", "_offset")
-    single = begun.where("_size = 1").select("_key", "_hash", "_window", "_size", "_start", F.lit(True).alias("_exact"))
-    seconds = ranked.where("_size > 1").select(part(1, "_term").alias("_term")).distinct()
-    met = _near(begun.where("_size > 1").withColumnRenamed("_second", "_term").withColumn("_want", F.col("_start") + F.col("_other")), postings.join(_sized(seconds), "_term", "left_semi"), settings.slack)
-    left = materialize(met.select("_key", "_hash", "_window", "_size", "_start").distinct())
+    alone = ranked.where("_size = 1").select("_window", "_size", part(0, "_term").alias("_term"))
+    single = postings.join(_sized(alone), "_term").select("_key", "_hash", "_window", "_size", F.col("_pos").alias("_start"), F.lit(True).alias("_exact"))
+    # Windows that share their two rarest words at one distance are looked up as one.
+    asked = ranked.where("_size > 1").select("_window", "_size", part(0, "_term").alias("_first"), part(0, "_offset").alias("_offset"), part(1, "_term").alias("_second"), (part(1, "_offset") - part(0, "_offset")).alias("_apart"))
+    pairs = materialize(asked.select("_first", "_second", "_apart").distinct())
+    begun = postings.join(_sized(pairs), F.col("_term") == F.col("_first")).select("_key", "_hash", F.col("_pos").alias("_from"), "_first", "_apart", F.col("_second").alias("_term"), (F.col("_pos") + F.col("_apart")).alias("_want"))
+    seconds = pairs.select(F.col("_second").alias("_term")).distinct()
+    met = _near(begun, postings.join(_sized(seconds), "_term", "left_semi"), settings.slack).select("_key", "_hash", "_from", "_first", "_apart", F.col("_term").alias("_second")).distinct()
+    left = materialize(met.join(_sized(asked), ["_first", "_second", "_apart"]).select("_key", "_hash", "_window", "_size", (F.col("_from") - F.col("_offset")).alias("_start")))
     there = postings.join(_sized(materialize(left.select("_key", "_hash").distinct())), ["_key", "_hash"], "left_semi")
     wanted = left.join(_sized(ranked.select("_window", "_parts")), "_window").select("_key", "_hash", "_window", "_size", "_start", F.explode("_parts").alias("_part"))
     found = _near(wanted.select("*", F.col("_part._term").alias("_term"), F.col("_part._offset").alias("_offset"), (F.col("_start") + F.col("_part._offset")).alias("_want")), there, settings.slack)
