@@ -1,4 +1,4 @@
 """All registered queries of the library proper."""
 
-from . import algebra, configs, flows, kept, measures, modules, pages, relational, repository, text  # noqa: F401
+from . import algebra, configs, expressions, flows, kept, measures, modules, pages, relational, repository, text  # noqa: F401
 from .base import QUERIES, SQL  # noqa: F401
