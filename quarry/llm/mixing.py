@@ -5,22 +5,27 @@ network routes token capacity from patterns to source quotas: the k-th use of a
 costs more than the one before, so capacity is repeated only where quotas need it. The flows
 then say how many tokens to take of each pattern, and seeded hashes pick the documents.
 
-Where every document serves one source the network falls apart into one edge for each, whose flow
-is its quota or its capacity; that case is solved in Spark, however many sources there are.
+The network falls apart into components of patterns and sources that hang together, which are
+solved in tasks of Spark; only sums by pattern and source get there, and none comes to the driver.
 """
 
 from __future__ import annotations
 
 from collections import deque
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, materialize, split_join, whole
+from .near_dups import components
 
 #: Tables of sources or patterns of up to so many rows are broadcast.
 BROADCAST_ROWS = 10_000
 
+#: About so many routes of small components are solved in one task.
+ROUTES = 10_000
+
 
 def min_cost_flow(capacity: dict[str, int], members: dict[str, list[str]], quota: dict[str, int], uses: int = 2) -> dict[tuple[str, str], int]:
     """Tokens to route from each pattern to each of its sources, in whole tokens.
@@ -130,6 +135,34 @@ def _attached(rows: DataFrame, table: DataFrame, on: list[str], total: int) -> D
     return rows.join(F.broadcast(table.drop("_uses")), on) if table.count() <= BROADCAST_ROWS else split_join(rows, table, on, "_uses", total)
 
 
+def route(routes: DataFrame, most: int = 2) -> DataFrame:
+    """_pattern, _name and _flow (words, above 0): the min-cost flow over ``routes``, component by component.
+
+    ``routes`` has a row for each pattern and source that it may serve: _group tells the component,
+    _held is the pattern's capacity (once), _quota the source's. A component is solved in one task:
+    what must fit there are its patterns and sources, not their documents.
+    """
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        # Components don't meet in a network, so those of a task are solved as one, each as it would be alone.
+        serves: dict[str, list[str]] = {}
+        for p, s in zip(rows["_pattern"], rows["_name"], strict=True):
+            serves.setdefault(p, []).append(s)
+        capacity = dict(zip(rows["_pattern"], rows["_held"].tolist(), strict=True))
+        quota = dict(zip(rows["_name"], rows["_quota"].tolist(), strict=True))
+        return pd.DataFrame([(p, s, x) for (p, s), x in min_cost_flow(capacity, serves, quota, most).items()], columns=["_pattern", "_name", "_flow"])
+
+    dealt = routes.withColumn("_task", F.pmod(F.xxhash64("_group"), F.lit(routes.count() // ROUTES + 1)))
+    return dealt.groupBy("_task").applyInPandas(solve, "_pattern string, _name string, _flow long")
+
+
+def _grouped(routes: DataFrame) -> DataFrame:
+    """``routes`` with _group: the component of patterns and sources that a route lies in."""
+    ends = routes.select(F.concat(F.lit("p"), "_pattern").alias("a"), F.concat(F.lit("s"), "_name").alias("b"))
+    found = components(ends).select(F.expr("substring(v, 2)").alias("_pattern"), F.col("c").alias("_group")).where("v LIKE 'p%'")
+    return routes.join(found, "_pattern")
+
+
 def _mixed(docs: DataFrame, key: str, text: str, source: str, members: str | None, weights: tuple[int, ...], share: tuple[int, int], most: int, seed: int, buckets: int) -> DataFrame:
     """_key, _source, _mark (of the text), size, source_size, target and _times (how often the mix takes the row)."""
     count = F.regexp_count(whole(text), F.lit(WORD)).cast("long")
@@ -143,54 +176,70 @@ def _mixed(docs: DataFrame, key: str, text: str, source: str, members: str | Non
     total = slim.count()
     sizes = slim.groupBy("_source", "_name").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_uses"))
     about = materialize(targets(sizes, weights, share, most))
+    quota = about.select("_name", F.floor("target").alias("_quota"))
     if own is None:
-        flow = F.least(F.floor("target"), most * F.col("source_size"))
-        flows = about.select(F.col("_name").alias("_pattern"), "_uses", F.col("source_size").alias("_held"), flow.alias("_flow"))
+        patterns = about.select(F.col("_name").alias("_pattern"), "_uses", F.col("source_size").alias("_held"))
+        routes = patterns.withColumn("_name", F.col("_pattern")).withColumn("_group", F.col("_pattern")).join(quota, "_name")
     else:
-        sums = slim.groupBy("_pattern").agg(F.first("_own").alias("own"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("uses")).collect()
-        quota = {r["_name"]: int(r["target"]) for r in about.collect()}
-        served = {r["_pattern"]: [n for x in r["own"] or [] if (n := "0" if x is None else f"1{x}") in quota] for r in sums}
-        routed = dict.fromkeys(served, 0)
-        for (p, _), x in min_cost_flow({r["_pattern"]: r["size"] for r in sums}, served, quota, most).items():
-            routed[p] += x
-        flows = docs.sparkSession.createDataFrame([(r["_pattern"], r["uses"], r["size"], routed[r["_pattern"]]) for r in sums], "_pattern string, _uses long, _held long, _flow long")
+        summed = materialize(slim.groupBy("_pattern").agg(F.first("_own").alias("_own"), F.sum("size").alias("_held"), F.count(F.lit(1)).alias("_uses")))
+        patterns, each = summed.drop("_own"), summed.select("_pattern", "_held", F.explode("_own").alias("_s"))
+        routes = _grouped(materialize(each.select("_pattern", "_held", F.when(F.col("_s").isNull(), "0").otherwise(F.concat(F.lit("1"), "_s")).alias("_name")).join(quota, "_name")))
+    routed = materialize(route(materialize(routes), most))
+    flows = patterns.join(routed.groupBy("_pattern").agg(F.sum("_flow").alias("_flow")), "_pattern", "left").withColumn("_flow", F.coalesce("_flow", F.lit(0)))
     some = F.col("_held") > 0
     quotas = flows.select("_pattern", "_uses", F.when(some, F.expr("_flow div _held")).otherwise(0).alias("_whole"), F.when(some, F.expr("_flow % _held")).otherwise(0).alias("_rest"))
     width = (1 << 48) // buckets
     ranged = slim.withColumn("_bucket", F.floor(F.col("_hash") / width).cast("int"))
     upto = F.expr("sum(held) OVER (PARTITION BY _pattern ORDER BY _bucket ROWS UNBOUNDED PRECEDING)")
-    running = ranged.groupBy("_pattern", "_bucket").agg(F.sum("size").alias("held")).withColumn("_upto", upto)
+    running = ranged.groupBy("_pattern", "_bucket").agg(F.sum("size").alias("held"), F.count(F.lit(1)).alias("_docs")).withColumn("_upto", upto)
     # The margin lies in the first range whose running sum passes the rest; ranges before it are taken whole.
     margin = running.join(quotas, "_pattern").where("_upto > _rest").groupBy("_pattern").agg(F.min(F.struct("_bucket", (F.col("_rest") - F.col("_upto") + F.col("held")).alias("_left"))).alias("_m"))
     quotas = quotas.join(margin, "_pattern", "left").select("_pattern", "_uses", "_whole", F.coalesce("_m._bucket", F.lit(buckets)).alias("_edge"), F.coalesce("_m._left", F.lit(0)).alias("_left"))
     joined = _attached(ranged, quotas, ["_pattern"], total)
-    columns = ["_key", "_source", "_name", "_mark", "size"]
+    columns = ["_key", "_source", "_name", "_mark", "size"] + (["_pattern", "_bucket"] if own is not None else [])
     settled = joined.where("_bucket <> _edge").select(*columns, (F.col("_whole") + F.when(F.col("_bucket") < F.col("_edge"), 1).otherwise(0)).alias("_times"))
     # At the margin equal rows are counted, not sorted; of those that straddle the cut, as many are taken as fit by half.
-    same = joined.where("_bucket = _edge").groupBy(*columns, "_pattern", "_hash", "_whole", "_left").agg(F.count(F.lit(1)).alias("_n"))
+    same = joined.where("_bucket = _edge").groupBy(*dict.fromkeys([*columns, "_pattern", "_hash", "_whole", "_left"])).agg(F.count(F.lit(1)).alias("_n"))
     before = F.expr("coalesce(sum(size * _n) OVER (PARTITION BY _pattern ORDER BY _hash, _key, size, _mark ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)")
     fit = F.when(F.col("size") > 0, F.floor((2 * F.col("_left") - 2 * F.col("_before") + F.col("size")) / (2 * F.col("size")))).otherwise(0)
     fit = F.least(F.greatest(fit, F.lit(0)), F.col("_n"))
     cut = same.withColumn("_before", before).withColumn("_fit", fit)
     runs = F.array(F.struct((F.col("_whole") + 1).alias("times"), F.col("_fit").alias("n")), F.struct(F.col("_whole").alias("times"), (F.col("_n") - F.col("_fit")).alias("n")))
     edge = cut.select(*columns, F.explode(runs).alias("_r")).where("_r.n > 0").select(*columns, F.col("_r.times").alias("_times"), F.explode(F.sequence(F.lit(1), F.col("_r.n").cast("int"))).alias("_at")).drop("_at")
-    return _attached(settled.unionByName(edge), about.select("_name", "_uses", "source_size", "target"), ["_name"], total)
+    mixed = _attached(settled.unionByName(edge), about.select("_name", "_uses", "source_size", "target"), ["_name"], total)
+    if own is None:
+        return mixed
+    # Ranges of hashes serve the pattern's sources in turn, as far as each one's flow goes.
+    took = F.expr("held * _whole + CASE WHEN _bucket < _edge THEN held WHEN _bucket = _edge THEN _left ELSE 0 END")
+    middle = F.expr("sum(_took) OVER (PARTITION BY _pattern ORDER BY _bucket ROWS UNBOUNDED PRECEDING) - _took / 2")
+    placed = running.join(quotas.drop("_uses"), "_pattern").withColumn("_took", took).withColumn("_middle", middle).where("_took > 0")
+    upto = F.expr("sum(_flow) OVER (PARTITION BY _pattern ORDER BY _name ROWS UNBOUNDED PRECEDING)")
+    shares = routed.withColumn("_to", upto).select("_pattern", F.col("_name").alias("_served"), (F.col("_to") - F.col("_flow")).alias("_from"), "_to")
+    last = F.max("_to").over(Window.partitionBy("_pattern"))
+    shares = shares.withColumn("_to", F.when(F.col("_to") == last, F.lit(1 << 62)).otherwise(F.col("_to")))
+    served = placed.join(shares, "_pattern").where("_middle >= _from AND _middle < _to").select("_pattern", "_bucket", "_served", F.col("_docs").alias("_uses"))
+    named = materialize(served.unionByName(running.join(served, ["_pattern", "_bucket"], "left_anti").select("_pattern", "_bucket", F.lit(None).cast("string").alias("_served"), F.col("_docs").alias("_uses"))))
+    return _attached(materialize(mixed), named, ["_pattern", "_bucket"], total)
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", members: str | None = None, weights: tuple[int, ...] = (5, 2, 1), share: tuple[int, int] = (3, 2), most: int = 2, seed: int = 29, buckets: int = 4096) -> DataFrame:
-    """One row per document: key, size, source_size, target and taken (words, repeats counted).
+    """One row per document: key, size, source_size, target and taken (words, repeats counted), with ``members`` also served.
 
     ``members`` names an array column with the sources that a document may serve; without it a
     document serves its own source (null is a source too). size is the text's words, null none.
     A pattern's flow of f tokens over capacity c takes all its documents f // c times and, for the
     rest, documents in the order of a hash of seed, key and text while at least half of them fits. Nothing comes to the
-    driver but two sums a round; with ``members``, the sums by pattern do. The documents at the
+    driver but two sums a round. ``served`` is the source that a document is taken for, null where it
+    isn't taken: ranges of a pattern's hashes serve its sources in turn, so a source gets its flow but
+    for half a range at each end; the source null is told by ``served_null``. The documents at the
     margin are found by ``buckets`` sums of hash ranges and then a sort of the one range that holds
     the margin. Documents without words take nothing; repeated rows count each; an empty table
     gives no rows.
     """
     mixed = _mixed(docs, key, text, source, members, weights, share, most, seed, buckets)
-    return mixed.select(F.col("_key").alias(key), "size", "source_size", "target", (F.col("size") * F.col("_times")).alias("taken"))
+    took = F.col("size") * F.col("_times")
+    more = [] if members is None else [F.when(took > 0, F.expr("CASE WHEN _served <> '0' THEN substring(_served, 2) END")).alias("served"), F.coalesce((took > 0) & (F.col("_served") == "0"), F.lit(False)).alias("served_null")]
+    return mixed.select(F.col("_key").alias(key), "size", "source_size", "target", took.alias("taken"), *more)
 
 
 def apply_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", members: str | None = None, weights: tuple[int, ...] = (5, 2, 1), share: tuple[int, int] = (3, 2), most: int = 2, seed: int = 29, buckets: int = 4096) -> DataFrame:

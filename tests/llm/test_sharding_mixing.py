@@ -158,6 +158,46 @@ def test_mix_of_overlapping_sources(spark):
     assert out.count() == 20 and all(r.taken % 10 == 0 and r.taken <= 20 for r in out.collect())
 
 
+def test_routes_of_overlapping_sources(spark):
+    """Documents are taken for sources that they may serve, in amounts of a flow of least cost over each component; null is a source too."""
+    import random
+
+    r = random.Random(8)
+    pool = [["a"], ["a", "b"], ["b", "c"], ["d"], ["d", None], [None], ["e"], [], ["gone"], None]
+    rows = [(k, " ".join(["w"] * r.randrange(0, 6)), r.choice(["a", "b", "c", "d", "e", None]), pool[k * k % 7] if k % 5 else r.choice(pool)) for k in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, may array<string>").repartition(3)
+    out = {x.doc_id: x for x in mixing.mix(docs, members="may").collect()}
+    assert len(out) == len(rows)
+    size = Counter()
+    for _, t, s, _ in rows:
+        size[s] += len(t.split())
+    told = lambda s: "0" if s is None else f"1{s}"
+    quota = {told(s): int(x) for s, x in brute(dict(size)).items()}
+    held, serves = Counter(), {}
+    for _, t, _, m in rows:
+        p = str(m and sorted(set(map(told, m))))
+        held[p] += len(t.split())
+        serves[p] = [x for x in map(told, m or []) if x in quota]
+    flow = mixing.min_cost_flow(dict(held), serves, quota)
+    used, got, taken = Counter(), Counter(), Counter()
+    for (p, _), x in flow.items():
+        used[p] += x
+    for k, _, _, m in rows:
+        x = out[k]
+        assert x.taken in (0, x["size"], 2 * x["size"])
+        assert (x.served is None and not x.served_null) == (x.taken == 0)
+        if x.taken:
+            s = "0" if x.served_null else told(x.served)
+            assert s in map(told, m)
+            got[s] += x.taken
+        taken[str(m and sorted(set(map(told, m))))] += x.taken
+    # Flows of one cost may differ; documents are taken whole, and ranges hold one or two of them.
+    again = lambda of: sum(max(0, of[p] - held[p]) for p in held)
+    assert all(x <= 2 * held[p] for p, x in taken.items())
+    assert abs(sum(taken.values()) - sum(flow.values())) <= 3 * len(held) and abs(again(taken) - again(used)) <= 3 * len(held)
+    assert sum(got.values()) == sum(taken.values()) and all(got[s] <= quota[s] + 40 for s in quota)
+
+
 def test_apply_mix_tells_rows_of_one_key(spark):
     """Key 1 has texts of its own, no text and equal rows; each is taken by its own decision."""
     rows = [(1, "one two three", "a", 1), (1, "", "a", 2), (1, None, "a", 3), (1, "one two three", "b", 4)] + [(2, "same words here", "a", 5 + k) for k in range(9)] + [(k, f"text number {k}", "ab"[k % 2], 20 + k) for k in range(3, 9)]
