@@ -28,11 +28,13 @@ def source_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{bsl,os}").text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
+#: A line up to its comment.
+CODE = r'^((?:[^"/]++|"(?:[^"]++|"")*+"?|/(?!/))*+)'
+
+
 def lines(files: DataFrame) -> DataFrame:
     """path, line (from 1) and code: the line without its comment; string literals keep their slashes."""
-    each = files.select("path", F.posexplode(F.split("content", "\r?\n")).alias("at", "raw"))
-    code = F.regexp_extract("raw", r'^((?:[^"/]|"(?:[^"]|"")*"?|/(?!/))*)', 1)
-    return each.select("path", (F.col("at") + 1).alias("line"), code.alias("code"))
+    return files.select("path", F.posexplode(line_array(F.col("content"))).alias("line", "code")).withColumn("line", F.col("line") + 1)
 
 
 #: What a statement line ends with if it is whole, and words that begin a statement whatever came before.
@@ -41,30 +43,52 @@ HEAD = r"(?iu)^\s*(?:Процедура|Функция|Procedure|Function)\s"
 FRESH = r"(?iu)^\s*(?:Процедура|Функция|Procedure|Function|КонецПроцедуры|КонецФункции|EndProcedure|EndFunction|Если|If|ИначеЕсли|ElsIf|Иначе|Else|КонецЕсли|EndIf|Пока|While|Для|For|КонецЦикла|EndDo|Попытка|Try|Исключение|Except|КонецПопытки|EndTry|Возврат|Return|Перем|Var)\b"
 
 
-def statements(rows: DataFrame) -> DataFrame:
-    """``rows`` of lines with statements that run over several lines put together on the first; blank lines stay as they are.
+def line_array(content: Column) -> Column:
+    """The lines of a file in order, each without its comment; string literals keep their slashes."""
+    return F.transform(F.split(content, "\r?\n"), lambda raw: F.regexp_extract(raw, CODE, 1))
+
+
+def _statement_step(held: Column, x: Column) -> Column:
+    """One line more: it begins a statement, goes on with the one before, or is blank."""
+    ends = x["closes"] & F.coalesce(held["head"] > held["closed"], F.lit(False))
+    starts = held["whole"] | x["code"].rlike(FRESH)  # the pattern is tried only behind a line that isn't whole
+    this = F.struct(x["line"].alias("line"), x["code"].alias("code"))
+    longer = F.struct(held["now"]["line"].alias("line"), F.concat_ws(" ", F.trim(held["now"]["code"]), F.trim(x["code"])).alias("code"))
+    before = F.filter(F.array(held["now"]), lambda s: s.isNotNull())
+    none = F.slice(held["blanks"], 1, 0)
+    fields = {
+        "done": F.when(x["blank"] | ~starts, held["done"]).otherwise(F.concat(held["done"], before, held["blanks"])),
+        "now": F.when(x["blank"], held["now"]).when(starts, this).otherwise(longer),
+        "blanks": F.when(x["blank"], F.concat(held["blanks"], F.array(this))).when(starts, none).otherwise(held["blanks"]),
+        "whole": F.when(x["blank"], held["whole"]).otherwise(x["whole"] | ends),
+        "head": F.when(x["opens"], x["line"]).otherwise(held["head"]),
+        "closed": F.when(x["closes"], x["line"]).otherwise(held["closed"]),
+    }
+    return F.struct(*[c.alias(n) for n, c in fields.items()])
+
+
+def statement_array(lines_: Column) -> Column:
+    """line and code of a file's lines (``line_array``), in order: statements over several lines are put together on the first, blank lines stay.
 
     A line goes on in the next one unless it ends with a semicolon, a block's word or a routine's
-    head, or the next one begins with such a word. Windows run over one file each.
+    head, or the next one begins with such a word. A head over several lines ends with the first
+    bracket that closes.
     """
-    order = Window.partitionBy("path").orderBy("line")
-    blank = F.trim("code") == ""
-    head = F.col("code").rlike(BEGIN)
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    # A head over several lines ends with the first bracket that closes.
-    open_head = F.last(F.when(F.col("code").rlike(HEAD) & ~head, F.col("line")), ignorenulls=True).over(earlier)
-    closed = F.last(F.when(F.col("code").contains(")"), F.col("line")), ignorenulls=True).over(earlier)
-    head_ends = F.coalesce(F.col("code").contains(")") & (open_head > F.coalesce(closed, F.lit(0))), F.lit(False))
-    told = rows.withColumn("_blank", blank).withColumn("_whole", F.col("code").rlike(WHOLE) | head | head_ends)
-    before = F.last(F.when(~F.col("_blank"), F.col("_whole")), ignorenulls=True).over(earlier)
-    starts = ~F.col("_blank") & (F.coalesce(before, F.lit(True)) | F.col("code").rlike(FRESH))
-    numbered = told.withColumn("_s", F.last(F.when(starts, F.col("line")), ignorenulls=True).over(order))
-    # Few statements have more than one line; only these are gathered.
-    own = numbered.where(~F.col("_blank"))
-    more = own.groupBy("path", "_s").agg(F.count(F.lit(1)).alias("_n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "code"))), lambda x: F.trim(x["code"])), " ").alias("_text")).where("_n > 1")
-    joined = numbered.join(more, ["path", "_s"], "left")
-    kept = joined.where(F.col("_n").isNull() | F.col("_blank") | (F.col("line") == F.col("_s")))
-    return kept.select("path", "line", F.when(F.col("_n").isNotNull() & ~F.col("_blank"), F.col("_text")).otherwise(F.col("code")).alias("code"))
+    row = "struct<line:int,code:string>"
+    headed = lambda code, i: F.struct((i + 1).cast("int").alias("line"), code.alias("code"), code.rlike(HEAD).alias("headed"))
+    begun = lambda x: F.struct(x["line"], x["code"], x["headed"], (x["headed"] & x["code"].rlike(BEGIN)).alias("head"))
+    told = lambda x: F.struct(
+        x["line"], x["code"], (F.trim(x["code"]) == "").alias("blank"), (x["headed"] & ~x["head"]).alias("opens"), x["code"].contains(")").alias("closes"), (F.rtrim(x["code"]).endswith(";") | x["head"] | x["code"].rlike(WHOLE)).alias("whole"),
+    )
+    start = F.struct(F.array().cast(f"array<{row}>").alias("done"), F.lit(None).cast(row).alias("now"), F.array().cast(f"array<{row}>").alias("blanks"), F.lit(True).alias("whole"), F.lit(None).cast("int").alias("head"), F.lit(0).alias("closed"))
+    each = F.transform(F.transform(F.transform(lines_, headed), begun), told)
+    return F.aggregate(each, start, _statement_step, lambda s: F.concat(s["done"], F.filter(F.array(s["now"]), lambda x: x.isNotNull()), s["blanks"]))
+
+
+def statements(rows: DataFrame) -> DataFrame:
+    """``rows`` of all lines of files with their statements put together (``statement_array``)."""
+    files = rows.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("line", "code")))["code"].alias("_codes"))
+    return files.select("path", F.inline(statement_array(F.col("_codes"))))
 
 
 def in_routines(rows: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from . import analysis as A
 from . import flow as W
+from .graph import cut, join_often
 
 NAME = W.NAME
 PATH = rf"{NAME}(?:\s*\.\s*{NAME})*"
@@ -196,7 +197,7 @@ def with_types(expressions: DataFrame, keys: list[str], names: DataFrame, calls:
     based = met.withColumn("_type", F.when(F.col("_call"), F.col("_back")).otherwise(F.col("_held")))
     dotted = based.where("_more <> ''").withColumn("_path", F.concat_ws(".", F.coalesce("_type", F.lit(UNKNOWN)), "_more"))
     found = A.resolve_paths(dotted.select("_path").distinct(), members, "_path").select("_path", F.col("type").alias("_member"))
-    far = dotted.join(found, "_path", "left").select(*keys, "_o", F.col("_member").alias("_type"))
+    far = join_often(dotted, found, ["_path"], "left").select(*keys, "_o", F.col("_member").alias("_type"))
     entries = based.where("_more = ''").select(*keys, "_o", "_type").unionByName(far).where("_type IS NOT NULL")
     # The operands of one expression.
     maps = entries.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_o", "_type"))).alias("_types"))
@@ -204,7 +205,7 @@ def with_types(expressions: DataFrame, keys: list[str], names: DataFrame, calls:
     return made.select(*expressions.columns, "_t.type", "_t.problems")
 
 
-def in_files(rows: DataFrame, placed: DataFrame, returns: DataFrame, members: DataFrame) -> DataFrame:
+def in_files(rows: DataFrame, placed: DataFrame, returns: DataFrame, members: DataFrame, whole: DataFrame | None = None) -> DataFrame:
     """path, routine, line, text, type and problems of every assigned value, returned value and condition of ``rows`` (``flow.blocks``).
 
     Names hold what reaches them (``placed``, of ``flow.typed_assignments``), calls return what the
@@ -213,11 +214,11 @@ def in_files(rows: DataFrame, placed: DataFrame, returns: DataFrame, members: Da
     code = F.col("code")
     text = F.when(code.rlike(W.CONDITION), F.regexp_extract(code, W.CONDITION, 1)).when(code.rlike(A.RETURN), F.regexp_extract(code, A.RETURN, 1)).when(F.col("kind").isNull() & code.rlike(A.ASSIGN), F.regexp_extract(code, A.ASSIGN, 2))
     keys = ["path", "routine", "line"]
-    each = rows.where("routine IS NOT NULL").select(*keys, "place", F.trim(text).alias("text")).where("text IS NOT NULL")
+    each = cut(rows.where("routine IS NOT NULL").select(*keys, "place", F.trim(text).alias("text")).where("text IS NOT NULL"))
     used = each.select(*keys, "place", F.explode(operands(F.col("text"))).alias("_o"))
     points = used.where(~F.col("_o").endswith("()") | F.col("_o").contains(".")).select(*keys, F.regexp_extract("_o", rf"(?u)^({NAME})", 1).alias("variable"), "place").distinct()
-    names = W.reaching(rows, placed, points).select(*keys, F.col("variable").alias("name"), "type")
+    names = W.reaching(rows, placed, points, whole).select(*keys, F.col("variable").alias("name"), "type")
     calls = used.where(F.col("_o").endswith("()") & ~F.col("_o").contains(".")).select(*keys, F.regexp_replace("_o", r"\(\)$", "").alias("callee"))
     told = returns.select(F.col("path").alias("callee_path"), F.col("routine").alias("callee"), "type").distinct()
-    back = W.find_callees(calls, W.declared(rows)).join(told, ["callee_path", "callee"]).select(*keys, F.col("callee").alias("name"), "type")
+    back = join_often(W.find_callees(calls, W.declared(rows)), told, ["callee_path", "callee"]).select(*keys, F.col("callee").alias("name"), "type")
     return with_types(each.drop("place"), keys, names, back, members)

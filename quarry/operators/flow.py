@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import analysis as A
-from .graph import cut, substitute, unringed
+from .graph import cut, join_often, substitute, unringed
 
 #: The bilingual words that open, part and close blocks.
 OPEN_IF, OPEN_LOOP, OPEN_TRY = r"(?iu)^\s*(?:Если|If)\b.*\b(?:Тогда|Then)\s*$", r"(?iu)^\s*(?:Пока|While|Для|For)\b.*\b(?:Цикл|Do)\s*$", r"(?iu)^\s*(?:Попытка|Try)\s*$"
@@ -28,32 +28,38 @@ NAME = r"[\p{L}_][\p{L}\p{N}_]*"
 LITERALS = (*A.KEYWORDS, "истина", "ложь", "true", "false", "неопределено", "undefined", "null")
 
 
+def _block_step(held: Column, x: Column) -> Column:
+    """One statement more: its routine and the blocks around it."""
+    now, line, kind = held["now"], x["line"], x["kind"]
+    entry = lambda block: F.array(F.struct(block.alias("block"), line.alias("branch")))
+    outer = F.slice(now, F.lit(1), F.greatest(F.size(now) - 1, F.lit(0)))
+    around = F.when(kind.isin("branch", "close"), outer).otherwise(now)
+    inside = F.when(kind == "open", F.concat(now, entry(line))).when((kind == "branch") & (F.size(now) > 0), F.concat(outer, entry(F.get(now, F.size(now) - 1)["block"]))).otherwise(around)
+    routine = F.coalesce(x["begins"], held["routine"])
+    row = F.struct(line.alias("line"), x["code"].alias("code"), routine.alias("routine"), kind.alias("kind"), around.alias("place"))
+    return F.struct(inside.alias("now"), F.when(~x["ends"], routine).alias("routine"), F.concat(held["out"], F.array(row)).alias("out"))
+
+
 def blocks(files: DataFrame) -> DataFrame:
     """Lines (path, line, code, routine) with ``kind`` (open, branch, close or null) and ``place``.
 
     ``place`` lists the blocks around the line, outermost first: the line that opens a block and
     the line that begins the branch. A line that opens, parts or closes a block has the place of
-    the whole block. The stack of open blocks runs along the file's marked lines in one
-    aggregation, however deep they nest; windows run over one file each.
+    the whole block. Routines and the stack of open blocks run along a file's statements in one
+    aggregation, however deep they nest; a file is a row until then, so nothing is moved. The lines
+    are a scratch table, as all that follows reads them several times.
     """
-    code = F.col("code")
-    opens = code.rlike(OPEN_IF) | code.rlike(OPEN_LOOP) | code.rlike(OPEN_TRY)
-    kind = F.when(opens, "open").when(code.rlike(BRANCH), "branch").when(code.rlike(CLOSE), "close")
-    rows = cut(A.in_routines(A.statements(A.lines(files))).withColumn("kind", kind))
     stack = "array<struct<block:int,branch:int>>"
-    entry = lambda block, branch: F.array(F.struct(block.cast("int").alias("block"), branch.cast("int").alias("branch")))
 
-    def step(held: Column, mark: Column) -> Column:
-        now, line = held["now"], mark["line"]
-        around = F.when(mark["kind"] == "open", now).otherwise(F.slice(now, F.lit(1), F.greatest(F.size(now) - 1, F.lit(0))))
-        inside = F.when(mark["kind"] == "open", F.concat(now, entry(line, line))).when((mark["kind"] == "branch") & (F.size(now) > 0), F.concat(around, entry(F.element_at(now, -1)["block"], line))).otherwise(around)
-        return F.struct(inside.alias("now"), F.concat(held["out"], F.array(F.struct(line.alias("line"), around.alias("around"), inside.alias("inside")))).alias("out"))
+    def told(x: Column) -> Column:
+        code = x["code"]
+        opens = code.rlike(OPEN_IF) | code.rlike(OPEN_LOOP) | code.rlike(OPEN_TRY)
+        kind = F.when(opens, "open").when(code.rlike(BRANCH), "branch").when(code.rlike(CLOSE), "close")
+        return F.struct(x["line"], code.alias("code"), kind.alias("kind"), F.when(code.rlike(A.HEAD) & code.rlike(A.BEGIN), F.regexp_extract(code, A.BEGIN, 2)).alias("begins"), code.rlike(A.END).alias("ends"))
 
-    start = F.struct(F.array().cast(stack).alias("now"), F.array().cast(f"array<struct<line:int,around:{stack},inside:{stack}>>").alias("out"))
-    marks = rows.where("kind IS NOT NULL").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("line", "kind"))).alias("_marks"))
-    placed = marks.select("path", F.explode(F.aggregate("_marks", start, step)["out"]).alias("_m")).select("path", "_m.line", "_m.around", "_m.inside")
-    before = F.last("inside", ignorenulls=True).over(Window.partitionBy("path").orderBy("line"))
-    return rows.join(placed, ["path", "line"], "left").withColumn("place", F.coalesce("around", before, F.array().cast(stack))).select("path", "line", "code", "routine", "kind", "place")
+    start = F.struct(F.array().cast(stack).alias("now"), F.lit(None).cast("string").alias("routine"), F.array().cast(f"array<struct<line:int,code:string,routine:string,kind:string,place:{stack}>>").alias("out"))
+    made = F.aggregate(F.transform(A.statement_array(A.line_array(F.col("content"))), told), start, _block_step, lambda s: s["out"])
+    return cut(files.select("path", F.explode(made).alias("_l")).select("path", "_l.line", "_l.code", "_l.routine", "_l.kind", "_l.place"))
 
 
 def _within(outer: Column, inner: Column) -> Column:
@@ -72,16 +78,27 @@ def value_type(text: Column) -> Column:
     )
 
 
+def assigned(rows: DataFrame) -> DataFrame:
+    """path, routine, line, variable, place and value of the plain assignments in routines."""
+    got = rows.where(F.col("routine").isNotNull() & F.col("kind").isNull() & F.col("code").rlike(A.ASSIGN))
+    return got.select("path", "routine", "line", F.regexp_extract("code", A.ASSIGN, 1).alias("variable"), "place", F.regexp_extract("code", A.ASSIGN, 2).alias("value"))
+
+
+def covers(rows: DataFrame) -> DataFrame:
+    """What ``reaching`` needs of the blocks of ``rows``, found once for several calls (``whole``)."""
+    return cut(_covers(assigned(rows), rows))
+
+
 def _covers(placed: DataFrame, rows: DataFrame) -> DataFrame:
     """Blocks whose every branch assigns a variable: what was assigned before them is gone behind them.
 
     ``placed`` are assignments; found blocks count as assignments of the block around them, level by level.
     """
     inner = F.element_at("place", -1)
-    lines_of = rows.where("kind IS NOT NULL").select("path", "line", "code", "kind", "place")
+    lines_of = rows.where("kind IS NOT NULL").select("path", "line", F.col("code").rlike(BARE_ELSE).alias("_bare"), "kind", "place")
     level = F.size("place")
     known = lines_of.withColumn("_block", F.last(F.when(F.col("kind") == "open", F.col("line")), ignorenulls=True).over(Window.partitionBy("path", level).orderBy("line")))
-    shape = known.groupBy("path", "_block").agg(F.sum(F.when(F.col("kind") != "close", 1).otherwise(0)).alias("_branches"), F.max(F.col("code").rlike(BARE_ELSE)).alias("_else"), F.max(F.when(F.col("kind") == "close", F.col("line"))).alias("_end"), F.first("place").alias("_outer"))
+    shape = known.groupBy("path", "_block").agg(F.sum(F.when(F.col("kind") != "close", 1).otherwise(0)).alias("_branches"), F.max("_bare").alias("_else"), F.max(F.when(F.col("kind") == "close", F.col("line"))).alias("_end"), F.first("place").alias("_outer"))
     shape = cut(shape.where("_else AND _end IS NOT NULL"))
     found = None
     held = placed.select("path", "routine", "variable", "place")
@@ -89,28 +106,35 @@ def _covers(placed: DataFrame, rows: DataFrame) -> DataFrame:
     for depth in range(deepest, 0, -1):
         at = held.where(F.size("place") == depth).select("path", "routine", "variable", inner["block"].alias("_block"), inner["branch"].alias("_branch"))
         all_of = at.groupBy("path", "routine", "variable", "_block").agg(F.count_distinct("_branch").alias("_n")).join(shape, ["path", "_block"]).where("_n = _branches")
-        made = all_of.select("path", "routine", "variable", F.col("_outer").alias("place"), F.col("_block").alias("since"), F.col("_end").alias("at"))
+        made = cut(all_of.select("path", "routine", "variable", F.col("_outer").alias("place"), F.col("_block").alias("since"), F.col("_end").alias("at")))
         found = made if found is None else found.unionByName(made)
         held = held.unionByName(made.select("path", "routine", "variable", "place"))
     empty = placed.limit(0).select("path", "routine", "variable", "place", F.col("line").alias("since"), F.col("line").alias("at"))
     return empty if found is None else found
 
 
-def reaching(rows: DataFrame, placed: DataFrame, points: DataFrame) -> DataFrame:
+def reaching(rows: DataFrame, placed: DataFrame, points: DataFrame, whole: DataFrame | None = None) -> DataFrame:
     """``points`` (path, routine, line, variable, place) with the assignments that reach them: their line and type.
 
     An assignment doesn't reach a point in another branch of its block, nor one behind a later
-    assignment that lies on each way between them. Loops are run once or not at all.
+    assignment that lies on each way between them. Loops are run once or not at all. A variable's
+    assignments within its routine are gathered once and meet its points in one join; ``whole`` is
+    what ``covers`` tells of ``rows``.
     """
-    made = placed.select("path", "routine", "variable", F.col("line").alias("at"), F.col("place").alias("from_place"), "type")
-    met = points.join(made, ["path", "routine", "variable"]).where("at < line")
-    apart = F.exists("place", lambda p: F.exists("from_place", lambda q: (p["block"] == q["block"]) & (p["branch"] != q["branch"])))
-    met = met.where(~apart)
-    kills = placed.select("path", "routine", "variable", F.col("line").alias("since"), F.col("line").alias("k_at"), F.col("place").alias("k_place"), F.lit(1).alias("_real"))
-    whole = _covers(placed, rows).select("path", "routine", "variable", "since", F.col("at").alias("k_at"), F.col("place").alias("k_place"), F.lit(0).alias("_real"))
-    later = kills.unionByName(whole)
-    joined = met.alias("m").join(later.alias("k"), F.expr("m.path = k.path AND m.routine = k.routine AND m.variable = k.variable AND m.at < k.since AND (k.k_at < m.line OR k._real = 0 AND k.k_at = m.line)") & (_within(F.col("k.k_place"), F.col("m.from_place")) | _within(F.col("k.k_place"), F.col("m.place"))), "left_anti")
-    return joined.select("path", "routine", "line", "variable", "at", "type")
+    keys = ["path", "routine", "variable"]
+    made = placed.groupBy(*keys).agg(F.collect_list(F.struct(F.col("line").alias("at"), "place", "type")).alias("_made"))
+    ends = (_covers(placed, rows) if whole is None else whole).groupBy(*keys).agg(F.collect_list(F.struct("since", "at", "place", F.lit(False).alias("real"))).alias("_ends"))
+    own = F.array_distinct(F.transform("_made", lambda a: F.struct(a["at"].alias("since"), a["at"].alias("at"), a["place"].alias("place"), F.lit(True).alias("real"))))
+    kills = F.when(F.col("_ends").isNull(), own).otherwise(F.concat(own, "_ends"))
+
+    def open_(a: Column) -> Column:
+        apart = F.exists("place", lambda p: F.exists(a["place"], lambda q: (p["block"] == q["block"]) & (p["branch"] != q["branch"])))
+        between = lambda k: (a["at"] < k["since"]) & ((k["at"] < F.col("line")) | (~k["real"] & (k["at"] == F.col("line"))))
+        gone = F.exists("_kills", lambda k: between(k) & (_within(k["place"], a["place"]) | _within(k["place"], F.col("place"))))
+        return (a["at"] < F.col("line")) & ~apart & ~gone
+
+    met = points.join(made.join(ends, keys, "left").select(*keys, "_made", kills.alias("_kills")), keys)
+    return met.select("path", "routine", "line", "variable", F.explode(F.filter("_made", open_)).alias("_a")).select("path", "routine", "line", "variable", "_a.at", "_a.type")
 
 
 def declared(rows: DataFrame) -> DataFrame:
@@ -127,40 +151,43 @@ def find_callees(calls: DataFrame, routines: DataFrame) -> DataFrame:
     null if none does, or several do. ``routines`` are rows of ``declared``.
     """
     own = routines.select("path", F.col("routine").alias("callee"), F.col("path").alias("_own")).distinct()
-    away = routines.where("exported").groupBy(F.col("routine").alias("callee")).agg(F.min("path").alias("_a"), F.max("path").alias("_b"))
-    met = calls.join(own, ["path", "callee"], "left").join(away, "callee", "left")
-    return met.withColumn("callee_path", F.coalesce("_own", F.when(F.col("_a") == F.col("_b"), F.col("_a")))).drop("_own", "_a", "_b")
+    away = routines.where("exported").groupBy(F.col("routine").alias("callee")).agg(F.min("path").alias("_a"), F.max("path").alias("_b")).where("_a = _b").drop("_b")
+    named = join_often(calls.where("callee IS NOT NULL"), away, ["callee"], "left").join(own, ["path", "callee"], "left")
+    return named.withColumn("callee_path", F.coalesce("_own", "_a")).drop("_own", "_a").unionByName(calls.where("callee IS NULL").withColumn("callee_path", F.lit(None).cast("string")))
 
 
-def typed_assignments(rows: DataFrame, returns: DataFrame | None = None) -> DataFrame:
+def typed_assignments(rows: DataFrame, returns: DataFrame | None = None, whole: DataFrame | None = None) -> DataFrame:
     """Assignments in routines: path, routine, line, variable, place and type; a row for each type that a name brings.
 
     Names take the types that reach them where they stand, calls those of ``returns`` (path,
     routine, type). Which assignments reach a name doesn't hang on types, so it is found once and
     the chains of names are followed by doubling.
     """
-    got = rows.where(F.col("routine").isNotNull() & F.col("kind").isNull() & F.col("code").rlike(A.ASSIGN))
-    placed = got.select("path", "routine", "line", F.regexp_extract("code", A.ASSIGN, 1).alias("variable"), "place", value_type(F.regexp_extract("code", A.ASSIGN, 2)).alias("type"))
+    placed = assigned(rows).withColumn("type", value_type(F.col("value"))).drop("value")
+    is_name, is_call = F.col("type").startswith("name:"), F.col("type").startswith("call:")
     if returns is not None:
-        called = find_callees(placed.withColumn("callee", F.when(F.col("type").startswith("call:"), F.substring("type", 6, 1 << 20))), declared(rows))
+        placed = cut(placed)
+        called = find_callees(placed.where(is_call).withColumn("callee", F.substring("type", 6, 1 << 20)), declared(rows))
         told = returns.select(F.col("path").alias("callee_path"), F.col("routine").alias("callee"), F.col("type").alias("_t")).distinct()
-        placed = called.join(told, ["callee_path", "callee"], "left").withColumn("type", F.when(F.col("callee").isNotNull(), F.coalesce("_t", F.lit("Unknown"))).otherwise(F.col("type"))).drop("callee", "callee_path", "_t")
-    placed = cut(placed.distinct())
-    named = placed.where(F.col("type").startswith("name:"))
+        answered = join_often(called, told, ["callee_path", "callee"], "left").withColumn("type", F.coalesce("_t", F.lit("Unknown")))
+        placed = placed.where(~is_call).unionByName(cut(answered.select(*placed.columns)))
+    else:
+        placed = cut(placed)
+    named = placed.where(is_name)
     if not named.isEmpty():
         here = lambda at: F.concat_ws("\u0000", "path", at)
         points = named.select("path", "routine", "line", F.substring("type", 6, 1 << 20).alias("variable"), "place").distinct()
-        reached = reaching(rows, placed, points).select(here("line").alias("node"), here("at").alias("to")).distinct()
+        # What is no name is known at once; only names of names are followed.
+        reached = reaching(rows, placed, points, whole).select(here("line").alias("node"), F.when(~is_name, F.col("type")).alias("type"), F.when(is_name, here("at")).alias("to"), F.lit(True).alias("_r")).distinct()
         open_ = named.select(here("line").alias("node")).distinct().join(reached, "node", "left")
-        chains = open_.select("node", F.when(F.col("to").isNull(), "Unknown").alias("type"), "to", F.lit(1.0).alias("weight"))
-        plain = placed.where(~F.col("type").startswith("name:")).select(here("line").alias("node"), "type", F.lit(None).cast("string").alias("to"), F.lit(1.0).alias("weight")).distinct()
-        found = substitute(chains.unionByName(plain)).select(F.col("node").alias("_node"), F.col("type").alias("_type")).distinct()
+        chains = open_.select("node", F.when(F.col("_r").isNull(), "Unknown").otherwise(F.col("type")).alias("type"), "to", F.lit(1.0).alias("weight"))
+        found = substitute(chains).select(F.col("node").alias("_node"), F.col("type").alias("_type")).distinct()
         settled = named.drop("type").withColumn("_node", here("line")).join(found, "_node").select("path", "routine", "line", "variable", "place", F.col("_type").alias("type"))
-        placed = cut(placed.where(~F.col("type").startswith("name:")).unionByName(settled).distinct())
-    return placed.withColumn("type", F.when(F.col("type").startswith("call:"), "Unknown").otherwise(F.col("type")))
+        placed = placed.where(~is_name).unionByName(cut(settled))
+    return placed.withColumn("type", F.when(is_call, "Unknown").otherwise(F.col("type")))
 
 
-def states(rows: DataFrame, placed: DataFrame) -> DataFrame:
+def states(rows: DataFrame, placed: DataFrame, whole: DataFrame | None = None) -> DataFrame:
     """path, routine, line, variable, type and weight: what variables hold where a block or routine ends.
 
     Every assignment that reaches the point weighs alike, and its types share that weight.
@@ -168,21 +195,21 @@ def states(rows: DataFrame, placed: DataFrame) -> DataFrame:
     ends = rows.where("routine IS NOT NULL AND (kind = 'close')").select("path", "routine", "line", "place")
     last = rows.where("routine IS NOT NULL").groupBy("path", "routine").agg(F.max_by("place", "line").alias("place"), (F.max("line") + 1).alias("line")).select("path", "routine", "line", "place")
     points = ends.unionByName(last).join(placed.select("path", "routine", "variable").distinct(), ["path", "routine"])
-    met = reaching(rows, placed, points)
+    met = reaching(rows, placed, points, whole)
     here = ["path", "routine", "line", "variable"]
     sized = met.withColumn("_own", 1 / F.count(F.lit(1)).over(Window.partitionBy(*here, "at")))
     summed = sized.groupBy(*here, "type").agg(F.sum("_own").alias("_w"))
     return summed.withColumn("weight", F.col("_w") / F.sum("_w").over(Window.partitionBy(*here))).drop("_w")
 
 
-def direct_returns(rows: DataFrame, placed: DataFrame) -> DataFrame:
+def direct_returns(rows: DataFrame, placed: DataFrame, whole: DataFrame | None = None) -> DataFrame:
     """path, routine, type (or call:name) and weight of each routine's own returns; Void for one without. Loops aren't looked into."""
     loop = rows.where(F.col("code").rlike(OPEN_LOOP)).select("path", F.col("line").alias("_loop")).groupBy("path").agg(F.collect_set("_loop").alias("_loops"))
     body = rows.where("routine IS NOT NULL").join(loop, "path", "left")
     found = body.where(F.col("code").rlike(A.RETURN) & ~F.coalesce(F.exists("place", lambda p: F.array_contains("_loops", p["block"])), F.lit(False)))
     typed = found.select("path", "routine", "line", "place", value_type(F.regexp_extract("code", A.RETURN, 1)).alias("type"))
     points = typed.where(F.col("type").startswith("name:")).select("path", "routine", "line", F.substring("type", 6, 1 << 20).alias("variable"), "place")
-    met = reaching(rows, placed, points).select("path", "routine", "line", F.col("type").alias("_new")).distinct()
+    met = reaching(rows, placed, points, whole).select("path", "routine", "line", F.col("type").alias("_new")).distinct()
     each = typed.join(met, ["path", "routine", "line"], "left").withColumn("type", F.when(F.col("type").startswith("name:"), F.coalesce("_new", F.lit("Unknown"))).otherwise(F.col("type")))
     share = 1 / (F.count(F.lit(1)).over(Window.partitionBy("path", "routine", "line")) * F.size(F.collect_set("line").over(Window.partitionBy("path", "routine"))))
     summed = each.withColumn("_w", share).groupBy("path", "routine", "type").agg(F.sum("_w").alias("weight"))
@@ -280,10 +307,14 @@ def wrong_operators(rows: DataFrame) -> DataFrame:
 
 
 def arity(files: DataFrame) -> DataFrame:
+    """``wrong_counts`` of files."""
+    return wrong_counts(blocks(files))
+
+
+def wrong_counts(rows: DataFrame) -> DataFrame:
     """path, line, severity and message: calls with more arguments than the routine takes that is meant (``find_callees``)."""
-    lines = A.statements(A.lines(files))
-    routines = declared(lines)
-    body = A.in_routines(lines).where(F.col("routine").isNotNull() & ~F.col("code").rlike(A.BEGIN))
+    routines = declared(rows)
+    body = rows.where(F.col("routine").isNotNull() & ~F.col("code").rlike(A.BEGIN))
     plain = F.regexp_replace("code", r'"(?:[^"]|"")*"', '""')
     inner = F.regexp_extract_all(plain, F.lit(rf"(?u)(?<![\p{{L}}\p{{N}}_.])({NAME}\s*\([^()]*\))"), F.lit(1))
     calls = body.select("path", "line", F.explode(inner).alias("c")).select("path", "line", F.trim(F.regexp_extract("c", r"^([^(]*)\(", 1)).alias("callee"), F.trim(F.regexp_extract("c", r"\((.*)\)$", 1)).alias("args"))

@@ -40,6 +40,23 @@ def drop(df: DataFrame) -> None:
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+#: So many rows of one key are no burden on one task.
+FEW_ROWS = 100_000
+
+
+def join_often(rows: DataFrame, found: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join (inner or left) of ``rows`` with ``found``, which has few rows a key, whatever part of ``rows`` shares a key.
+
+    Keys of over ``FEW_ROWS`` rows, so of these at most a ``FEW_ROWS``-th of all rows, are joined by
+    broadcast where the rows are; the others meet by a shuffle. ``rows`` is read up to three times.
+    """
+    often = cut(rows.where(" AND ".join(f"{c} IS NOT NULL" for c in on)).groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > FEW_ROWS).select(*on))
+    if often.isEmpty():
+        return rows.join(found, on, how)
+    few = F.broadcast(often)
+    return rows.join(few, on, "left_semi").join(F.broadcast(found.join(few, on, "left_semi")), on, how).unionByName(rows.join(few, on, "left_anti").join(found, on, how))
+
+
 def reach(edges: DataFrame, starts: DataFrame, limit: int = 1000) -> DataFrame:
     """start, node and depth: all nodes reachable from each start (itself at 0) with the least number of steps.
 
@@ -254,10 +271,16 @@ def substitute(rows: DataFrame, rounds: int = 64) -> DataFrame:
     one without rows of its own is Unknown.
     """
     now = cut(rows.select("node", "type", "to", F.col("weight").cast("double").alias("weight")))
+    # Rows of nodes that name none and that none names stay as they are.
+    asked = cut(now.where("to IS NOT NULL").select(F.explode(F.array("node", "to")).alias("node")).distinct())
+    if asked.isEmpty():
+        return now.select("node", "type", "weight")
+    still = now.join(asked, "node", "left_anti").select("node", "type", "weight")
+    now = cut(now.join(asked, "node", "left_semi"))
     for _ in range(rounds):
         open_ = now.where("to IS NOT NULL")
         if open_.isEmpty():
-            return now.select("node", "type", "weight")
+            return still.unionByName(now.select("node", "type", "weight"))
         brought = now.select(F.col("node").alias("to"), F.col("type").alias("_type"), F.col("to").alias("_to"), F.col("weight").alias("_w"), F.lit(True).alias("_there"))
         step = open_.select("node", "to", "weight").join(brought, "to", "left")
         moved = step.select("node", F.when(F.col("_there"), F.col("_type")).otherwise("Unknown").alias("type"), F.col("_to").alias("to"), (F.col("weight") * F.coalesce("_w", F.lit(1.0))).alias("weight"))

@@ -49,7 +49,9 @@ def _files(spark, d):
         by(2, '    Return "text";', "    Return 1;"),
         F.lit("EndFunction"),
     ]
-    part = Registry(spark, d).table("part").select(F.concat(F.lit("/parts/"), k, F.lit(".bsl")).alias("path"), F.array_join(F.array(*lines), "\n").alias("content"))
+    # Files are a hundred times the size of their rows, so the rows are dealt to all cores first.
+    table = Registry(spark, d).table("part").select("p_partkey", "p_size").repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")
+    part = table.select(F.concat(F.lit("/parts/"), k, F.lit(".bsl")).alias("path"), F.array_join(F.array(*lines), "\n").alias("content"))
     return part.unionByName(spark.createDataFrame([("/common.bsl", _COMMON)], "path string, content string"))
 
 
@@ -74,14 +76,23 @@ _RETURNS = f"""WITH RECURSIVE d AS ({_DIRECT}), x AS (SELECT p_partkey AS k FROM
  UNION ALL SELECT {_P}, {_RUN}, 'Void', 1.0 FROM part UNION ALL SELECT {_P}, 'Kind', CASE p_size % 2 WHEN 0 THEN 'String' ELSE 'Number' END, 1.0 FROM part UNION ALL SELECT '/common.bsl', 'Common', 'Date', 1.0"""
 
 
-def _returns(rows):
-    return W.return_types(W.direct_returns(rows, W.typed_assignments(rows)), W.declared(rows))
+def _returns(rows, whole):
+    return W.return_types(W.direct_returns(rows, W.typed_assignments(rows, whole=whole), whole), W.declared(rows))
+
+
+def _typed(spark, d):
+    """Lines of all files, what covers assignments in them, return types and typed assignments."""
+    rows = W.blocks(_files(spark, d))
+    whole = W.covers(rows)
+    returns = _returns(rows, whole)
+    return rows, whole, returns, W.typed_assignments(rows, returns, whole)
 
 
 @query("ret_types_across", _RETURNS)
 def ret_types_across(spark, d):
     """Weighted return types, through calls into other files; files that have routines of one name keep their own."""
-    return _returns(W.blocks(_files(spark, d))).select("path", "routine", "type", F.round("weight", 6).alias("weight"))
+    rows = W.blocks(_files(spark, d))
+    return _returns(rows, W.covers(rows)).select("path", "routine", "type", F.round("weight", 6).alias("weight"))
 
 
 _STATES = f"""WITH x AS (SELECT {_P}, {_F} AS routine, p_size AS s FROM part),
@@ -98,9 +109,8 @@ _STATES = f"""WITH x AS (SELECT {_P}, {_F} AS routine, p_size AS s FROM part),
 @query("flow_states", _STATES)
 def flow_states(spark, d):
     """What variables hold where blocks and routines end: branches merged, covered assignments gone, names and calls followed."""
-    rows = W.blocks(_files(spark, d))
-    placed = W.typed_assignments(rows, _returns(rows))
-    return W.states(rows, placed).select("path", "routine", "line", "variable", "type", F.round("weight", 6).alias("weight"))
+    rows, whole, _, placed = _typed(spark, d)
+    return W.states(rows, placed, whole).select("path", "routine", "line", "variable", "type", F.round("weight", 6).alias("weight"))
 
 
 #: Only parts whose size is divisible by three export their price.
@@ -134,9 +144,8 @@ def dep_edges_kinds(spark, d):
 @query("module_diagnostics", f"SELECT {_P}, 21 AS line, 'warning' AS severity, 'q is not declared' AS message FROM part UNION ALL SELECT {_P}, 24, 'warning', '* takes numbers' FROM part WHERE p_size % 6 = 0 UNION ALL SELECT {_P}, 20, 'error', 'Common takes 2 arguments, not 3' FROM part WHERE p_size % 5 = 1")
 def module_diagnostics(spark, d):
     """Undeclared names, operators that don't fit, and calls with too many arguments of a routine of another file."""
-    files = _files(spark, d)
-    rows = W.blocks(files)
-    return W.undeclared(rows).unionByName(W.wrong_operators(rows)).unionByName(W.arity(files))
+    rows = W.blocks(_files(spark, d))
+    return W.undeclared(rows).unionByName(W.wrong_operators(rows)).unionByName(W.wrong_counts(rows))
 
 
 @query("code_action", f"SELECT {_P}, 21 AS line, 'declare' AS action FROM part UNION ALL SELECT {_P}, 24, 'convert the value' FROM part WHERE p_size % 6 = 0 UNION ALL SELECT {_P}, 20, 'fix the call' FROM part WHERE p_size % 5 = 1")
@@ -149,8 +158,7 @@ def code_action(spark, d):
  UNION ALL SELECT {_P}, {_RUN}, l.line, l.variable, 'Unknown' FROM part, (VALUES (21, 'w'), (22, 'u'), (23, 't'), (24, 'v')) l(line, variable)""")
 def assigned_types(spark, d):
     """The type of each assignment of all files: by form, by the name that it copies, by the routine that it calls."""
-    rows = W.blocks(_files(spark, d))
-    return W.typed_assignments(rows, _returns(rows)).select("path", "routine", "line", "variable", "type")
+    return _typed(spark, d)[3].select("path", "routine", "line", "variable", "type")
 
 
 @query("call_levels", f"WITH RECURSIVE e AS (SELECT coalesce(caller_path, '') || '#' || caller AS caller, coalesce(callee_path, '') || '#' || callee AS callee FROM ({_CALLS})), n AS (SELECT caller AS node FROM e UNION SELECT callee FROM e), w AS (SELECT node, 0 AS level FROM n UNION SELECT e.caller, w.level + 1 FROM w JOIN e ON e.callee = w.node) SELECT node, CAST(max(level) AS INTEGER) AS level FROM w GROUP BY node")
