@@ -32,6 +32,10 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Walks join by shuffles only: small tables of many rounds, each sent to the driver to be broadcast, grow with the input in sum.
+MERGE = "merge"
+
+
 def drop(df: DataFrame) -> None:
     """Delete the scratch table behind a result of ``cut`` that nothing reads any more."""
     spark = df.sparkSession
@@ -98,9 +102,9 @@ def reach_labels(edges: DataFrame, limit: int = 1000) -> DataFrame:
     edges = cut(edges.select("src", "dst").distinct())
     now = cut(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().select("node", *[_bits("node", k).alias(w) for k, w in enumerate(words)]))
     for _ in range(limit):
-        sent = edges.join(now, F.col("dst") == F.col("node")).select(F.col("src").alias("node"), *words)
+        sent = edges.hint(MERGE).join(now, F.col("dst") == F.col("node")).select(F.col("src").alias("node"), *words)
         new = cut(now.unionByName(sent).groupBy("node").agg(*[F.bit_or(w).alias(w) for w in words]))
-        same = new.join(now, ["node", *words], "left_anti").isEmpty()
+        same = new.hint(MERGE).join(now, ["node", *words], "left_anti").isEmpty()
         drop(now)
         now = new
         if same:
@@ -120,7 +124,7 @@ def reachable(edges: DataFrame, labels: DataFrame, pairs: DataFrame, limit: int
     asked = cut(pairs.select("start", "goal").where("start IS NOT NULL AND goal IS NOT NULL").distinct())
 
     def allowed(rows: DataFrame) -> DataFrame:
-        met = rows.join(labels, "node")
+        met = rows.hint(MERGE).join(labels, "node")
         fits = F.lit(True)
         for k, w in enumerate(words):
             fits = fits & (F.col(w).bitwiseAND(_bits("goal", k)) == _bits("goal", k))
@@ -130,12 +134,12 @@ def reachable(edges: DataFrame, labels: DataFrame, pairs: DataFrame, limit: int
     front = cut(allowed(asked.where("start <> goal").withColumn("node", F.col("start"))))
     seen = front
     for _ in range(limit):
-        step = front.join(edges, F.col("node") == F.col("src")).select("start", "goal", F.col("dst").alias("node")).distinct()
+        step = front.hint(MERGE).join(edges, F.col("node") == F.col("src")).select("start", "goal", F.col("dst").alias("node")).distinct()
         step = cut(allowed(step))
         found = cut(found.unionByName(step.where("node = goal").select("start", "goal")))
-        front = cut(step.join(found, ["start", "goal"], "left_anti").join(seen, ["start", "goal", "node"], "left_anti"))
+        front = cut(step.hint(MERGE).join(found, ["start", "goal"], "left_anti").hint(MERGE).join(seen, ["start", "goal", "node"], "left_anti"))
         if front.isEmpty():
-            return asked.join(found.withColumn("reaches", F.lit(True)), ["start", "goal"], "left").withColumn("reaches", F.coalesce("reaches", F.lit(False)))
+            return asked.hint(MERGE).join(found.withColumn("reaches", F.lit(True)), ["start", "goal"], "left").withColumn("reaches", F.coalesce("reaches", F.lit(False)))
         seen = cut(seen.unionByName(front))
     raise RuntimeError(f"no end after {limit} steps")
 
@@ -161,9 +165,9 @@ def shortest_path(edges: DataFrame, start: str, goal: str, limit: int = 1000) ->
 def _spread(edges: DataFrame, colours: DataFrame, limit: int) -> DataFrame:
     """node and colour: the least colour of the nodes from which a node can be reached, its own included."""
     for _ in range(limit):
-        sent = edges.join(colours, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), "colour")
+        sent = edges.hint(MERGE).join(colours, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), "colour")
         new = cut(colours.unionByName(sent).groupBy("node").agg(F.min("colour").alias("colour")))
-        same = new.join(colours, ["node", "colour"], "left_anti").isEmpty()
+        same = new.hint(MERGE).join(colours, ["node", "colour"], "left_anti").isEmpty()
         colours = new
         if same:
             return colours
@@ -183,7 +187,7 @@ def cycles(edges: DataFrame, limit: int = 1000) -> DataFrame:
     for _ in range(limit):
         size = core.count()
         while size:
-            core = cut(core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+            core = cut(core.hint(MERGE).join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").hint(MERGE).join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
             now = core.count()
             if now == size:
                 break
@@ -192,21 +196,21 @@ def cycles(edges: DataFrame, limit: int = 1000) -> DataFrame:
             return found
         nodes = core.select(F.col("src").alias("node")).distinct()
         coloured = _spread(core, nodes.withColumn("colour", F.col("node")), limit)
-        tinted = core.join(coloured.select(F.col("node").alias("src"), F.col("colour").alias("_a")), "src").join(coloured.select(F.col("node").alias("dst"), F.col("colour").alias("_b")), "dst")
+        tinted = core.hint(MERGE).join(coloured.select(F.col("node").alias("src"), F.col("colour").alias("_a")), "src").hint(MERGE).join(coloured.select(F.col("node").alias("dst"), F.col("colour").alias("_b")), "dst")
         back = cut(tinted.where("_a = _b").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         # Backwards from the colour's own node, within the colour.
         front = cut(coloured.where("node = colour"))
         seen = front
         while True:
-            front = cut(back.join(front, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), "colour").distinct().join(seen, ["node", "colour"], "left_anti"))
+            front = cut(back.hint(MERGE).join(front, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), "colour").distinct().hint(MERGE).join(seen, ["node", "colour"], "left_anti"))
             if front.isEmpty():
                 break
             seen = cut(seen.unionByName(front))
         sized = seen.groupBy("colour").agg(F.count(F.lit(1)).alias("_n"))
         loops = core.where("src = dst").select(F.col("src").alias("node")).distinct().withColumn("_loop", F.lit(True))
-        on = seen.join(sized, "colour").join(loops, "node", "left").where("_n > 1 OR _loop").select("node", F.col("colour").alias("cycle"))
+        on = seen.hint(MERGE).join(sized, "colour").hint(MERGE).join(loops, "node", "left").where("_n > 1 OR _loop").select("node", F.col("colour").alias("cycle"))
         found = cut(found.unionByName(on))
-        core = cut(core.join(seen.select(F.col("node").alias("src")), "src", "left_anti").join(seen.select(F.col("node").alias("dst")), "dst", "left_anti"))
+        core = cut(core.hint(MERGE).join(seen.select(F.col("node").alias("src")), "src", "left_anti").hint(MERGE).join(seen.select(F.col("node").alias("dst")), "dst", "left_anti"))
     raise RuntimeError(f"no end after {limit} rounds")
 
 
@@ -217,23 +221,23 @@ def witnesses(edges: DataFrame, limit: int = 1000) -> DataFrame:
     followed back, a place a round, by the least node that is one nearer.
     """
     on = cycles(edges, limit)
-    inner = edges.select("src", "dst").distinct().join(on.select(F.col("node").alias("src"), "cycle"), "src").join(on.select(F.col("node").alias("dst"), F.col("cycle").alias("_c")), "dst").where("cycle = _c").select("cycle", "src", "dst")
+    inner = edges.select("src", "dst").distinct().hint(MERGE).join(on.select(F.col("node").alias("src"), "cycle"), "src").hint(MERGE).join(on.select(F.col("node").alias("dst"), F.col("cycle").alias("_c")), "dst").where("cycle = _c").select("cycle", "src", "dst")
     inner = cut(inner)
     seen = front = cut(on.where("node = cycle").select("cycle", "node", F.lit(0).alias("place")))
     for place in range(1, limit + 1):
-        step = front.join(inner, (front["cycle"] == inner["cycle"]) & (F.col("node") == F.col("src"))).select(front["cycle"], F.col("dst").alias("node")).distinct()
-        front = cut(step.join(seen, ["cycle", "node"], "left_anti").withColumn("place", F.lit(place)))
+        step = front.hint(MERGE).join(inner, (front["cycle"] == inner["cycle"]) & (F.col("node") == F.col("src"))).select(front["cycle"], F.col("dst").alias("node")).distinct()
+        front = cut(step.hint(MERGE).join(seen, ["cycle", "node"], "left_anti").withColumn("place", F.lit(place)))
         if front.isEmpty():
             break
         seen = cut(seen.unionByName(front))
     else:
         raise RuntimeError(f"no end after {limit} steps")
-    back = inner.where("dst = cycle").select("cycle", F.col("src").alias("node")).join(seen, ["cycle", "node"])
+    back = inner.where("dst = cycle").select("cycle", F.col("src").alias("node")).hint(MERGE).join(seen, ["cycle", "node"])
     found = cut(back.groupBy("cycle").agg(F.min(F.struct("place", "node")).alias("_l")).select("cycle", "_l.place", "_l.node"))
     last = found
     for _ in range(limit):
-        last = last.where("place > 0").select("cycle", (F.col("place") - 1).alias("place"), F.col("node").alias("dst")).join(inner, ["cycle", "dst"]).select("cycle", "place", F.col("src").alias("node"))
-        last = cut(last.join(seen, ["cycle", "place", "node"]).groupBy("cycle", "place").agg(F.min("node").alias("node")))
+        last = last.where("place > 0").select("cycle", (F.col("place") - 1).alias("place"), F.col("node").alias("dst")).hint(MERGE).join(inner, ["cycle", "dst"]).select("cycle", "place", F.col("src").alias("node"))
+        last = cut(last.hint(MERGE).join(seen, ["cycle", "place", "node"]).groupBy("cycle", "place").agg(F.min("node").alias("node")))
         if last.isEmpty():
             return found
         found = cut(found.unionByName(last))
