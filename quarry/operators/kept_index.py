@@ -2,12 +2,17 @@
 
 A segment has a row per block: term, level, part, most, n and the block's (doc_id, score) pairs. A
 posting's score is the sum of its weights in the document; blocks hold scores of one level (a
-quarter of a power of two), so a term's high scores lie apart from its low ones. Large levels are
-cut by a hash of the document, so no block grows with the corpus.
+quarter of a power of two), so a term's high scores lie apart from its low ones. Tasks make
+blocks of the postings they hold and short ones are joined, so postings move in blocks, and no block grows
+with the corpus.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,18 +20,43 @@ from quarry.sources.versioned import Versioned
 
 SCHEMA = "term string, level int, part int, most double, n long, docs array<struct<doc_id:long,score:double>>"
 
-#: Keys of large levels that are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 1 << 18
-
-
-def blocks(scored: DataFrame, size: int) -> DataFrame:
-    """Rows of ``SCHEMA`` of about ``size`` postings (term, doc_id, score) each."""
-    levelled = scored.withColumn("level", F.floor(4 * F.log2("score")).cast("int"))
-    large = levelled.groupBy("term", "level").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("_parts")).where("_parts > 1")
-    if large.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        large = F.broadcast(large)
-    dealt = levelled.join(large, ["term", "level"], "left").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.coalesce("_parts", F.lit(1))).cast("int"))
-    return dealt.groupBy("term", "level", "part").agg(F.max("score").alias("most"), F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("doc_id", "score")).alias("docs"))
+#: Postings that a task gathers before it makes blocks of them.
+GATHERED = 1 << 19
+
+#: The level of scores that aren't above 0.
+NO_LEVEL = -(1 << 20)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Blocks (term, level, docs) of at most ``size`` of the postings (term, doc_id, score), a stretch of ``GATHERED`` at a time."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= GATHERED:
+            yield from _stretch(held, size)
+            held, n = [], 0
+    if n:
+        yield from _stretch(held, size)
+
+
+def _stretch(held: list[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    rows = pa.Table.from_batches(held).combine_chunks()
+    terms = rows.column("term").combine_chunks().dictionary_encode(null_encoding="encode")
+    score = rows.column("score").combine_chunks().to_numpy(zero_copy_only=False)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        level = np.where(score > 0, np.floor(4 * np.log2(score)), NO_LEVEL).astype(np.int64)
+    code = terms.indices.to_numpy()
+    order = np.lexsort((level, code))
+    code, level = code[order], level[order]
+    first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (level[1:] != level[:-1])]))
+    place = np.arange(len(code)) - np.repeat(first, np.diff(first, append=len(code)))
+    starts = np.flatnonzero(place % size == 0)
+    docs = pa.StructArray.from_arrays([rows.column("doc_id").combine_chunks().take(pa.array(order)), pa.array(score[order])], names=["doc_id", "score"])
+    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(code)).astype(np.int32)), docs)
+    made = pa.RecordBatch.from_arrays([terms.dictionary.take(pa.array(code[starts])), pa.array(level[starts].astype(np.int32)), lists], names=["term", "level", "docs"])
+    for at in range(0, made.num_rows, 10_000):
+        yield made.slice(at, 10_000)
 
 
 class Index:
@@ -38,10 +68,22 @@ class Index:
     def _bucket(self, term):
         return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
 
+    def _blocks(self, made: DataFrame) -> DataFrame:
+        """Rows of ``SCHEMA`` with their bucket, of blocks (term, level, docs) of any length up to ``block``: those of few postings are joined, the others stay whole.
+
+        Each row moves once, by its bucket; whole blocks of a term go to several tasks.
+        """
+        spread = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        own = F.when(4 * F.size("docs") >= self.block, F.xxhash64(F.col("docs")[0]["doc_id"]))
+        dealt = made.select("term", "level", "docs", self._bucket("term").alias("_b"), own.alias("_own")).withColumn("_s", F.pmod(F.coalesce("_own", F.lit(0)), F.lit(spread)))
+        joined = dealt.repartition("_b", "_s").groupBy("_b", "_s", "term", "level", "_own").agg(F.flatten(F.collect_list("docs")).alias("docs"))
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("docs") - 1) / self.block)), lambda i: F.slice("docs", (i * self.block + 1).cast("int"), self.block))
+        each = joined.select("_b", "term", "level", F.coalesce("_own", F.lit(0)).alias("_own"), F.posexplode(F.when(F.size("docs") <= self.block, F.array("docs")).otherwise(cut)).alias("_k", "docs"))
+        part = F.pmod(F.col("_own") + F.col("_k"), F.lit((1 << 31) - 1)).cast("int")
+        return each.select("_b", "term", "level", part.alias("part"), F.array_max("docs.score").alias("most"), F.size("docs").cast("long").alias("n"), "docs")
+
     def _write(self, made: DataFrame) -> dict:
-        # A frequent term has many parts, which several tasks write; others lie in one file a bucket.
-        spread = F.pmod("part", F.lit(int(self.spark.conf.get("spark.sql.shuffle.partitions"))))
-        path = self.table.write(made.withColumn("_b", self._bucket("term")).repartition(F.col("_b"), spread).sortWithinPartitions("_b", "term", F.desc("level")), "_b")
+        path = self.table.write(made.sortWithinPartitions("_b", "term", F.desc("level")), "_b")
         held = [n.removeprefix("_b=") for n in self.table.names(path) if n.startswith("_b=")]
         return {"path": path, "postings": self.table.read(SCHEMA, [f"{path}/_b={b}" for b in held]).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], "buckets": held}
 
@@ -51,19 +93,20 @@ class Index:
     def add(self, postings: DataFrame) -> int:
         """A segment of ``postings`` (doc_id, term, weight) of documents that the index doesn't have yet."""
         base = self.table.version()
-        scored = postings.groupBy("term", "doc_id").agg(F.round(F.sum("weight"), 6).alias("score"))
-        made = self._write(blocks(scored, self.block))
+        scored = postings.groupBy("term", F.col("doc_id").cast("long").alias("doc_id")).agg(F.round(F.sum("weight"), 6).alias("score"))
+        size = self.block
+        made = self._write(self._blocks(scored.mapInArrow(lambda batches: gathered(batches, size), "term string, level int, docs array<struct<doc_id:long,score:double>>")))
         return self.table.commit({"segments": [*self.table.manifest(base).get("segments", []), made]}, base)
 
     def merge(self, least: int) -> int:
-        """Segments of under ``least`` postings become one."""
+        """Segments of under ``least`` postings become one: blocks move whole, and those of few postings are joined, block by block."""
         base = self.table.version()
         now = self.table.manifest(base).get("segments", [])
         small = [s for s in now if s["postings"] < least]
         if len(small) < 2:
             return base
-        rows = self.table.read(SCHEMA, [f"{s['path']}/_b={b}" for s in small for b in s["buckets"]]).select("term", F.explode("docs").alias("d")).select("term", "d.doc_id", "d.score")
-        return self.table.commit({"segments": [s for s in now if s not in small] + [self._write(blocks(rows, self.block))]}, base)
+        made = self.table.read(SCHEMA, [f"{s['path']}/_b={b}" for s in small for b in s["buckets"]])
+        return self.table.commit({"segments": [s for s in now if s not in small] + [self._write(self._blocks(made))]}, base)
 
     def of(self, terms: list[str]) -> DataFrame:
         """Blocks of these terms: only the folders of their buckets are listed and read."""

@@ -99,6 +99,30 @@ def test_index_against_a_full_scan(spark, tmp_path):
     assert index.wanted(["w0", "w39"], 3).count() < held.count() / 2
 
 
+def test_index_makes_postings_once(spark, tmp_path):
+    """A segment reads its postings once; a merge moves blocks and keeps their size, whatever the number of segments."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([(k, f"w{k % 3}", 1.0) for k in range(300)] + [(k, "all", 2.0) for k in range(300)], "doc_id long, term string, weight double")
+    index = Index(spark, str(tmp_path / "i"), buckets=4, block=16)
+    for k in range(5):
+        index.add(rows.where(F.col("doc_id") % 5 == k).mapInArrow(count, rows.schema))
+    assert made.value == 600
+    assert set(index.table.names("data")) == {s["path"].removeprefix("data/") for s in index.segments()}
+    index.merge(10**9)
+    (one,) = index.segments()
+    held = index.of(["w0", "w1", "w2", "all"])
+    assert one["postings"] == 600 and held.agg(F.max("n")).first()[0] <= 16
+    assert held.where("n <> size(docs) OR most <> array_max(docs.score)").count() == 0
+    want = sorted((t, d) for d, t, _ in rows.collect())
+    assert sorted((r.term, r.doc_id) for r in held.select("term", F.explode("docs.doc_id").alias("doc_id")).collect()) == want
+
+
 def test_totals_with_late_rows(spark, tmp_path):
     rng = random.Random(6)
     schema = "item string, place int, day timestamp_ntz, n double, sign string"
