@@ -193,8 +193,10 @@ _FILES = f"(SELECT s_suppkey, 'S' || s_suppkey % 10 || s_suppkey AS owner, {_KIN
 
 @query("src_xml_native", f"SELECT owner, kind, 'attribute' AS role, '' AS section, 'First' AS name, type, is_composite FROM {_FILES} UNION ALL SELECT owner, kind, r.role, '', r.name, r.type, FALSE FROM {_FILES} f, (VALUES ('dimension', 'Key', 'Строка'), ('resource', 'Sum', 'Число')) r(role, name, type) WHERE s_suppkey % 4 = 2 UNION ALL SELECT owner, kind, 'attribute', 'Rows', 'Cell &lt;1>', type, is_composite FROM {_FILES} WHERE s_suppkey % 4 = 1 UNION ALL SELECT 'bad', NULL, NULL, NULL, NULL, NULL, NULL FROM supplier WHERE s_suppkey % 10 = 9")
 def src_xml_native(spark, d):
-    """Fields of all objects by the XML reader; a row for each file that isn't well-formed."""
-    objects = _objects(spark, d)
+    """Fields of all objects by the XML reader; a row for each file that isn't well-formed. Files are read once, into a table of their objects."""
+    found, folder = _objects(spark, d), _shared_folder(spark)
+    found.write.parquet(folder)
+    objects = spark.read.schema(found.schema).parquet(folder)
     bad = objects.where("bad IS NOT NULL").select(F.lit("bad").alias("owner"))
     return X.attributes(objects).drop("path").unionByName(bad, allowMissingColumns=True)
 

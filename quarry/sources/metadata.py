@@ -50,12 +50,14 @@ def _written(types) -> tuple:
 
 def attributes(objects: DataFrame) -> DataFrame:
     """path, owner, kind, role, section, name, type and is_composite of attributes, dimensions and resources, those of tables with their section."""
-    own = objects.where("object IS NOT NULL").select("path", F.col("object.Properties.Name").alias("owner"), "kind", F.col("object.ChildObjects").alias("_c"))
-    parts = [own.select("path", "owner", "kind", F.lit(role.lower()).alias("role"), F.lit("").alias("section"), F.explode(F.col("_c")[role]).alias("_f")) for role in ("Attribute", "Dimension", "Resource")]
-    tables = own.select("path", "owner", "kind", F.explode("_c.TabularSection").alias("_t"))
-    parts.append(tables.select("path", "owner", "kind", F.lit("attribute").alias("role"), F.col("_t.Properties.Name").alias("section"), F.explode("_t.ChildObjects.Attribute").alias("_f")))
-    text, several = _written(F.col("_f.Properties.Type.Type"))
-    return reduce(DataFrame.unionByName, parts).select("path", "owner", "kind", "role", "section", F.col("_f.Properties.Name").alias("name"), text.alias("type"), several.alias("is_composite"))
+    child = F.col("object.ChildObjects")
+    told = lambda fields, role, section: F.transform(F.coalesce(fields, F.array()), lambda f: F.struct(F.lit(role).alias("role"), section.alias("section"), f.alias("field")))
+    own = [told(child[role], role.lower(), F.lit("")) for role in ("Attribute", "Dimension", "Resource")]
+    tables = F.flatten(F.transform(F.coalesce(child["TabularSection"], F.array()), lambda t: told(t["ChildObjects"]["Attribute"], "attribute", t["Properties"]["Name"])))
+    # All fields of an object at once: its file is read once.
+    each = objects.where("object IS NOT NULL").select("path", F.col("object.Properties.Name").alias("owner"), "kind", F.explode(F.concat(*own, tables)).alias("_f"))
+    text, several = _written(F.col("_f.field.Properties.Type.Type"))
+    return each.select("path", "owner", "kind", "_f.role", "_f.section", F.col("_f.field.Properties.Name").alias("name"), text.alias("type"), several.alias("is_composite"))
 
 
 def standard_attributes(objects: DataFrame) -> DataFrame:

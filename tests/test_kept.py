@@ -14,7 +14,7 @@ from quarry.operators.kept_cache import Cache
 from quarry.operators.kept_index import Index
 from quarry.operators.period_totals import Totals
 from quarry.operators.positions import Ordered
-from quarry.sources import metadata
+from quarry.sources import markup, metadata
 from quarry.sources.versioned import Versioned
 
 
@@ -260,6 +260,23 @@ def test_metadata_files(spark, tmp_path):
     assert {("D<7>", "Номер", "Число(7, 0)"), ("D<7>", "Дата", "Дата"), ("R", "Период", "ДатаВремя")} <= standard and not any(n == "Проведен" for _, n, _ in standard)
 
 
+def test_files_are_written_by_all_tasks_and_read_once(spark, tmp_path):
+    scans = lambda df: df._jdf.queryExecution().executedPlan().toString().count("FileScan xml")
+    field = "<Attribute><Properties><Name>A</Name></Properties></Attribute>"
+    text = f"<MetaDataObject><Document><Properties><Name>D</Name></Properties><ChildObjects>{field}<TabularSection><Properties><Name>T</Name></Properties><ChildObjects>{field}</ChildObjects></TabularSection><TabularSection><Properties><Name>U</Name></Properties></TabularSection></ChildObjects></Document></MetaDataObject>"
+    files = spark.range(0, 400, 1, 1).select(F.concat(F.lit("d"), F.col("id") % 3, F.lit("/"), "id", F.lit(".xml")).alias("path"), F.lit(text).alias("content"))
+    jobs = spark.sparkContext
+    jobs.setJobGroup("files", "files")
+    markup.write_files(files, str(tmp_path))
+    tracker = jobs.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("files") for s in tracker.getJobInfo(j).stageIds]
+    jobs.setLocalProperty("spark.jobGroup.id", None)
+    assert max(s.numTasks for s in stages if s) > 1
+    fields = metadata.attributes(metadata.read_objects(spark, str(tmp_path)))
+    assert scans(fields) == 1
+    assert sorted((r.section, r["count"]) for r in fields.groupBy("section").count().collect()) == [("", 400), ("T", 400)]
+
+
 def test_completions(spark, tmp_path):
     rng = random.Random(11)
     names = ["".join(rng.choice("abж") for _ in range(rng.randrange(1, 9))) for _ in range(400)] + ["AbAb", None, "", "a" * 30]
