@@ -175,7 +175,7 @@ def type_name(written: Column) -> Column:
 
 
 def write_files(files: DataFrame, folder: str) -> None:
-    """Write each row (path below the folder, content) as a file of its own; tasks write their rows, and again the same if they run again."""
+    """Write each row (path below the folder, content) as a file of its own; rows are dealt to all tasks, which write them, and again the same if they run again."""
     from collections.abc import Iterator
 
     import pyarrow as pa
@@ -185,15 +185,21 @@ def write_files(files: DataFrame, folder: str) -> None:
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(uri)
+        made = set()
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 at = f"{base}/{path}"
-                store.create_dir(at.rpartition("/")[0], recursive=True)
+                parent = at.rpartition("/")[0]
+                if parent not in made:
+                    store.create_dir(parent, recursive=True)
+                    made.add(parent)
                 with store.open_output_stream(at) as out:
                     out.write(content.encode())
             yield batch.select(["path"])
 
-    files.select("path", "content").mapInArrow(put, "path string").count()
+    # A number of parts is given, as few bytes would else be put together into one task; what costs is the number of files.
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    files.select("path", "content").repartition(parts, "path").mapInArrow(put, "path string").count()
 
 
 def xml_files(spark: SparkSession, folder: str) -> DataFrame:
