@@ -1,25 +1,31 @@
-"""Main text of web pages: structure first, repeats over a host's pages for what structure leaves open.
-
-Blocks of an article (or main) element are the text, less the menus, notices, forms and the like
-within it. A page without such an element leaves its blocks open; there, the token streams of a
-host's open pages are taken together and every suffix is placed by its first tokens. Suffixes that
-meet across distinct pages are long repeated substrings: what they cover is boilerplate and is
-cut, and unique runs stay. Suffixes meet by the hash of these tokens; they are not put in order, and
-no longest common prefix is told beyond them.
+"""Main text of web pages: every page's blocks by structure, and a host's suffixes in order for what structure leaves open.
+
+Structure tells an article's core (first heading to last paragraph) and what holds no article text
+(menus, notices, forms and the like, all outside the article). What lies between is open: an
+article's blocks before and after its core, and all blocks of a page that names no article (or main)
+element. The token streams of a host's pages are taken together, their suffixes are put in order, and
+neighbours that have their first tokens in common on several pages are long repeated substrings.
+What they cover of open blocks is boilerplate and is cut; unique runs stay.
+
+Suffixes are ordered to the depth of the shortest repeat that counts. No more is needed to cut: a
+longer repeat is a run of suffixes of which each is such a repeat. Suffixes whose first tokens are
+all of a core cut nothing, as an article that quotes or copies another stays whole, and are left out.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections import Counter
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, materialize, split_join, whole
+from .common import FEW_ROWS, SHARE, claim, materialize, whole
 
 #: Elements that hold no article text.
 DROPPED = frozenset("nav footer aside form script style noscript template head title iframe svg canvas object button select option textarea dialog menu audio video".split())
@@ -95,8 +101,18 @@ def _marked(attributes: str) -> tuple[bool, int, str]:
     return hidden, named, role
 
 
+#: A block's place: outside the text, in an article's core, or open.
+OUTSIDE, CORE, OPEN = range(3)
+
+
 def blocks(page: str) -> tuple[list[str], bool]:
-    """The page's text blocks in order, and whether they are those of an article (or main) element.
+    """The page's text blocks in order, and whether they are those of an article (or main) element."""
+    made, seen = parts(page)
+    return [text for text, place in made if place != OUTSIDE], seen
+
+
+def parts(page: str) -> tuple[list[tuple[str, int]], bool]:
+    """All blocks of the page that are shown, each with its place, and whether it has an article (or main) element.
 
     White space in a block is one space, character references are decoded, empty blocks are left
     out. An article element tells more than a main element around it, if it holds as many words as
@@ -108,7 +124,7 @@ def blocks(page: str) -> tuple[list[str], bool]:
     elements at the end of a cut page are taken as closed there, and a tag that never ends is left
     out with what follows it, as browsers do.
     """
-    made: list[tuple[str, int, int, bool]] = []  # text, in main (1) and article (2), innermost marked element, a first heading
+    made: list[tuple[str, int, int, bool, bool, int]] = []  # text, in main (1) and article (2), innermost marked element, a first heading, dropped, in a paragraph (1) or heading (2)
     stack: list[tuple[str, bool, int, int, bool]] = []  # name, dropped, in main and article, innermost marked element, a first heading
     open_names: Counter[str] = Counter()
     outer, holds, sure = [-1], [True], [False]  # by marked element: the one around it, whether it stays, whether its name is sure; the first is none
@@ -123,7 +139,7 @@ def blocks(page: str) -> tuple[list[str], bool]:
         text = " ".join("".join(run).split())
         run.clear()
         if text:
-            made.append((text, level, mark, first))
+            made.append((text, level, mark, first, dropped, 2 if any(open_names[h] for h in HEADINGS) else 1 if open_names["p"] else 0))
 
     def leave(depth: int) -> None:
         for gone in stack[depth:]:
@@ -133,9 +149,9 @@ def blocks(page: str) -> tuple[list[str], bool]:
     while at < size:
         opened = _OPEN.search(page, at)
         begin = opened.start() if opened else size
-        if begin > at and not dropped:
+        if begin > at:
             run.append(html.unescape(page[at:begin]))
-            if in_link and mark:
+            if in_link and mark and not dropped:
                 linked[mark] += len(run[-1].split())
         if not opened:
             break
@@ -201,8 +217,8 @@ def blocks(page: str) -> tuple[list[str], bool]:
     if len(outer) > 1:
         # Words of each marked element with those within it, and of the articles without any.
         words, links = [0] * len(outer), linked[:]
-        for text, bits, k, _ in made:
-            if bits or not articles:
+        for text, bits, k, _, gone, _ in made:
+            if not gone and (bits or not articles):
                 words[k] += len(text.split())
         for k in range(len(outer) - 1, 0, -1):
             if outer[k]:
@@ -213,25 +229,25 @@ def blocks(page: str) -> tuple[list[str], bool]:
     kept = [True]
     for k in range(1, len(outer)):
         kept.append(holds[k] and kept[outer[k]])
-    left = [(text, bits, h1) for text, bits, k, h1 in made if kept[k] and (bits or not articles)]
-    own = sum(len(t.split()) for t, bits, _ in left if bits & 2)
+    left = [(at, bits, h1) for at, (_, bits, k, h1, gone, _) in enumerate(made) if not gone and kept[k] and (bits or not articles)]
+    own = sum(len(made[at][0].split()) for at, bits, _ in left if bits & 2)
     if own:
-        around = sum(len(t.split()) for t, bits, _ in left if bits == 1)
+        around = sum(len(made[at][0].split()) for at, bits, _ in left if bits == 1)
         inside = 2 if own >= around else 1
         titled = any(h1 for _, bits, h1 in left if bits & inside)
         left = [x for x in left if x[1] & inside or x[2] and x[1] and not titled]
-    return [text for text, _, _ in left], bool(articles)
-
-
-def _structured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    claim()
-    for whole_batch in batches:
-        for at in range(0, len(whole_batch), 500):
-            batch = whole_batch.slice(at, 500)
-            found = [blocks(p.as_py() or "") for p in batch.column("_html")]
-            texts = ["\n".join(b) if seen else None for b, seen in found]
-            left = [None if seen else b for b, seen in found]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(left, pa.list_(pa.string()))], names=["page_id", "url", "text", "blocks"])
+    places = [OUTSIDE] * len(made)
+    for at, _, _ in left:
+        places[at] = CORE if articles else OPEN
+    if articles:
+        # The core begins with the first heading or paragraph and ends with the last paragraph. Without paragraphs, or where the rest holds more words, all is core.
+        named = [n for n, (at, _, _) in enumerate(left) if made[at][5]]
+        last = max((n for n in named if made[left[n][0]][5] == 1), default=len(left))
+        rest = [at for n, (at, _, _) in enumerate(left) if named and not named[0] <= n <= last]
+        if 2 * sum(len(made[at][0].split()) for at in rest) < sum(len(made[at][0].split()) for at, _, _ in left):
+            for at in rest:
+                places[at] = OPEN
+    return [(x[0], place) for x, place in zip(made, places, strict=True)], bool(articles)
 
 
 def host(url: Column) -> Column:
@@ -239,56 +255,232 @@ def host(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def repeated(streams: DataFrame, length: int, pages: int) -> DataFrame:
-    """_page and starts: where a page's tokens begin a substring of ``length`` tokens that at least ``pages`` pages of its host hold.
+def _page(host: str, made: list[tuple[str, int]]) -> bytes:
+    """What tells pages apart: the host and all blocks that are shown."""
+    return hashlib.blake2b("\n".join([host, *(text for text, _ in made)]).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
 
-    ``streams`` has _page, _host and tokens. Every suffix is cut at ``length`` tokens: equal
-    prefixes meet by their hash in a shuffle that sums pages before it moves rows, so neither a
-    host nor a passage gathers in one task.
+def _suffixes(made: list[tuple[str, int]], length: int) -> Iterator[tuple[str, int]]:
+    """The first ``length`` tokens of a page's suffixes that can cut or confirm something, and where each begins.
+
+    The text's tokens are numbered from 0, a suffix counts if its first tokens hold an open one. Those
+    outside it are numbered from -1 downwards; their suffixes end where the text begins.
     """
-    suffixes = streams.select("_page", "_host", F.expr(f"explode(transform(sequence(0, size(tokens) - {length}), i -> struct(i AS start, xxhash64(array_join(slice(tokens, i + 1, {length}), ' ')) AS prefix)))").alias("s")).select("_page", "_host", "s.*")
-    once = suffixes.select("_host", "prefix", "_page").distinct()
-    common = once.groupBy("_host", "prefix").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") >= pages)
-    total = streams.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]
-    return split_join(suffixes, common, ["_host", "prefix"], "held", total).groupBy("_page").agg(F.sort_array(F.collect_list("start")).alias("starts"))
+    text: list[str] = []
+    is_open: list[int] = []
+    runs: list[list[str]] = [[]]
+    for block, place in made:
+        tokens = block.split(" ")
+        if place == OUTSIDE:
+            runs[-1] += tokens
+        else:
+            text += tokens
+            is_open += [place == OPEN] * len(tokens)
+            if runs[-1]:
+                runs.append([])
+    begin = 0
+    for run in runs:
+        for i in range(len(run) - length + 1):
+            yield " ".join(run[i : i + length]), -1 - begin - i
+        begin += len(run)
+    if any(is_open):
+        opened = sum(is_open[: length - 1])
+        for i in range(len(text) - length + 1):
+            opened += is_open[i + length - 1]
+            if opened:
+                yield " ".join(text[i : i + length]), i
+            opened -= is_open[i]
+
+
+#: So many suffixes are written at once.
+ROWS = 50_000
+
+
+def _placed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Rows of the suffixes of this task's distinct pages, and at its end one row without a prefix for each page: how often it was there."""
+    claim()
+    uses: Counter[bytes] = Counter()
+    rows: dict[tuple, list[int]] = {}
+    for batch in batches:
+        for source, name in zip(batch.column("_html"), batch.column("_host").to_pylist(), strict=True):
+            made, _ = parts(source.as_py())
+            key = _page(name, made)
+            uses[key] += 1
+            if uses[key] > 1:
+                continue
+            for prefix, start in _suffixes(made, length):
+                rows.setdefault((name, prefix, key), []).append(start)
+                if len(rows) == ROWS:
+                    yield _batch([(*k, starts) for k, starts in rows.items()], _SUFFIX)
+                    rows.clear()
+    yield _batch([(*k, starts) for k, starts in rows.items()], _SUFFIX)
+    keys = list(uses)
+    for at in range(0, len(keys), ROWS):
+        yield _batch([(None, None, key, [uses[key]]) for key in keys[at : at + ROWS]], _SUFFIX)
+
 
+_SUFFIX = pa.schema([("_host", pa.string()), ("prefix", pa.string()), ("_page", pa.binary()), ("starts", pa.list_(pa.int32()))])
+_NEIGHBOUR = pa.schema([*_SUFFIX, ("held", pa.int64())])
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+
+
+def common_prefix(one: str, other: str) -> int:
+    """How many first tokens two suffixes have in common."""
+    n = 0
+    for a, b in zip(one.split(" "), other.split(" "), strict=False):
+        if a != b:
+            break
+        n += 1
+    return n
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch], length: int, shared: int) -> Iterator[pa.RecordBatch]:
+    """From suffixes in order: those that have ``length`` tokens in common with neighbours of ``shared`` pages.
+
+    Rows of fewer than ``shared`` pages are held at once. Neighbours may go on in the task before or after, so
+    for a task's first and last ones a row without a page tells their number, and where that is less
+    than ``shared`` they are given with host and prefix, to be decided when all are known.
+    """
+    claim()
+    here, first, pages, last = None, True, 0, (None, None)
+    pending: list[tuple] = []
+    out: list[tuple] = []
+
+    def end(edge: bool) -> None:
+        if here and edge:
+            out.append((*here, None, None, pages))
+            out.extend((*here, *row, None) for row in pending)
+        pending.clear()
 
-def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = []
-        for found, starts in zip(batch.column("blocks").to_pylist(), batch.column("starts").to_pylist(), strict=True):
-            tokens = [b.split(" ") for b in found]
-            covered = [False] * sum(map(len, tokens))
-            for s in starts or ():
-                covered[s : s + length] = [True] * length
-            kept, at = [], 0
-            for block in tokens:
-                left = [t for t, c in zip(block, covered[at : at + len(block)], strict=True) if not c]
-                at += len(block)
-                if left:
-                    kept.append(" ".join(left))
-            texts.append("\n".join(kept or found))
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+        for name, prefix, page, starts in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            if not here or name != here[0] or prefix != here[1] and common_prefix(prefix, here[1]) < length:
+                end(first)
+                first = not here
+                here, pages, last = (name, prefix), 0, (None, None)
+            if (page, starts) == last:
+                continue
+            pages += page != last[0]
+            last = (page, starts)
+            pending.append((page, starts))
+            if pages >= shared:
+                out.extend((None, None, *row, shared) for row in pending)
+                pending.clear()
+        yield _batch(out, _NEIGHBOUR)
+        out.clear()
+    end(True)
+    yield _batch(out, _NEIGHBOUR)
+
+
+def repeated(suffixes: DataFrame, length: int, shared: int) -> DataFrame:
+    """_page and starts: where a page's tokens begin a substring of ``length`` tokens that at least ``shared`` pages of its host hold.
+
+    ``suffixes`` has _host, prefix (``length`` tokens), _page and starts; a page counts once, however often
+    it or the prefix in it comes. They are sorted over all tasks by host, prefix and page, so a prefix that
+    many pages hold is dealt to several tasks, and a task compares neighbours. Rows of fewer than
+    ``2 * shared`` pages of a task are undecided until the tasks' ends are added up.
+    """
+    keys = ["_host", "prefix", "_page"]
+    in_order = suffixes.select(*keys, "starts").repartitionByRange(*keys).sortWithinPartitions(*keys, "starts")
+    found = materialize(in_order.mapInArrow(lambda batches: _neighbours(batches, length, shared), "_host string, prefix string, _page binary, starts array<int>, held long"))
+    ends = found.where("_page IS NULL").groupBy("_host", "prefix").agg(F.sum("held").alias("held")).where(F.col("held") >= shared)
+    undecided = found.where("_page IS NOT NULL AND held IS NULL").drop("held")
+    decided = found.where("_page IS NOT NULL AND held IS NOT NULL").select("_page", "starts")
+    marks = decided.unionByName(undecided.join(ends, ["_host", "prefix"]).select("_page", "starts"))
+    return marks.groupBy("_page").agg(F.sort_array(F.flatten(F.collect_list("starts"))).alias("starts"))
+
+
+def _structured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each page's text if nothing in it is open, else its blocks and which of them are."""
+    claim()
+    for whole_batch in batches:
+        for at in range(0, len(whole_batch), 500):
+            batch = whole_batch.slice(at, 500)
+            keys, texts, left, places, outside = [], [], [], [], []
+            for source, name in zip(batch.column("_html"), batch.column("_host").to_pylist(), strict=True):
+                made, _ = parts(source.as_py())
+                text = [t for t, place in made if place != OUTSIDE]
+                is_open = [place == OPEN for _, place in made if place != OUTSIDE]
+                keys.append(_page(name, made))
+                texts.append(None if any(is_open) else "\n".join(text))
+                left.append(text if any(is_open) else None)
+                places.append(is_open if any(is_open) else None)
+                outside.append(sum(t.count(" ") + 1 for t, place in made if place == OUTSIDE))
+            made_of = [pa.array(keys, pa.binary()), pa.array(texts, pa.string()), pa.array(left, pa.list_(pa.string())), pa.array(places, pa.list_(pa.bool_())), pa.array(outside, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), *made_of], names=["page_id", "url", "_page", "text", "blocks", "places", "n_outside"])
+
+
+def cut(found: list[str], is_open: list[bool], starts: list[int], length: int) -> str:
+    """The text of the blocks without the open tokens that repeats cover.
+
+    A repeat of which at least half is core comes from a copy of the article; the open blocks beside
+    the core that it reaches stay. A page that repeats cover whole is a copy of others and stays whole.
+    """
+    tokens = [b.split(" ") for b in found]
+    opened = [o for block, o in zip(tokens, is_open, strict=True) for _ in block]
+    before = [0]
+    for o in opened:
+        before.append(before[-1] + (not o))
+    zone, n = [], 0  # runs of open tokens by number, and of core tokens between them
+    for at, o in enumerate(opened):
+        n += at > 0 and o != opened[at - 1]
+        zone.append(n)
+    covered, copied = [False] * len(opened), set()
+    for s in starts:
+        if 2 * (before[s + length] - before[s]) >= length:
+            copied.update(zone[s : s + length])
+        else:
+            covered[s : s + length] = [True] * length
+    kept, at = [], 0
+    for block in tokens:
+        left = [t for t, c, o, z in zip(block, covered[at:], opened[at : at + len(block)], zone[at:], strict=False) if not (c and o) or z in copied]
+        at += len(block)
+        if left:
+            kept.append(" ".join(left))
+    return "\n".join(kept or found)
+
+
+def _cut(length: int):
+    @F.pandas_udf("string")
+    def made(found: pd.Series, is_open: pd.Series, starts: pd.Series) -> pd.Series:
+        return pd.Series([None if b is None else "\n".join(b) if s is None else cut(list(b), list(o), [k for k in s if k >= 0], length) for b, o, s in zip(found, is_open, starts, strict=True)], dtype=object)
+
+    return made
+
+
+#: Rows of a page that very many rows repeat are joined in so many parts.
+PARTS = 64
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", length: int = 12, shared: int = 3) -> DataFrame:
-    """page_id, url, text (empty if none) and n_chars (its code points) of every page.
+    """page_id, url, text (empty if none), n_chars (its code points), n_outside and n_repeated of every page.
 
-    ``length`` tokens on ``shared`` pages of a host, told apart by their open text, make boilerplate
-    on pages without an article or main element. A page that repeats cover whole is a copy of
-    others and stays whole. Null and empty pages have no text; repeated rows are each returned; an
-    empty table gives no rows. Pages are read once, into a scratch table of their texts.
+    ``length`` tokens on ``shared`` pages of a host, told apart by what they show, make boilerplate in
+    open blocks. Of the tokens outside the text (n_outside) repeats cover n_repeated; these are left out
+    whether covered or not. Null and empty pages have no text; repeated rows are each returned; an
+    empty table gives no rows. Pages are read twice, for suffixes and for texts; only suffixes and where they
+    repeat go to scratch tables.
     """
-    slim = pages.select(F.col(f"`{key}`").alias("page_id"), F.col(f"`{url}`").alias("url"), whole(page).alias("_html"))
+    slim = pages.select(F.col(f"`{key}`").alias("page_id"), F.col(f"`{url}`").alias("url"), whole(page).alias("_html")).withColumn("_host", host(F.col("url")))
+    placed = materialize(slim.select("_host", "_html").mapInArrow(lambda batches: _placed(batches, length), "_host string, prefix string, _page binary, starts array<int>"))
+    marks = repeated(placed.where("prefix IS NOT NULL"), length, shared)
+    covered = F.expr(f"aggregate(array_sort(transform(filter(starts, s -> s < 0), s -> -1 - s)), named_struct('n', 0L, 'e', 0L), (a, s) -> named_struct('n', a.n + s + {length} - greatest(a.e, s), 'e', CAST(s + {length} AS LONG)), a -> a.n)")
+    marks = marks.withColumn("n_repeated", covered)
     kinds = f"page_id {slim.schema['page_id'].dataType.simpleString()}, url string"
-    found = materialize(slim.mapInArrow(_structured, f"{kinds}, text string, blocks array<string>"))
-    sure = found.where("blocks IS NULL").select("page_id", "url", "text")
-    tokens = F.expr("split(array_join(blocks, ' '), ' ')")
-    named = found.where("blocks IS NOT NULL").withColumn("_host", host(F.col("url")))
-    plain = named.withColumn("_page", F.sha2(F.concat_ws("\n", "_host", F.array_join("blocks", "\n")), 256)).drop("_host")
-    streams = plain.select("_page", host(F.col("url")).alias("_host"), tokens.alias("tokens")).dropDuplicates(["_page"]).where(F.size("tokens") >= length)
-    copies = plain.groupBy("_page").agg(F.count(F.lit(1)).alias("_uses"))
-    starts = repeated(streams, length, shared).join(copies, "_page")
-    cut = split_join(plain, starts, ["_page"], "_uses", plain.count(), "left").select("page_id", "url", "blocks", "starts")
-    rest = cut.mapInArrow(lambda batches: _cut(batches, length), f"{kinds}, text string")
-    return sure.unionByName(rest).select(F.col("page_id").alias(key), F.col("url").alias(url), "text", F.length("text").cast("long").alias("n_chars"))
+    rows = slim.mapInArrow(_structured, f"{kinds}, _page binary, text string, blocks array<string>, places array<boolean>, n_outside long")
+    uses = placed.where("prefix IS NULL").groupBy("_page").agg(F.sum(F.element_at("starts", 1)).alias("_uses"))
+    total = uses.agg(F.sum("_uses")).first()[0] or 0
+    on = ["_page"]
+    if total > FEW_ROWS:
+        often = F.broadcast(materialize(uses.where(F.col("_uses") * SHARE > total).select("_page", F.lit(True).alias("_often"))))
+        rows = rows.join(often, "_page", "left").withColumn("_part", F.when(F.col("_often"), F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("int")).otherwise(0)).drop("_often")
+        marks = marks.join(often, "_page", "left").withColumn("_part", F.explode(F.when(F.col("_often"), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0))))).drop("_often")
+        on = ["_page", "_part"]
+    both = rows.join(marks, on, "left")
+    texts = F.coalesce("text", _cut(length)("blocks", "places", F.when(F.col("blocks").isNotNull(), F.col("starts"))))
+    out = both.select(F.col("page_id").alias(key), F.col("url").alias(url), texts.alias("text"), "n_outside", F.coalesce("n_repeated", F.lit(0)).alias("n_repeated"))
+    return out.select(key, url, "text", F.length("text").cast("long").alias("n_chars"), "n_outside", "n_repeated")

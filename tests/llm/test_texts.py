@@ -500,3 +500,65 @@ def test_pages(spark):
         assert got[10 + k].text == own(k)
     assert "menu" in got[20].text
     assert pages.extract(table.limit(0)).count() == 0
+
+
+def test_repeats_beside_an_article(spark):
+    """Before an article's first heading and after its last paragraph repeats of a host are cut; its core, copies of it and what is unique stay."""
+    say = lambda name, n: " ".join(f"{name}{j}" for j in range(n))
+    made = lambda lead, head, text, rest: f"<nav><a>{say('menu', 13)}</a></nav><article><div>{lead}</div><h1>{head}</h1><p>{say('quoted', 15)}</p><p>{text}</p><ul><li>{rest}</li></ul></article><footer>{say('foot', 5)}</footer>"
+    want = {}
+    rows = []
+    for k in range(4):  # an offer before and a list after the core on each page
+        rows.append((k, f"http://a.example/{k}", made(say("offer", 14), f"Head {k}", say(f"own{k}x", 20), f"{say('more', 12)} last{k}")))
+        want[k] = f"Head {k}\n{say('quoted', 15)}\n{say(f'own{k}x', 20)}\nlast{k}"
+    rows.append((10, "http://b.example/", rows[0][2]))  # on a host of its own
+    want[10] = f"{say('offer', 14)}\nHead 0\n{say('quoted', 15)}\n{say('own0x', 20)}\n{say('more', 12)} last0"
+    for k in range(20, 24):  # copies of one article under heads of their own: its list stays
+        rows.append((k, f"http://a.example/{k}", made("short lead", f"Head {k}", say("copied", 30), say("step", 16))))
+        want[k] = f"short lead\nHead {k}\n{say('quoted', 15)}\n{say('copied', 30)}\n{say('step', 16)}"
+    for k in range(30, 34):  # the most of an article is no margin of it
+        rows.append((k, f"http://a.example/{k}", f"<article><p>Lead {k}</p><div>{say('body', 40)}</div></article>"))
+        want[k] = f"Lead {k}\n{say('body', 40)}"
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in pages.extract(table.unionAll(table).repartition(5)).collect()}
+    assert {k: r.text for k, r in got.items()} == want
+    # Of the 18 tokens outside, the menu's 13 repeat; the foot is too short, and on the other host nothing repeats.
+    assert {(r.n_outside, r.n_repeated) for k, r in got.items() if k not in (10, 30, 31, 32, 33)} == {(18, 13)}
+    assert (got[10].n_outside, got[10].n_repeated) == (18, 0) and (got[30].n_outside, got[30].n_repeated) == (0, 0)
+
+
+@pytest.mark.parametrize(("seed", "tasks"), [(0, 1), (1, 5), (2, 40)])
+def test_suffixes_in_order_by_brute_force(spark, seed, tasks):
+    """Prefixes that many pages hold lie in several tasks, rows come more than once, a page has a prefix at several places."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for _ in range(400):
+        name, prefix = f"h{rng.integers(0, 2)}", " ".join(rng.choice(["a", "b"], 2)) if rng.random() < 0.6 else f"c d{rng.integers(0, 90)}"
+        rows.append((name, prefix, bytes([int(rng.integers(0, 60))]), [int(x) for x in rng.integers(0, 9, rng.integers(1, 3))]))
+    rows += rows[:50]
+    held, want = {}, {}
+    for name, prefix, page, _ in rows:
+        held.setdefault((name, prefix), set()).add(page)
+    for name, prefix, page, starts in rows:
+        if len(held[name, prefix]) >= 3:
+            want.setdefault(page, set()).update(starts)
+    table = spark.createDataFrame(rows, "_host string, prefix string, _page binary, starts array<int>").repartition(4)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", tasks)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+        got = {bytes(r._page): set(r.starts) for r in pages.repeated(table, 2, 3).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == want and any(len(v) < 3 for v in held.values()) and max(map(len, held.values())) > 20
+
+
+def test_pages_that_many_rows_repeat(spark, monkeypatch):
+    """Rows of one page are joined in parts, each with the page's repeats."""
+    monkeypatch.setattr(pages, "FEW_ROWS", 10)
+    monkeypatch.setattr(pages, "SHARE", 4)
+    menu = " ".join(f"menu{j}" for j in range(13))
+    rows = [(k, "http://a.example/", f"<p>{menu}</p><p>own{k if k < 4 else 0}</p>") for k in range(60)] + [(k, None, None) for k in range(60, 90)]
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == {k: "" if k >= 60 else f"own{k if k < 4 else 0}" for k in range(90)}
