@@ -255,9 +255,13 @@ def host(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
+def _digest(host: str, found: list[str]) -> bytes:
+    return hashlib.blake2b("\n".join([host, *found]).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 def _page(host: str, made: list[tuple[str, int]]) -> bytes:
-    """What tells pages apart: the host and all blocks that are shown."""
-    return hashlib.blake2b("\n".join([host, *(text for text, _ in made)]).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    """Pages with one such key have the same suffixes: their host, places and blocks are the same."""
+    return _digest(host, [f"{place}{text}" for text, place in made])
 
 
 def _suffixes(made: list[tuple[str, int]], length: int) -> Iterator[tuple[str, int]]:
@@ -308,19 +312,20 @@ def _placed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
             uses[key] += 1
             if uses[key] > 1:
                 continue
+            own = _digest(name, [text for text, place in made if place != OUTSIDE])
             for prefix, start in _suffixes(made, length):
-                rows.setdefault((name, prefix, key), []).append(start)
+                rows.setdefault((name, prefix, own, key), []).append(start)
                 if len(rows) == ROWS:
                     yield _batch([(*k, starts) for k, starts in rows.items()], _SUFFIX)
                     rows.clear()
     yield _batch([(*k, starts) for k, starts in rows.items()], _SUFFIX)
     keys = list(uses)
     for at in range(0, len(keys), ROWS):
-        yield _batch([(None, None, key, [uses[key]]) for key in keys[at : at + ROWS]], _SUFFIX)
+        yield _batch([(None, None, None, key, [uses[key]]) for key in keys[at : at + ROWS]], _SUFFIX)
 
 
-_SUFFIX = pa.schema([("_host", pa.string()), ("prefix", pa.string()), ("_page", pa.binary()), ("starts", pa.list_(pa.int32()))])
-_NEIGHBOUR = pa.schema([*_SUFFIX, ("held", pa.int64())])
+_SUFFIX = pa.schema([("_host", pa.string()), ("prefix", pa.string()), ("_text", pa.binary()), ("_page", pa.binary()), ("starts", pa.list_(pa.int32()))])
+_KINDS = "_host string, prefix string, _text binary, _page binary, starts array<int>"
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -338,58 +343,69 @@ def common_prefix(one: str, other: str) -> int:
     return n
 
 
+#: So many rows of neighbours are held at once; where more are undecided, they are decided later.
+HELD = 10_000
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch], length: int, shared: int) -> Iterator[pa.RecordBatch]:
-    """From suffixes in order: those that have ``length`` tokens in common with neighbours of ``shared`` pages.
+    """From suffixes in order: those that have ``length`` tokens in common with neighbours of ``shared`` texts.
 
-    Rows of fewer than ``shared`` pages are held at once. Neighbours may go on in the task before or after, so
-    for a task's first and last ones a row without a page tells their number, and where that is less
-    than ``shared`` they are given with host and prefix, to be decided when all are known.
+    These are given by page and starts alone. Neighbours may go on in the task before or after, so of a
+    task's first and last ones up to ``shared`` texts are given without a page, and where there are fewer,
+    the rows too with host and prefix, to be decided when all texts are known.
     """
     claim()
-    here, first, pages, last = None, True, 0, (None, None)
+    here, last, edge = None, None, True
+    texts: list[bytes] = []
     pending: list[tuple] = []
     out: list[tuple] = []
 
-    def end(edge: bool) -> None:
+    def end() -> None:
         if here and edge:
-            out.append((*here, None, None, pages))
-            out.extend((*here, *row, None) for row in pending)
+            out.extend((*here, text, None, None) for text in texts)
+            out.extend((*here, None, *row) for row in pending)
+        texts.clear()
         pending.clear()
 
     for batch in batches:
-        for name, prefix, page, starts in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            if not here or name != here[0] or prefix != here[1] and common_prefix(prefix, here[1]) < length:
-                end(first)
-                first = not here
-                here, pages, last = (name, prefix), 0, (None, None)
+        for name, prefix, text, page, starts in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            if not here or name != here[0] or common_prefix(prefix, here[1]) < length:
+                end()
+                edge, here, last = not here, (name, prefix), None
             if (page, starts) == last:
                 continue
-            pages += page != last[0]
             last = (page, starts)
-            pending.append((page, starts))
-            if pages >= shared:
-                out.extend((None, None, *row, shared) for row in pending)
+            if len(texts) < shared and (not texts or text != texts[-1]):
+                texts.append(text)
+            pending.append(last)
+            if len(texts) == shared:
+                out.extend((None, None, None, *row) for row in pending)
+                pending.clear()
+            elif len(pending) == HELD:
+                out.extend((*here, None, *row) for row in pending)
                 pending.clear()
-        yield _batch(out, _NEIGHBOUR)
+                edge = True
+        yield _batch(out, _SUFFIX)
         out.clear()
-    end(True)
-    yield _batch(out, _NEIGHBOUR)
+    edge = True
+    end()
+    yield _batch(out, _SUFFIX)
 
 
 def repeated(suffixes: DataFrame, length: int, shared: int) -> DataFrame:
-    """_page and starts: where a page's tokens begin a substring of ``length`` tokens that at least ``shared`` pages of its host hold.
+    """_page and starts: where a page's tokens begin a substring of ``length`` tokens that at least ``shared`` texts of its host hold.
 
-    ``suffixes`` has _host, prefix (``length`` tokens), _page and starts; a page counts once, however often
-    it or the prefix in it comes. They are sorted over all tasks by host, prefix and page, so a prefix that
-    many pages hold is dealt to several tasks, and a task compares neighbours. Rows of fewer than
-    ``2 * shared`` pages of a task are undecided until the tasks' ends are added up.
+    ``suffixes`` has _host, prefix (``length`` tokens), _text, _page and starts; a text counts once, on
+    however many pages it stands and however often the prefix comes in it. They are sorted over all tasks by host,
+    prefix, text and page, so a prefix that many pages hold is dealt to several tasks, and a task
+    compares neighbours. Only what its ends leave undecided is joined once the tasks' ends are added up.
     """
-    keys = ["_host", "prefix", "_page"]
+    keys = ["_host", "prefix", "_text", "_page"]
     in_order = suffixes.select(*keys, "starts").repartitionByRange(*keys).sortWithinPartitions(*keys, "starts")
-    found = materialize(in_order.mapInArrow(lambda batches: _neighbours(batches, length, shared), "_host string, prefix string, _page binary, starts array<int>, held long"))
-    ends = found.where("_page IS NULL").groupBy("_host", "prefix").agg(F.sum("held").alias("held")).where(F.col("held") >= shared)
-    undecided = found.where("_page IS NOT NULL AND held IS NULL").drop("held")
-    decided = found.where("_page IS NOT NULL AND held IS NOT NULL").select("_page", "starts")
+    found = materialize(in_order.mapInArrow(lambda batches: _neighbours(batches, length, shared), _KINDS))
+    ends = found.where("_page IS NULL").groupBy("_host", "prefix").agg(F.count_distinct("_text").alias("held")).where(F.col("held") >= shared)
+    decided = found.where("_page IS NOT NULL AND prefix IS NULL").select("_page", "starts")
+    undecided = found.where("_page IS NOT NULL AND prefix IS NOT NULL").drop("_text")
     marks = decided.unionByName(undecided.join(ends, ["_host", "prefix"]).select("_page", "starts"))
     return marks.groupBy("_page").agg(F.sort_array(F.flatten(F.collect_list("starts"))).alias("starts"))
 
@@ -437,8 +453,9 @@ def cut(found: list[str], is_open: list[bool], starts: list[int], length: int) -
             covered[s : s + length] = [True] * length
     kept, at = [], 0
     for block in tokens:
-        left = [t for t, c, o, z in zip(block, covered[at:], opened[at : at + len(block)], zone[at:], strict=False) if not (c and o) or z in copied]
-        at += len(block)
+        end = at + len(block)
+        left = [t for t, c, o, z in zip(block, covered[at:end], opened[at:end], zone[at:end], strict=True) if not (c and o) or z in copied]
+        at = end
         if left:
             kept.append(" ".join(left))
     return "\n".join(kept or found)
@@ -459,14 +476,14 @@ PARTS = 64
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", length: int = 12, shared: int = 3) -> DataFrame:
     """page_id, url, text (empty if none), n_chars (its code points), n_outside and n_repeated of every page.
 
-    ``length`` tokens on ``shared`` pages of a host, told apart by what they show, make boilerplate in
-    open blocks. Of the tokens outside the text (n_outside) repeats cover n_repeated; these are left out
+    ``length`` tokens on ``shared`` pages of a host, told apart by their texts, make boilerplate in open
+    blocks. Of the tokens outside the text (n_outside) repeats cover n_repeated; these are left out
     whether covered or not. Null and empty pages have no text; repeated rows are each returned; an
     empty table gives no rows. Pages are read twice, for suffixes and for texts; only suffixes and where they
     repeat go to scratch tables.
     """
     slim = pages.select(F.col(f"`{key}`").alias("page_id"), F.col(f"`{url}`").alias("url"), whole(page).alias("_html")).withColumn("_host", host(F.col("url")))
-    placed = materialize(slim.select("_host", "_html").mapInArrow(lambda batches: _placed(batches, length), "_host string, prefix string, _page binary, starts array<int>"))
+    placed = materialize(slim.select("_host", "_html").mapInArrow(lambda batches: _placed(batches, length), _KINDS))
     marks = repeated(placed.where("prefix IS NOT NULL"), length, shared)
     covered = F.expr(f"aggregate(array_sort(transform(filter(starts, s -> s < 0), s -> -1 - s)), named_struct('n', 0L, 'e', 0L), (a, s) -> named_struct('n', a.n + s + {length} - greatest(a.e, s), 'e', CAST(s + {length} AS LONG)), a -> a.n)")
     marks = marks.withColumn("n_repeated", covered)

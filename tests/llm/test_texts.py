@@ -527,22 +527,24 @@ def test_repeats_beside_an_article(spark):
     assert (got[10].n_outside, got[10].n_repeated) == (18, 0) and (got[30].n_outside, got[30].n_repeated) == (0, 0)
 
 
-@pytest.mark.parametrize(("seed", "tasks"), [(0, 1), (1, 5), (2, 40)])
-def test_suffixes_in_order_by_brute_force(spark, seed, tasks):
-    """Prefixes that many pages hold lie in several tasks, rows come more than once, a page has a prefix at several places."""
+@pytest.mark.parametrize(("seed", "tasks", "at_once"), [(0, 1, 10_000), (1, 5, 2), (2, 40, 10_000)])
+def test_suffixes_in_order_by_brute_force(spark, monkeypatch, seed, tasks, at_once):
+    """Prefixes that many pages hold lie in several tasks, rows come more than once, a text stands on several pages, a page has a prefix at several places."""
+    monkeypatch.setattr(pages, "HELD", at_once)
     rng = np.random.default_rng(seed)
     rows = []
     for _ in range(400):
         name, prefix = f"h{rng.integers(0, 2)}", " ".join(rng.choice(["a", "b"], 2)) if rng.random() < 0.6 else f"c d{rng.integers(0, 90)}"
-        rows.append((name, prefix, bytes([int(rng.integers(0, 60))]), [int(x) for x in rng.integers(0, 9, rng.integers(1, 3))]))
-    rows += rows[:50]
+        page = int(rng.integers(0, 60))
+        rows.append((name, prefix, bytes([page % 40 if page > 8 else 0]), bytes([page]), [int(x) for x in rng.integers(0, 9, rng.integers(1, 3))]))
+    rows += rows[:50] + [("h0", "one text", bytes([7]), bytes([k]), [k]) for k in range(100, 120)]
     held, want = {}, {}
-    for name, prefix, page, _ in rows:
-        held.setdefault((name, prefix), set()).add(page)
-    for name, prefix, page, starts in rows:
+    for name, prefix, text, _, _ in rows:
+        held.setdefault((name, prefix), set()).add(text)
+    for name, prefix, _, page, starts in rows:
         if len(held[name, prefix]) >= 3:
             want.setdefault(page, set()).update(starts)
-    table = spark.createDataFrame(rows, "_host string, prefix string, _page binary, starts array<int>").repartition(4)
+    table = spark.createDataFrame(rows, "_host string, prefix string, _text binary, _page binary, starts array<int>").repartition(4)
     before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
     try:
         spark.conf.set("spark.sql.shuffle.partitions", tasks)
@@ -551,7 +553,7 @@ def test_suffixes_in_order_by_brute_force(spark, seed, tasks):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
-    assert got == want and any(len(v) < 3 for v in held.values()) and max(map(len, held.values())) > 20
+    assert got == want and any(len(v) < 3 for v in held.values()) and max(map(len, held.values())) > 10
 
 
 def test_pages_that_many_rows_repeat(spark, monkeypatch):
@@ -562,3 +564,20 @@ def test_pages_that_many_rows_repeat(spark, monkeypatch):
     rows = [(k, "http://a.example/", f"<p>{menu}</p><p>own{k if k < 4 else 0}</p>") for k in range(60)] + [(k, None, None) for k in range(60, 90)]
     got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
     assert got == {k: "" if k >= 60 else f"own{k if k < 4 else 0}" for k in range(90)}
+
+
+def test_one_text_among_other_menus_counts_once(spark):
+    """Pages are told apart by their texts: one text on pages of different menus repeats nothing."""
+    say = lambda name, n: " ".join(f"{name}{j}" for j in range(n))
+    rows = [(k, "http://a.example/", f"<nav>{say(f'menu{k}x', 14)}</nav><p>{say('story', 20)}</p><p>tail</p>") for k in range(5)]
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert set(got.values()) == {f"{say('story', 20)}\ntail"}
+
+
+def test_cut_of_many_blocks_takes_linear_time():
+    import time
+
+    found = [f"a{k} b c d" for k in range(50_000)]
+    start = time.perf_counter()
+    text = pages.cut(found, [True] * len(found), [0], 12)
+    assert time.perf_counter() - start < 2 and text == "\n".join(found[3:])
