@@ -43,29 +43,42 @@ def _bare(token: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(token, r"\s+", ""), r"\[$", ""), r"\($", "()")
 
 
-def operands(text: Column) -> Column:
-    """The distinct names, dotted paths and calls (``f()``, ``a.m()``) of an expression."""
-    plain = F.filter(tokens(text), lambda t: t.rlike(rf"(?iu)^{PATH}\s*[(\[]?$") & ~t.rlike(rf"(?iu)^(?:{_ANY_WORD})$") & ~F.lower(t).isin(*A.KEYWORDS, *W.LITERALS))
-    return F.array_distinct(F.transform(plain, _bare))
-
+def marks(text: Column) -> Column:
+    """kind, type and name of an expression's tokens in order.
 
-def _told(token: Column, types: Column) -> Column:
-    """kind and type of a token: v operand, ( open, f call, ? choice, ) close, m and n close of a part with a member, then a sign's own letter."""
-    t = token
-    word = lambda name: t.rlike(rf"(?iu)^(?:{'|'.join(WORDS[name])})$")
+    Kinds: v operand, ( open, f call, ? choice, ) close, m and n close of a part with a member, else
+    a sign's own letter. ``type`` is what a token tells by itself, ``name`` what is to be looked up
+    (a name, dotted path or call: ``f()``, ``a.m()``); Unknown if there is neither.
+    """
     new = rf"(?iu)^(?:Новый|New)\s+({NAME})"
-    kind = (
-        F.when(t.startswith('"') | t.startswith("'") | t.rlike(r"^\d"), "v").when(word("and"), "&").when(word("or"), "|").when(word("not"), "!")
-        .when(t.rlike(r"^\?"), "?").when(t.rlike(r"^[)\]].*[(\[]$"), "n").when(t.rlike(r"^[)\]]."), "m").when(t.rlike(r"^[)\]]"), ")")
-        .when(t.rlike(r"^[<>=]"), "=").when(t.rlike(r"^[*/%]$"), "*").when(t.rlike(r"^[-+(,]$"), t).when(t.rlike(r"[(\[]$"), "f").otherwise("v")
-    )
-    found = F.when(t.rlike(r"\[$"), UNKNOWN).otherwise(F.coalesce(F.try_element_at(types, _bare(t)), F.lit(UNKNOWN)))
-    type_ = (
-        F.when(t.startswith('"'), "String").when(t.startswith("'"), "Date").when(t.rlike(r"^\d"), "Number").when(t.rlike(new), F.regexp_extract(t, new, 1))
-        .when(F.lower(t).isin("истина", "ложь", "true", "false"), "Boolean").when(F.lower(t).isin("неопределено", "undefined"), "Undefined").when(F.lower(t) == "null", "Null")
-        .otherwise(found)
-    )
-    return F.struct(kind.alias("kind"), type_.alias("type"))
+
+    def mark(t: Column) -> Column:
+        first, low = F.substring(t, 1, 1), F.lower(t)
+        closes = F.when(t.rlike(r"^[)\]].*[(\[]$"), "n").when(t.rlike(r"^[)\]]."), "m").otherwise(")")
+        kind = (
+            F.when(first.isin('"', "'", *"0123456789"), "v").when(first.isin(*"+-(,"), first).when(first.isin(*"<>="), "=").when(first.isin(*"*/%"), "*").when(first == "?", "?").when(first.isin(")", "]"), closes)
+            .when(t.endswith("(") | t.endswith("["), "f").when(low.isin(*map(str.lower, WORDS["and"])), "&").when(low.isin(*map(str.lower, WORDS["or"])), "|").when(low.isin(*map(str.lower, WORDS["not"])), "!").otherwise("v")
+        )
+        type_ = (
+            F.when(first == '"', "String").when(first == "'", "Date").when(first.isin(*"0123456789"), "Number").when(first.isin(*"+-(,<>=*/%?)]"), None)
+            .when(low.isin("истина", "ложь", "true", "false"), "Boolean").when(low.isin("неопределено", "undefined"), "Undefined").when(low == "null", "Null").when(t.rlike(new), F.regexp_extract(t, new, 1))
+        )
+        return F.struct(t.alias("token"), kind.alias("kind"), type_.alias("type"))
+
+    def named(m: Column) -> Column:
+        plain = m["type"].isNull() & m["kind"].isin("v", "f") & ~m["token"].endswith("[") & ~F.lower(m["token"]).isin(*A.KEYWORDS)
+        return F.struct(m["kind"].alias("kind"), m["type"].alias("type"), F.when(plain, _bare(m["token"])).alias("name"))
+
+    return F.transform(F.transform(tokens(text), mark), named)
+
+
+def _names(marked: Column) -> Column:
+    return F.array_distinct(F.filter(F.transform(marked, lambda m: m["name"]), lambda n: n.isNotNull()))
+
+
+def operands(text: Column) -> Column:
+    """The distinct names, dotted paths and calls (``f()``, ``a.m()``) of an expression whose types are asked."""
+    return _names(marks(text))
 
 
 def _frame(of: Column | None = None, **changes: Column) -> Column:
@@ -161,8 +174,8 @@ def _step(s: Column, token: Column) -> Column:
     )
 
 
-def typed(text: Column, types: Column) -> Column:
-    """type and problems of an expression, whose operands have the types of a map (``operands`` are its keys).
+def typed(text: Column, types: Column, marked: Column | None = None) -> Column:
+    """type and problems of an expression, whose operands have the types of a map (``operands`` are its keys); ``marked`` are its ``marks``, if read before.
 
     NOT binds after comparisons and before AND, AND before OR. Sums are read from the left: numbers
     give a number, a text with a plus gives a text whatever follows, all else is Unknown.
@@ -176,9 +189,12 @@ def typed(text: Column, types: Column) -> Column:
     closing = F.struct(F.lit(")").alias("kind"), F.lit(None).cast("string").alias("type"))
     # What is left open closes at the end; closes that are too many are passed over.
     all_ = lambda ts: F.concat(ts, F.array_repeat(closing, F.size(F.filter(ts, lambda t: t["kind"].isin("(", "f", "?")))))
-    made = _let(F.transform(tokens(text), lambda t: _told(t, types)), lambda ts: F.aggregate(all_(ts), start, _step))
-    ended = _let(made, lambda s: _let(_read(s["top"]), lambda r: F.struct(F.when(F.trim(text) == "", UNKNOWN).otherwise(r["value"]).alias("type"), F.concat(s["problems"], r["wrong_value"]).alias("problems"))))
-    return F.when(text.isNotNull(), ended)
+    told = F.transform(marks(text) if marked is None else marked, lambda m: F.struct(m["kind"].alias("kind"), F.coalesce(m["type"], F.try_element_at(types, m["name"]), F.lit(UNKNOWN)).alias("type")))
+    ended = lambda s: _let(_read(s["top"]), lambda r: F.struct(F.when(F.trim(text) == "", UNKNOWN).otherwise(r["value"]).alias("type"), F.concat(s["problems"], r["wrong_value"]).alias("problems")))
+    read = lambda ts: _let(F.aggregate(all_(ts), start, _step), ended)
+    # One operand is what it is.
+    alone = lambda ts: F.struct(ts[0]["type"].alias("type"), F.array().cast("array<string>").alias("problems"))
+    return F.when(text.isNotNull(), _let(told, lambda ts: F.when((F.size(ts) == 1) & (F.get(ts, F.lit(0))["kind"] == "v"), alone(ts)).otherwise(read(ts))))
 
 
 def with_types(expressions: DataFrame, keys: list[str], names: DataFrame, calls: DataFrame, members: DataFrame, text: str = "text") -> DataFrame:
@@ -189,36 +205,74 @@ def with_types(expressions: DataFrame, keys: list[str], names: DataFrame, calls:
     types. Several types of one name are a union ``A|B``, which fits no operator. ``keys`` tell an
     expression; rows that are equal in them must be equal in text.
     """
-    each = expressions.select(*keys, F.explode(operands(F.col(text))).alias("_o")).distinct()
-    plain = F.regexp_replace("_o", r"\(\)$", "")
-    parts = each.withColumn("_base", F.substring_index(plain, ".", 1)).withColumn("_more", F.regexp_extract(plain, r"^[^.]*\.(.*)$", 1)).withColumn("_call", F.col("_o").endswith("()") & (F.col("_more") == ""))
-    unions = lambda df, name: df.groupBy(*keys, F.col("name").alias("_base")).agg(F.array_join(F.array_sort(F.collect_set("type")), "|").alias(name))
-    met = parts.join(unions(names, "_held"), [*keys, "_base"], "left").join(unions(calls, "_back"), [*keys, "_base"], "left")
-    based = met.withColumn("_type", F.when(F.col("_call"), F.col("_back")).otherwise(F.col("_held")))
-    dotted = based.where("_more <> ''").withColumn("_path", F.concat_ws(".", F.coalesce("_type", F.lit(UNKNOWN)), "_more"))
-    found = A.resolve_paths(dotted.select("_path").distinct(), members, "_path").select("_path", F.col("type").alias("_member"))
-    far = join_often(dotted, found, ["_path"], "left").select(*keys, "_o", F.col("_member").alias("_type"))
-    entries = based.where("_more = ''").select(*keys, "_o", "_type").unionByName(far).where("_type IS NOT NULL")
-    # The operands of one expression.
-    maps = entries.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_o", "_type"))).alias("_types"))
-    made = expressions.join(maps, keys, "left").withColumn("_t", typed(F.col(text), F.coalesce("_types", F.create_map().cast("map<string,string>"))))
-    return made.select(*expressions.columns, "_t.type", "_t.problems")
-
-
-def in_files(rows: DataFrame, placed: DataFrame, returns: DataFrame, members: DataFrame, whole: DataFrame | None = None) -> DataFrame:
+    none, union = F.create_map().cast("map<string,string>"), lambda types: F.array_join(F.array_sort(F.array_distinct(types)), "|")
+    columns = expressions.columns
+    given = expressions if "_marks" in columns else expressions.withColumn("_marks", marks(F.col(text)))
+    given = given.withColumn("_names", _names(F.col("_marks")))
+    known = lambda df, types: df.withColumn("_t", typed(F.col(text), types, F.col("_marks"))).select(*[c for c in columns if c != "_marks"], "_t.type", "_t.problems")
+    asks = F.coalesce(F.size("_names") > 0, F.lit(False))
+    # An expression and all that is told of it are gathered in one row.
+    whole = given.where(asks).select(*keys, F.struct(*given.columns).alias("_e"), F.lit(None).cast("struct<name:string,call:boolean,type:string>").alias("_n"))
+    entry = lambda df, call: df.dropna(subset=keys).select(*keys, F.lit(None).cast(whole.schema["_e"].dataType).alias("_e"), F.struct("name", F.lit(call).alias("call"), "type").alias("_n"))
+    every = whole.unionByName(entry(names, False)).unionByName(entry(calls, True)).groupBy(*keys).agg(F.collect_list("_e").alias("_e"), F.collect_set("_n").alias("_n"))
+    met = every.where("size(_e) > 0").withColumn("_names", F.array_distinct(F.flatten(F.transform("_e", lambda e: e["_names"]))))
+
+    def part(o: Column) -> Column:
+        plain = F.regexp_replace(o, r"\(\)$", "")
+        return F.struct(o.alias("o"), F.substring_index(plain, ".", 1).alias("base"), F.when(plain.contains("."), F.regexp_extract(plain, r"^[^.]*\.(.*)$", 1)).alias("more"), (o.endswith("()") & ~plain.contains(".")).alias("call"))
+
+    def based(p: Column) -> Column:
+        types = F.transform(F.filter("_n", lambda n: (n["name"] == p["base"]) & (n["call"] == p["call"])), lambda n: n["type"])
+        return F.struct(p["o"].alias("o"), p["more"].alias("more"), F.when(F.size(types) > 0, union(types)).alias("type"))
+
+    parts = F.transform(F.transform("_names", part), based)
+    met = met.select(*keys, "_e", parts.alias("_parts"))
+    direct = F.map_from_entries(F.transform(F.filter("_parts", lambda p: p["more"].isNull() & p["type"].isNotNull()), lambda p: F.struct(p["o"], p["type"])))
+    flat = lambda df, types: known(df.select(types.alias("_types"), F.inline("_e")), F.coalesce("_types", none))
+    met = met.withColumn("_direct", direct)
+    alone = known(given.where(~asks), none)
+    if given.where(F.exists("_names", lambda o: o.contains("."))).isEmpty():
+        return alone.unionByName(flat(met, F.col("_direct")))
+    met = cut(met)
+    more = F.transform(F.filter("_parts", lambda p: p["more"].isNotNull()), lambda p: F.struct(p["o"].alias("_o"), F.concat_ws(".", F.coalesce(p["type"], F.lit(UNKNOWN)), p["more"]).alias("_path")))
+    dotted = met.where(F.exists("_parts", lambda p: p["more"].isNotNull())).select(*keys, F.inline(more))
+    found = cut(A.resolve_paths(dotted.select("_path").distinct(), members, "_path").where("type IS NOT NULL").select("_path", "type"))
+    if found.isEmpty():
+        return alone.unionByName(flat(met, F.col("_direct")))
+    far = join_often(dotted, found, ["_path"]).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_o", "type"))).alias("_far"))
+    return alone.unionByName(flat(met.join(far, keys, "left"), F.when(F.col("_far").isNull(), F.col("_direct")).otherwise(F.map_concat("_direct", "_far"))))
+
+
+def told(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``text`` of the assigned value, returned value or condition of a line in a routine, and its ``_marks``; as they are if they have them."""
+    if "_marks" in rows.columns:
+        return rows
+    asked = F.when(F.col("kind").isNotNull() & F.col("code").rlike(W.CONDITION), F.regexp_extract("code", W.CONDITION, 1))
+    text = F.when(F.col("routine").isNotNull(), F.trim(F.coalesce(asked, "back", "value")))
+    return W.told(rows).withColumn("text", text).withColumn("_marks", F.when(F.col("text").isNotNull(), marks(F.col("text"))))
+
+
+def points(rows: DataFrame) -> DataFrame:
+    """path, routine, line, place and variable: names that the expressions of ``rows`` ask for, those that are a value or returned value by themselves among them."""
+    used = F.filter("_names", lambda o: ~o.endswith("()") | o.contains("."))
+    bases = F.transform(used, lambda o: F.regexp_extract(o, rf"(?u)^({NAME})", 1))
+    by_form = F.transform(F.filter(F.array("given", "returned"), lambda n: n.startswith("name:")), lambda n: F.substring(n, 6, 1 << 20))
+    read = told(rows).where("text IS NOT NULL").withColumn("_names", _names(F.col("_marks")))
+    return read.select("path", "routine", "line", "place", F.explode(F.array_distinct(F.concat(bases, by_form))).alias("variable"))
+
+
+def in_files(rows: DataFrame, placed: DataFrame | None, returns: DataFrame, members: DataFrame, whole: DataFrame | None = None, names: DataFrame | None = None) -> DataFrame:
     """path, routine, line, text, type and problems of every assigned value, returned value and condition of ``rows`` (``flow.blocks``).
 
-    Names hold what reaches them (``placed``, of ``flow.typed_assignments``), calls return what the
-    routine that they mean returns (``returns``: path, routine, type).
+    Names hold what reaches them, by ``names`` (``flow.held`` at ``points``) or by the assignments
+    ``placed`` (of ``flow.typed_assignments``); calls return what the routine that they mean returns
+    (``returns``: path, routine, type).
     """
-    code = F.col("code")
-    text = F.when(code.rlike(W.CONDITION), F.regexp_extract(code, W.CONDITION, 1)).when(code.rlike(A.RETURN), F.regexp_extract(code, A.RETURN, 1)).when(F.col("kind").isNull() & code.rlike(A.ASSIGN), F.regexp_extract(code, A.ASSIGN, 2))
     keys = ["path", "routine", "line"]
-    each = cut(rows.where("routine IS NOT NULL").select(*keys, "place", F.trim(text).alias("text")).where("text IS NOT NULL"))
-    used = each.select(*keys, "place", F.explode(operands(F.col("text"))).alias("_o"))
-    points = used.where(~F.col("_o").endswith("()") | F.col("_o").contains(".")).select(*keys, F.regexp_extract("_o", rf"(?u)^({NAME})", 1).alias("variable"), "place").distinct()
-    names = W.reaching(rows, placed, points, whole).select(*keys, F.col("variable").alias("name"), "type")
-    calls = used.where(F.col("_o").endswith("()") & ~F.col("_o").contains(".")).select(*keys, F.regexp_replace("_o", r"\(\)$", "").alias("callee"))
-    told = returns.select(F.col("path").alias("callee_path"), F.col("routine").alias("callee"), "type").distinct()
-    back = join_often(W.find_callees(calls, W.declared(rows)), told, ["callee_path", "callee"]).select(*keys, F.col("callee").alias("name"), "type")
-    return with_types(each.drop("place"), keys, names, back, members)
+    rows = told(rows)
+    each = rows.where("text IS NOT NULL").select(*keys, "text", "_marks")
+    met = names if names is not None else W.reaching(rows, placed, points(rows), whole)
+    called = F.transform(F.filter(_names(F.col("_marks")), lambda o: o.endswith("()") & ~o.contains(".")), lambda o: F.regexp_replace(o, r"\(\)$", ""))
+    own = each.select(*keys, F.explode(called).alias("name")).select(*keys, "name", F.lit(True).alias("call"), F.concat(F.lit("call:"), "name").alias("type"))
+    told_ = W.answered(met.select(*keys, F.col("variable").alias("name"), F.lit(False).alias("call"), "type").unionByName(own), rows, returns)
+    return with_types(each, keys, told_.where("NOT call").drop("call"), told_.where("call").drop("call"), members)

@@ -41,13 +41,17 @@ def _block_step(held: Column, x: Column) -> Column:
 
 
 def blocks(files: DataFrame) -> DataFrame:
+    """``placed_lines`` as a scratch table, as all that follows reads them several times."""
+    return cut(placed_lines(files))
+
+
+def placed_lines(files: DataFrame) -> DataFrame:
     """Lines (path, line, code, routine) with ``kind`` (open, branch, close or null) and ``place``.
 
     ``place`` lists the blocks around the line, outermost first: the line that opens a block and
     the line that begins the branch. A line that opens, parts or closes a block has the place of
     the whole block. Routines and the stack of open blocks run along a file's statements in one
-    aggregation, however deep they nest; a file is a row until then, so nothing is moved. The lines
-    are a scratch table, as all that follows reads them several times.
+    aggregation, however deep they nest; a file is a row until then, so nothing is moved.
     """
     stack = "array<struct<block:int,branch:int>>"
 
@@ -59,12 +63,31 @@ def blocks(files: DataFrame) -> DataFrame:
 
     start = F.struct(F.array().cast(stack).alias("now"), F.lit(None).cast("string").alias("routine"), F.array().cast(f"array<struct<line:int,code:string,routine:string,kind:string,place:{stack}>>").alias("out"))
     made = F.aggregate(F.transform(A.statement_array(A.line_array(F.col("content"))), told), start, _block_step, lambda s: s["out"])
-    return cut(files.select("path", F.explode(made).alias("_l")).select("path", "_l.line", "_l.code", "_l.routine", "_l.kind", "_l.place"))
+    return files.select("path", F.explode(made).alias("_l")).select("path", "_l.line", "_l.code", "_l.routine", "_l.kind", "_l.place")
+
+
+def told(rows: DataFrame) -> DataFrame:
+    """``rows`` with what their code says, as they are if they have it: ``variable``, ``value`` and ``given`` (the value's type by
+    form) of a plain assignment in a routine, ``back`` and ``returned`` (its type by form) of a return, ``head`` of a routine's first line.
+
+    Where several steps read the same lines, this is done once before they become a scratch table.
+    """
+    if "returned" in rows.columns:
+        return rows
+    code, inside = F.col("code"), F.col("routine").isNotNull()
+    assigns = inside & F.col("kind").isNull() & code.rlike(A.ASSIGN)
+    n_given = F.size(F.filter(F.split(F.regexp_extract("code", A.BEGIN, 3), ","), lambda p: F.trim(p) != ""))
+    head = F.struct(F.regexp_extract("code", A.BEGIN, 2).alias("routine"), (F.regexp_extract("code", A.BEGIN, 4) != "").alias("exported"), n_given.alias("n_parameters"))
+    read = rows.withColumns({
+        "variable": F.when(assigns, F.regexp_extract("code", A.ASSIGN, 1)), "value": F.when(assigns, F.regexp_extract("code", A.ASSIGN, 2)),
+        "back": F.when(inside & code.rlike(A.RETURN), F.regexp_extract("code", A.RETURN, 1)), "head": F.when(code.rlike(A.HEAD) & code.rlike(A.BEGIN), head),
+    })
+    return read.withColumns({"given": F.when(F.col("value").isNotNull(), value_type(F.col("value"))), "returned": F.when(F.col("back").isNotNull(), value_type(F.col("back")))})
 
 
 def _within(outer: Column, inner: Column) -> Column:
     """Whether one place is the other's beginning."""
-    return (F.size(outer) <= F.size(inner)) & (F.slice(inner, F.lit(1), F.size(outer)) == outer)
+    return (F.size(outer) == 0) | ((F.size(outer) <= F.size(inner)) & (F.slice(inner, F.lit(1), F.size(outer)) == outer))
 
 
 def value_type(text: Column) -> Column:
@@ -79,9 +102,8 @@ def value_type(text: Column) -> Column:
 
 
 def assigned(rows: DataFrame) -> DataFrame:
-    """path, routine, line, variable, place and value of the plain assignments in routines."""
-    got = rows.where(F.col("routine").isNotNull() & F.col("kind").isNull() & F.col("code").rlike(A.ASSIGN))
-    return got.select("path", "routine", "line", F.regexp_extract("code", A.ASSIGN, 1).alias("variable"), "place", F.regexp_extract("code", A.ASSIGN, 2).alias("value"))
+    """path, routine, line, variable, place and type (by form: ``value_type``) of the plain assignments in routines."""
+    return told(rows).where("variable IS NOT NULL").select("path", "routine", "line", "variable", "place", F.col("given").alias("type"))
 
 
 def covers(rows: DataFrame) -> DataFrame:
@@ -118,30 +140,72 @@ def reaching(rows: DataFrame, placed: DataFrame, points: DataFrame, whole: DataF
 
     An assignment doesn't reach a point in another branch of its block, nor one behind a later
     assignment that lies on each way between them. Loops are run once or not at all. A variable's
-    assignments within its routine are gathered once and meet its points in one join; ``whole`` is
-    what ``covers`` tells of ``rows``.
+    assignments, covering blocks and points within its routine are gathered in one row, so they
+    move once; ``whole`` is what ``covers`` tells of ``rows``.
     """
     keys = ["path", "routine", "variable"]
-    made = placed.groupBy(*keys).agg(F.collect_list(F.struct(F.col("line").alias("at"), "place", "type")).alias("_made"))
-    ends = (_covers(placed, rows) if whole is None else whole).groupBy(*keys).agg(F.collect_list(F.struct("since", "at", "place", F.lit(False).alias("real"))).alias("_ends"))
-    own = F.array_distinct(F.transform("_made", lambda a: F.struct(a["at"].alias("since"), a["at"].alias("at"), a["place"].alias("place"), F.lit(True).alias("real"))))
-    kills = F.when(F.col("_ends").isNull(), own).otherwise(F.concat(own, "_ends"))
+    found = lambda df, role, at, since, type_: df.select(*keys, F.struct(F.lit(role).alias("role"), F.col(at).cast("int").alias("at"), F.col(since).cast("int").alias("since"), "place", type_.cast("string").alias("type")).alias("_e"))
+    parts = [found(placed, "made", "line", "line", F.col("type")), found(_covers(placed, rows) if whole is None else whole, "whole", "at", "since", F.lit(None)), found(points, "point", "line", "line", F.lit(None))]
+    every = reduce(DataFrame.unionByName, parts).dropna(subset=keys).groupBy(*keys).agg(F.collect_list("_e").alias("_e"))
+    of = lambda role: F.filter("_e", lambda e: e["role"] == role)
+    met = every.select(*keys, of("made").alias("_made"), of("point").alias("_points"), F.filter("_e", lambda e: e["role"] != "point").alias("_kills")).where("size(_made) > 0 AND size(_points) > 0")
+
+    def reach(p: Column) -> Column:
+        def open_(a: Column) -> Column:
+            apart = F.exists(p["place"], lambda x: F.exists(a["place"], lambda y: (x["block"] == y["block"]) & (x["branch"] != y["branch"])))
+            between = lambda k: (a["at"] < k["since"]) & ((k["at"] < p["at"]) | ((k["role"] == "whole") & (k["at"] == p["at"])))
+            gone = F.exists("_kills", lambda k: between(k) & (_within(k["place"], a["place"]) | _within(k["place"], p["place"])))
+            return (a["at"] < p["at"]) & ~apart & ~gone
+
+        return F.transform(F.filter("_made", open_), lambda a: F.struct(p["at"].alias("line"), a["at"].alias("at"), a["type"].alias("type")))
 
-    def open_(a: Column) -> Column:
-        apart = F.exists("place", lambda p: F.exists(a["place"], lambda q: (p["block"] == q["block"]) & (p["branch"] != q["branch"])))
-        between = lambda k: (a["at"] < k["since"]) & ((k["at"] < F.col("line")) | (~k["real"] & (k["at"] == F.col("line"))))
-        gone = F.exists("_kills", lambda k: between(k) & (_within(k["place"], a["place"]) | _within(k["place"], F.col("place"))))
-        return (a["at"] < F.col("line")) & ~apart & ~gone
+    return met.select(*keys, F.inline(F.flatten(F.transform("_points", reach)))).select("path", "routine", "line", "variable", "at", "type")
 
-    met = points.join(made.join(ends, keys, "left").select(*keys, "_made", kills.alias("_kills")), keys)
-    return met.select("path", "routine", "line", "variable", F.explode(F.filter("_made", open_)).alias("_a")).select("path", "routine", "line", "variable", "_a.at", "_a.type")
+
+def held(rows: DataFrame, whole: DataFrame | None = None, points: DataFrame | None = None) -> DataFrame:
+    """path, routine, line, variable and type: what names hold at the ``points`` (as for ``reaching``), and in values and returned values that are one name.
+
+    A call stands as ``call:name`` (see ``answered``). Which assignments reach a name hangs neither
+    on types nor on what calls return, so it is found once for all that ask for it; chains of names
+    are followed by doubling. A name that nothing reaches has no row.
+    """
+    placed, name = assigned(rows), lambda c: F.when(F.col(c).startswith("name:"), F.substring(c, 6, 1 << 20))
+    if points is None:
+        named = F.filter(F.array(name("given"), name("returned")), lambda n: n.isNotNull())
+        points = told(rows).where("routine IS NOT NULL").select("path", "routine", "line", "place", F.explode(F.array_distinct(named)).alias("variable"))
+    met = cut(reaching(rows, placed, points, whole))
+    is_name = F.col("type").startswith("name:")
+    linked = met.where(is_name)
+    if linked.isEmpty():
+        return met.drop("at")
+    # Only names that hold what another name brings are followed, through the assignments of that name.
+    node = lambda *cs: F.concat_ws("\u0000", *cs)
+    brought = met.select(node("path", "line", "variable").alias("node"), F.when(~is_name, F.col("type")).alias("type"), F.when(is_name, node("path", "at", name("type"))).alias("to"), F.lit(True).alias("_r")).distinct()
+    far = linked.select(node("path", "at", name("type")).alias("node")).distinct().join(brought, "node", "left")
+    found = substitute(far.select("node", F.when(F.col("_r").isNull(), "Unknown").otherwise(F.col("type")).alias("type"), "to", F.lit(1.0).alias("weight"))).select(F.col("node").alias("_node"), F.col("type").alias("_type")).distinct()
+    settled = linked.withColumn("_node", node("path", "at", name("type"))).join(found, "_node").select("path", "routine", "line", "variable", F.col("_type").alias("type"))
+    return met.where(~is_name).drop("at").unionByName(cut(settled))
+
+
+def answered(typed: DataFrame, rows: DataFrame, returns: DataFrame | None) -> DataFrame:
+    """``typed`` (path, type, ...) with the types that its calls (``call:name``) return by ``returns`` (path, routine, type), a row for each; Unknown where none is told.
+
+    Which routine a call means is asked once for each name of a file. ``typed`` is read three times.
+    """
+    is_call = F.col("type").startswith("call:")
+    if returns is None:
+        return typed.withColumn("type", F.when(is_call, "Unknown").otherwise(F.col("type")))
+    calls = typed.where(is_call).withColumn("callee", F.substring("type", 6, 1 << 20))
+    asked = cut(find_callees(cut(calls.select("path", "callee").distinct()), declared(rows)))
+    back = returns.select(F.col("path").alias("callee_path"), F.col("routine").alias("callee"), "type").groupBy("callee_path", "callee").agg(F.collect_set("type").alias("_types"))
+    types = join_often(asked.where("callee_path IS NOT NULL"), back, ["callee_path", "callee"]).select("path", "callee", "_types")
+    met = calls.join(types, ["path", "callee"], "left").withColumn("type", F.explode(F.coalesce("_types", F.array(F.lit("Unknown")))))
+    return typed.where(~is_call).unionByName(met.select(*typed.columns))
 
 
 def declared(rows: DataFrame) -> DataFrame:
     """path, routine, exported and n_parameters of all routines of ``rows`` (lines)."""
-    begins = rows.where(F.col("code").rlike(A.BEGIN))
-    given = F.size(F.filter(F.split(F.regexp_extract("code", A.BEGIN, 3), ","), lambda p: F.trim(p) != ""))
-    return begins.select("path", F.regexp_extract("code", A.BEGIN, 2).alias("routine"), (F.regexp_extract("code", A.BEGIN, 4) != "").alias("exported"), given.alias("n_parameters"))
+    return told(rows).where("head IS NOT NULL").select("path", "head.routine", "head.exported", "head.n_parameters")
 
 
 def find_callees(calls: DataFrame, routines: DataFrame) -> DataFrame:
@@ -156,35 +220,19 @@ def find_callees(calls: DataFrame, routines: DataFrame) -> DataFrame:
     return named.withColumn("callee_path", F.coalesce("_own", "_a")).drop("_own", "_a").unionByName(calls.where("callee IS NULL").withColumn("callee_path", F.lit(None).cast("string")))
 
 
-def typed_assignments(rows: DataFrame, returns: DataFrame | None = None, whole: DataFrame | None = None) -> DataFrame:
+def typed_assignments(rows: DataFrame, returns: DataFrame | None = None, whole: DataFrame | None = None, names: DataFrame | None = None) -> DataFrame:
     """Assignments in routines: path, routine, line, variable, place and type; a row for each type that a name brings.
 
-    Names take the types that reach them where they stand, calls those of ``returns`` (path,
-    routine, type). Which assignments reach a name doesn't hang on types, so it is found once and
-    the chains of names are followed by doubling.
+    Names take the types that reach them where they stand (``names`` of ``held``, if found before),
+    calls those of ``returns`` (path, routine, type).
     """
-    placed = assigned(rows).withColumn("type", value_type(F.col("value"))).drop("value")
-    is_name, is_call = F.col("type").startswith("name:"), F.col("type").startswith("call:")
-    if returns is not None:
-        placed = cut(placed)
-        called = find_callees(placed.where(is_call).withColumn("callee", F.substring("type", 6, 1 << 20)), declared(rows))
-        told = returns.select(F.col("path").alias("callee_path"), F.col("routine").alias("callee"), F.col("type").alias("_t")).distinct()
-        answered = join_often(called, told, ["callee_path", "callee"], "left").withColumn("type", F.coalesce("_t", F.lit("Unknown")))
-        placed = placed.where(~is_call).unionByName(cut(answered.select(*placed.columns)))
-    else:
-        placed = cut(placed)
-    named = placed.where(is_name)
-    if not named.isEmpty():
-        here = lambda at: F.concat_ws("\u0000", "path", at)
-        points = named.select("path", "routine", "line", F.substring("type", 6, 1 << 20).alias("variable"), "place").distinct()
-        # What is no name is known at once; only names of names are followed.
-        reached = reaching(rows, placed, points, whole).select(here("line").alias("node"), F.when(~is_name, F.col("type")).alias("type"), F.when(is_name, here("at")).alias("to"), F.lit(True).alias("_r")).distinct()
-        open_ = named.select(here("line").alias("node")).distinct().join(reached, "node", "left")
-        chains = open_.select("node", F.when(F.col("_r").isNull(), "Unknown").otherwise(F.col("type")).alias("type"), "to", F.lit(1.0).alias("weight"))
-        found = substitute(chains).select(F.col("node").alias("_node"), F.col("type").alias("_type")).distinct()
-        settled = named.drop("type").withColumn("_node", here("line")).join(found, "_node").select("path", "routine", "line", "variable", "place", F.col("_type").alias("type"))
-        placed = placed.where(~is_name).unionByName(cut(settled))
-    return placed.withColumn("type", F.when(is_call, "Unknown").otherwise(F.col("type")))
+    placed = assigned(rows)
+    is_name = F.col("type").startswith("name:")
+    brought = (held(rows, whole) if names is None else names).select("path", "routine", "line", F.col("variable").alias("_name"), F.col("type").alias("_type"))
+    named = placed.where(is_name).withColumn("_name", F.substring("type", 6, 1 << 20)).join(brought, ["path", "routine", "line", "_name"], "left")
+    settled = named.select(*[F.coalesce("_type", F.lit("Unknown")).alias(c) if c == "type" else c for c in placed.columns], F.lit(True).alias("_named"))
+    made = cut(answered(cut(placed.where(~is_name).withColumn("_named", F.lit(False)).unionByName(settled)), rows, returns))
+    return made.where("NOT _named").unionByName(made.where("_named").distinct()).drop("_named")
 
 
 def states(rows: DataFrame, placed: DataFrame, whole: DataFrame | None = None) -> DataFrame:
@@ -202,18 +250,22 @@ def states(rows: DataFrame, placed: DataFrame, whole: DataFrame | None = None) -
     return summed.withColumn("weight", F.col("_w") / F.sum("_w").over(Window.partitionBy(*here))).drop("_w")
 
 
-def direct_returns(rows: DataFrame, placed: DataFrame, whole: DataFrame | None = None) -> DataFrame:
-    """path, routine, type (or call:name) and weight of each routine's own returns; Void for one without. Loops aren't looked into."""
-    loop = rows.where(F.col("code").rlike(OPEN_LOOP)).select("path", F.col("line").alias("_loop")).groupBy("path").agg(F.collect_set("_loop").alias("_loops"))
-    body = rows.where("routine IS NOT NULL").join(loop, "path", "left")
-    found = body.where(F.col("code").rlike(A.RETURN) & ~F.coalesce(F.exists("place", lambda p: F.array_contains("_loops", p["block"])), F.lit(False)))
-    typed = found.select("path", "routine", "line", "place", value_type(F.regexp_extract("code", A.RETURN, 1)).alias("type"))
+def direct_returns(rows: DataFrame, placed: DataFrame | None = None, whole: DataFrame | None = None, names: DataFrame | None = None) -> DataFrame:
+    """path, routine, type (or call:name) and weight of each routine's own returns; Void for one without. Loops aren't looked into.
+
+    What names hold is told by ``names`` (of ``held``), or by the assignments ``placed`` that reach them.
+    """
+    loop = rows.where(F.col("kind") == "open").where(F.col("code").rlike(OPEN_LOOP)).select("path", F.col("line").alias("_loop")).groupBy("path").agg(F.collect_set("_loop").alias("_loops"))
+    body = told(rows).where("returned IS NOT NULL").select("path", "routine", "line", "place", F.col("returned").alias("type")).join(loop, "path", "left")
+    typed = cut(body.where(~F.coalesce(F.exists("place", lambda p: F.array_contains("_loops", p["block"])), F.lit(False))).drop("_loops"))
     points = typed.where(F.col("type").startswith("name:")).select("path", "routine", "line", F.substring("type", 6, 1 << 20).alias("variable"), "place")
-    met = reaching(rows, placed, points, whole).select("path", "routine", "line", F.col("type").alias("_new")).distinct()
+    here = ["path", "routine", "line", "variable"]
+    reached = reaching(rows, placed, points, whole) if names is None else answered(points.select(*here).join(names, here), rows, None)
+    met = reached.select("path", "routine", "line", F.col("type").alias("_new")).distinct()
     each = typed.join(met, ["path", "routine", "line"], "left").withColumn("type", F.when(F.col("type").startswith("name:"), F.coalesce("_new", F.lit("Unknown"))).otherwise(F.col("type")))
     share = 1 / (F.count(F.lit(1)).over(Window.partitionBy("path", "routine", "line")) * F.size(F.collect_set("line").over(Window.partitionBy("path", "routine"))))
     summed = each.withColumn("_w", share).groupBy("path", "routine", "type").agg(F.sum("_w").alias("weight"))
-    void = rows.where("routine IS NOT NULL").select("path", "routine").distinct().join(summed.select("path", "routine"), ["path", "routine"], "left_anti")
+    void = declared(rows).select("path", "routine").distinct().join(summed.select("path", "routine"), ["path", "routine"], "left_anti")
     return summed.unionByName(void.select("path", "routine", F.lit("Void").alias("type"), F.lit(1.0).alias("weight")))
 
 

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from quarry.operators import expressions as E
 from quarry.operators import flow as W
+from quarry.operators import graph as G
 from quarry.sources.registry import Registry
 
 from .base import query
-from .flows import _F, _P, _RETURNS, _RUN, _typed
+from .flows import _F, _P, _RETURNS, _RUN, _files, _held
 
 _KINDS = ("Number", "String", "Boolean")
 _FORMS = ("v + w * 2", "(v + w) + F(v, w)", "v = w AND NOT F()", "?(v, w, 1) - 1", "v.Len + 1 > w OR F(1)", "-w + v")
@@ -49,6 +50,7 @@ _NEXT = "coalesce((SELECT t FROM r WHERE r.path = '/parts/' || (p_partkey + 1) |
  UNION ALL SELECT {_P}, 'Kind', 27, CASE p_size % 2 WHEN 0 THEN 'String' ELSE 'Number' END, 0 FROM part UNION ALL SELECT '/common.bsl', 'Common', 2, 'Date', 0""")
 def expr_types_files(spark, d):
     """Every value, returned value and condition of all files, from what reaches its names and what its calls return."""
-    rows, whole, returns, placed = _typed(spark, d)
+    rows = G.cut(E.told(W.placed_lines(_files(spark, d))))
+    _, names, returns = _held(rows, E.points(rows))
     members = spark.createDataFrame([], "owner string, name string, kind string, type string")
-    return E.in_files(rows, placed, returns, members, whole).select("path", "routine", "line", "type", F.size("problems").alias("problems"))
+    return E.in_files(rows, None, returns, members, names=names).select("path", "routine", "line", "type", F.size("problems").alias("problems"))

@@ -76,23 +76,24 @@ _RETURNS = f"""WITH RECURSIVE d AS ({_DIRECT}), x AS (SELECT p_partkey AS k FROM
  UNION ALL SELECT {_P}, {_RUN}, 'Void', 1.0 FROM part UNION ALL SELECT {_P}, 'Kind', CASE p_size % 2 WHEN 0 THEN 'String' ELSE 'Number' END, 1.0 FROM part UNION ALL SELECT '/common.bsl', 'Common', 'Date', 1.0"""
 
 
-def _returns(rows, whole):
-    return W.return_types(W.direct_returns(rows, W.typed_assignments(rows, whole=whole), whole), W.declared(rows))
+def _held(rows, points=None):
+    """What covers assignments in ``rows``, what names hold, and return types."""
+    whole = W.covers(rows)
+    names = W.held(rows, whole, points)
+    return whole, names, W.return_types(W.direct_returns(rows, names=names), W.declared(rows))
 
 
 def _typed(spark, d):
-    """Lines of all files, what covers assignments in them, return types and typed assignments."""
-    rows = W.blocks(_files(spark, d))
-    whole = W.covers(rows)
-    returns = _returns(rows, whole)
-    return rows, whole, returns, W.typed_assignments(rows, returns, whole)
+    """Lines of all files, what covers assignments in them, and typed assignments."""
+    rows = G.cut(W.told(W.placed_lines(_files(spark, d))))
+    whole, names, returns = _held(rows)
+    return rows, whole, W.typed_assignments(rows, returns, names=names)
 
 
 @query("ret_types_across", _RETURNS)
 def ret_types_across(spark, d):
     """Weighted return types, through calls into other files; files that have routines of one name keep their own."""
-    rows = W.blocks(_files(spark, d))
-    return _returns(rows, W.covers(rows)).select("path", "routine", "type", F.round("weight", 6).alias("weight"))
+    return _held(G.cut(W.told(W.placed_lines(_files(spark, d)))))[2].select("path", "routine", "type", F.round("weight", 6).alias("weight"))
 
 
 _STATES = f"""WITH x AS (SELECT {_P}, {_F} AS routine, p_size AS s FROM part),
@@ -109,7 +110,7 @@ _STATES = f"""WITH x AS (SELECT {_P}, {_F} AS routine, p_size AS s FROM part),
 @query("flow_states", _STATES)
 def flow_states(spark, d):
     """What variables hold where blocks and routines end: branches merged, covered assignments gone, names and calls followed."""
-    rows, whole, _, placed = _typed(spark, d)
+    rows, whole, placed = _typed(spark, d)
     return W.states(rows, placed, whole).select("path", "routine", "line", "variable", "type", F.round("weight", 6).alias("weight"))
 
 
@@ -158,7 +159,7 @@ def code_action(spark, d):
  UNION ALL SELECT {_P}, {_RUN}, l.line, l.variable, 'Unknown' FROM part, (VALUES (21, 'w'), (22, 'u'), (23, 't'), (24, 'v')) l(line, variable)""")
 def assigned_types(spark, d):
     """The type of each assignment of all files: by form, by the name that it copies, by the routine that it calls."""
-    return _typed(spark, d)[3].select("path", "routine", "line", "variable", "type")
+    return _typed(spark, d)[2].select("path", "routine", "line", "variable", "type")
 
 
 @query("call_levels", f"WITH RECURSIVE e AS (SELECT coalesce(caller_path, '') || '#' || caller AS caller, coalesce(callee_path, '') || '#' || callee AS callee FROM ({_CALLS})), n AS (SELECT caller AS node FROM e UNION SELECT callee FROM e), w AS (SELECT node, 0 AS level FROM n UNION SELECT e.caller, w.level + 1 FROM w JOIN e ON e.callee = w.node) SELECT node, CAST(max(level) AS INTEGER) AS level FROM w GROUP BY node")
