@@ -45,7 +45,12 @@ FRESH = r"(?iu)^\s*(?:Процедура|Функция|Procedure|Function|Ко
 
 def line_array(content: Column) -> Column:
     """The lines of a file in order, each without its comment; string literals keep their slashes."""
-    return F.transform(F.split(content, "\r?\n"), lambda raw: F.regexp_extract(raw, CODE, 1))
+    return F.transform(F.split(content, "\r?\n"), lambda raw: F.when(raw.contains("//"), F.regexp_extract(raw, CODE, 1)).otherwise(raw))
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def _statement_step(held: Column, x: Column) -> Column:
@@ -118,14 +123,19 @@ def call_edges(files: DataFrame) -> DataFrame:
     return each.where(~F.lower("callee").isin(*KEYWORDS))
 
 
+def is_word(text: Column, *words: str) -> Column:
+    """Whether a text is one of some lower-case words in either case; what looks like none isn't lowered, which is slow."""
+    return text.rlike(rf"(?iu)^(?:{'|'.join(words)})$") & F.lower(text).isin(*words)
+
+
 def expression_type(text: Column) -> Column:
     """The type of a simple expression: literals, comparisons, arithmetic, new objects; else null."""
     t = F.trim(text)
     return (
         F.when(t.rlike(r'^"(?:[^"]|"")*"$'), "String")
         .when(t.rlike(r"^'\d+'$"), "Date")
-        .when(F.lower(t).isin("истина", "ложь", "true", "false"), "Boolean")
-        .when(F.lower(t).isin("неопределено", "undefined"), "Undefined")
+        .when(is_word(t, "истина", "ложь", "true", "false"), "Boolean")
+        .when(is_word(t, "неопределено", "undefined"), "Undefined")
         .when(t.rlike(r"(?iu)^(Новый|New)\s+[\p{L}_]"), F.regexp_extract(t, r"(?iu)^(?:Новый|New)\s+([\p{L}_][\p{L}\p{N}_]*)", 1))
         .when(t.rlike(r'(<>|<=|>=|<|>)') & ~t.contains('"'), "Boolean")
         .when(t.contains('"') & t.contains("+"), "String")

@@ -40,7 +40,8 @@ def tokens(text: Column) -> Column:
 
 def _bare(token: Column) -> Column:
     """A path or call as it is looked up: without white space, a call with ``()``."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(token, r"\s+", ""), r"\[$", ""), r"\($", "()")
+    solid = F.when(token.rlike(r"\s"), F.regexp_replace(token, r"\s+", "")).otherwise(token)
+    return F.when(token.endswith("("), F.concat(solid, F.lit(")"))).otherwise(solid)
 
 
 def marks(text: Column) -> Column:
@@ -51,25 +52,27 @@ def marks(text: Column) -> Column:
     (a name, dotted path or call: ``f()``, ``a.m()``); Unknown if there is neither.
     """
     new = rf"(?iu)^(?:Новый|New)\s+({NAME})"
+    own, signs, alone = set(W.LITERALS), {w.lower() for pair in WORDS.values() for w in pair}, "\"'0123456789"
 
-    def mark(t: Column) -> Column:
-        first, low = F.substring(t, 1, 1), F.lower(t)
+    def told(t: Column) -> Column:
+        low = F.when(t.rlike(rf"(?iu)^(?:{'|'.join(sorted(own | signs))})$"), F.lower(t)).otherwise("")
+        return F.struct(t.alias("token"), F.substring(t, 1, 1).alias("first"), low.alias("word"), F.regexp_extract(t, new, 1).alias("new"))
+
+    def mark(x: Column) -> Column:
+        t, first, word = x["token"], x["first"], lambda *words: x["word"].isin(*map(str.lower, words))
         closes = F.when(t.rlike(r"^[)\]].*[(\[]$"), "n").when(t.rlike(r"^[)\]]."), "m").otherwise(")")
         kind = (
-            F.when(first.isin('"', "'", *"0123456789"), "v").when(first.isin(*"+-(,"), first).when(first.isin(*"<>="), "=").when(first.isin(*"*/%"), "*").when(first == "?", "?").when(first.isin(")", "]"), closes)
-            .when(t.endswith("(") | t.endswith("["), "f").when(low.isin(*map(str.lower, WORDS["and"])), "&").when(low.isin(*map(str.lower, WORDS["or"])), "|").when(low.isin(*map(str.lower, WORDS["not"])), "!").otherwise("v")
+            F.when(first.isin(*alone), "v").when(first.isin(*"+-(,"), first).when(first.isin(*"<>="), "=").when(first.isin(*"*/%"), "*").when(first == "?", "?").when(first.isin(")", "]"), closes)
+            .when(t.endswith("(") | t.endswith("["), "f").when(word(*WORDS["and"]), "&").when(word(*WORDS["or"]), "|").when(word(*WORDS["not"]), "!").otherwise("v")
         )
         type_ = (
-            F.when(first == '"', "String").when(first == "'", "Date").when(first.isin(*"0123456789"), "Number").when(first.isin(*"+-(,<>=*/%?)]"), None)
-            .when(low.isin("истина", "ложь", "true", "false"), "Boolean").when(low.isin("неопределено", "undefined"), "Undefined").when(low == "null", "Null").when(t.rlike(new), F.regexp_extract(t, new, 1))
+            F.when(first == '"', "String").when(first == "'", "Date").when(first.isin(*alone), "Number").when(word("истина", "ложь", "true", "false"), "Boolean")
+            .when(word("неопределено", "undefined"), "Undefined").when(word("null"), "Null").when(x["new"] != "", x["new"])
         )
-        return F.struct(t.alias("token"), kind.alias("kind"), type_.alias("type"))
-
-    def named(m: Column) -> Column:
-        plain = m["type"].isNull() & m["kind"].isin("v", "f") & ~m["token"].endswith("[") & ~F.lower(m["token"]).isin(*A.KEYWORDS)
-        return F.struct(m["kind"].alias("kind"), m["type"].alias("type"), F.when(plain, _bare(m["token"])).alias("name"))
+        plain = ~first.isin(*alone, *"+-(,<>=*/%?)]") & (x["word"] == "") & (x["new"] == "") & ~t.endswith("[")
+        return F.struct(kind.alias("kind"), type_.alias("type"), F.when(plain, _bare(t)).alias("name"))
 
-    return F.transform(F.transform(tokens(text), mark), named)
+    return F.transform(tokens(text), lambda t: A.let(told(t), mark))
 
 
 def _names(marked: Column) -> Column:
@@ -88,11 +91,6 @@ def _frame(of: Column | None = None, **changes: Column) -> Column:
     return F.struct(*[field(n, t).cast(t).alias(n) for n, t in _FRAME.items()])
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, however often the body names it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _wrong(*rules: tuple[Column, str]) -> Column:
     return F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), m) for c, m in rules]), lambda m: m.isNotNull())
 
@@ -125,7 +123,7 @@ def _read(f: Column) -> Column:
         wrong = F.when(empty, F.array().cast("array<string>")).otherwise(F.concat(c["wrong_ands"], _wrong((misfit, LOGIC))))
         return F.struct(c["sum"].alias("sum"), c["wrong"].alias("wrong"), c["ands"].alias("ands"), c["wrong_ands"].alias("wrong_ands"), value.alias("value"), wrong.alias("wrong_value"))
 
-    return _let(_let(_let(summed, part), anded), ored)
+    return A.let(A.let(A.let(summed, part), anded), ored)
 
 
 def _operand(f: Column, type_: Column) -> tuple[Column, Column]:
@@ -170,7 +168,7 @@ def _step(s: Column, token: Column) -> Column:
         .when(kind.isin(")", "m", "n") & (F.size(s["rest"]) == 0), s)
         .when(kind == "*", made(_frame(f, waits=F.lit(True)))).when(unary, made(_frame(f, minus=f["minus"] | (kind == "-"))))
         .when(kind == "!", made(_frame(f, **{"not": F.lit(True)})))
-        .otherwise(_let(_read(f), ends))
+        .otherwise(A.let(_read(f), ends))
     )
 
 
@@ -190,11 +188,11 @@ def typed(text: Column, types: Column, marked: Column | None = None) -> Column:
     # What is left open closes at the end; closes that are too many are passed over.
     all_ = lambda ts: F.concat(ts, F.array_repeat(closing, F.size(F.filter(ts, lambda t: t["kind"].isin("(", "f", "?")))))
     told = F.transform(marks(text) if marked is None else marked, lambda m: F.struct(m["kind"].alias("kind"), F.coalesce(m["type"], F.try_element_at(types, m["name"]), F.lit(UNKNOWN)).alias("type")))
-    ended = lambda s: _let(_read(s["top"]), lambda r: F.struct(F.when(F.trim(text) == "", UNKNOWN).otherwise(r["value"]).alias("type"), F.concat(s["problems"], r["wrong_value"]).alias("problems")))
-    read = lambda ts: _let(F.aggregate(all_(ts), start, _step), ended)
+    ended = lambda s: A.let(_read(s["top"]), lambda r: F.struct(F.when(F.trim(text) == "", UNKNOWN).otherwise(r["value"]).alias("type"), F.concat(s["problems"], r["wrong_value"]).alias("problems")))
+    read = lambda ts: A.let(F.aggregate(all_(ts), start, _step), ended)
     # One operand is what it is.
     alone = lambda ts: F.struct(ts[0]["type"].alias("type"), F.array().cast("array<string>").alias("problems"))
-    return F.when(text.isNotNull(), _let(told, lambda ts: F.when((F.size(ts) == 1) & (F.get(ts, F.lit(0))["kind"] == "v"), alone(ts)).otherwise(read(ts))))
+    return F.when(text.isNotNull(), A.let(told, lambda ts: F.when((F.size(ts) == 1) & (F.get(ts, F.lit(0))["kind"] == "v"), alone(ts)).otherwise(read(ts))))
 
 
 def with_types(expressions: DataFrame, keys: list[str], names: DataFrame, calls: DataFrame, members: DataFrame, text: str = "text") -> DataFrame:
@@ -214,12 +212,13 @@ def with_types(expressions: DataFrame, keys: list[str], names: DataFrame, calls:
     # An expression and all that is told of it are gathered in one row.
     whole = given.where(asks).select(*keys, F.struct(*given.columns).alias("_e"), F.lit(None).cast("struct<name:string,call:boolean,type:string>").alias("_n"))
     entry = lambda df, call: df.dropna(subset=keys).select(*keys, F.lit(None).cast(whole.schema["_e"].dataType).alias("_e"), F.struct("name", F.lit(call).alias("call"), "type").alias("_n"))
-    every = whole.unionByName(entry(names, False)).unionByName(entry(calls, True)).groupBy(*keys).agg(F.collect_list("_e").alias("_e"), F.collect_set("_n").alias("_n"))
+    every = whole.unionByName(entry(names, False)).unionByName(entry(calls, True)).groupBy(F.xxhash64(*keys).alias("_h"), *keys).agg(F.collect_list("_e").alias("_e"), F.collect_set("_n").alias("_n"))
     met = every.where("size(_e) > 0").withColumn("_names", F.array_distinct(F.flatten(F.transform("_e", lambda e: e["_names"]))))
 
     def part(o: Column) -> Column:
-        plain = F.regexp_replace(o, r"\(\)$", "")
-        return F.struct(o.alias("o"), F.substring_index(plain, ".", 1).alias("base"), F.when(plain.contains("."), F.regexp_extract(plain, r"^[^.]*\.(.*)$", 1)).alias("more"), (o.endswith("()") & ~plain.contains(".")).alias("call"))
+        call = o.endswith("()")
+        plain = F.when(call, F.substring(o, F.lit(1), F.length(o) - 2)).otherwise(o)
+        return F.struct(o.alias("o"), F.substring_index(plain, ".", 1).alias("base"), F.when(plain.contains("."), F.substring(plain, F.instr(plain, ".") + 1, F.length(plain))).alias("more"), (call & ~plain.contains(".")).alias("call"))
 
     def based(p: Column) -> Column:
         types = F.transform(F.filter("_n", lambda n: (n["name"] == p["base"]) & (n["call"] == p["call"])), lambda n: n["type"])
@@ -255,7 +254,7 @@ def told(rows: DataFrame) -> DataFrame:
 def points(rows: DataFrame) -> DataFrame:
     """path, routine, line, place and variable: names that the expressions of ``rows`` ask for, those that are a value or returned value by themselves among them."""
     used = F.filter("_names", lambda o: ~o.endswith("()") | o.contains("."))
-    bases = F.transform(used, lambda o: F.regexp_extract(o, rf"(?u)^({NAME})", 1))
+    bases = F.transform(used, lambda o: F.substring_index(o, ".", 1))
     by_form = F.transform(F.filter(F.array("given", "returned"), lambda n: n.startswith("name:")), lambda n: F.substring(n, 6, 1 << 20))
     read = told(rows).where("text IS NOT NULL").withColumn("_names", _names(F.col("_marks")))
     return read.select("path", "routine", "line", "place", F.explode(F.array_distinct(F.concat(bases, by_form))).alias("variable"))

@@ -22,6 +22,8 @@ BRANCH = r"(?iu)^\s*(?:ИначеЕсли|ElsIf|Иначе|Else|Исключен
 BARE_ELSE = r"(?iu)^\s*(?:Иначе|Else)\s*$"
 CLOSE = r"(?iu)^\s*(?:КонецЕсли|EndIf|КонецЦикла|EndDo|КонецПопытки|EndTry)\b"
 CONDITION = r"(?iu)^\s*(?:Если|If|ИначеЕсли|ElsIf)\b(.*)\b(?:Тогда|Then)\s*$"
+#: What every line begins with that opens, parts or closes a block or a routine.
+MARKED = r"(?iu)^\s*(?:Если|If|Пока|While|Для|For|Попытка|Try|Иначе|Else|ElsIf|Исключение|Except|Конец|End|Процедура|Функция|Procedure|Function)"
 DECLARED = r"(?iu)^\s*(?:Перем|Var)\s+(.+?)\s*;"
 
 NAME = r"[\p{L}_][\p{L}\p{N}_]*"
@@ -59,7 +61,9 @@ def placed_lines(files: DataFrame) -> DataFrame:
         code = x["code"]
         opens = code.rlike(OPEN_IF) | code.rlike(OPEN_LOOP) | code.rlike(OPEN_TRY)
         kind = F.when(opens, "open").when(code.rlike(BRANCH), "branch").when(code.rlike(CLOSE), "close")
-        return F.struct(x["line"], code.alias("code"), kind.alias("kind"), F.when(code.rlike(A.HEAD) & code.rlike(A.BEGIN), F.regexp_extract(code, A.BEGIN, 2)).alias("begins"), code.rlike(A.END).alias("ends"))
+        row = lambda kind, begins, ends: F.struct(x["line"], code.alias("code"), kind.cast("string").alias("kind"), begins.cast("string").alias("begins"), ends.alias("ends"))
+        marked = row(kind, F.when(code.rlike(A.HEAD) & code.rlike(A.BEGIN), F.regexp_extract(code, A.BEGIN, 2)), code.rlike(A.END))
+        return F.when(code.rlike(MARKED), marked).otherwise(row(F.lit(None), F.lit(None), F.lit(False)))
 
     start = F.struct(F.array().cast(stack).alias("now"), F.lit(None).cast("string").alias("routine"), F.array().cast(f"array<struct<line:int,code:string,routine:string,kind:string,place:{stack}>>").alias("out"))
     made = F.aggregate(F.transform(A.statement_array(A.line_array(F.col("content"))), told), start, _block_step, lambda s: s["out"])
@@ -74,15 +78,17 @@ def told(rows: DataFrame) -> DataFrame:
     """
     if "returned" in rows.columns:
         return rows
+    first = lambda pattern: A.let(F.regexp_extract("code", pattern, 1), lambda found: F.when(found != "", found))
     code, inside = F.col("code"), F.col("routine").isNotNull()
-    assigns = inside & F.col("kind").isNull() & code.rlike(A.ASSIGN)
-    n_given = F.size(F.filter(F.split(F.regexp_extract("code", A.BEGIN, 3), ","), lambda p: F.trim(p) != ""))
-    head = F.struct(F.regexp_extract("code", A.BEGIN, 2).alias("routine"), (F.regexp_extract("code", A.BEGIN, 4) != "").alias("exported"), n_given.alias("n_parameters"))
+    given = F.filter(F.split(F.regexp_extract(code, A.BEGIN, 3), ","), lambda p: F.trim(p) != "")
+    head = F.struct(F.regexp_extract(code, A.BEGIN, 2).alias("routine"), (F.regexp_extract(code, A.BEGIN, 4) != "").alias("exported"), F.size(given).alias("n_parameters"))
     read = rows.withColumns({
-        "variable": F.when(assigns, F.regexp_extract("code", A.ASSIGN, 1)), "value": F.when(assigns, F.regexp_extract("code", A.ASSIGN, 2)),
-        "back": F.when(inside & code.rlike(A.RETURN), F.regexp_extract("code", A.RETURN, 1)), "head": F.when(code.rlike(A.HEAD) & code.rlike(A.BEGIN), head),
+        "variable": F.when(inside & F.col("kind").isNull() & code.contains("="), first(A.ASSIGN)), "back": F.when(inside & code.contains(";"), first(A.RETURN)),
+        "head": F.when(code.rlike(A.HEAD) & code.rlike(A.BEGIN), head),
     })
-    return read.withColumns({"given": F.when(F.col("value").isNotNull(), value_type(F.col("value"))), "returned": F.when(F.col("back").isNotNull(), value_type(F.col("back")))})
+    by_form = lambda c: F.when(F.col(c).isNotNull(), A.let(F.trim(c), value_type))
+    read = read.withColumn("value", F.when(F.col("variable").isNotNull(), F.regexp_extract("code", A.ASSIGN, 2)))
+    return read.withColumns({"given": by_form("value"), "returned": by_form("back")})
 
 
 def _within(outer: Column, inner: Column) -> Column:
@@ -93,10 +99,10 @@ def _within(outer: Column, inner: Column) -> Column:
 def value_type(text: Column) -> Column:
     """Type of a value by its form: a name or call to resolve, what ``expression_type`` tells, else Unknown."""
     t = F.trim(text)
-    plain = ~F.lower(t).isin(*LITERALS)
+    plain = lambda pattern: t.rlike(pattern) & ~A.is_word(t, *LITERALS)
     return (
-        F.when(plain & t.rlike(rf"(?u)^{NAME}$"), F.concat(F.lit("name:"), t))
-        .when(plain & t.rlike(rf"(?u)^{NAME}\s*\([^()]*\)$"), F.concat(F.lit("call:"), F.regexp_extract(t, rf"(?u)^({NAME})", 1)))
+        F.when(plain(rf"(?u)^{NAME}$"), F.concat(F.lit("name:"), t))
+        .when(plain(rf"(?u)^{NAME}\s*\([^()]*\)$"), F.concat(F.lit("call:"), F.regexp_extract(t, rf"(?u)^({NAME})", 1)))
         .otherwise(F.coalesce(A.expression_type(t), F.lit("Unknown")))
     )
 
@@ -146,7 +152,8 @@ def reaching(rows: DataFrame, placed: DataFrame, points: DataFrame, whole: DataF
     keys = ["path", "routine", "variable"]
     found = lambda df, role, at, since, type_: df.select(*keys, F.struct(F.lit(role).alias("role"), F.col(at).cast("int").alias("at"), F.col(since).cast("int").alias("since"), "place", type_.cast("string").alias("type")).alias("_e"))
     parts = [found(placed, "made", "line", "line", F.col("type")), found(_covers(placed, rows) if whole is None else whole, "whole", "at", "since", F.lit(None)), found(points, "point", "line", "line", F.lit(None))]
-    every = reduce(DataFrame.unionByName, parts).dropna(subset=keys).groupBy(*keys).agg(F.collect_list("_e").alias("_e"))
+    # Paths begin alike, so rows are told apart by a hash first.
+    every = reduce(DataFrame.unionByName, parts).dropna(subset=keys).groupBy(F.xxhash64(*keys).alias("_h"), *keys).agg(F.collect_list("_e").alias("_e"))
     of = lambda role: F.filter("_e", lambda e: e["role"] == role)
     met = every.select(*keys, of("made").alias("_made"), of("point").alias("_points"), F.filter("_e", lambda e: e["role"] != "point").alias("_kills")).where("size(_made) > 0 AND size(_points) > 0")
 
