@@ -2,8 +2,8 @@
 
 A statement may run over several lines; a line has one statement. Block structure comes from one
 aggregation over a file's lines: a line's place is the list of blocks around it, each with the
-branch it lies in. Which assignments reach a
-point is then a join of assignments and points of one routine, settled by comparing places.
+branch it lies in. A variable's assignments and points within its routine are then gathered in one
+row, and comparing places settles which reach which.
 """
 
 from __future__ import annotations
